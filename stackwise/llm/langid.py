@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stackwise.llm.common import batches_of_text
 from stackwise.llm.ngrams import Grams
@@ -152,7 +152,7 @@ def predict(df: DataFrame, model: Languages, extra: list[str] | None = None) ->
                     sets.append([{"lang": m.names[j], "share": float(row[j])} for j in order if row[j] > 0])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sets, struct)], names=[*b.schema.names[:-1], "lang_pred", "score", "languages"])
 
-    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("languages", "array<struct<lang:string,share:double>>")
+    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("languages", T.ArrayType(T.StructType().add("lang", "string").add("share", "double")))
     return df.select(*keep, F.col("text").alias("_t")).mapInArrow(run, schema)
 
 
