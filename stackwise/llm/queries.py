@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stackwise.llm import langid, mixing, packing, quality, tokencount
+from stackwise.llm import extract, langid, mixing, packing, quality, tokencount, warc
 from stackwise.session import table
 
 
@@ -28,16 +28,26 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_quality": op2_quality,
     "op3_mix": op3_mix,
     "op4_language": op4_language,
+    "op5_warc": op5_warc,
     "op9_count_tokens": op9_count_tokens,
+    "op10_extract": op10_extract,
 }
 
 WORDS_SQL = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
@@ -64,4 +74,13 @@ p AS (SELECT *, greatest(0, least(size, due - rounds * source_size - begin)) AS
 SELECT doc_id, size, source_size, target, (rounds * size + last)::BIGINT AS taken,
   CASE WHEN size = 0 OR rounds + (last > 0)::INT = 0 THEN NULL ELSE round(2 * (begin / target) / ((1 - lean) + sqrt((1 - lean) * (1 - lean) + 4 * lean * (begin / target))), 9) END AS position
 FROM p""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS top FROM p GROUP BY h),
+d AS (SELECT DISTINCT h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS digest FROM p)
+SELECT p.page_id, strlen(p.body)::BIGINT AS payload_bytes, d.digest AS payload_digest,
+  CASE WHEN g.top IS NULL OR p.page_id IS NOT DISTINCT FROM g.top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.top IS NULL OR p.page_id IS NOT DISTINCT FROM g.top THEN NULL ELSE g.top END AS refers_to
+FROM p JOIN g USING (h) JOIN d USING (h)""",
 }
