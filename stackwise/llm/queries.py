@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stackwise.llm import extract, langid, mixing, packing, quality, tokencount, warc
+from stackwise.llm import extract, langid, mixing, packing, quality, tokencount, topk, warc
 from stackwise.session import table
 
 
@@ -32,6 +32,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op4_language": op4_language,
     "op5_warc": op5_warc,
+    "op7_topk": op7_topk,
     "op9_count_tokens": op9_count_tokens,
     "op10_extract": op10_extract,
 }
@@ -83,4 +88,11 @@ SELECT p.page_id, strlen(p.body)::BIGINT AS payload_bytes, d.digest AS payload_d
   CASE WHEN g.top IS NULL OR p.page_id IS NOT DISTINCT FROM g.top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN g.top IS NULL OR p.page_id IS NOT DISTINCT FROM g.top THEN NULL ELSE g.top END AS refers_to
 FROM p JOIN g USING (h) JOIN d USING (h)""",
+    "op7_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
