@@ -122,10 +122,12 @@ def by_position(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: a row per repeat, range-sorted by position, the last one cut at its last word due.
 
-    Documents of no word are dropped, as the mix takes none of their words. ``doc_id`` must be unique.
+    Documents of no word are dropped, as the mix takes none of their words. Rows that repeat an id
+    are each taken as the first of them is.
     """
-    plan = mix(df, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("last").alias("_last"), F.posexplode("positions").alias("_turn", "_at"), F.size("positions").alias("_of"))
-    rows = df.join(plan, df["doc_id"] == plan["_id"])
+    plan = mix(df, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("position", "positions", F.col("last").alias("_last"), F.col("size").alias("_size"))).alias("p"))
+    plan = plan.select("_id", "p._last", "p._size", F.posexplode("p.positions").alias("_turn", "_at"), F.size("p.positions").alias("_of"))
+    rows = df.join(plan, df["doc_id"].eqNullSafe(plan["_id"]))
     part = (F.col("_turn") == F.col("_of") - 1) & (F.col("_last") > 0) & (F.col("_last") < F.col("_size"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), F.lit(1), F.col("_last").cast("int")), "")
     text = F.when(part, cut).otherwise(F.col("text"))

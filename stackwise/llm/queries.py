@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stackwise.llm import extract, langid, mixing, packing, quality, tokencount, topk, warc
+from stackwise.llm import extract, langid, mixing, packing, quality, simhash, tokencount, topk, vecdedup, warc
 from stackwise.session import table
 
 
@@ -32,10 +32,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -50,7 +58,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix": op3_mix,
     "op4_language": op4_language,
     "op5_warc": op5_warc,
+    "op6_simhash": op6_simhash,
     "op7_topk": op7_topk,
+    "op8_near_vectors": op8_near_vectors,
     "op9_count_tokens": op9_count_tokens,
     "op10_extract": op10_extract,
 }
