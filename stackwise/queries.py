@@ -1,4 +1,840 @@
-"""Registered queries of the retrieval engine and their SQL oracles."""
+"""Registered queries of the retrieval engine and their SQL oracles.
 
-QUERIES = {}
-ORACLES = {}
+The supplied tables stand in for the model: a document is a chunk of base ``lang``; vectors are
+chunks of base ``label``; turns of a conversation are the chunks of a document; customers below
+nations below regions are a directory tree. Scores are rounded to six digits, and ranked by the
+rounded score and then the id, so that near ties cannot flip.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from stackwise.config import Config
+from stackwise.functions import text as T, vectors as V
+from stackwise.operators import catalog, chunking, docops, evaluate, fusion, ingest, lexical, vector
+from stackwise.plans.search import search
+from stackwise.session import scratch, table
+from stackwise.sources.html import with_markdown
+from stackwise.streaming import ingest as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# --- adapters: the supplied tables as the model
+
+
+def corpus(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def asked(spark, d, most: int | None = None) -> DataFrame:
+    """The first eight words of each benchmark passage as a query."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+    return q if most is None else q.where(F.col("query_id") < most)
+
+
+ASKED = "q AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS query FROM benchmark)"
+
+
+def literal_queries(spark, rows: list[tuple[int, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, "query_id long, query string")
+
+
+def docs(spark, d) -> DataFrame:
+    t = table(spark, d, "documents")
+    return t.select(
+        "doc_id", F.col("lang").alias("base_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"),
+        F.element_at(F.array(F.lit("text"), F.lit("file"), F.lit("url")), (F.col("doc_id") % 3 + 1).cast("int")).alias("source_type"),
+        F.concat(F.col("source"), F.lit("-"), (F.col("doc_id") % 50).cast("string"), F.lit(".md")).alias("file_name"),
+        F.col("text").alias("raw_text"), F.sha2("text", 256).alias("content_hash"), F.col("n_chars").alias("char_count"), T.est_tokens(F.col("text")).alias("token_count"),
+        (F.col("doc_id") % 4).alias("chunk_count"), (F.col("doc_id") % 11 == 0).alias("incomplete"), F.when(F.col("doc_id") % 13 == 0, "failed").alias("embedding_error"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("raw/x")).alias("raw_file_path"), F.when(F.col("doc_id") % 3 == 2, F.lit("http://x")).alias("url"),
+        (F.col("doc_id") * 1000).alias("created_at"), F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") * 1000 + 500).alias("updated_at"), F.lit(None).cast("long").alias("parent_directory_id"),
+    )
+
+
+TOKENS_SQL = "greatest(1, ceil(len(regexp_extract_all({0}, '[぀-ヿ㐀-䶿一-鿿가-힯]')) / 1.5 + (length({0}) - len(regexp_extract_all({0}, '[぀-ヿ㐀-䶿一-鿿가-힯]'))) / 4.0))::BIGINT"
+DOCS = f"""docs AS (SELECT doc_id, lang AS base_id, 'doc-' || doc_id AS title, (['text', 'file', 'url'])[doc_id % 3 + 1] AS source_type,
+  source || '-' || (doc_id % 50) || '.md' AS file_name, text AS raw_text, sha256(text) AS content_hash, n_chars AS char_count, {TOKENS_SQL.format("text")} AS token_count,
+  doc_id % 4 AS chunk_count, doc_id % 11 = 0 AS incomplete, CASE WHEN doc_id % 13 = 0 THEN 'failed' END AS embedding_error,
+  CASE WHEN doc_id % 2 = 0 THEN 'raw/x' END AS raw_file_path, CASE WHEN doc_id % 3 = 2 THEN 'http://x' END AS url,
+  doc_id * 1000 AS created_at, CASE WHEN doc_id % 5 = 0 THEN doc_id * 1000 + 500 END AS updated_at FROM documents)"""
+
+
+def vector_chunks(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("base_id"), F.floor(F.col("vec_id") / 5).cast("long").alias("doc_id"), (F.col("vec_id") % 5).cast("int").alias("idx"), F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("embedding_model"))
+
+
+VCHUNKS = "vc AS (SELECT vec_id AS chunk_id, label AS base_id, vec_id // 5 AS doc_id, (vec_id % 5)::INT AS idx, CASE WHEN vec_id % 7 <> 0 THEN embedding END AS embedding, 'm' || (vec_id % 2) AS embedding_model FROM embeddings)"
+
+
+def turns(spark, d) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("idx"), F.col("role").alias("heading"), "text")
+
+
+def tree(spark, d) -> DataFrame:
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("doc_id"), F.lit(None).cast("string").alias("parent_directory_id"), F.col("r_name").alias("title"), F.lit("directory").alias("source_type"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.col("n_name"), F.lit("directory"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.col("c_name"), F.lit("file"))
+    return r.union(n).union(c)
+
+
+TREE = """tree AS (SELECT 'r' || r_regionkey AS doc_id, NULL AS parent_directory_id, r_name AS title, 'directory' AS source_type FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 'directory' FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, 'file' FROM customer)"""
+SELECTED = ["r1", "n2", "n7", "c5", "c60", "r3"]
+
+
+def selected(spark) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in SELECTED], "doc_id string")
+
+
+# --- lexical lanes
+
+BM25 = f"""{ASKED},
+w AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9_]{{2,}}')) AS token FROM q) GROUP BY ALL),
+d AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}') AS tokens FROM documents),
+st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+p AS (SELECT chunk_id, dl, token, count(*) AS tf FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS token FROM d) WHERE token IN (SELECT token FROM w) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+s AS (SELECT query_id, chunk_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+      FROM w JOIN df USING (token) JOIN p USING (token), st GROUP BY query_id, chunk_id)"""
+
+
+@query("lex_bm25_topk", f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s)
+SELECT query_id, chunk_id, score, round(score / (score + 1), 6) AS norm, rank FROM r WHERE rank <= 10""")
+def lex_bm25_topk(spark, d):
+    return lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 10).select("query_id", "chunk_id", "score", F.round(T.bm25_norm(F.col("score")), 6).alias("norm"), "rank")
+
+
+@query("agg_df_avgdl", """WITH d AS (SELECT regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS tokens FROM documents) SELECT count(*) AS n, round(avg(len(tokens)), 6) AS avgdl FROM d""")
+def agg_df_avgdl(spark, d):
+    return lexical.bm25_statistics(corpus(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query("tok_bigram", """SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))::INT AS n, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'), ' ')) AS joined FROM documents""")
+def tok_bigram(spark, d):
+    t = T.tok_bigram(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("joined"))
+
+
+@query("tok_match_terms", r"""WITH t AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS tokens FROM benchmark),
+x AS (SELECT item_id, tok, pos FROM t, unnest(tokens) WITH ORDINALITY AS u(tok, pos)), f AS (SELECT item_id, tok, min(pos) AS pos FROM x WHERE length(tok) >= 3 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS k FROM f)
+SELECT item_id, string_agg(tok, ' ' ORDER BY pos) AS terms FROM r WHERE k <= 64 GROUP BY item_id""")
+def tok_match_terms(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.tok_match_terms(F.col("text")), " ").alias("terms"))
+
+
+@query("tok_short_terms", r"""WITH x AS (SELECT item_id, tok, pos FROM benchmark, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) WITH ORDINALITY AS u(tok, pos)), f AS (SELECT item_id, tok, min(pos) AS pos FROM x WHERE length(tok) < 3 GROUP BY ALL)
+SELECT b.item_id, coalesce(string_agg(tok, ' ' ORDER BY pos), '') AS terms FROM benchmark b LEFT JOIN f USING (item_id) GROUP BY b.item_id""")
+def tok_short_terms(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.tok_short_terms(F.col("text")), " ").alias("terms"))
+
+
+FTS = r"""t AS (SELECT query_id, tok, min(pos) AS pos FROM q, unnest(regexp_extract_all(query, '[\p{L}\p{N}_]+')) WITH ORDINALITY AS u(tok, pos) GROUP BY ALL),
+w AS (SELECT query_id, lower(tok) AS folded FROM t WHERE length(tok) >= 3),
+sh AS (SELECT query_id, list(tok) AS short FROM t WHERE length(tok) < 3 GROUP BY query_id),
+d AS (SELECT doc_id AS chunk_id, text, lower(text) AS low, greatest(0, length(text) - 2) AS dl FROM documents),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+h AS (SELECT chunk_id, folded, dl, len(list_filter(range(1, length(low) - length(folded) + 2), lambda i: substr(low, i, length(folded)) = folded)) AS f FROM d, (SELECT DISTINCT folded FROM w) WHERE contains(low, folded)),
+df AS (SELECT folded, count(*) AS df FROM h GROUP BY folded),
+tw AS (SELECT query_id, folded, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) AS weight FROM w JOIN df USING (folded), st GROUP BY ALL),
+raw AS (SELECT query_id, chunk_id, sum(weight * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tw JOIN h USING (folded), st GROUP BY ALL),
+ck AS (SELECT raw.*, short IS NULL OR len(list_filter(short, lambda x: NOT contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) = 0 AS strict FROM raw JOIN d USING (chunk_id) LEFT JOIN sh USING (query_id)),
+s AS (SELECT query_id, chunk_id, round(score / (score + 1), 6) AS score FROM (SELECT *, bool_or(strict) OVER (PARTITION BY query_id) AS any_strict FROM ck) WHERE strict OR NOT any_strict),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s)
+SELECT query_id, chunk_id, score, rank FROM r"""
+
+
+@query("lex_fts_topk", f"WITH {ASKED.replace('FROM benchmark', 'FROM benchmark WHERE item_id < 5')}, {FTS} WHERE rank <= 20")
+def lex_fts_topk(spark, d):
+    return lexical.fts_lane(corpus(spark, d), asked(spark, d, 5), 20).select("query_id", "chunk_id", "score", "rank")
+
+
+RELAX = [(1, "tion zq"), (2, "ment of"), (3, "Andreor xx yy")]
+
+
+@query("lex_short_relax", f"WITH q AS (SELECT * FROM (VALUES {', '.join(f'({i}::BIGINT, {chr(39)}{t}{chr(39)})' for i, t in RELAX)}) v(query_id, query)), {FTS} WHERE rank <= 20")
+def lex_short_relax(spark, d):
+    return lexical.fts_lane(corpus(spark, d), literal_queries(spark, RELAX), 20).select("query_id", "chunk_id", "score", "rank")
+
+
+LIKE = [(1, "qu"), (2, "ñ z"), (3, "ß"), (4, "!!!"), (5, "ZU ö")]
+
+
+@query("lex_like_fallback", f"""WITH q AS (SELECT * FROM (VALUES {', '.join(f'({i}::BIGINT, {chr(39)}{t}{chr(39)})' for i, t in LIKE)}) v(query_id, query)),
+t AS (SELECT query_id, regexp_extract_all(translate(query, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\p{{L}}\\p{{N}}_]+') AS tokens FROM q),
+s AS (SELECT query_id, doc_id AS chunk_id, -length(text)::DOUBLE AS score FROM documents, t WHERE len(tokens) > 0 AND len(list_filter(tokens, lambda x: NOT contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), x))) = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10""")
+def lex_like_fallback(spark, d):
+    return lexical.top(lexical.like_fallback(corpus(spark, d), literal_queries(spark, LIKE)), 10).select("query_id", "chunk_id", "score", "rank")
+
+
+# --- vectors
+
+VQ = "WHERE vec_id % 50 = 0"
+COS = f"""s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
+  FROM (SELECT * FROM embeddings {VQ}) a, embeddings b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s)"""
+
+
+def embeddings(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("vec_cosine_topk", f"WITH {COS} SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10")
+def vec_cosine_topk(spark, d):
+    return vector.cosine_topk(*embeddings(spark, d), 10).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("vec_batch_topk", f"WITH {COS} SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10")
+def vec_batch_topk(spark, d):
+    return vector.batch_topk(*embeddings(spark, d), 10).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("vec_dot", "SELECT b.vec_id AS chunk_id, round(greatest(0, least(1, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id = 0) a, embeddings b")
+def vec_dot(spark, d):
+    c, q = embeddings(spark, d)
+    return c.join(F.broadcast(q.where("query_id = 0").select(F.col("embedding").alias("q"))), F.lit(True)).select("chunk_id", F.round(V.unit_dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+
+
+@query("vec_normalize", """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v)
+SELECT vec_id AS chunk_id, round(u[1], 6) AS first, round(u[64], 6) AS last, round(sqrt(list_dot_product(u, u)), 6) AS length FROM n""")
+def vec_normalize(spark, d):
+    u = V.normalized(F.transform("embedding", lambda x: x.cast("double") * 3))
+    return embeddings(spark, d)[0].withColumn("u", u).select("chunk_id", F.round(F.element_at("u", 1), 6).alias("first"), F.round(F.element_at("u", 64), 6).alias("last"), F.round(V.norm(F.col("u")), 6).alias("length"))
+
+
+@query("agg_mean_vector", """WITH p AS (SELECT a.vec_id, list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE * 3 + b.embedding[i]::DOUBLE * 2) / 5) AS m FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id AS chunk_id, round(m[1] / sqrt(list_dot_product(m, m)), 6) AS first FROM p""")
+def agg_mean_vector(spark, d):
+    c = embeddings(spark, d)[0]
+    n = c.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("embedding").alias("next"))
+    m = V.weighted_mean(F.transform("embedding", lambda x: x.cast("double")), F.lit(3.0), F.transform("next", lambda x: x.cast("double")), F.lit(2.0))
+    return c.join(n, "chunk_id").select("chunk_id", F.round(F.element_at(m, 1), 6).alias("first"))
+
+
+@query("vec_dimension_check", f"WITH {VCHUNKS} SELECT embedding_model, count(*) AS vectors, count(DISTINCT len(embedding)) AS widths, min(len(embedding))::INT AS width, count(DISTINCT len(embedding)) = 1 AS consistent FROM vc WHERE embedding IS NOT NULL GROUP BY embedding_model")
+def vec_dimension_check(spark, d):
+    return vector.dimensions(vector_chunks(spark, d))
+
+
+# --- fusion and search
+
+# doc i stands for vector i: a synthetic pairing, the two tables are unrelated
+LANES = f"""{BM25}, lx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s),
+l20 AS (SELECT query_id, chunk_id, round(score / (score + 1), 6) AS score, rank FROM lx WHERE rank <= 20),
+vs AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id < 40) a, embeddings b),
+v20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) WHERE rank <= 20)"""
+
+
+def lanes(spark, d):
+    lex = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 20).withColumn("score", F.round(T.bm25_norm(F.col("score")), 6))
+    c, _ = embeddings(spark, d)
+    vec = vector.batch_topk(c, c.where("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), "embedding"), 20)
+    return vec, lex
+
+
+@query("fus_rrf", f"WITH {LANES}, u AS (SELECT query_id, chunk_id, 2.0 / (60 + rank) AS p FROM v20 UNION ALL SELECT query_id, chunk_id, 1.0 / (60 + rank) FROM l20) SELECT query_id, chunk_id, round(sum(p::DOUBLE), 6) AS score FROM u GROUP BY ALL")
+def fus_rrf(spark, d):
+    v, x = lanes(spark, d)
+    return fusion.rrf([(v, 2.0), (x, 1.0)]).withColumn("score", F.round("score", 6))
+
+
+HYBRID = f"""{LANES}, hy AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.chunk_id, l.chunk_id) AS chunk_id,
+  round((coalesce(2::DOUBLE / (60 + v.rank), 0) + coalesce(1::DOUBLE / (60 + l.rank), 0)) / (3::DOUBLE / 61), 6) AS score, v.score AS vector_score, l.score AS lexical_score FROM v20 v FULL JOIN l20 l ON v.query_id = l.query_id AND v.chunk_id = l.chunk_id)"""
+
+
+@query("fus_hybrid_weighted", f"WITH {HYBRID}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM hy) SELECT query_id, chunk_id, score, vector_score, lexical_score, rank FROM r WHERE rank <= 10")
+def fus_hybrid_weighted(spark, d):
+    return lexical.top(fusion.hybrid(*lanes(spark, d), 2.0), 10).select("query_id", "chunk_id", "score", "vector_score", "lexical_score", "rank")
+
+
+@query("fus_effective_mode", f"WITH {HYBRID} SELECT query_id, CASE WHEN bool_or(vector_score IS NOT NULL AND lexical_score IS NOT NULL) THEN 'hybrid' ELSE 'lexical' END AS mode FROM hy GROUP BY query_id")
+def fus_effective_mode(spark, d):
+    return fusion.effective_mode("auto", fusion.hybrid(*lanes(spark, d), 2.0))
+
+
+@query("flt_threshold", f"WITH {COS} SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10 AND score >= 0.5")
+def flt_threshold(spark, d):
+    return fusion.threshold(vector.batch_topk(*embeddings(spark, d), 10), 0.5, "vector", False).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("srch_multi_query", """WITH q AS (SELECT conv_id AS query_id, turn AS variant, text AS query FROM conversations WHERE role = 'user' AND conv_id < 10),
+w AS (SELECT query_id, variant, token, count(*) AS qtf FROM (SELECT query_id, variant, unnest(regexp_extract_all(lower(query), '[a-z0-9_]{2,}')) AS token FROM q) GROUP BY ALL),
+d AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS tokens FROM documents), st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+p AS (SELECT chunk_id, dl, token, count(*) AS tf FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS token FROM d) WHERE token IN (SELECT token FROM w) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+s AS (SELECT query_id, variant, chunk_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM w JOIN df USING (token) JOIN p USING (token), st GROUP BY query_id, variant, chunk_id),
+b AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, chunk_id) AS k FROM s) WHERE k <= 12 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM b) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 6""")
+def srch_multi_query(spark, d):
+    v = table(spark, d, "conversations").where("role = 'user' and conv_id < 10").select(F.struct(F.col("conv_id"), F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    hits = lexical.top(lexical.bm25(corpus(spark, d), v), 12)
+    return fusion.best_of_variants(hits.select(F.col("query_id.conv_id").alias("query_id"), F.col("query_id.turn").alias("variant"), "chunk_id", "score"), 6).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("div_mmr")
+def div_mmr(spark, d):
+    ranked = vector.batch_topk(*embeddings(spark, d), 20).join(embeddings(spark, d)[0], "chunk_id").select("query_id", "chunk_id", "score", "rank", "embedding")
+    return fusion.mmr(ranked, 0.3, 6).where("rank <= 6").drop("embedding")
+
+
+@query("rrk_apply", f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s), c AS (SELECT r.query_id, r.chunk_id, 1 - least(1, length(text) / 10000.0::DOUBLE) AS score FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 20 AND length(text) % 2 = 0),
+m AS (SELECT query_id FROM r WHERE rank <= 20 GROUP BY query_id HAVING count(*) > 1),
+k AS (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM c JOIN m USING (query_id)) SELECT * FROM k WHERE rank <= 6""")
+def rrk_apply(spark, d):
+    ranked = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 20).join(asked(spark, d), "query_id").join(corpus(spark, d), "chunk_id")
+    scorer = lambda q, t: F.when(F.length(t) % 2 == 0, 1 - F.least(F.lit(1.0), F.length(t) / F.lit(10000.0)))
+    return fusion.rerank(ranked, scorer, 6).where("reranked").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("srch_search")
+def srch_search(spark, d):
+    t = docs(spark, d).where("doc_id < 500").withColumn("title", F.col("title"))
+    chunks = t.join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("idx"), F.lit(None).cast("string").alias("heading"), F.col("raw_text").alias("text"), T.search_text(F.col("title"), F.col("raw_text")).alias("search_text"), "embedding")
+    q = asked(spark, d, 5).join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "query_id"), "query_id")
+    out = search(chunks, t, q, Config(mmr_lambda=0.7))
+    return out.select("query_id", "rank", "chunk_id", "doc_id", "document_title", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("lexical_score", 6).alias("lexical_score"), "mode")
+
+
+SIBLINGS = """WITH c AS (SELECT conv_id AS doc_id, turn::INT AS idx, CASE WHEN length(role) > 0 THEN '[' || role || '] ' ELSE '' END || text AS shown FROM conversations)
+SELECT a.doc_id, a.idx, coalesce(string_agg(b.shown, chr(10) || chr(10) ORDER BY b.idx), '') AS sibling_context FROM c a LEFT JOIN c b ON a.doc_id = b.doc_id AND b.idx BETWEEN a.idx - 2 AND a.idx + 2 AND a.idx <> b.idx GROUP BY a.doc_id, a.idx"""
+
+
+@query("ctx_sibling", SIBLINGS)
+def ctx_sibling(spark, d):
+    t = turns(spark, d)
+    return vector.with_neighbours(t.select("doc_id", "idx"), t, 2)
+
+
+@query("join_sibling_range", SIBLINGS)
+def join_sibling_range(spark, d):
+    t = turns(spark, d)
+    shown = F.concat(F.when(F.length("heading") > 0, F.concat(F.lit("["), "heading", F.lit("] "))).otherwise(F.lit("")), "text")
+    b = t.select("doc_id", F.col("idx").alias("j"), shown.alias("shown"))
+    # the band: each neighbour's row is sent to the five places that it can be near
+    b = b.select("doc_id", "j", "shown", F.explode(F.sequence(F.col("j") - 2, F.col("j") + 2)).alias("idx")).where("idx <> j")
+    g = b.groupBy("doc_id", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "shown"))), lambda x: x.shown), "\n\n").alias("sibling_context"))
+    return t.select("doc_id", "idx").join(g, ["doc_id", "idx"], "left").withColumn("sibling_context", F.coalesce("sibling_context", F.lit("")))
+
+
+# --- filters and projections
+
+
+@query("flt_scope", f"WITH {DOCS} SELECT base_id, count(*) AS n FROM docs WHERE base_id IN ('en', 'fr') GROUP BY base_id")
+def flt_scope(spark, d):
+    return catalog.scope(docs(spark, d), ["en", "fr"]).groupBy("base_id").agg(F.count("*").alias("n"))
+
+
+@query("flt_unknown_base", f"WITH {DOCS} SELECT doc_id FROM docs WHERE base_id = 'xx'")
+def flt_unknown_base(spark, d):
+    t = docs(spark, d)
+    return catalog.known_base(t.select("base_id").distinct(), t, "xx").select("doc_id")
+
+
+@query("flt_enabled_scope", f"WITH {DOCS} SELECT DISTINCT base_id FROM docs WHERE base_id IN ('de', 'ghost')")
+def flt_enabled_scope(spark, d):
+    return catalog.enabled(docs(spark, d).select("base_id").distinct(), ["de", "ghost"])
+
+
+@query("flt_doc_ids", f"WITH {DOCS} SELECT doc_id, title FROM docs WHERE doc_id IN (3, 5, 7, 100000)")
+def flt_doc_ids(spark, d):
+    return catalog.by_documents(docs(spark, d), [3, 5, 7, 100000], 500).select("doc_id", "title")
+
+
+@query("flt_title", f"WITH {DOCS} SELECT doc_id FROM docs WHERE contains(lower(title), 'oc-12')")
+def flt_title(spark, d):
+    return docs(spark, d).where(catalog.metadata_filter(title="  OC-12 ")).select("doc_id")
+
+
+@query("flt_source_type", f"WITH {DOCS} SELECT source_type, count(*) AS n FROM docs WHERE source_type IN ('file', 'url') GROUP BY source_type")
+def flt_source_type(spark, d):
+    return docs(spark, d).where(catalog.metadata_filter(source_types=["file", "url"])).groupBy("source_type").agg(F.count("*").alias("n"))
+
+
+@query("flt_time", f"WITH {DOCS} SELECT doc_id FROM docs WHERE coalesce(updated_at, created_at) BETWEEN 10000 AND 60500")
+def flt_time(spark, d):
+    return docs(spark, d).where(catalog.metadata_filter(after=10000, before=60500)).select("doc_id")
+
+
+@query("flt_metadata", f"WITH {DOCS} SELECT doc_id, length(raw_text)::INT AS n FROM docs WHERE contains(title, 'doc-1') AND source_type = 'file' AND coalesce(updated_at, created_at) >= 100000")
+def flt_metadata(spark, d):
+    t = docs(spark, d)
+    return catalog.filtered(t.select("doc_id", F.length("raw_text").alias("n")), t, title="doc-1", source_types=["file"], after=100000)
+
+
+@query("flt_metadata_none", f"WITH {DOCS} SELECT doc_id FROM docs WHERE false")
+def flt_metadata_none(spark, d):
+    t = docs(spark, d)
+    return catalog.filtered(t.select("doc_id"), t, title="nothing has this")
+
+
+@query("flt_labels", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def flt_labels(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("flt_like_escape", "SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '%%% ')")
+def flt_like_escape(spark, d):
+    return table(spark, d, "documents").where(T.like_contains(F.col("text"), F.lit("%%% "))).select("doc_id")
+
+
+@query("prj_search_text", f"WITH {DOCS} SELECT doc_id, md5(title || chr(10) || raw_text) AS h FROM docs")
+def prj_search_text(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(T.search_text(F.col("title"), F.col("raw_text"))).alias("h"))
+
+
+@query("prj_chunk_columns", f"WITH {VCHUNKS} SELECT chunk_id, doc_id, base_id, idx, embedding_model, embedding IS NOT NULL AS embedded FROM vc")
+def prj_chunk_columns(spark, d):
+    return vector_chunks(spark, d).select("chunk_id", "doc_id", "base_id", "idx", "embedding_model", F.col("embedding").isNotNull().alias("embedded"))
+
+
+STATUS = f"""{DOCS}, {VCHUNKS}, cs AS (SELECT doc_id, count(*) AS n, count(*) FILTER (embedding IS NULL) AS missing FROM vc GROUP BY doc_id),
+ds AS (SELECT d.*, CASE WHEN embedding_error IS NOT NULL THEN 'failed' WHEN d.doc_id IN (4, 8) THEN 'processing' WHEN coalesce(n, 0) > 0 AND missing = 0 THEN 'completed' ELSE 'pending' END AS status FROM docs d LEFT JOIN cs USING (doc_id))"""
+
+
+@query("agg_status_derive", f"WITH {STATUS} SELECT doc_id, status FROM ds")
+def agg_status_derive(spark, d):
+    return catalog.derived_status(docs(spark, d), vector_chunks(spark, d), [4, 8])
+
+
+@query("prj_summary", f"WITH {STATUS.replace('WHEN d.doc_id IN (4, 8) THEN ' + chr(39) + 'processing' + chr(39) + ' ', '')} SELECT doc_id, base_id, title, source_type, char_count, token_count, chunk_count, status, 0::BIGINT AS children FROM ds")
+def prj_summary(spark, d):
+    return catalog.summary(docs(spark, d), vector_chunks(spark, d))
+
+
+@query("prj_detail", f"WITH {DOCS} SELECT doc_id, title, substr(raw_text, 1, 500) AS raw_text, length(raw_text) > 500 AS truncated FROM docs")
+def prj_detail(spark, d):
+    return catalog.detail(docs(spark, d), 500)
+
+
+@query("prj_citation", "SELECT conv_id AS doc_id, turn::INT AS idx, '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || '>' || chr(10) || '> — c' || conv_id || CASE WHEN length(role) > 0 THEN ' / ' || role ELSE '' END || '（知识库 b1）' AS citation FROM conversations")
+def prj_citation(spark, d):
+    return turns(spark, d).select("doc_id", "idx", T.citation(F.concat(F.lit("c"), F.col("doc_id").cast("string")), F.col("heading"), F.lit("b1"), F.col("text")).alias("citation"))
+
+
+@query("ui_snippet", """WITH p AS (SELECT doc_id, text, list_min(list_filter([strpos(lower(text), 'this'), strpos(lower(text), 'que ')], lambda x: x > 0)) AS pos FROM documents),
+w AS (SELECT *, greatest(0, pos - 1 - 90) AS lo, least(length(text), pos - 1 + 180) AS hi FROM p)
+SELECT doc_id, CASE WHEN pos IS NULL THEN substr(text, 1, 180) || CASE WHEN length(text) > 180 THEN '…' ELSE '' END ELSE CASE WHEN lo > 0 THEN '…' ELSE '' END || substr(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '…' ELSE '' END END AS snippet FROM w""")
+def ui_snippet(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), F.array(F.lit("this"), F.lit("que "))).alias("snippet"))
+
+
+@query("ui_highlight", "SELECT item_id, regexp_replace(text, '(this|the)', '<mark>\\1</mark>', 'gi') AS marked FROM benchmark")
+def ui_highlight(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.highlight(F.col("text"), ["the", "this"]).alias("marked"))
+
+
+# --- statistics and tree
+
+
+@query("agg_base_summary", f"WITH {DOCS}, b AS (SELECT DISTINCT base_id FROM docs UNION ALL SELECT 'empty') SELECT b.base_id, count(doc_id) AS documents, coalesce(sum(chunk_count), 0)::BIGINT AS chunks, coalesce(sum(char_count), 0)::BIGINT AS chars, coalesce(sum(token_count), 0)::BIGINT AS tokens FROM b LEFT JOIN docs USING (base_id) GROUP BY b.base_id")
+def agg_base_summary(spark, d):
+    t = docs(spark, d)
+    return catalog.base_summary(t.select("base_id").distinct().union(spark.createDataFrame([("empty",)], "base_id string")), t)
+
+
+@query("agg_stats", f"WITH {DOCS}, {VCHUNKS}, a AS (SELECT count(*) AS documents, sum(char_count)::BIGINT AS chars, sum(token_count)::BIGINT AS tokens FROM docs), c AS (SELECT count(*) AS chunks, bool_or(embedding IS NOT NULL) AS embedded, max(len(embedding))::INT AS dimension FROM vc) SELECT * FROM a, c")
+def agg_stats(spark, d):
+    return catalog.stats(docs(spark, d), vector_chunks(spark, d))
+
+
+@query("agg_chunk_stats", f"WITH {VCHUNKS} SELECT base_id, embedding_model, count(*) AS chunks, bool_or(embedding IS NOT NULL) AS embedded, max(len(embedding))::INT AS dimension FROM vc GROUP BY base_id, embedding_model")
+def agg_chunk_stats(spark, d):
+    return catalog.chunk_stats(vector_chunks(spark, d))
+
+
+@query("agg_stale", f"WITH {VCHUNKS} SELECT base_id, count(*) AS stale FROM vc WHERE embedding IS NOT NULL AND base_id % 3 <> 0 AND embedding_model <> 'm' || (base_id % 2) GROUP BY base_id")
+def agg_stale(spark, d):
+    tags = table(spark, d, "embeddings").select(F.col("label").alias("base_id")).distinct().withColumn("model_tag", F.when(F.col("base_id") % 3 != 0, F.concat(F.lit("m"), (F.col("base_id") % 2).cast("string"))))
+    return catalog.stale(vector_chunks(spark, d), tags)
+
+
+@query("agg_doc_status", f"WITH {VCHUNKS} SELECT doc_id, count(*) AS chunks, count(*) FILTER (embedding IS NULL) AS missing FROM vc GROUP BY doc_id")
+def agg_doc_status(spark, d):
+    return catalog.doc_status(vector_chunks(spark, d))
+
+
+@query("agg_doc_counts", "SELECT conv_id AS doc_id, count(*) AS chunks FROM conversations GROUP BY conv_id")
+def agg_doc_counts(spark, d):
+    return catalog.doc_counts(turns(spark, d))
+
+
+@query("agg_child_count", f"WITH {TREE} SELECT parent_directory_id, count(*) AS children FROM tree WHERE parent_directory_id IS NOT NULL GROUP BY parent_directory_id")
+def agg_child_count(spark, d):
+    return catalog.child_counts(tree(spark, d))
+
+
+@query("agg_reconcile", f"WITH {DOCS}, {VCHUNKS}, n AS (SELECT doc_id, count(*) AS n FROM vc GROUP BY doc_id) SELECT doc_id, coalesce(n, 0)::BIGINT AS chunk_count FROM docs LEFT JOIN n USING (doc_id)")
+def agg_reconcile(spark, d):
+    return catalog.reconciled(docs(spark, d), vector_chunks(spark, d)).select("doc_id", "chunk_count")
+
+
+@query("agg_recover", f"""WITH {DOCS}, {VCHUNKS}, n AS (SELECT doc_id, count(*) AS n FROM vc GROUP BY doc_id)
+SELECT doc_id, CASE WHEN NOT (incomplete AND coalesce(updated_at, created_at) < 700000) THEN 'keep' WHEN coalesce(n, 0) > 0 OR raw_file_path IS NOT NULL OR url IS NOT NULL THEN 'resume' ELSE 'remove' END AS action FROM docs LEFT JOIN n USING (doc_id)""")
+def agg_recover(spark, d):
+    return catalog.recovered(docs(spark, d).withColumn("raw_text", F.lit(None).cast("string")), vector_chunks(spark, d), 700000)
+
+
+@query("win_tree_order", f"""WITH RECURSIVE {TREE}, w AS (SELECT doc_id, 0 AS depth, [title || chr(1) || doc_id] AS path FROM tree WHERE parent_directory_id IS NULL
+UNION ALL SELECT t.doc_id, w.depth + 1, list_append(w.path, t.title || chr(1) || t.doc_id) FROM w JOIN tree t ON t.parent_directory_id = w.doc_id) SELECT doc_id, depth::INT AS depth, row_number() OVER (ORDER BY path)::INT AS position FROM w""")
+def win_tree_order(spark, d):
+    return catalog.outline(tree(spark, d))
+
+
+SUB = f"""WITH RECURSIVE {TREE}, w AS (SELECT doc_id AS root_id, doc_id, 0 AS depth FROM tree WHERE doc_id IN ({', '.join(chr(39) + x + chr(39) for x in SELECTED)}) UNION ALL SELECT w.root_id, t.doc_id, w.depth + 1 FROM w JOIN tree t ON t.parent_directory_id = w.doc_id)"""
+
+
+@query("set_subtree", f"{SUB} SELECT DISTINCT doc_id FROM w")
+def set_subtree(spark, d):
+    return catalog.subtree(tree(spark, d), selected(spark))
+
+
+@query("set_except_outermost", f"{SUB} SELECT DISTINCT doc_id FROM w WHERE depth = 0 AND doc_id NOT IN (SELECT doc_id FROM w WHERE depth > 0)")
+def set_except_outermost(spark, d):
+    return catalog.outermost(tree(spark, d), selected(spark))
+
+
+@query("ui_importing_folders", f"WITH {TREE}, c AS (SELECT parent_directory_id AS doc_id FROM tree WHERE doc_id IN ('c5', 'c60')) SELECT doc_id FROM c UNION SELECT parent_directory_id FROM tree WHERE doc_id IN (SELECT doc_id FROM c)")
+def ui_importing_folders(spark, d):
+    return catalog.importing_folders(tree(spark, d), spark.createDataFrame([("c5",), ("c60",)], "doc_id string"))
+
+
+# --- text
+
+
+@query("txt_normalize", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents")
+def txt_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("h"))
+
+
+@query("txt_est_tokens", f"SELECT doc_id, {TOKENS_SQL.format('text')} AS tokens FROM documents")
+def txt_est_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.est_tokens(F.col("text")).alias("tokens"))
+
+
+@query("txt_char_budget", f"""WITH p AS (SELECT doc_id, length(text)::DOUBLE / {TOKENS_SQL.format('text')} AS per FROM documents), c AS (SELECT doc_id, per, greatest(64, floor(800 * per + 0.5))::BIGINT AS size FROM p)
+SELECT doc_id, size, least(floor(100 * per + 0.5), size - 1)::BIGINT AS overlap FROM c""")
+def txt_char_budget(spark, d):
+    size, overlap = T.char_budget(F.col("text"), 800, 100)
+    return table(spark, d, "documents").select("doc_id", size.alias("size"), overlap.alias("overlap"))
+
+
+@query("chk_delimiter", r"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10) || ' ' || chr(9)) AS t FROM documents), x AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM n)
+SELECT doc_id, (i - 1)::INT AS idx, p AS piece FROM x, unnest(ps) WITH ORDINALITY AS u(p, i)""")
+def chk_delimiter(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.delimiter_pieces(F.col("text"), "\\n")).alias("idx", "piece"))
+
+
+@query("chk_smart")
+def chk_smart(spark, d):
+    t = docs(spark, d).select("base_id", "doc_id", "title", "raw_text")
+    return chunking.finished(chunking.with_chunks(t, 800, 100)).select("chunk_id", "doc_id", "idx", F.length("text").alias("n"), "embedding_text_hash")
+
+
+@query("chk_refine")
+def chk_refine(spark, d):
+    t = docs(spark, d).select("doc_id", "raw_text")
+    return chunking.with_chunks(t, 800, 100, limit=120).groupBy("doc_id").agg(F.count("*").alias("pieces"), F.max(F.length("text")).alias("longest"))
+
+
+@query("hash_content", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def hash_content(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("src_avg_line_len", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents)
+SELECT doc_id, round(CASE WHEN len(ls) > 0 THEN list_sum(list_transform(ls, lambda x: length(x)))::DOUBLE / len(ls) ELSE 0 END, 6) AS mean FROM l""")
+def src_avg_line_len(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(T.avg_line_length(F.col("text")), 6).alias("mean"))
+
+
+@query("ocr_postprocess", "SELECT doc_id, '中文 ' || substr(text, 1, 20) || ' 测试' || chr(10) || '字' AS clean FROM documents")
+def ocr_postprocess(spark, d):
+    raw = F.concat(F.lit("中 文 "), F.substring("text", 1, 20), F.lit(" 测 \t试\n字"))
+    return table(spark, d, "documents").select("doc_id", T.ocr_despaced(raw).alias("clean"))
+
+
+ENT_SQL = "{0}"
+for _n, _v in T.ENTITIES.items():
+    if _n != "amp":
+        _v = _v.replace("'", "''")
+        ENT_SQL = f"regexp_replace({ENT_SQL}, '&{_n};', '{_v}', 'gi')"
+ENT_SQL = f"regexp_replace({ENT_SQL}, '&amp;', '&', 'gi')"
+
+
+@query("src_entities", f"SELECT page_id, md5({ENT_SQL.format('html')}) AS h FROM pages")
+def src_entities(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(T.entities(F.col("html"))).alias("h"))
+
+
+HTML_SQL = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
+for _t in ("head", "script", "style", "noscript"):
+    HTML_SQL = f"regexp_replace({HTML_SQL}, '<{_t}.*?</{_t}>', ' ', 'gis')"
+HTML_SQL = f"regexp_replace(regexp_replace({HTML_SQL}, '</(p|div|h[1-6]|li|tr|section|article|blockquote)>', chr(10), 'gi'), '<(br|hr)\\s*/?>', chr(10), 'gi')"
+HTML_SQL = ENT_SQL.format(f"regexp_replace({HTML_SQL}, '<[^>]+>', ' ', 'g')")
+
+
+@query("src_html_text", f"""WITH t AS (SELECT page_id, {ENT_SQL.format("trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'))")} AS title, list_filter(list_transform(string_split({HTML_SQL}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS ls FROM pages)
+SELECT page_id, title, array_to_string(ls, chr(10)) AS text FROM t""")
+def src_html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"), T.html_text(F.col("html")).alias("text"))
+
+
+@query("src_html_markdown")
+def src_html_markdown(spark, d):
+    return with_markdown(table(spark, d, "pages")).select("page_id", "markdown_title", "markdown")
+
+
+@query("src_url_allowed", """WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'http://127.0.0.1/x' WHEN 2 THEN 'http://user@10.1.2.3:80/' WHEN 3 THEN 'ftp://example.org' WHEN 4 THEN 'HTTP://172.20.0.1' ELSE 'https://172.40.0.1/a' END AS url FROM pages)
+SELECT page_id, page_id % 6 IN (0, 5) AS allowed FROM u""")
+def src_url_allowed(spark, d):
+    k = F.col("page_id") % 6
+    u = F.when(k == 0, F.col("url")).when(k == 1, "http://127.0.0.1/x").when(k == 2, "http://user@10.1.2.3:80/").when(k == 3, "ftp://example.org").when(k == 4, "HTTP://172.20.0.1").otherwise("https://172.40.0.1/a")
+    return table(spark, d, "pages").select("page_id", T.url_allowed(u).alias("allowed"))
+
+
+NAMES_SQL = "SELECT doc_id, source || '/d' || (doc_id % 7) || '/f' || doc_id || (['.md', '.PDF', '.exe', '.docx', '', '.tar.gz', '.html'])[doc_id % 7 + 1] AS path FROM documents"
+
+
+def paths(spark, d) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, (".md", ".PDF", ".exe", ".docx", "", ".tar.gz", ".html"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/d"), (F.col("doc_id") % 7).cast("string"), F.lit("/f"), F.col("doc_id").cast("string"), ext).alias("path"))
+
+
+@query("src_ext_gate", f"WITH p AS ({NAMES_SQL}) SELECT doc_id, doc_id % 7 IN (0, 1, 3, 6) AS accepted FROM p")
+def src_ext_gate(spark, d):
+    return paths(spark, d).select("doc_id", T.accepted(F.col("path")).alias("accepted"))
+
+
+@query("src_dispatch", f"WITH p AS ({NAMES_SQL}) SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'pdf' ELSE (['text', 'pdf', 'text', 'docx', 'text', 'text', 'html'])[doc_id % 7 + 1] END AS parser FROM p")
+def src_dispatch(spark, d):
+    return paths(spark, d).select("doc_id", T.parser_of(F.col("path"), F.when(F.col("doc_id") % 10 == 0, "application/pdf")).alias("parser"))
+
+
+@query("src_dir_scan", f"WITH p AS ({NAMES_SQL}) SELECT doc_id, path FROM p WHERE doc_id % 7 IN (0, 1, 3, 6) ORDER BY path LIMIT 500")
+def src_dir_scan(spark, d):
+    return catalog.scanned(paths(spark, d))
+
+
+@query("src_dir_tree", f"""WITH p AS ({NAMES_SQL}), x AS (SELECT string_split(path, '/') AS a FROM p), e AS (SELECT a, unnest(range(1, len(a) + 1)) AS i FROM x)
+SELECT array_to_string(a[:i], '/') AS item, CASE WHEN i > 1 THEN array_to_string(a[:i - 1], '/') END AS parent, i::INT AS depth, bool_and(i = len(a)) AS is_file FROM e GROUP BY ALL""")
+def src_dir_tree(spark, d):
+    return catalog.folders_of(paths(spark, d))
+
+
+# --- documents
+
+
+@query("doc_read", "SELECT doc_id, substr(text, 101, least(greatest(0, least(length(text), 25000) - least(100, length(text))), 20000)) AS slice, least(least(length(text), 25000), 20100) < length(text) AS truncated FROM documents")
+def doc_read(spark, d):
+    text, more = T.read_slice(F.col("text"), 100, 25000)
+    return table(spark, d, "documents").select("doc_id", text.alias("slice"), more.alias("truncated"))
+
+
+@query("doc_grep", """WITH l AS (SELECT doc_id, i AS line, x, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+m AS (SELECT doc_id, line, before, x, unnest(list_filter(range(1, least(2000, length(x))), lambda p: lower(substr(substr(x, 1, 2000), p, 4)) = 'with')) AS pos FROM l WHERE contains(lower(x), 'with')),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, pos) AS n, count(*) OVER (PARTITION BY doc_id) AS total_matches FROM m)
+SELECT doc_id, n::INT AS n, line::INT AS line, (before + pos - 1)::BIGINT AS char_start, (before + pos + 3)::BIGINT AS char_end, substr(x, pos, 4) AS match, total_matches FROM r WHERE n <= 50""")
+def doc_grep(spark, d):
+    return docops.grep(docs(spark, d), "with")
+
+
+@query("win_offset", "SELECT doc_id, i::INT AS line, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
+def win_offset(spark, d):
+    return docops.numbered_lines(docs(spark, d)).select("doc_id", "line", F.col("offset").alias("line_start"))
+
+
+@query("doc_reconstruct", "SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def doc_reconstruct(spark, d):
+    return docops.reconstructed(turns(spark, d))
+
+
+@query("doc_chunks_page", "SELECT turn::INT AS idx, text FROM conversations WHERE conv_id = 3 ORDER BY turn LIMIT 2 OFFSET 1")
+def doc_chunks_page(spark, d):
+    return docops.chunk_page(turns(spark, d), 3, 1, 2).select("idx", "text")
+
+
+# --- ingest
+
+
+@query("ing_dedupe", """WITH s AS (SELECT lang AS base_id, sha256(text) AS h, min(doc_id) AS stored FROM documents WHERE doc_id < 200 GROUP BY ALL), i AS (SELECT doc_id, lang AS base_id, sha256(text) AS h, min(doc_id) OVER (PARTITION BY lang, sha256(text)) AS first FROM documents WHERE doc_id >= 200)
+SELECT doc_id, coalesce(stored, CASE WHEN first <> doc_id THEN first END) AS duplicate_of FROM i LEFT JOIN s USING (base_id, h)""")
+def ing_dedupe(spark, d):
+    t = docs(spark, d)
+    return ingest.deduplicated(t.where("doc_id >= 200").drop("content_hash"), t.where("doc_id < 200")).select("doc_id", "duplicate_of")
+
+
+CONFLICT = """c AS (SELECT doc_id AS seq, lang AS base_id, source || '-' || (doc_id % 50) || '.md' AS file_name FROM documents), st AS (SELECT DISTINCT base_id, file_name FROM c WHERE seq < 100),
+i AS (SELECT *, row_number() OVER (PARTITION BY base_id, file_name ORDER BY seq) AS turn FROM c WHERE seq >= 100), k AS (SELECT i.*, st.file_name IS NOT NULL OR turn > 1 AS conflict FROM i LEFT JOIN st ON i.base_id = st.base_id AND i.file_name = st.file_name)"""
+
+
+def named(spark, d):
+    t = docs(spark, d).select(F.col("doc_id").alias("seq"), "base_id", "file_name")
+    return t.where("seq >= 100"), t.where("seq < 100")
+
+
+@query("join_name_conflict", f"WITH {CONFLICT} SELECT seq, conflict FROM k")
+def join_name_conflict(spark, d):
+    return ingest.name_conflicts(*named(spark, d)).select("seq", "conflict")
+
+
+@query("ing_conflict", f"""WITH {CONFLICT}, r AS (SELECT *, row_number() OVER (PARTITION BY base_id, file_name, conflict ORDER BY seq) AS n FROM k)
+SELECT seq, CASE WHEN conflict THEN 'rename' ELSE 'add' END AS action, CASE WHEN conflict THEN replace(file_name, '.md', '_' || n || '.md') ELSE file_name END AS new_name FROM r""")
+def ing_conflict(spark, d):
+    return ingest.resolved(*named(spark, d), "rename").select("seq", "action", "new_name")
+
+
+@query("ing_batch_detect", f"WITH {CONFLICT} SELECT DISTINCT base_id, file_name FROM k WHERE conflict")
+def ing_batch_detect(spark, d):
+    return ingest.batch_conflicts(*named(spark, d))
+
+
+@query("join_hash_reuse", """WITH s AS (SELECT sha256((vec_id // 2)::VARCHAR) AS h, 'm' || (vec_id % 3) AS m, min(vec_id) AS first FROM embeddings WHERE vec_id % 7 <> 0 GROUP BY ALL), e AS (SELECT h, m, embedding FROM s JOIN embeddings ON vec_id = first)
+SELECT doc_id, e.embedding IS NOT NULL AS reused, round(e.embedding[1]::DOUBLE, 6) AS first FROM documents d LEFT JOIN e ON e.h = sha256((doc_id % 300)::VARCHAR) AND e.m = 'm0'""")
+def join_hash_reuse(spark, d):
+    s = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.sha2(F.floor(F.col("vec_id") / 2).cast("long").cast("string"), 256).alias("embedding_text_hash"), F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string")).alias("embedding_model"), F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"))
+    c = table(spark, d, "documents").select("doc_id", F.sha2((F.col("doc_id") % 300).cast("string"), 256).alias("embedding_text_hash"), F.lit("m0").alias("embedding_model"), F.lit(None).cast("array<float>").alias("embedding"))
+    return ingest.reused_vectors(c, s).select("doc_id", F.col("embedding").isNotNull().alias("reused"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+def stored_new(spark, d):
+    v = vector_chunks(spark, d).select("chunk_id", "doc_id", "base_id", "idx")
+    return v.where("chunk_id % 3 <> 0"), v.where("chunk_id % 4 = 0").withColumn("idx", F.col("idx") + 100)
+
+
+@query("snk_put_chunks", f"WITH {VCHUNKS}, s AS (SELECT chunk_id, doc_id, base_id, idx FROM vc WHERE chunk_id % 3 <> 0), n AS (SELECT chunk_id, doc_id, base_id, idx + 100 AS idx FROM vc WHERE chunk_id % 4 = 0) SELECT * FROM s WHERE (base_id, doc_id) NOT IN (SELECT (base_id, doc_id) FROM n) UNION ALL SELECT * FROM n")
+def snk_put_chunks(spark, d):
+    return ingest.put_chunks(*stored_new(spark, d)).select("chunk_id", "doc_id", "base_id", "idx")
+
+
+@query("snk_put_batch", f"WITH {VCHUNKS}, s AS (SELECT chunk_id, doc_id, base_id, idx FROM vc WHERE chunk_id % 3 <> 0), n AS (SELECT chunk_id, doc_id, base_id, idx + 100 AS idx FROM vc WHERE chunk_id % 4 = 0) SELECT * FROM s WHERE chunk_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT * FROM n")
+def snk_put_batch(spark, d):
+    return ingest.put_batch(*stored_new(spark, d)).select("chunk_id", "doc_id", "base_id", "idx")
+
+
+@query("snk_delete", f"WITH {VCHUNKS} SELECT chunk_id, doc_id FROM vc WHERE chunk_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM vc WHERE chunk_id % 4 = 0)")
+def snk_delete(spark, d):
+    s, n = stored_new(spark, d)
+    return ingest.delete_chunks(s, n.select("doc_id")).select("chunk_id", "doc_id")
+
+
+@query("src_legacy_json", "WITH x AS (SELECT vec_id // 3 AS chunk_id, label AS idx, vec_id AS seq FROM embeddings) SELECT chunk_id, idx, seq FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC) AS r FROM x) WHERE r = 1")
+def src_legacy_json(spark, d):
+    x = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).cast("long").alias("chunk_id"), F.lit(0).alias("doc_id"), F.col("label").alias("idx"), F.col("vec_id").alias("seq"))
+    return ingest.legacy_chunks(x).select("chunk_id", "idx", "seq")
+
+
+@query("join_disk_sync", "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'reindex' WHEN doc_id % 2 = 0 THEN 'add' ELSE 'delete' END AS action FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def join_disk_sync(spark, d):
+    p = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"))
+    return ingest.disk_sync(p.where("doc_id % 2 = 0"), p.where("doc_id % 3 = 0"))
+
+
+@query("ing_url_refresh", f"WITH {DOCS} SELECT doc_id, title, doc_id % 2 = 0 AS changed FROM docs WHERE source_type = 'url' AND coalesce(updated_at, created_at) < 1000000 - 0.1 * 3600000")
+def ing_url_refresh(spark, d):
+    t = docs(spark, d)
+    due = ingest.refresh_due(t, 0.1, 1_000_000)
+    fetched = due.select("doc_id", "title", F.when(F.col("doc_id") % 2 == 0, F.concat("raw_text", F.lit("!"))).otherwise(F.col("raw_text")).alias("raw_text"))
+    return ingest.refreshed(due, fetched).select("doc_id", "title", "changed")
+
+
+@query("ing_restore", f"WITH {DOCS} SELECT sha256('new:' || doc_id) AS doc_id, 'new' AS base_id, title FROM docs WHERE base_id = 'es'")
+def ing_restore(spark, d):
+    return ingest.restored(docs(spark, d), "es", "new").select("doc_id", "base_id", "title")
+
+
+@query("ing_reindex", "WITH t AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS again FROM conversations GROUP BY conv_id) SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE again END) AS h, CASE WHEN doc_id % 2 = 0 AND length(text) > 0 THEN 'text' WHEN length(again) > 0 THEN 'chunks' END AS origin FROM documents LEFT JOIN t ON conv_id = doc_id")
+def ing_reindex(spark, d):
+    t = docs(spark, d).withColumn("raw_text", F.when(F.col("doc_id") % 2 == 0, F.col("raw_text")))
+    return ingest.reindex_source(t, turns(spark, d)).select("doc_id", F.md5("source_text").alias("h"), "origin")
+
+
+@query("ing_document")
+def ing_document(spark, d):
+    t = docs(spark, d).select("base_id", "doc_id", "title", "raw_text", "content_hash")
+    none = t.where("false")
+    dd, _ = ingest.ingested(t.drop("content_hash"), none, none, size=800, overlap=100)
+    return dd.select("doc_id", "char_count", "token_count", "chunk_count")
+
+
+@query("ing_embed")
+def ing_embed(spark, d):
+    c = turns(spark, d).select("doc_id", "idx", F.col("text").alias("search_text"))
+    return c.select("doc_id", "idx", F.round(V.norm(ingest.hashing_embedder()(F.col("search_text"))), 4).alias("length"))
+
+
+# --- evaluation
+
+
+def benchmark_eval(spark, d, k: int = 5) -> DataFrame:
+    hits = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), k).select(F.col("query_id").alias("question_id"), "rank", F.concat(F.lit("doc-"), F.col("chunk_id").cast("string"), F.lit(".")).alias("title"))
+    found = table(spark, d, "documents").join(F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage")))
+    expect = found.groupBy("item_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")))).alias("expect"))
+    e = table(spark, d, "benchmark").select("item_id").join(expect, "item_id", "left").select(F.col("item_id").alias("question_id"), F.coalesce("expect", F.array().cast("array<string>")).alias("expect"))
+    return evaluate.judged(hits, e)
+
+
+EVAL = f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s), x AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+j AS (SELECT b.item_id, count(r.rank) AS found, count(x.doc_id) AS wanted, min(r.rank) AS first_rank FROM benchmark b LEFT JOIN x USING (item_id) LEFT JOIN r ON r.query_id = b.item_id AND r.chunk_id = x.doc_id AND r.rank <= 5 GROUP BY b.item_id)"""
+
+
+@query("eval_scores", f"{EVAL} SELECT round(avg((found > 0)::INT), 6) AS hit_at_k, round(sum(found)::DOUBLE / sum(wanted), 6) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 6) AS mrr, count(*) AS questions FROM j")
+def eval_scores(spark, d):
+    s = evaluate.scores(benchmark_eval(spark, d))
+    return s.select(*[F.round(c, 6).alias(c) for c in ("hit_at_k", "recall_at_k", "mrr")], "questions")
+
+
+@query("eval_hit_at_k", f"{EVAL} SELECT item_id AS question_id, found > 0 AS hit FROM j")
+def eval_hit_at_k(spark, d):
+    return benchmark_eval(spark, d).select("question_id", (F.col("found") > 0).alias("hit"))
+
+
+@query("eval_mrr", f"{EVAL} SELECT item_id AS question_id, round(coalesce(1.0::DOUBLE / first_rank, 0), 6) AS reciprocal FROM j")
+def eval_mrr(spark, d):
+    return benchmark_eval(spark, d).select("question_id", F.round(F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0)), 6).alias("reciprocal"))
+
+
+@query("eval_recall_at_k", f"{EVAL} SELECT round(sum(found)::DOUBLE / sum(wanted), 6) AS recall FROM j")
+def eval_recall_at_k(spark, d):
+    return evaluate.scores(benchmark_eval(spark, d)).select(F.round("recall_at_k", 6).alias("recall"))
+
+
+@query("eval_context_recall")
+def eval_context_recall(spark, d):
+    hits = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 5).join(corpus(spark, d), "chunk_id").select(F.col("query_id").alias("question_id"), "rank", "text", F.lit(None).cast("string").alias("sibling_context"))
+    return evaluate.context_recall(table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("golden")), hits).withColumn("recall", F.round("recall", 6))
+
+
+# --- streams
+
+
+@query("stream_ingest")
+def stream_ingest(spark, d):
+    folder = scratch(spark, "stream")
+    t = docs(spark, d).select("base_id", F.col("doc_id").cast("string").alias("doc_id"), "title", "raw_text", F.timestamp_millis("created_at").alias("created_at"))
+    t.write.parquet(folder + "/in")
+    stream.start(stream.chunk_stream(stream.source(spark, folder + "/in"), size=800, overlap=100), folder + "/out", folder + "/state").awaitTermination()
+    return spark.read.parquet(folder + "/out").groupBy("base_id", F.col("embedding_text_hash").alias("h")).agg(F.count("*").alias("n")).groupBy("base_id").agg(F.sum("n").alias("chunks"))
+
+
+@query("stream_window_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_window_counts(spark, d):
+    return stream.windowed_counts(table(spark, d, "events"))
