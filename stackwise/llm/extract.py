@@ -23,7 +23,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from stackwise.session import ship
 
@@ -264,14 +264,14 @@ def main_text(html: str | None) -> str:
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """The columns of ``df`` other than ``html_col``, with text and n_chars."""
+    """The columns of ``df`` other than ``html_col``, with text and n_chars; columns of these names are replaced."""
     ship(df.sparkSession)
     keep = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
 
     def run(batches):
         for b in batches:
-            texts = [main_text(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*b.schema.names[:-1], "text", "n_chars"])
+            texts = [main_text(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 
-    schema = df.select(*keep).schema.add("text", "string").add("n_chars", "long")
-    return df.select(*keep, F.col(html_col).cast("string").alias("_html")).mapInArrow(run, schema)
+    rows = df.select(F.struct(*keep).alias("row"), F.col(html_col).cast("string").alias("html"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]]).add("text", "string").add("n_chars", "long")).select("row.*", "text", "n_chars")

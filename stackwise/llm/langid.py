@@ -131,9 +131,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE, **options) -> Languages:
 
 
 def predict(df: DataFrame, model: Languages, extra: list[str] | None = None) -> DataFrame:
-    """``df`` (with text) with lang_pred, score (the language's share) and languages (array of lang, share); keeps ``extra``, by default all columns."""
+    """The columns ``extra`` of ``df`` (by default all) with lang_pred, score (the language's share) and languages (array of lang, share); columns of these names are replaced."""
     ship(df.sparkSession)
-    keep = df.columns if extra is None else extra
+    keep = [c for c in (df.columns if extra is None else extra) if c not in ("lang_pred", "score", "languages")]
     shared = df.sparkSession.sparkContext.broadcast((model.names, model.table, model.rounds, model.penalty))
     struct = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
@@ -141,7 +141,7 @@ def predict(df: DataFrame, model: Languages, extra: list[str] | None = None) ->
         m = Languages(*shared.value)
         for b in batches:
             lang, score, sets = [], [], []
-            for _, part in batches_of_text([t or "" for t in b.column(b.num_columns - 1).to_pylist()], 500_000):
+            for _, part in batches_of_text([t or "" for t in b.column(1).to_pylist()], 500_000):
                 for row in m.mixtures(part):
                     if not row.any():
                         lang.append(UNKNOWN), score.append(0.0), sets.append([])
@@ -150,10 +150,11 @@ def predict(df: DataFrame, model: Languages, extra: list[str] | None = None) ->
                     lang.append(m.names[order[0]])
                     score.append(float(min(1.0, row[order[0]])))
                     sets.append([{"lang": m.names[j], "share": float(row[j])} for j in order if row[j] > 0])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sets, struct)], names=[*b.schema.names[:-1], "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sets, struct)], names=["row", "lang_pred", "score", "languages"])
 
-    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("languages", T.ArrayType(T.StructType().add("lang", "string").add("share", "double")))
-    return df.select(*keep, F.col("text").alias("_t")).mapInArrow(run, schema)
+    rows = df.select(F.struct(*keep).alias("row"), F.col("text"))
+    schema = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("languages", T.ArrayType(T.StructType().add("lang", "string").add("share", "double")))
+    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "languages")
 
 
 def identify(documents: DataFrame, folds: int = 5, held: int = 0, **options) -> DataFrame:

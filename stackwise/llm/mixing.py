@@ -125,13 +125,12 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
     Documents of no word are dropped, as the mix takes none of their words. Rows that repeat an id
     are each taken as the first of them is.
     """
-    plan = mix(df, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("position", "positions", F.col("last").alias("_last"), F.col("size").alias("_size"))).alias("p"))
-    plan = plan.select("_id", "p._last", "p._size", F.posexplode("p.positions").alias("_turn", "_at"), F.size("p.positions").alias("_of"))
-    rows = df.join(plan, df["doc_id"].eqNullSafe(plan["_id"]))
-    part = (F.col("_turn") == F.col("_of") - 1) & (F.col("_last") > 0) & (F.col("_last") < F.col("_size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), F.lit(1), F.col("_last").cast("int")), "")
-    text = F.when(part, cut).otherwise(F.col("text"))
-    out = rows.orderBy("_at", "doc_id", "_turn").withColumn("text", text)
+    plan = mix(df, **options).where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("position", "positions", "last", "size")).alias("p"))
+    plan = plan.select("id", "p.last", "p.size", F.size("p.positions").alias("of"), F.posexplode("p.positions").alias("turn", "at"))
+    rows = df.select(F.struct("*").alias("row")).join(plan, F.col("row.doc_id").eqNullSafe(F.col("id"))).orderBy("at", "id", "turn")
+    part = (F.col("turn") == F.col("of") - 1) & (F.col("last") > 0) & (F.col("last") < F.col("size"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), F.lit(1), F.col("last").cast("int")), "")
+    row = F.col("row").withField("text", F.when(part, cut).otherwise(F.col("row.text")))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+        row = row.withField("n_chars", F.when(part, F.length(cut)).otherwise(F.col("row.n_chars")).cast(df.schema["n_chars"].dataType))
+    return rows.select(row.alias("row")).select("row.*")

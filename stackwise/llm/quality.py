@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stackwise.llm.common import batches_of_text
 from stackwise.llm.ngrams import Grams
@@ -102,19 +102,19 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lab
 
 
 def score(df: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
-    """``df`` (with text) with a score; keeps the columns ``extra``, by default all."""
+    """The columns ``extra`` of ``df`` (by default all) with a score; a column of that name is replaced."""
     ship(df.sparkSession)
-    keep = df.columns if extra is None else extra
+    keep = [c for c in (df.columns if extra is None else extra) if c != "score"]
     shared = df.sparkSession.sparkContext.broadcast((model.table, model.bias))
 
     def run(batches):
         m = Model(*shared.value)
         for b in batches:
-            s = m.scores([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            s = m.scores([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["row", "score"])
 
-    schema = df.select(*keep).schema.add("score", "double")
-    return df.select(*keep, F.col("text").alias("_t")).mapInArrow(run, schema)
+    rows = df.select(F.struct(*keep).alias("row"), F.col("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])).select("row.*", "score")
 
 
 def classify(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, **options) -> DataFrame:

@@ -298,5 +298,6 @@ def detect(df: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
 
 def deduplicated(df: DataFrame, scheme: Scheme = PIPELINE) -> DataFrame:
     """``df`` with one document of each group: the one with the smallest id (of repeated rows of it, all stay; so do rows without an id)."""
-    gone = groups(df, scheme).where("component <> id").select(F.col("id").alias("_gone")).distinct()
-    return df.join(gone, df["doc_id"] == gone["_gone"], "left_anti")
+    gone = groups(df, scheme).where("component <> id").select(F.col("id").alias("gone")).distinct()
+    rows = df.select(F.struct("*").alias("row"))
+    return rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
