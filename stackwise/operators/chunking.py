@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types
 
 from stackwise.functions import text as T
 from stackwise.session import ship
@@ -30,7 +30,7 @@ _BREAKS = tuple((re.compile(p), s, p.startswith("[")) for p, s in BREAKS)
 WINDOW, DECAY = 0.22, 0.7
 # Where a piece is split in two, in order of preference.
 BOUNDARIES = ("\n\n", "。", "！", "？", "，", ", ", " ")
-PIECES = "array<struct<idx:int,text:string,heading:string>>"
+PIECES = types.ArrayType(types.StructType().add("idx", "integer").add("text", "string").add("heading", "string"))
 
 
 def half_up(x: float) -> int:
@@ -203,9 +203,7 @@ def with_chunks(docs: DataFrame, size: int = 1024, overlap: int = 200, smart: bo
             found = [[{"idx": i, "text": t, "heading": h or None} for i, (t, h) in enumerate(refine(chunk(x, size, overlap, smart, separator), limit))] if x else [] for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, kind)], names=[*b.schema.names[:-1], "_pieces"])
 
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = docs.select(*keep).schema.add("_pieces", _parse_datatype_string(PIECES))
+    schema = docs.select(*keep).schema.add("_pieces", PIECES)
     out = docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
     return out.select(*keep, F.inline("_pieces"))
 

@@ -41,7 +41,7 @@ def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = 4096)
 
     def run(batches):
         for b in batches:
-            widths = np.array([len(v) if v is not None else 0 for v in b.column(1)])
+            widths = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             for w, (ids, q) in shared.value.items():
                 at = np.flatnonzero(widths == w)
                 for i in range(0, len(at), block):

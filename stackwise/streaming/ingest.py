@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from stackwise.functions import text as T
 from stackwise.operators.chunking import finished, with_chunks
 
-DOCUMENTS = StructType.fromDDL("base_id string, doc_id string, title string, raw_text string, created_at timestamp")
+DOCUMENTS = StructType().add("base_id", "string").add("doc_id", "string").add("title", "string").add("raw_text", "string").add("created_at", "timestamp")
 
 
 def source(spark: SparkSession, folder: str, schema: StructType = DOCUMENTS, files_per_trigger: int = 1000) -> DataFrame:
