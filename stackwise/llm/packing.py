@@ -1,7 +1,8 @@
 """Mixture-controlled packing: deficit round-robin over source queues, spread over lanes.
 
-Documents are dealt to lanes by a hash of their id, so that every lane holds a share of every
-source and no source, however large, meets in one task. Each source has a queue in each lane.
+A source's queue is in order of a hash of the id. Lanes take equal shares of all queues' tokens
+(measured in parts of the hash range), so that every lane has the whole mixture and no source,
+however large, meets in one task.
 A round serves one window: every source earns quantum = window * share tokens of credit and
 sends documents while its credit lasts. What a source has earned but not sent (its deficit) is
 carried from window to window, and from lane to lane: a lane starts with
@@ -29,6 +30,9 @@ from stackwise.session import saved, ship
 END_ID = 1
 #: Tokens of a lane: what one task holds at a time (2 bytes a token).
 LANE_TOKENS = 1_000_000
+#: Parts that each source's queue is cut in, and the most parts of all sources that are broadcast.
+PARTS = 4096
+MOST_PARTS = 131_072
 #: Lanes of a group in the two-level running sums.
 LANE_GROUP = 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -134,11 +138,26 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 2048, shares: Column
     proportions of the tokens there are, so that every queue lasts to the end.
     """
     spark = ship(df.sparkSession)
-    tok = saved(tokenized(df, tokenizer_path), "tokens")
-    total = tok.agg(F.sum("n")).first()[0] or 0
+    tok = saved(tokenized(df, tokenizer_path), "tokens").withColumn("h", F.xxhash64("doc_id"))
+    # queues are in order of the hash; a source's queue is cut in parts of equal hash ranges
+    part = F.floor(F.shiftrightunsigned("h", 12) / F.lit(float(1 << 52)) * PARTS).cast("int")
+    parts = saved(tok.groupBy("source", part.alias("part")).agg(F.sum("n").alias("tokens")), "parts")
+    total, n_parts = parts.agg(F.sum("tokens"), F.count("*")).first()
+    total = total or 0
     lanes = max(1, -(-total // lane_tokens))
-    tok = tok.withColumn("h", F.xxhash64("doc_id")).withColumn("lane", F.pmod("h", F.lit(lanes)))
-    per = saved(tok.groupBy("lane", "source").agg(F.sum("n").alias("tokens")), "lanes")
+    if lanes <= PARTS // 4 and n_parts <= MOST_PARTS:
+        # lanes take whole parts, the same share of every source's tokens
+        queue = Window.partitionBy("source").orderBy("part")
+        middle = F.sum("tokens").over(queue.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens") / 2
+        of = F.sum("tokens").over(Window.partitionBy("source"))
+        place = parts.select("source", "part", "tokens", F.least(F.lit(lanes - 1), F.floor(middle / of * lanes)).cast("long").alias("lane"))
+        per = saved(place.groupBy("lane", "source").agg(F.sum("tokens").alias("tokens")), "lanes")
+        t, p = tok.withColumn("part", part).alias("t"), F.broadcast(place.select("source", "part", "lane")).alias("p")
+        tok = t.join(p, F.col("t.source").eqNullSafe(F.col("p.source")) & (F.col("t.part") == F.col("p.part"))).select("t.*", "p.lane").drop("part")
+    else:
+        # so many lanes that every one has its share of every source by the hash alone
+        tok = tok.withColumn("lane", F.floor(F.shiftrightunsigned("h", 12) / F.lit(float(1 << 52)) * lanes).cast("long"))
+        per = saved(tok.groupBy("lane", "source").agg(F.sum("n").alias("tokens")), "lanes")
     by_source = per.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     weight = F.col("tokens") if shares is None else shares
     by_source = by_source.select("source", (weight / F.lit(float(max(total, 1))) if shares is None else weight).cast("double").alias("share"))
