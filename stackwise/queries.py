@@ -838,3 +838,185 @@ def stream_ingest(spark, d):
 @query("stream_window_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, d):
     return stream.windowed_counts(table(spark, d, "events"))
+
+
+# --- further operators of the inventory, one by one
+
+
+@query("agg_tf", "WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM documents WHERE doc_id < 50) SELECT doc_id, token, count(*) AS tf FROM d GROUP BY ALL")
+def agg_tf(spark, d):
+    t = table(spark, d, "documents").where("doc_id < 50").select("doc_id", F.explode(T.tok_bigram(F.col("text"))).alias("token"))
+    return t.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+
+
+@query("agg_distinct", "SELECT DISTINCT lang, source FROM documents")
+def agg_distinct(spark, d):
+    return table(spark, d, "documents").select("lang", "source").distinct()
+
+
+@query("agg_best_score", "WITH h AS (SELECT item_id AS query_id, doc_id % 10 AS chunk_id, round((doc_id % 97) / 97.0::DOUBLE, 6) AS score FROM benchmark, documents WHERE item_id < 5 AND doc_id < 200), b AS (SELECT query_id, chunk_id, max(score) AS score FROM h GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM b) SELECT * FROM r WHERE rank <= 3")
+def agg_best_score(spark, d):
+    h = table(spark, d, "documents").where("doc_id < 200").crossJoin(F.broadcast(table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"))))
+    return fusion.best_of_variants(h.select("query_id", (F.col("doc_id") % 10).alias("chunk_id"), F.round((F.col("doc_id") % 97) / 97, 6).alias("score")), 3)
+
+
+@query("agg_rrf", "SELECT doc_id AS chunk_id, 1::BIGINT AS query_id, round(2.0::DOUBLE / (60 + doc_id) + 1.0::DOUBLE / (60 + n_chars), 6) AS score FROM documents WHERE doc_id > 0")
+def agg_rrf(spark, d):
+    t = table(spark, d, "documents").where("doc_id > 0").select(F.col("doc_id").alias("chunk_id"), F.lit(1).cast("long").alias("query_id"), "doc_id", "n_chars")
+    return fusion.rrf([(t.withColumn("rank", F.col("doc_id")), 2), (t.withColumn("rank", F.col("n_chars")), 1)]).withColumn("score", F.round("score", 6))
+
+
+@query("join_hit_doc_title", f"WITH {VCHUNKS}, {DOCS} SELECT chunk_id, coalesce(title, doc_id::VARCHAR) AS document_title FROM vc LEFT JOIN (SELECT * FROM docs WHERE docs.doc_id % 2 = 0) USING (doc_id)")
+def join_hit_doc_title(spark, d):
+    return vector_chunks(spark, d).join(docs(spark, d).where("doc_id % 2 = 0").select("doc_id", "title"), "doc_id", "left").select("chunk_id", F.coalesce("title", F.col("doc_id").cast("string")).alias("document_title"))
+
+
+@query("join_lanes", f"WITH {LANES} SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.chunk_id, l.chunk_id) AS chunk_id, v.score AS vector_score, l.score AS lexical_score FROM v20 v FULL JOIN l20 l ON v.query_id = l.query_id AND v.chunk_id = l.chunk_id")
+def join_lanes(spark, d):
+    return fusion.hybrid(*lanes(spark, d)).select("query_id", "chunk_id", "vector_score", "lexical_score")
+
+
+@query("set_union_lanes", f"WITH {LANES} SELECT query_id, chunk_id FROM v20 UNION SELECT query_id, chunk_id FROM l20")
+def set_union_lanes(spark, d):
+    v, x = lanes(spark, d)
+    return v.select("query_id", "chunk_id").union(x.select("query_id", "chunk_id")).distinct()
+
+
+@query("set_intersect_enabled", "SELECT DISTINCT lang AS base_id FROM documents WHERE lang IN ('en', 'es', 'xx')")
+def set_intersect_enabled(spark, d):
+    return spark.createDataFrame([("en",), ("es",), ("xx",)], "base_id string").intersect(table(spark, d, "documents").select(F.col("lang").alias("base_id")))
+
+
+@query("join_rerank", "SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id)")
+def join_rerank(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("join_query_corpus", f"SELECT a.vec_id AS query_id, count(*) AS scored FROM (SELECT * FROM embeddings {VQ}) a, embeddings b WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0 GROUP BY a.vec_id")
+def join_query_corpus(spark, d):
+    c, q = embeddings(spark, d)
+    pairs = c.join(F.broadcast(q.select("query_id", F.col("embedding").alias("q"))), V.dot(F.col("q"), F.col("embedding")) > 0)
+    return pairs.groupBy("query_id").agg(F.count("*").alias("scored"))
+
+
+@query("join_eval_expect", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def join_eval_expect(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return table(spark, d, "documents").join(F.broadcast(b), F.contains("text", "passage")).select("item_id", "doc_id")
+
+
+@query("join_tree_children", f"WITH {TREE} SELECT p.doc_id AS parent, c.doc_id AS child FROM tree p JOIN tree c ON c.parent_directory_id = p.doc_id")
+def join_tree_children(spark, d):
+    t = tree(spark, d)
+    return t.select(F.col("doc_id").alias("parent")).join(t.select(F.col("doc_id").alias("child"), "parent_directory_id"), F.col("parent") == F.col("parent_directory_id")).select("parent", "child")
+
+
+@query("join_dedup_hash", "SELECT d.doc_id FROM documents d WHERE doc_id >= 200 AND (lang, sha256(text)) NOT IN (SELECT (lang, sha256(text)) FROM documents WHERE doc_id < 200)")
+def join_dedup_hash(spark, d):
+    t = docs(spark, d).select("doc_id", "base_id", "content_hash")
+    return t.where("doc_id >= 200").join(t.where("doc_id < 200").select("base_id", "content_hash"), ["base_id", "content_hash"], "left_anti").select("doc_id")
+
+
+@query("lex_total", f"WITH {ASKED} SELECT query_id, (SELECT count(*) FROM documents WHERE lang = 'en') AS total FROM q")
+def lex_total(spark, d):
+    inside = catalog.scope(docs(spark, d), ["en"]).agg(F.count("*").alias("total"))
+    return asked(spark, d).select("query_id").crossJoin(F.broadcast(inside))
+
+
+@query("lex_norm", f"WITH {BM25} SELECT query_id, chunk_id, round(score / (score + 1), 6) AS norm FROM s WHERE query_id < 3")
+def lex_norm(spark, d):
+    s = lexical.bm25(corpus(spark, d), asked(spark, d)).where("query_id < 3").withColumn("score", F.round("score", 6))
+    return s.select("query_id", "chunk_id", F.round(T.bm25_norm(F.col("score")), 6).alias("norm"))
+
+
+@query("lex_memory_all", f"WITH {BM25} SELECT q.query_id, count(*) AS ranked, count(s.score) AS matched FROM q CROSS JOIN documents d LEFT JOIN s ON s.query_id = q.query_id AND s.chunk_id = d.doc_id WHERE q.query_id < 3 GROUP BY q.query_id")
+def lex_memory_all(spark, d):
+    """Every candidate with its score, 0 without a match: the mode that also ranks what does not match."""
+    q = asked(spark, d).where("query_id < 3")
+    every = corpus(spark, d).select("chunk_id").crossJoin(F.broadcast(q.select("query_id")))
+    s = every.join(lexical.bm25(corpus(spark, d), q), ["query_id", "chunk_id"], "left")
+    return s.groupBy("query_id").agg(F.count(F.coalesce("score", F.lit(0.0))).alias("ranked"), F.count("score").alias("matched"))
+
+
+@query("fus_pool", "SELECT k::INT AS top_k, least(greatest(4 * k, 20), 200)::INT AS pool FROM range(1, 51) r(k)")
+def fus_pool(spark, d):
+    k = spark.range(1, 51).select(F.col("id").cast("int").alias("top_k"))
+    return k.select("top_k", F.least(F.greatest(4 * F.col("top_k"), F.lit(20)), F.lit(200)).alias("pool"))
+
+
+@query("win_rank", f"WITH {COS} SELECT query_id, chunk_id, rank FROM r WHERE rank <= 3")
+def win_rank(spark, d):
+    return vector.cosine_topk(*embeddings(spark, d), 3).select("query_id", "chunk_id", "rank")
+
+
+@query("win_chunk_index", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::INT - 1 AS last FROM documents")
+def win_chunk_index(spark, d):
+    p = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.delimiter_pieces(F.col("text"), "\\n")).alias("idx", "piece"))
+    return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("idx").alias("last"))
+
+
+@query("srt_len_asc", "SELECT doc_id, n FROM (SELECT doc_id, length(text)::INT AS n FROM documents ORDER BY n, doc_id LIMIT 20)")
+def srt_len_asc(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.length("text").alias("n")).orderBy("n", "doc_id").limit(20)
+
+
+@query("lim_offset", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 7 OFFSET 13")
+def lim_offset(spark, d):
+    return table(spark, d, "documents").select("doc_id").orderBy("doc_id").offset(13).limit(7)
+
+
+@query("doc_rename_suffix", f"WITH {CONFLICT}, r AS (SELECT *, row_number() OVER (PARTITION BY base_id, file_name, conflict ORDER BY seq) AS n FROM k) SELECT seq, replace(file_name, '.md', '_' || n || '.md') AS new_name FROM r WHERE conflict")
+def doc_rename_suffix(spark, d):
+    return ingest.resolved(*named(spark, d), "rename").where("action = 'rename'").select("seq", "new_name")
+
+
+@query("src_text_decode", "SELECT doc_id, md5(text) AS h FROM documents")
+def src_text_decode(spark, d):
+    from stackwise.sources.files import parsed
+
+    raw = table(spark, d, "documents").select("doc_id", F.lit("x.txt").alias("path"), F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")).alias("content"))
+    return parsed(raw).select("doc_id", F.md5("text").alias("h"))
+
+
+@query("src_raw_store", "SELECT doc_id, strlen(text)::BIGINT AS bytes FROM documents WHERE doc_id < 20")
+def src_raw_store(spark, d):
+    """Raw sources written as files by their relative path, and read back with the binary reader."""
+    folder = scratch(spark, "raw")
+    table(spark, d, "documents").where("doc_id < 20").select(F.regexp_replace("text", "\n", " ").alias("value"), F.col("doc_id")).repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\n").text(folder)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
+    # the text writer ends the file with one line end
+    return raw.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), (F.col("length") - 1).alias("bytes"))
+
+
+@query("chk_blocks")
+def chk_blocks(spark, d):
+    t = turns(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "heading", "text"))), lambda x: F.concat(F.lit("# "), x.heading, F.lit("\n"), x.text)), "\n\n").alias("raw_text"))
+    return chunking.with_chunks(t).select("doc_id", "idx", "heading", F.length("text").alias("n"))
+
+
+@query("chk_semantic")
+def chk_semantic(spark, d):
+    import pandas as pd
+
+    embed = ingest.hashing_embedder(16)
+    t = turns(spark, d).withColumn("embedding", embed(F.col("text")))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        out = chunking.semantic_merge([(x, "") for x in pdf["text"]], list(pdf["embedding"]), 200, 0.2)
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "idx": range(len(out)), "n": [len(x) for x, _, _ in out]})
+
+    return t.groupBy("doc_id").applyInPandas(merge, "doc_id long, idx int, n int")
+
+
+@query("eval_compare_modes")
+def eval_compare_modes(spark, d):
+    v, x = lanes(spark, d)
+    modes = {"lexical": x, "vector": v, "hybrid": lexical.top(fusion.hybrid(v, x), 20)}
+    out = None
+    found = table(spark, d, "documents").join(F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.lit(1).alias("hit"))
+    for mode, hits in modes.items():
+        best = hits.where("rank <= 5").join(found, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+        s = asked(spark, d).select("query_id").join(best, "query_id", "left").agg(F.avg(F.col("first").isNotNull().cast("double")).alias("hit_at_k"), F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))).alias("mrr")).select(F.lit(mode).alias("mode"), F.round("hit_at_k", 6).alias("hit_at_k"), F.round("mrr", 6).alias("mrr"))
+        out = s if out is None else out.unionByName(s)
+    return out
