@@ -30,7 +30,7 @@ from stackwise.session import saved, ship
 
 #: The bound of the sample that codebooks and gap are fitted on.
 SAMPLE = 8192
-ROWS_PER_CELL = 64
+ROWS_PER_CELL = 1024
 MOST_CODES = 256
 RECALL = 0.995
 
