@@ -54,8 +54,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held whole on both sides.
+ARROW_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable on every executor (once per application)."""
+    """Make this package importable on every executor (once per application), and Arrow batches small unless they are set."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = Path(__file__).resolve().parent
