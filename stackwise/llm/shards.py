@@ -5,20 +5,29 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-#: Home rows of a shard in one task; a larger shard is dealt to several, each of which also gets the shard's later parts as visitors.
-MOST_HOMES = 8192
+#: Home rows, and visitors, of a shard in one task; of larger shards every task gets two parts of so many rows.
+MOST = 8192
 
 
-def dealt(assigned: DataFrame, key: str, most: int = MOST_HOMES) -> DataFrame:
-    """``assigned`` (shard, home, and the column ``key``) with a column part, so that every pair of a shard meets in a (shard, part).
+def dealt(assigned: DataFrame, key: str, most: int = MOST) -> DataFrame:
+    """``assigned`` (shard, home, and the column ``key``) with part and cross, so that every pair of a shard with a home row in it meets in one (shard, part).
 
-    Home rows of a large shard go to part g by a hash of the key; they visit the parts before
-    it, and visitors visit all of its parts. Only the large shards' names and sizes are joined.
+    A large shard's home rows and visitors are cut in parts by a hash of the key. There is a task
+    for each home part alone, for two home parts (the second as visitors), and for a home part with
+    a part of the visitors; in the last two, ``cross``, only home rows and visitors are to be
+    compared. Only the large shards' names and sizes are joined.
     """
-    large = assigned.where("home").groupBy("shard").count().where(F.col("count") > most).select("shard", F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    out = assigned.join(large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(key, F.lit(1)), F.col("parts")).cast("int"))
-    out = out.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("own")).otherwise(F.col("parts") - 1))))
-    return out.withColumn("home", F.col("home") & (F.col("part") == F.col("own"))).drop("parts", "own")
+    counts = assigned.groupBy("shard").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v")).where(f"h > {most} or v > {most}")
+    large = counts.select("shard", F.greatest(F.lit(1), F.ceil(F.col("h") / most)).cast("long").alias("hp"), F.ceil(F.col("v") / most).cast("long").alias("vp"))
+    task = lambda part, home, cross: F.struct(part.cast("long").alias("part"), home.alias("home"), cross.alias("cross"))
+    upto = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), f)).otherwise(F.array().cast("array<struct<part:bigint,home:boolean,cross:boolean>>"))
+    hp, vp = F.col("hp"), F.col("vp")
+    i, v = F.pmod(F.xxhash64(key, F.lit(1)), hp), F.pmod(F.xxhash64(key, F.lit(2)), F.greatest(vp, F.lit(1)))
+    of_home = F.concat(upto(hp, lambda j: task(F.least(i, j) * hp + F.greatest(i, j), j >= i, i != j)), upto(vp, lambda j: task(hp * hp + i * vp + j, F.lit(True), F.lit(True))))
+    of_visitor = upto(hp, lambda j: task(hp * hp + j * vp + v, F.lit(False), F.lit(True)))
+    tasks = F.when(hp.isNull(), F.array(task(F.lit(0), F.col("home"), F.lit(False)))).when(F.col("home"), of_home).otherwise(of_visitor)
+    out = assigned.join(large, "shard", "left").withColumn("task", F.explode(tasks))
+    return out.withColumn("home", F.col("task.home")).withColumn("part", F.col("task.part")).withColumn("cross", F.col("task.cross")).drop("hp", "vp", "task")
 
 
 class Unions:

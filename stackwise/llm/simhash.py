@@ -221,8 +221,8 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def linked(x: np.ndarray, homes: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of the links that touch one of the first ``homes`` rows of x."""
+def linked(x: np.ndarray, homes: int, radius: int, cross: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the links that touch one of the first ``homes`` rows of x; ``cross``: only those to the other rows."""
     union = Unions(len(x))
     alive = np.arange(homes)
     guests = np.arange(homes, len(x))
@@ -233,7 +233,7 @@ def linked(x: np.ndarray, homes: int, radius: int) -> tuple[np.ndarray, np.ndarr
             p, q = np.nonzero(apart(x[a[i : i + step]], x[b]) <= radius)
             union.merge(a[i + p], b[q])
 
-    while len(alive) > 256:
+    while len(alive) > 256 and not cross:
         tries = alive[np.linspace(0, len(alive) - 1, 8).astype(int)]
         balls = (apart(x[tries], x[alive]) <= radius).sum(1)
         if balls.max() < max(16, len(alive) // 64):
@@ -247,7 +247,7 @@ def linked(x: np.ndarray, homes: int, radius: int) -> tuple[np.ndarray, np.ndarr
         compare(ball, rest[(d > radius) & (d <= 2 * radius)])
         alive = alive[d[: len(alive)] > radius]
     for i in range(0, len(alive), 512):
-        compare(alive[i : i + 512], np.concatenate([alive[i:], guests]))
+        compare(alive[i : i + 512], guests if cross else np.concatenate([alive[i:], guests]))
     return union.edges()
 
 
@@ -275,7 +275,7 @@ def links(classes: DataFrame, scheme: Scheme, sample: int = SAMPLE) -> DataFrame
         order = np.argsort(~home, kind="stable")
         ids = t["id"].to_numpy()[order]
         x = words_of(t["fp"].to_pylist())[order]
-        a, b = linked(x, int(home.sum()), scheme.radius)
+        a, b = linked(x, int(home.sum()), scheme.radius, t["cross"][0].as_py())
         return pa.table([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     assigned = saved(classes.select("id", "fp").mapInArrow(assign, "shard long, home boolean, id long, fp binary"), "shards")

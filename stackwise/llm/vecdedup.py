@@ -33,6 +33,8 @@ SAMPLE = 8192
 ROWS_PER_CELL = 1024
 MOST_CODES = 256
 RECALL = 0.995
+#: Rows of a cell's part: what a task compares at a time.
+MOST_ROWS = 4096
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -157,11 +159,14 @@ def neighbours(classes: DataFrame, threshold: float, recall: float) -> DataFrame
         x = _matrix(t["v"])[order]
         length = np.sqrt((x * x).sum(1))
         counts, union = np.zeros(len(x), dtype=np.int64), Unions(len(x))
+        cross = t["cross"][0].as_py()
         for i in range(0, homes, 512):
             stop = min(i + 512, homes)
-            p, q = np.nonzero((x[i:stop] @ x[i:].T) / (length[i:stop, None] * length[None, i:]) >= threshold)
+            other = homes if cross else i
+            p, q = np.nonzero((x[i:stop] @ x[other:].T) / (length[i:stop, None] * length[None, other:]) >= threshold)
+            p, q = i + p, other + q
             once = q > p
-            p, q = i + p[once], i + q[once]
+            p, q = p[once], q[once]
             counts += np.bincount(p, weights=n[q], minlength=len(x)).astype(np.int64) + np.bincount(q, weights=n[p], minlength=len(x)).astype(np.int64)
             union.merge(p, q)
         some = np.flatnonzero(counts)
@@ -169,7 +174,7 @@ def neighbours(classes: DataFrame, threshold: float, recall: float) -> DataFrame
         return pa.table([pa.array(ids[some]), pa.array(counts[some]), pa.array(ids[root], mask=root == some)], names=["id", "links", "b"])
 
     assigned = saved(classes.mapInArrow(assign, "shard long, home boolean, id long, n long, v " + classes.schema["v"].dataType.simpleString()), "cells")
-    return dealt(assigned, "id").groupBy("shard", "part").applyInArrow(meet, "id long, links long, b long")
+    return dealt(assigned, "id", MOST_ROWS).groupBy("shard", "part").applyInArrow(meet, "id long, links long, b long")
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

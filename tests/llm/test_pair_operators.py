@@ -278,20 +278,33 @@ def test_embeddings_odd(spark):
     assert vecdedup.near_duplicates(df.where("false")).count() == 0
 
 
-def test_large_shards_are_dealt(spark, monkeypatch):
+def test_large_shards_are_dealt(spark):
     from stackwise.llm import shards
 
-    rows = [("s", True, i) for i in range(50)] + [("s", False, 100 + i) for i in range(5)] + [("t", True, 200)]
+    rows = [("s", True, i) for i in range(50)] + [("s", False, 100 + i) for i in range(25)] + [("t", True, 200), ("t", False, 201), ("u", False, 300)]
     out = shards.dealt(spark.createDataFrame(rows, "shard string, home boolean, id long"), "id", most=10).collect()
-    met = set()
-    by = {}
+    by, met = {}, []
     for r in out:
         by.setdefault((r.shard, r.part), []).append(r)
     for group in by.values():
-        for a in (r for r in group if r.home):
-            met |= {frozenset((a.id, b.id)) for b in group if b.id != a.id}
-    want = {frozenset((a, b)) for a in range(50) for b in list(range(50)) + list(range(100, 105)) if a != b}
-    assert met == want and max(sum(r.home for r in g) for g in by.values()) < 25
+        homes, guests = [r.id for r in group if r.home], [r.id for r in group if not r.home]
+        assert len({r.cross for r in group}) == 1
+        met += [frozenset((a, b)) for a in homes for b in guests]
+        if not group[0].cross:
+            met += [frozenset((a, b)) for a in homes for b in homes if a < b]
+    want = [frozenset((a, b)) for a in range(50) for b in [*range(a), *range(100, 125)]] + [frozenset((200, 201))]
+    assert sorted(map(sorted, met)) == sorted(map(sorted, want))
+    assert max(map(len, by.values())) < 50
+
+
+def test_counts_of_a_large_cell(spark, monkeypatch):
+    monkeypatch.setattr(vecdedup, "MOST_ROWS", 40)
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal(8)
+    rows = [(i, (base + rng.standard_normal(8) * 0.12).tolist()) for i in range(300)]
+    links, name, _ = brute_near(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vecdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {i: (links[i], name[i]) for i in links}
 
 
 # --- pipeline
