@@ -83,7 +83,8 @@ def write_archives(rows: DataFrame, folder: str, level: int = 1) -> DataFrame:
         task = TaskContext.get()
         store, top = _store(folder)
         store.create_dir(top, recursive=True)
-        name = f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        own = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        name = f"{top}/{own}"
         n = size = 0
         out = None
         for b in batches:
@@ -98,7 +99,7 @@ def write_archives(rows: DataFrame, folder: str, level: int = 1) -> DataFrame:
             size = out.tell()
             out.close()
             store.move(f"{name}.tmp", f"{name}.warc.gz")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.gz"]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], names=["path", "bytes", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{own}.warc.gz"]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], names=["path", "bytes", "records"])
 
     return rows.select("page_id", "url", "payload", "digest", "refers_to", "revisit").mapInArrow(run, "path string, bytes long, records long")
 
