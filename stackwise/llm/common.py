@@ -25,7 +25,7 @@ class WordCache(dict):
         return value
 
 
-def batches_of_text(texts: list[str], chars: int = 1_000_000):
+def batches_of_text(texts: list[str], chars: int = 500_000):
     """Runs of whole texts with about so many characters, as (first, texts); a longer text comes alone."""
     first, size = 0, 0
     for i, t in enumerate(texts):

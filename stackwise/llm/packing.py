@@ -44,23 +44,44 @@ class WordEncoder:
 
     #: Python splits at these, the tokenizer's white space has them not: such texts are encoded as they are.
     ODD = re.compile("[\x1c-\x1f]")
+    #: No apostrophe and no < (contractions and special tokens cross the parts), and letters whose lower case is one letter.
+    PLAIN = re.compile(r"[\t-\r !-&(-;=-~À-ÖØ-öø-įı-ſ]*\Z")
+    PART = re.compile(r"[a-zß-öø-ÿā-ſ]+|[0-9]|[^\t-\r a-zß-öø-ÿā-ſ0-9]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = WordCache(self.encode)
+        # bytes as the characters that the vocabulary has for them: those that do not print are counted up from 256
+        odd = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+        self.bytes = {b: 256 + i for i, b in enumerate(odd)}
+        self.parts = WordCache(self.part, 300_000)
+        self.words = WordCache(self.word, 100_000)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def part(self, part: str) -> bytes:
+        """One part, by the vocabulary's merges alone."""
+        text = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], dtype="<u4").tobytes()
+
+    def plain(self, text: str) -> bytes:
+        """Plain Latin text by its parts: lower-cased runs of letters, digits, and runs of other characters."""
+        return b"".join(map(self.parts.__getitem__, self.PART.findall(text.lower())))
+
+    def word(self, word: str) -> bytes:
+        return self.plain(word) if self.PLAIN.match(word) else self.encode(word)
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.PLAIN.match(text):
+            return self.plain(text)
         if self.ODD.search(text):
             return self.encode(text)
-        return b"".join(map(self.cache.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def encoder(path: str) -> WordEncoder:
