@@ -14,8 +14,9 @@ inside or outside it. One that is outside by no more than the radius also visits
 shard's homes with each other and with its visitors, on all bits. Trees are built on the
 driver from a bounded sample; they decide only where pairs meet, not which pairs there are.
 
-With ``radius`` given as pieces' radius 0 and more pieces than guaranteed (see PIPELINE), pairs are
-found by chance in some piece; the docstring of ``PIPELINE`` has its recall.
+The pipeline's near copies (``deduplicated``) are too far apart for such trees. There, every set of
+shingles has bands of MinHash values, and sets with an equal band meet. Whether two sets share a
+band depends on their similarity alone, and not on how many documents there are.
 
 Inside a shard, a fingerprint with many neighbours is a vantage point again: its neighbours
 are joined to it at once, and are compared only with those within twice the radius. So groups of
@@ -29,7 +30,7 @@ repeated rows are of one class; an empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +60,25 @@ class Scheme:
 
 #: Exact: of two halves, one differs in at most 1 of 3 bits.
 CONTRACT = Scheme(words=3, bits=64, radius=3, pieces=2, piece_radius=1, leaf=4096)
+
+
+@dataclass(frozen=True)
+class Copies:
+    """words of a shingle; bits of a set's fingerprint; candidates at most ``radius`` bits apart; ``bands`` of ``rows`` MinHash values each."""
+
+    words: int
+    bits: int
+    radius: int
+    bands: int
+    rows: int
+
+
 #: Jaccard similarity of 0.8 of five-word shingles is a cosine of 0.89, at which 77.5 of 512 bits differ on
-#: average, with a standard deviation of 8; the radius adds 1.8 of those. 32 trees on 16 bits each,
-#: without visitors: the pairs found are all within the radius, how many is measured in the tests.
-PIPELINE = Scheme(words=5, bits=512, radius=92, pieces=32, piece_radius=0, leaf=512)
+#: average, with a standard deviation of 8; the radius adds 1.8 of those. At that similarity two sets share
+#: none of 24 bands of 4 with a probability of (1 - 0.8 ** 4) ** 24, 3 in a million.
+PIPELINE = Copies(words=5, bits=512, radius=92, bands=24, rows=4)
+#: Rows, of a band that many sets share, that a task compares at a time.
+MOST_ROWS = 4096
 
 
 def shingle_hashes(text: str, words: int) -> bytes:
@@ -96,6 +112,23 @@ def set_bits(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def majority(h: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """Fingerprints, a row of bytes each, of the runs of ``n`` hashes in ``h``."""
+    starts = np.cumsum(n) - n
+    packed = np.empty((len(n), bits // 8), dtype=np.uint8)
+    for j in range(bits // 64):
+        if j:
+            g = h + np.uint64(j * _MIX[2] & (1 << 64) - 1)
+            g = (g ^ (g >> np.uint64(30))) * np.uint64(_MIX[0])
+            g = (g ^ (g >> np.uint64(27))) * np.uint64(_MIX[1])
+            g ^= g >> np.uint64(31)
+        else:
+            g = h
+        on = 2 * set_bits(g, starts) > n[:, None]
+        packed[:, 8 * j : 8 * j + 8] = np.packbits(on[:, ::-1], axis=1)
+    return packed
+
+
 def fingerprints(texts: list[str], words: int, bits: int) -> list[bytes]:
     out = [bytes(bits // 8)] * len(texts)
     done, some, raw, size = 0, [], [], 0
@@ -104,20 +137,7 @@ def fingerprints(texts: list[str], words: int, bits: int) -> list[bytes]:
         if not some:
             return
         h = np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64)
-        n = np.array([len(r) // 8 for r in raw])
-        starts = np.cumsum(n) - n
-        packed = np.empty((len(n), bits // 8), dtype=np.uint8)
-        for j in range(bits // 64):
-            if j:
-                g = h + np.uint64(j * _MIX[2] & (1 << 64) - 1)
-                g = (g ^ (g >> np.uint64(30))) * np.uint64(_MIX[0])
-                g = (g ^ (g >> np.uint64(27))) * np.uint64(_MIX[1])
-                g ^= g >> np.uint64(31)
-            else:
-                g = h
-            on = 2 * set_bits(g, starts) > n[:, None]
-            packed[:, 8 * j : 8 * j + 8] = np.packbits(on[:, ::-1], axis=1)
-        for i, p in zip(some, packed):
+        for i, p in zip(some, majority(h, np.array([len(r) // 8 for r in raw]), bits)):
             out[i] = p.tobytes()
         some.clear(), raw.clear()
 
@@ -296,8 +316,107 @@ def detect(df: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
     return groups(df, scheme).select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def deduplicated(df: DataFrame, scheme: Scheme = PIPELINE) -> DataFrame:
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
+    return np.unique(np.frombuffer(shingle_hashes(text or "", words), dtype=">u8").astype(np.uint64))
+
+
+def node_of(shingles: np.ndarray) -> int:
+    """The name of a set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def bands_of(h: np.ndarray, n: np.ndarray, scheme: Copies) -> np.ndarray:
+    """[run, band] hashes of the bands of the runs of ``n`` hashes in ``h``; every MinHash value is the least multiple by an odd number."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, (scheme.bands, scheme.rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    starts = np.cumsum(n) - n
+    out = np.empty((len(n), scheme.bands), dtype=np.uint64)
+    for b in range(scheme.bands):
+        key = np.full(len(n), b, dtype=np.uint64)
+        for m in odd[b]:
+            key = (key ^ np.minimum.reduceat(h * m, starts)) * np.uint64(_MIX[0])
+            key ^= key >> np.uint64(32)
+        out[:, b] = key
+    return out
+
+
+def sketches(texts: list[str | None], scheme: Copies) -> tuple[list[int], list[bytes], np.ndarray]:
+    """Names, fingerprints and bands of the texts' sets of shingles; a text without words has zeros."""
+    sets = [shingle_set(t, scheme.words) for t in texts]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    fps, bands = np.zeros((len(sets), scheme.bits // 8), dtype=np.uint8), np.zeros((len(sets), scheme.bands), dtype=np.uint64)
+    some = np.flatnonzero(sizes)
+    run = np.cumsum(sizes[some]) // 250_000
+    for r in np.unique(run):
+        at = some[run == r]
+        h, n = np.concatenate([sets[i] for i in at]), sizes[at]
+        fps[at], bands[at] = majority(h, n, scheme.bits), bands_of(h, n, scheme)
+    return [node_of(x) for x in sets], [f.tobytes() for f in fps], bands.view(np.int64)
+
+
+def with_sketches(df: DataFrame, scheme: Copies) -> DataFrame:
+    """id, node, fp, bands of every row of ``df`` (doc_id, text)."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            nodes, fps, bands = sketches(b.column(1).to_pylist(), scheme)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * scheme.bands, pa.int32()), pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), lists], names=["id", "node", "fp", "bands"])
+
+    return df.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, node long, fp binary, bands array<long>")
+
+
+def met(dealt_out: DataFrame, links_of) -> DataFrame:
+    """Links (a, b) found by ``links_of`` (a table of one shard and part, home rows first, -> two arrays of rows) in every shard and part of two rows or more."""
+
+    def run(batches):
+        held, size = [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                size += b.nbytes
+                if size < 8_000_000:
+                    continue
+            if not held:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            shard, part = t["shard"].to_numpy(), t["part"].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])]) if len(t) else np.zeros(0, int)
+            ends = np.r_[cuts[1:], len(t)]
+            if b is not None:  # the last part may go on in the next batch
+                held = t.slice(cuts[-1]).to_batches() if len(cuts) else []
+                cuts, ends, size = cuts[:-1], ends[:-1], 0
+            ids = t["id"].to_numpy()
+            for i, j in zip(cuts[ends - cuts > 1], ends[ends - cuts > 1]):
+                x, y = links_of(t.slice(i, j - i))
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + x]), pa.array(ids[i + y])], names=["a", "b"])
+
+    rows = dealt_out.repartition("shard", "part").sortWithinPartitions("shard", "part", F.desc("home"))
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def candidates(classes: DataFrame, scheme: Copies) -> DataFrame:
+    """Spanning links (a, b) between the sets (node, fp, bands) that share a band and are within the radius."""
+    ship(classes.sparkSession)
+
+    def links_of(t: pa.Table):
+        return linked(words_of(t["fp"].to_pylist()), int(t["home"].to_numpy().sum()), scheme.radius, t["cross"][0].as_py())
+
+    assigned = classes.select(F.explode("bands").alias("shard"), F.lit(True).alias("home"), F.col("node").alias("id"), "fp")
+    return met(dealt(assigned, "id", MOST_ROWS), links_of)
+
+
+def deduplicated(df: DataFrame, scheme: Copies = PIPELINE) -> DataFrame:
     """``df`` with one document of each group: the one with the smallest id (of repeated rows of it, all stay; so do rows without an id)."""
-    gone = groups(df, scheme).where("component <> id").select(F.col("id").alias("gone")).distinct()
-    rows = df.select(F.struct("*").alias("row"))
-    return rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
+    rows = saved(with_sketches(df, scheme).where("id is not null"), "sketches")
+    classes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    found = components(candidates(saved(classes, "classes"), scheme))
+    named = rows.select("id", "node").join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    gone = named.join(least, "component").where("id <> least").select(F.col("id").alias("gone")).distinct()
+    kept = df.select(F.struct("*").alias("row"))
+    return kept.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")

@@ -187,6 +187,27 @@ def test_pipeline_scheme_finds_near_copies(spark):
     assert len(planted) > 60 and sum(b not in kept for _, b in planted) >= 0.95 * len(planted)
 
 
+def copies_at(rng, n, size=200):
+    """Pairs of sets of numbers with a Jaccard similarity of 0.8."""
+    common, own = round(size * 0.8), round(size * 0.1)
+    x = rng.integers(0, 2**63, (n, common + 2 * own), dtype=np.uint64)
+    return [(np.sort(r[: common + own]), np.sort(np.r_[r[:common], r[common + own :]])) for r in x]
+
+
+def test_bands_do_not_depend_on_the_number_of_documents():
+    rng = np.random.default_rng(12)
+    pairs = copies_at(rng, 3000)
+    keys = []
+    for side in zip(*pairs):
+        # a set's bands are those it has alone, whatever else is there
+        bands = simhash.bands_of(np.concatenate(side), np.array([len(x) for x in side]), simhash.PIPELINE)
+        assert (simhash.bands_of(side[7], np.array([len(side[7])]), simhash.PIPELINE) == bands[7]).all()
+        keys.append(bands)
+    assert (keys[0] == keys[1]).any(1).mean() >= 0.999
+    # and others share hardly any
+    assert (keys[0][1:] == keys[0][:-1]).any(1).sum() == 0
+
+
 # --- top-k
 
 
