@@ -16,7 +16,8 @@ driver from a bounded sample; they decide only where pairs meet, not which pairs
 
 The pipeline's near copies (``deduplicated``) are too far apart for such trees. There, every set of
 shingles has bands of MinHash values, and sets with an equal band meet. Whether two sets share a
-band depends on their similarity alone, and not on how many documents there are.
+band depends on their similarity alone, and not on how many documents there are. Fingerprints
+keep the groups of candidates small; links are verified by the sets themselves.
 
 Inside a shard, a fingerprint with many neighbours is a vantage point again: its neighbours
 are joined to it at once, and are compared only with those within twice the radius. So groups of
@@ -64,9 +65,10 @@ CONTRACT = Scheme(words=3, bits=64, radius=3, pieces=2, piece_radius=1, leaf=409
 
 @dataclass(frozen=True)
 class Copies:
-    """words of a shingle; bits of a set's fingerprint; candidates at most ``radius`` bits apart; ``bands`` of ``rows`` MinHash values each."""
+    """words of a shingle; the least Jaccard ``similarity`` of copies; bits of a set's fingerprint; candidates at most ``radius`` bits apart; ``bands`` of ``rows`` MinHash values each."""
 
     words: int
+    similarity: float
     bits: int
     radius: int
     bands: int
@@ -74,11 +76,13 @@ class Copies:
 
 
 #: Jaccard similarity of 0.8 of five-word shingles is a cosine of 0.89, at which 77.5 of 512 bits differ on
-#: average, with a standard deviation of 8; the radius adds 1.8 of those. At that similarity two sets share
-#: none of 24 bands of 4 with a probability of (1 - 0.8 ** 4) ** 24, 3 in a million.
-PIPELINE = Copies(words=5, bits=512, radius=92, bands=24, rows=4)
-#: Rows, of a band that many sets share, that a task compares at a time.
+#: average, with a standard deviation of 8; the radius adds 6 of those (and 3.6 where four of five shingles
+#: are common, with 96 bits on average). At that similarity two sets share none of 24 bands of 4 with a
+#: probability of (1 - 0.8 ** 4) ** 24, 3 in a million.
+PIPELINE = Copies(words=5, similarity=0.8, bits=512, radius=128, bands=24, rows=4)
+#: Rows, of a band that many sets share, that a task compares at a time; and of a group whose sets are compared.
 MOST_ROWS = 4096
+MOST_SETS = 1024
 
 
 def shingle_hashes(text: str, words: int) -> bytes:
@@ -357,16 +361,16 @@ def sketches(texts: list[str | None], scheme: Copies) -> tuple[list[int], list[b
 
 
 def with_sketches(df: DataFrame, scheme: Copies) -> DataFrame:
-    """id, node, fp, bands of every row of ``df`` (doc_id, text)."""
+    """id, text_hash, node, fp, bands of every row of ``df`` (doc_id, text)."""
     ship(df.sparkSession)
 
     def run(batches):
         for b in batches:
-            nodes, fps, bands = sketches(b.column(1).to_pylist(), scheme)
+            nodes, fps, bands = sketches(b.column(2).to_pylist(), scheme)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * scheme.bands, pa.int32()), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), lists], names=["id", "node", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), lists], names=["id", "text_hash", "node", "fp", "bands"])
 
-    return df.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, node long, fp binary, bands array<long>")
+    return df.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "id long, text_hash long, node long, fp binary, bands array<long>")
 
 
 def met(dealt_out: DataFrame, links_of) -> DataFrame:
@@ -410,11 +414,66 @@ def candidates(classes: DataFrame, scheme: Copies) -> DataFrame:
     return met(dealt(assigned, "id", MOST_ROWS), links_of)
 
 
+def alike(sets: list[np.ndarray], homes: int, similarity: float, cross: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the pairs of sets with a Jaccard similarity of so much or more; ``cross``: only of those between one of the first ``homes`` and one of the others."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    flat, doc = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    who, new = doc[order], np.r_[True, np.diff(flat[order]) != 0][: len(flat)]
+    number = np.empty(len(flat), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    count = np.diff(np.r_[first, len(flat)])
+    ends = np.cumsum(sizes)
+    guest = np.arange(n) >= homes
+    seen, left = np.zeros(n, dtype=bool), n
+    a, b = [], []
+    for start in range(n):
+        if seen[start] or not left:
+            continue
+        seen[start], left, stack = True, left - 1, [start]
+        while stack and left:
+            x = stack.pop()
+            mine = number[ends[x] - sizes[x] : ends[x]]
+            c = count[mine]
+            at = np.repeat(first[mine] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            common = np.bincount(who[at], minlength=n)
+            ok = ~seen & (common * (1 + similarity) >= similarity * (sizes + sizes[x]) - 1e-9)
+            if cross:
+                ok &= guest != guest[x]
+            near = np.flatnonzero(ok)
+            seen[near] = True
+            left -= len(near)
+            stack += near.tolist()
+            a.append(np.full(len(near), x)), b.append(near)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def verified(df: DataFrame, rows: DataFrame, found: DataFrame, scheme: Copies) -> DataFrame:
+    """Spanning links (a, b) between the sets of a group (``found``: node, component) that are as similar as the scheme asks; ``rows`` (id, text_hash, node) are those of ``df``."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, scheme.words) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], names=["shard", "id", "shingles"])
+
+    def links_of(t: pa.Table):
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in t["shingles"].to_pylist()]
+        return alike(sets, int(t["home"].to_numpy().sum()), scheme.similarity, t["cross"][0].as_py())
+
+    of = rows.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("one")).join(found, "node").select("one.id", "one.text_hash", "node", "component")
+    texts = df.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text").join(of, ["id", "text_hash"]).select(F.col("component").alias("shard"), "node", "text")
+    sets = saved(texts.mapInArrow(run, "shard long, id long, shingles binary").withColumn("home", F.lit(True)), "sets")
+    return met(dealt(sets, "id", MOST_SETS), links_of)
+
+
 def deduplicated(df: DataFrame, scheme: Copies = PIPELINE) -> DataFrame:
     """``df`` with one document of each group: the one with the smallest id (of repeated rows of it, all stay; so do rows without an id)."""
     rows = saved(with_sketches(df, scheme).where("id is not null"), "sketches")
     classes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    found = components(candidates(saved(classes, "classes"), scheme))
+    near = components(candidates(saved(classes, "classes"), scheme))
+    found = components(verified(df, rows.select("id", "text_hash", "node"), near, scheme))
     named = rows.select("id", "node").join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     gone = named.join(least, "component").where("id <> least").select(F.col("id").alias("gone")).distinct()

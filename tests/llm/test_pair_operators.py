@@ -208,6 +208,54 @@ def test_bands_do_not_depend_on_the_number_of_documents():
     assert (keys[0][1:] == keys[0][:-1]).any(1).sum() == 0
 
 
+def five_words(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_copies(rows):
+    """Ids that stay: the smallest of every group of texts with a similarity of 0.8."""
+    sets = {i: five_words(t) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 1.8 >= 0.8 * (len(sets[a]) + len(sets[b])) - 1e-9]
+    name = joined(near, sets)
+    return {i for i in sets if name[i] == i}
+
+
+def test_only_near_copies_go(spark):
+    rng = random.Random(31)
+    vocab = [f"w{i}" for i in range(5000)]
+    words = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = []
+    for i in range(60):
+        t = words(280)
+        # contained in a text 1.4 times as long, the halves of a chain, and short ones of four and five shingles
+        rows += [(i, " ".join(t[:200])), (1000 + i, " ".join(t))]
+        c = words(60)
+        rows += [(2000 + 10 * i + k, " ".join(c[3 * k : 3 * k + 40])) for k in range(5)]
+        s = words(9)
+        rows += [(4000 + i, " ".join(s)), (5000 + i, " ".join(s[:8]))]
+    rows += [(9000, "said often " * 50 + "and so on and on"), (9001, "said often " * 9 + "and so on and on"), (9002, None), (9003, "")]
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == brute_copies(rows)
+    assert {*range(60), *range(1000, 1060)} <= kept and not {*range(5000, 5060)} & kept
+
+
+def test_alike_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[: rng.integers(40, 61)], rng.integers(0, 2**63, rng.integers(1, 12), dtype=np.uint64)]) for _ in range(150)]
+    near = [(i, j) for i in range(150) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+    for homes, cross in ((150, False), (70, True)):
+        a, b = simhash.alike(sets, homes, 0.8, cross)
+        want = [p for p in near if not cross or (p[0] < 70) != (p[1] < 70)]
+        assert joined(list(zip(a.tolist(), b.tolist())), range(150)) == joined(want, range(150))
+    # a group of many texts is dealt to parts
+    monkeypatch.setattr(simhash, "MOST_SETS", 10)
+    text = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*text, f"x{i}"])) for i in range(60)]
+    assert [r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
 # --- top-k
 
 
