@@ -469,13 +469,18 @@ def verified(df: DataFrame, rows: DataFrame, found: DataFrame, scheme: Copies) -
 
 
 def deduplicated(df: DataFrame, scheme: Copies = PIPELINE) -> DataFrame:
-    """``df`` with one document of each group: the one with the smallest id (of repeated rows of it, all stay; so do rows without an id)."""
+    """``df`` with one row of each group: of the smallest id (of texts with that id, the one with the smallest hash; of repeated rows, one). Rows without an id stay."""
     rows = saved(with_sketches(df, scheme).where("id is not null"), "sketches")
     classes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     near = components(candidates(saved(classes, "classes"), scheme))
     found = components(verified(df, rows.select("id", "text_hash", "node"), near, scheme))
-    named = rows.select("id", "node").join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("id").alias("least"))
-    gone = named.join(least, "component").where("id <> least").select(F.col("id").alias("gone")).distinct()
-    kept = df.select(F.struct("*").alias("row"))
-    return kept.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
+    texts = rows.groupBy("id", "text_hash", "node").agg(F.count("*").alias("n"))
+    named = texts.join(found, "node", "left").select("id", "text_hash", "n", F.coalesce("component", "node").alias("component"))
+    first = saved(named.groupBy("component").agg(F.min(F.struct("id", "text_hash", "n")).alias("first")), "first")
+    gone = named.join(first, "component").where("id <> first.id or text_hash <> first.text_hash").select("id", "text_hash")
+    kept = df.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash")).join(gone, ["id", "text_hash"], "left_anti")
+    repeated = first.where("first.n > 1").select("first.id", "first.text_hash")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(repeated, ["id", "text_hash"], "left_anti").select("row").unionByName(once.select("row"))
+    return kept.select("row.*")

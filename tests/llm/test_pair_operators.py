@@ -256,6 +256,13 @@ def test_alike_equals_all_pairs(spark, monkeypatch):
     assert [r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def test_one_row_of_each_group_stays_with_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, c, "x"), (3, c, "x"), (3, c, "y"), (4, c, "x"), (None, a, "x"), (None, a, "x")]
+    out = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(1, a, "x"), (2, b, "x"), (3, c, "x"), (None, a, "x"), (None, a, "x")]))
+
+
 # --- top-k
 
 
