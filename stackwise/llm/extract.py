@@ -6,8 +6,9 @@ left out by element, role, class or id. Every other node has its characters, tag
 characters and link tags; its composite density is the characters a tag, raised or lowered by
 how much of its text is links; a node's sum is that of its children's densities. The node with
 the largest sum is the core. The lowest density on the path from the body to it is the
-threshold: the core grows to its parent while all the parent's parts reach the threshold, and
-an article or main element around it is taken whole.
+threshold: from the core up to the body, the parts beside it that reach the threshold belong to
+it, and so do loose text, headings before such parts, and what lies between two of them and is not
+mostly links. An article or main element around the core is taken whole.
 
 Blocks are the runs of text between the boundaries of block elements and line breaks.
 
@@ -35,6 +36,7 @@ BLOCK = frozenset("address article aside blockquote body br center dd details di
 CLOSES_P = BLOCK - {"br", "body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 WORDS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer sidebar aside ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription social share sharing related recommended recommendations comment comments commentlist disqus respond widget pagination pager toolbar login signup search skip copyright alert alerts cookiebar cookiebanner disclaimer paywall topbar sharebar adbox adslot adunit adbanner".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th", "thead", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -221,14 +223,39 @@ def core(root: Node) -> Node:
         if node.tag in ("article", "main"):
             return node
     threshold = min((x.density for x in [*path, body]), default=0.0)
-    while best is not body and best.parent is not None and best.parent is not body:
-        parts = [x for x in best.parent.parts if not isinstance(x, Node) and x.strip() or isinstance(x, Node) and x.chars]
-        if any(isinstance(x, str) or x.density < threshold for x in parts):
-            break
+    while best is not body and best.parent is not None:
+        best.parent.parts = grown(best, threshold)
         best = best.parent
     return best
 
 
+def grown(best: Node, threshold: float) -> list:
+    """The parts of the parent of ``best`` that belong to the text with it."""
+    runs: list[list] = []  # a block, or text and inline elements side by side
+    for x in best.parent.parts:
+        inline = isinstance(x, str) or x.tag not in BLOCK
+        if not (inline and runs and runs[-1][0]):
+            runs.append([inline])
+        runs[-1].append(x)
+    dense = [any(isinstance(x, Node) and (x is best or x.chars and x.density >= threshold) for x in r[1:]) for r in runs]
+    first, last = dense.index(True), len(dense) - 1 - dense[::-1].index(True)
+    kept: list = []
+    after = False  # whether the block after it stays
+    for i in range(len(runs) - 1, -1, -1):
+        inline, *parts = runs[i]
+        nodes = [x for x in parts if isinstance(x, Node)]
+        loose = any(isinstance(x, str) and x.strip() for x in parts)
+        chars, link_chars = sum(x.chars for x in nodes), sum(x.link_chars for x in nodes)
+        if not loose and not chars:
+            continue
+        heading = not inline and nodes[0].tag in HEADINGS
+        stays = dense[i] or loose or (heading and after) or (first < i < last and 2 * link_chars <= chars)
+        if stays:
+            kept[:0] = parts
+        after = stays
+    return kept
+
+
 def blocks(top: Node) -> list[str]:
     out: list[str] = []
     run: list[str] = []

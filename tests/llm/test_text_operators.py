@@ -306,3 +306,15 @@ def test_language_odd(spark):
     assert {r.lang_pred for r in rows if r.doc_id in (1, 2, 3)} == {"und"}
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(df.where("false")).count() == 0
+
+
+def test_sections_without_article_or_main():
+    para = lambda k: f"<p>{f'word{k} ' * 30}</p>"
+    one, two = ("<section>" + "".join(map(para, range(a, a + 5))) + "</section>" for a in (10, 20))
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Other story {i}</a></li>" for i in range(8)) + "</ul>"
+    for page in (f"<body>{one}{two}</body>", f"<body><div><h1>The title</h1>{one}{two}</div></body>", f"<body>{links}<div><h1>The title</h1>{one}<h2>Part</h2><p>Short.</p>{two}</div>{links}</body>", f"<body><div>Loose <b>text</b> first{one}{two}</div></body>"):
+        text = extract.main_text(page)
+        assert all(f"word{k} " in text for k in (*range(10, 15), *range(20, 25))), page
+        assert "Other story" not in text
+        for wanted in ("The title", "Part", "Short.", "Loose <b>text</b> first"):
+            assert wanted not in page or wanted.replace("<b>", "").replace("</b>", "") in text
