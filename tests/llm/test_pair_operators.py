@@ -336,6 +336,26 @@ def test_embeddings_recall(spark):
     assert sum(r.n_links for r in got.values()) >= 0.97 * 2 * len(pairs)
 
 
+def test_embeddings_recall_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(vecdedup, "ROWS_PER_CELL", 16)
+    cells = []
+    fitted = vecdedup.Index.fitted.__func__
+    monkeypatch.setattr(vecdedup.Index, "fitted", classmethod(lambda cls, *a: (cells.append(fitted(cls, *a)), cells[-1])[1]))
+    rng = np.random.default_rng(19)
+    x = rng.standard_normal((2000, 64))
+    for i in range(800, 2000):
+        j = rng.integers(0, 800)
+        x[i] = x[j] / np.linalg.norm(x[j]) + rng.standard_normal(64) * rng.uniform(0, 0.08)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    links, _, pairs = brute_near(rows)
+    got = {r.vec_id: r for r in vecdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert [len(c.first) * len(c.second) for c in cells] == [121]
+    assert all(got[i].n_links <= links[i] for i in links)
+    found = sum(r.n_links for r in got.values()) / (2 * len(pairs))
+    print("recall", found, "pairs", len(pairs))
+    assert found >= 0.97
+
+
 def test_embeddings_of_the_table(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     links, name, pairs = brute_near(rows)
