@@ -245,10 +245,13 @@ vs AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(greatest(0, leas
 v20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) WHERE rank <= 20)"""
 
 
-def lanes(spark, d):
+def lanes(spark, d, every: bool = False):
+    """The vector lane has the queries below 40, as in LANES, or ``every`` query."""
     lex = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 20).withColumn("score", F.round(T.bm25_norm(F.col("score")), 6))
     c, _ = embeddings(spark, d)
-    vec = vector.batch_topk(c, c.where("chunk_id < 40").select(F.col("chunk_id").alias("query_id"), "embedding"), 20)
+    q = c.withColumnRenamed("chunk_id", "query_id")
+    q = q.join(asked(spark, d).select("query_id"), "query_id", "left_semi") if every else q.where("query_id < 40")
+    vec = vector.batch_topk(c, q.select("query_id", "embedding"), 20)
     return vec, lex
 
 
@@ -307,9 +310,9 @@ def rrk_apply(spark, d):
 
 @query("srch_search")
 def srch_search(spark, d):
-    t = docs(spark, d).where("doc_id < 500").withColumn("title", F.col("title"))
-    chunks = t.join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("idx"), F.lit(None).cast("string").alias("heading"), F.col("raw_text").alias("text"), T.search_text(F.col("title"), F.col("raw_text")).alias("search_text"), "embedding")
-    q = asked(spark, d, 5).join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "query_id"), "query_id")
+    t = docs(spark, d)
+    chunks = t.join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("idx"), F.lit(None).cast("string").alias("heading"), F.col("raw_text").alias("text"), T.search_text(F.col("title"), F.col("raw_text")).alias("search_text"), "embedding")
+    q = asked(spark, d).join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
     out = search(chunks, t, q, Config(mmr_lambda=0.7))
     return out.select("query_id", "rank", "chunk_id", "doc_id", "document_title", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("lexical_score", 6).alias("lexical_score"), "mode")
 
@@ -1011,7 +1014,7 @@ def chk_semantic(spark, d):
 
 @query("eval_compare_modes")
 def eval_compare_modes(spark, d):
-    v, x = lanes(spark, d)
+    v, x = lanes(spark, d, every=True)
     modes = {"lexical": x, "vector": v, "hybrid": lexical.top(fusion.hybrid(v, x), 20)}
     out = None
     found = table(spark, d, "documents").join(F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.lit(1).alias("hit"))
