@@ -13,6 +13,9 @@ while they are decoded and must match the digest in their header.
 Defined results: null html is an empty payload; null ids come back null; null url leaves the
 target out; rows that repeat the largest id of their payload are all responses, and so are
 equal payloads that have only null ids; an empty table writes nothing and reads no record.
+A long payload is compressed whole by its writer and hashed piece by piece by its reader; a
+record may cross any number of ranges. Columns other than page_id, url and html are ignored,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ MAGIC = b"\x1f\x8b\x08"
 HEADER = b"WARC/1."
 SPLIT_BYTES = 16 << 20
 CHUNK = 1 << 20
+#: The most tasks that ranges are dealt to; beyond so many ranges a task reads several.
+MOST_READERS = 100_000
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _ID = re.compile(rb"<urn:page:(-?\d+)>")
 
@@ -201,7 +206,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     """Records of all archives of the manifest (path, bytes), by byte ranges."""
     ship(manifest.sparkSession)
     splits = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("bytes") - 1), F.lit(split_bytes).cast("long"))).alias("begin"))
-    splits = splits.repartition("path", "begin")
+    # a range is a few bytes here and megabytes in its archive: only a stated number of tasks is not coalesced
+    readers = max(1, min(MOST_READERS, manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0))
+    splits = splits.repartition(readers)
 
     def run(batches):
         for b in batches:

@@ -52,6 +52,14 @@ def test_warc_odd(spark):
     assert kinds == {3: "response", 4: "response"}
 
 
+def test_warc_ranges_are_read_by_many_tasks(spark):
+    rng = random.Random(8)
+    rows = [(i, "u", "".join(rng.choice("abcdefghij") for _ in range(2000))) for i in range(69)]
+    out = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), split_bytes=1000)
+    tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert len(tasks) >= 30 and sum(r.n for r in tasks) == 69
+
+
 def test_warc_ranges():
     rng = random.Random(4)
     payloads = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 5, 700, 5000]))) + warc.MAGIC * 3 for _ in range(40)]
