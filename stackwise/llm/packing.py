@@ -1,8 +1,13 @@
 """Mixture-controlled packing: deficit round-robin over source queues, spread over lanes.
 
-A source's queue is in order of a hash of the id. Lanes take equal shares of all queues' tokens
-(measured in parts of the hash range), so that every lane has the whole mixture and no source,
-however large, meets in one task.
+A source's queue is in order of a hash of the row, cut in parts of equal hash ranges whose tokens
+are summed up; inside a part it is in order of another hash, and a document's place in the queue is
+the tokens before its part and its share of the part's. Lanes take equal shares of all queues by
+place, so that every lane has the whole mixture and no source, however large, meets in one task.
+A lane may be many parts or a small piece of one: there is one rule for all sizes. The hash of a row
+is one of its id, source and token ids. Rows that are equal in all of these (a third of all may be)
+lie in one part, which is spread over as many lanes as its tokens fill, by their number in the
+written table of tokens.
 A round serves one window: every source earns quantum = window * share tokens of credit and
 sends documents while its credit lasts. What a source has earned but not sent (its deficit) is
 carried from window to window, and from lane to lane: a lane starts with
@@ -11,7 +16,9 @@ The lanes' streams follow each other without a gap, windows are cut from the who
 at most the last window of all needs padding.
 
 Defined results: null or empty text packs as the end token alone; null source is a queue of
-its own; repeated rows are packed one by one; an empty table gives no pieces.
+its own; null ids stay null; repeated rows are packed one by one; a text longer than a window, or
+than a lane, is cut into as many pieces as it takes; an empty table gives no pieces. Columns other
+than doc_id, source and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,9 +37,8 @@ from stackwise.session import saved, ship
 END_ID = 1
 #: Tokens of a lane: what one task holds at a time (2 bytes a token).
 LANE_TOKENS = 1_000_000
-#: Parts that each source's queue is cut in, and the most parts of all sources that are broadcast.
+#: Parts that each source's queue is cut in.
 PARTS = 4096
-MOST_PARTS = 131_072
 #: Lanes of a group in the two-level running sums.
 LANE_GROUP = 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -91,7 +97,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def tokenized(df: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, source, n (tokens with the end token) and ids (uint16 or uint32 bytes, the width in ``wide``)."""
+    """doc_id, source, row (a number of the row), n (tokens with the end token) and ids (uint16 or uint32 bytes, the width in ``wide``)."""
     ship(df.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -99,15 +105,15 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataF
         enc = encoder(tokenizer_path)
         for b in batches:
             ids, n, wide = [], [], []
-            for t in b.column(2).to_pylist():
+            for t in b.column(3).to_pylist():
                 raw = enc.ids(t) + end
                 a = np.frombuffer(raw, "<u4")
                 n.append(len(a))
                 wide.append(bool(a.max() > 0xFFFF))
                 ids.append(raw if wide[-1] else a.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "wide", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())], names=["doc_id", "source", "row", "n", "wide", "ids"])
 
-    return df.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, source string, n long, wide boolean, ids binary")
+    return df.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "doc_id long, source string, row long, n long, wide boolean, ids binary")
 
 
 def deal(docs: pa.Table, state: pa.Table, window: int) -> pa.Table:
@@ -158,27 +164,21 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 2048, shares: Column
     ``shares`` (of the columns source and tokens, by source) gives target proportions; by default the
     proportions of the tokens there are, so that every queue lasts to the end.
     """
-    spark = ship(df.sparkSession)
-    tok = saved(tokenized(df, tokenizer_path), "tokens").withColumn("h", F.xxhash64("doc_id"))
-    # queues are in order of the hash; a source's queue is cut in parts of equal hash ranges
-    part = F.floor(F.shiftrightunsigned("h", 12) / F.lit(float(1 << 52)) * PARTS).cast("int")
+    ship(df.sparkSession)
+    tok = saved(tokenized(df, tokenizer_path), "tokens")
+    # 52 bits of a hash as a fraction of 1
+    fraction = lambda h: F.shiftrightunsigned(h, 12) / F.lit(float(1 << 52))
+    tok = tok.withColumn("h", F.xxhash64("doc_id", "source", F.crc32("ids")))
+    part = F.floor(fraction(F.col("h")) * PARTS).cast("int")
     parts = saved(tok.groupBy("source", part.alias("part")).agg(F.sum("n").alias("tokens")), "parts")
-    total, n_parts = parts.agg(F.sum("tokens"), F.count("*")).first()
-    total = total or 0
+    total = parts.agg(F.sum("tokens")).first()[0] or 0
     lanes = max(1, -(-total // lane_tokens))
-    if lanes <= PARTS // 4 and n_parts <= MOST_PARTS:
-        # lanes take whole parts, the same share of every source's tokens
-        queue = Window.partitionBy("source").orderBy("part")
-        middle = F.sum("tokens").over(queue.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens") / 2
-        of = F.sum("tokens").over(Window.partitionBy("source"))
-        place = parts.select("source", "part", "tokens", F.least(F.lit(lanes - 1), F.floor(middle / of * lanes)).cast("long").alias("lane"))
-        per = saved(place.groupBy("lane", "source").agg(F.sum("tokens").alias("tokens")), "lanes")
-        t, p = tok.withColumn("part", part).alias("t"), F.broadcast(place.select("source", "part", "lane")).alias("p")
-        tok = t.join(p, F.col("t.source").eqNullSafe(F.col("p.source")) & (F.col("t.part") == F.col("p.part"))).select("t.*", "p.lane").drop("part")
-    else:
-        # so many lanes that every one has its share of every source by the hash alone
-        tok = tok.withColumn("lane", F.floor(F.shiftrightunsigned("h", 12) / F.lit(float(1 << 52)) * lanes).cast("long"))
-        per = saved(tok.groupBy("lane", "source").agg(F.sum("n").alias("tokens")), "lanes")
+    queue = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    place = parts.select("source", "part", "tokens", F.coalesce(F.sum("tokens").over(queue), F.lit(0)).alias("above"), F.sum("tokens").over(Window.partitionBy("source")).alias("of"))
+    t, p = tok.withColumn("part", part).withColumn("within", fraction(F.xxhash64("row"))).alias("t"), place.alias("p")
+    at = (F.col("p.above") + F.col("t.within") * F.col("p.tokens")) / F.col("p.of")
+    tok = t.join(p, F.col("t.source").eqNullSafe(F.col("p.source")) & (F.col("t.part") == F.col("p.part"))).select("t.doc_id", "t.source", "t.n", "t.wide", "t.ids", "t.h", F.least(F.lit(lanes - 1), F.floor(at * lanes)).cast("long").alias("lane"))
+    per = saved(tok.groupBy("lane", "source").agg(F.sum("n").alias("tokens")), "lanes")
     by_source = per.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     weight = F.col("tokens") if shares is None else shares
     by_source = by_source.select("source", (weight / F.lit(float(max(total, 1))) if shares is None else weight).cast("double").alias("share"))
