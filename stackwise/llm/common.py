@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 
@@ -35,3 +36,18 @@ def batches_of_text(texts: list[str], chars: int = 500_000):
         size += len(t)
     if first < len(texts):
         yield first, texts[first:]
+
+
+_BREAK = re.compile(r"[\t-\r ]")
+#: Characters of a text whose features are made at a time (arrays of them take some tens of bytes a character).
+PIECE_CHARS = 2_000_000
+
+
+def pieces_of(text: str, chars: int = PIECE_CHARS):
+    """The whole text in pieces of at most ``chars`` characters, cut at white space where there is some."""
+    at = 0
+    while len(text) - at > chars:
+        cut = next((i for i in range(at + chars, at, -1) if _BREAK.match(text, i)), at + chars)
+        yield text[at:cut]
+        at = cut
+    yield text[at:]

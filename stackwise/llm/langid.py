@@ -1,15 +1,20 @@
 """Language identification with mixtures of languages.
 
 A language is a table of log probabilities of hashed character 2- and 3-grams, counted on a
-bounded sample of labelled documents (``sample`` in all, shared evenly by the languages). A
+bounded sample of labelled documents (about ``sample`` in all and at most four times as many,
+of at most ``MOST_CHARS`` characters each, shared evenly by the ``MOST_LANGUAGES`` languages with
+the most documents; the rows come in order of a hash of the id, the id and a hash of the text). A
 word's log likelihood in a language sums those of its n-grams; a document is a mixture of
 languages over its words, and expectation maximisation estimates the proportions. The set of
 languages is selected by penalised likelihood: the nested sets of the largest proportions are
 fitted again, and the set with the highest log likelihood - penalty * size * log(words) stays.
+Of a very long text the likelihoods are made piece by piece; what stays is one number a word and
+language.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; ties go to
 the language first by code point; without any labelled text all is ``und``. Repeated rows
-give the same result; other columns are ignored.
+give the same result; an empty table gives no rows; other columns are ignored, whatever they are
+called.
 """
 
 from __future__ import annotations
@@ -20,18 +25,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stackwise.llm.common import batches_of_text
+from stackwise.llm.common import PIECE_CHARS, batches_of_text, pieces_of
 from stackwise.llm.ngrams import Grams
 from stackwise.session import ship
 
 BUCKETS_LOG2 = 17
 #: The bound of the training sample, documents in all.
 SAMPLE = 4000
+#: The bounds of a text in it, and of the languages that are learned.
+MOST_CHARS = 200_000
+MOST_LANGUAGES = 256
 ORDERS = (2, 3)
-LETTER = re.compile(r"[^\W\d_]")
+_PLAIN = re.compile("[A-Za-z]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Letters of any script; not numbers such as a half, nor signs."""
+    return _PLAIN.search(text) is not None or any(map(str.isalpha, text))
+
+
 class Languages:
     """``names``, and ``table`` [bucket, language] of log probabilities."""
 
@@ -40,6 +53,9 @@ class Languages:
 
     def likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood [word, language] of every word, and its text."""
+        if len(texts) == 1 and len(texts[0]) > PIECE_CHARS:
+            logs = np.concatenate([self.likelihoods([x])[0] for x in pieces_of(texts[0])])
+            return logs, np.zeros(len(logs), dtype=np.int64)
         g = Grams([t.lower() for t in texts])
         total = np.zeros((len(g.starts), len(self.names)), dtype=np.float32)
         shift = np.uint32(32 - BUCKETS_LOG2)
@@ -62,7 +78,7 @@ class Languages:
         """Shares [text, language]; all zero for a text of no letter."""
         size = len(self.names)
         out = np.zeros((len(texts), size), dtype=np.float64)
-        some = [i for i, t in enumerate(texts) if LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if has_letter(t)]
         if not some or not size:
             return out
         logs, of = self.likelihoods([texts[i] for i in some])
@@ -113,8 +129,8 @@ def in_fold(doc_id: Column, of: int, fold: int) -> Column:
 
 def fit(documents: DataFrame, sample: int = SAMPLE, **options) -> Languages:
     """From text and non-null lang of ``documents``; a hash of the id takes about the same number of each language."""
-    known = documents.where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().collect()
+    known = documents.where("lang is not null and text is not null").where(F.length("text") <= MOST_CHARS)
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return learn({}, **options)
     each = max(1, sample // len(counts))
@@ -122,7 +138,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, **options) -> Languages:
     rate = F.lit(0)
     for r in counts:
         rate = F.when(F.col("lang") == r["lang"], F.lit(min(scale, -(-scale * each // r["count"])))).otherwise(rate)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < rate).select("doc_id", "lang", "text").limit(4 * sample).toArrow()
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < rate).select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "lang").limit(4 * sample).toArrow()
     picked = picked.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     rows: dict[str, list[str]] = {}
     for lang, text in zip(picked["lang"].to_pylist(), picked["text"].to_pylist()):

@@ -3,13 +3,17 @@
 Words, pairs of neighbouring words and character 3- and 4-grams are hashed to rows of an
 embedding table; a document is the average of its rows, followed by a softmax layer. Both are
 learned by stochastic gradient descent in numpy, on the driver, from a bounded sample of
-labelled documents (``per_class`` of each class, in order of a hash of the id). Since the
-average and the layer are linear, a trained model is folded to one number a row, so that
-scoring a text is a sum over its features: each task scores whole texts, no shuffle.
+labelled documents (``per_class`` of each class, in order of a hash of the id, one text of each
+id, of at most ``MOST_CHARS`` characters). Since the average and the layer are linear, a trained
+model is folded to one number a row, so that scoring a text is a sum over its features: each
+task scores whole texts, no shuffle. A very long text is summed up piece by piece (pairs and
+n-grams do not cross from one piece of two million characters to the next).
 
 Defined results: null and empty texts, and texts of white space, score the trained layer's
 bias (no features); with labels of one class only, or none, every score is the share of
-label 1 (0.5 without labels). Repeated rows score alike; other columns are ignored.
+label 1 (0.5 without labels); of contradicting labels of one id the larger counts, and of
+texts of one id the one with the smallest hash is learned from. Repeated rows score alike; an
+empty table gives no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stackwise.llm.common import batches_of_text
+from stackwise.llm.common import batches_of_text, pieces_of
 from stackwise.llm.ngrams import Grams
 from stackwise.session import ship
 
 BUCKETS_LOG2 = 18
 #: The bound of the training sample: documents of each class.
 PER_CLASS = 1500
+#: The bound of a text in that sample; longer ones are scored, and not learned from.
+MOST_CHARS = 200_000
 MODEL = {"dim": 8, "epochs": 4, "rate": 0.5, "row_rate": 30.0, "seed": 7}
 
 
@@ -48,9 +54,12 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.empty(len(texts))
         for first, part in batches_of_text(texts):
-            rows, docs = features(part)
-            n = np.bincount(docs, minlength=len(part))
-            z = np.bincount(docs, weights=self.table[rows], minlength=len(part)) / np.maximum(n, 1) + self.bias
+            n, z = np.zeros(len(part)), np.zeros(len(part))
+            for some in [part] if len(part) > 1 else ([x] for x in pieces_of(part[0])):
+                rows, docs = features(some)
+                n += np.bincount(docs, minlength=len(part))
+                z += np.bincount(docs, weights=self.table[rows], minlength=len(part))
+            z = z / np.maximum(n, 1) + self.bias
             out[first : first + len(part)] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
@@ -96,7 +105,9 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lab
     labels = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     labels = labels.withColumn("h", F.xxhash64("doc_id"))
     picked = labels.where("y = 0").orderBy("h", "doc_id").limit(per_class).unionByName(labels.where("y = 1").orderBy("h", "doc_id").limit(per_class))
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "h", "y", F.coalesce("text", F.lit("")).alias("text")).toArrow()
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= MOST_CHARS).join(F.broadcast(picked), "doc_id")
+    # partial aggregation first: an id that many rows repeat is one row of a task
+    rows = texts.groupBy("doc_id", "h", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).toArrow()
     rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     return train(rows["text"].to_pylist(), rows["y"].to_pylist(), **MODEL)
 

@@ -11,7 +11,7 @@ import pytest
 from oracle import check
 from pyspark.sql import functions as F
 
-from stackwise.llm import extract, langid, mixing, packing, quality, queries, tokencount
+from stackwise.llm import common, extract, langid, mixing, packing, quality, queries, tokencount
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,6 +80,43 @@ def test_packing_keeps_the_mixture(spark):
     assert np.abs(got - share * 2048 * np.arange(1, len(got) + 1)).max() < 3 * 400 + 2048 * share
 
 
+def lane_loads(spark, rows, monkeypatch, parts, lane_tokens):
+    """Pieces, and the tokens of each lane (by source) as they are dealt."""
+    loads = []
+    monkeypatch.setattr(packing, "PARTS", parts)
+    monkeypatch.setattr(packing, "saved", lambda df, tag, keep=packing.saved: loads.append(keep(df, tag)) or loads[-1])
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), WORDS, lane_tokens=lane_tokens).collect()
+    monkeypatch.undo()
+    lanes = defaultdict(dict)
+    for r in loads[-1].collect():
+        lanes[r.lane][r.source] = r.tokens
+    return pieces, lanes
+
+
+@pytest.mark.parametrize("parts", [2, 8, 4096])
+def test_lanes_have_the_mixture_with_few_parts_and_many(spark, monkeypatch, parts):
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randint(20, 80), "big" if i % 5 else "small") for i in range(6000)]
+    pieces, lanes = lane_loads(spark, rows, monkeypatch, parts, 15_000)
+    check_packing(pieces, {i: t for i, t, _ in rows})
+    assert len(lanes) == 21 and max(sum(x.values()) for x in lanes.values()) < 1.4 * 15_000
+    assert all(0.12 < x["small"] / sum(x.values()) < 0.28 for x in lanes.values())
+
+
+@pytest.mark.parametrize("hot", [(None, "the same text " * 10), (7, "the same text " * 10), (None, None)])
+def test_rows_of_one_id_are_dealt_to_all_lanes(spark, monkeypatch, hot):
+    rows = [(i, f"some words {i} " * 10, "a") for i in range(100, 2100)] + [(*hot, "a")] * 1000 + [(None, f"text {i} " * 10, "b") for i in range(500)]
+    pieces, lanes = lane_loads(spark, rows, monkeypatch, 64, 4_000)
+    assert sum(p.length for p in pieces) == sum(sum(x.values()) for x in lanes.values())
+    assert max(sum(x.values()) for x in lanes.values()) < 1.5 * 4_000
+
+
+def test_sources_of_one_document_are_dealt_to_all_lanes(spark, monkeypatch):
+    rows = [(i, "w " * 50, f"host {i}") for i in range(1000)]
+    _, lanes = lane_loads(spark, rows, monkeypatch, 4096, 5_000)
+    assert max(sum(x.values()) for x in lanes.values()) < 2 * 5_000
+
+
 def test_deficit_is_carried():
     import pyarrow as pa
 
@@ -273,9 +310,29 @@ def test_quality_odd(spark):
     assert quality.score(odd(spark), quality.train([], [], **quality.MODEL)).columns == [c for c in odd(spark).columns if c != "score"] + ["score"]
 
 
+def test_long_texts_are_scored_by_pieces(monkeypatch):
+    text = " ".join(f"word{i % 97} other{i % 89}" for i in range(4000))
+    model = quality.train([text, "junk junk !!! 123"] * 3, [1, 0] * 3, **quality.MODEL)
+    languages = langid.learn({"a": [text], "b": ["junk junk !!! 123"]})
+    whole, mixture = model.scores([text, "short", text]), languages.mixtures([text])
+    for module in (quality, langid):
+        monkeypatch.setattr(module, "pieces_of", lambda t: common.pieces_of(t, 1000))
+    monkeypatch.setattr(langid, "PIECE_CHARS", 1000)
+    monkeypatch.setattr(quality, "batches_of_text", lambda texts: common.batches_of_text(texts, 1000))
+    assert np.allclose(model.scores([text, "short", text]), whole, atol=0.02)
+    assert np.allclose(languages.mixtures([text]), mixture, atol=1e-3)
+    assert "".join(common.pieces_of(text, 1000)) == text and max(map(len, common.pieces_of(text, 1000))) <= 1000
+    assert list(common.pieces_of("x" * 2500, 1000)) == ["x" * 1000, "x" * 1000, "x" * 500]
+
+
 # --- languages
 
 
+@pytest.mark.parametrize("text", ["½ ² Ⅷ ①", "12 _ -- !", "", " \n"])
+def test_no_letter_is_no_language(text):
+    assert not langid.has_letter(text) and langid.has_letter(text + "ж") and langid.has_letter(text + "語")
+
+
 def test_language_held_out(spark):
     rows = sampled("doc_id, text, lang", 2500)
     out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
