@@ -187,6 +187,34 @@ def test_mixed_documents(spark):
     assert got == {k: v.taken for k, v in plan.items() if v.taken}
 
 
+def test_mixed_documents_meet_the_targets_with_repeated_ids(spark):
+    rows = [(i % 7 if i % 3 else None, " ".join(f"w{i % 50}_{k}" for k in range(20)), "s%d" % (i % 4), i) for i in range(400)] + [(5, "all the same words", "s0", i) for i in range(150)] + [(None, "no id here", None, 1)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, at long")
+    want = defaultdict(int)
+    for r in mixing.mix(df).collect():
+        want[r.source] += r.taken
+    got = defaultdict(int)
+    for r in mixing.mixed_documents(df).collect():
+        got[r.source] += len(r.text.split())
+    assert got == {k: v for k, v in want.items() if v}
+    sizes = defaultdict(int)
+    for _, text, source, _ in rows:
+        sizes[source] += len(text.split())
+    target = filled(sizes)
+    assert all(abs(want[s] - target[s]) <= 1 for s in sizes)
+
+
+def test_an_id_of_a_third_of_all_rows_is_one_entry(spark, monkeypatch):
+    rows = [(i, "some words " * (i % 5 + 1), "a") for i in range(100, 700)] + [(None, "x y z", "a")] * 150 + [(7, "u v", "a")] * 150
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    entries = mixing.queued(mixing.sized(df, "doc_id", "source", "text"), mixing.WEIGHTS, 3, mixing.ramp)
+    assert entries.count() == 602 and entries.groupBy("id").count().agg(F.max("count")).first()[0] == 1
+    monkeypatch.setattr(mixing, "COPIES", 40)  # the copies of an entry are made in parts
+    out = mixing.mix(df).collect()
+    assert len(out) == 900 and sum(r.taken for r in out) == sum(r.size for r in out)
+    assert sum(r.size for r in out) == sum(len(t.split()) for _, t, _ in rows)
+
+
 def test_schedule_is_inverted(spark):
     t = spark.createDataFrame([("a", 100, 5, 100.0), ("b", 50, 1, 20.0)], "source string, source_size long, weight long, target double")
     d = mixing.with_demand(mixing.ramp(t))
