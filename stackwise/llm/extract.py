@@ -1,20 +1,24 @@
 """Main text of web pages by composite text density.
 
-A page is parsed to a tree of elements (end tags that HTML implies are filled in). Menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by element, role, class or id. Every other node has its characters, tags, link
-characters and link tags; its composite density is the characters a tag, raised or lowered by
-how much of its text is links; a node's sum is that of its children's densities. The node with
-the largest sum is the core. The lowest density on the path from the body to it is the
-threshold: from the core up to the body, the parts beside it that reach the threshold belong to
-it, and so do loose text, headings before such parts, and what lies between two of them and is not
-mostly links. An article or main element around the core is taken whole.
+A page is parsed to a tree of elements (end tags that HTML implies are filled in). Elements that are
+never text of an article (menus, footers, asides, forms, scripts, styles, headers outside of one, and
+what is hidden or has the role of one of these) are left out. Every other node has its characters,
+tags, link characters and link tags; its composite density is the characters a tag, raised or lowered
+by how much of its text is links. Names only adjust densities: below a class or id that speaks of
+boilerplate or comments they are a fiftieth, below an article or main element twice as much. A node's
+sum is that of its children's densities, and the node with the largest sum is the core, or what
+holds it if that is a paragraph or inline. The lowest density on the path from the core to the body
+is the threshold. Inside the core all stays but parts below the threshold that are mostly links or
+have such a name; from the core up to the body, the parts beside it that reach the threshold belong
+to it, and so do loose text, headings before such parts, and what lies between two of them and is
+not mostly links.
 
 Blocks are the runs of text between the boundaries of block elements and line breaks.
 
-Defined results: null or empty html, and pages without text, give an empty text; text that
-follows an unfinished tag is dropped with it; repeated rows give the same result; null urls
-stay null.
+Defined results: null or empty html, and pages without text, give an empty text; a tag that does
+not end before the page does is dropped; repeated rows give the same result; null ids and urls stay
+null; a page of any length is parsed whole; of equal sums the node that comes first is the core; an
+empty table gives no rows; other columns are kept, whatever they are called, but text and n_chars.
 """
 
 from __future__ import annotations
@@ -36,12 +40,17 @@ BLOCK = frozenset("address article aside blockquote body br center dd details di
 CLOSES_P = BLOCK - {"br", "body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 WORDS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer sidebar aside ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription social share sharing related recommended recommendations comment comments commentlist disqus respond widget pagination pager toolbar login signup search skip copyright alert alerts cookiebar cookiebanner disclaimer paywall topbar sharebar adbox adslot adunit adbanner".split())
+ARTICLES = frozenset("article main".split())
+HOLDERS = frozenset("article main body section div td th li dd blockquote center figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th", "thead", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 P_WALLS = frozenset("html body table td th caption button object template".split())
 
+#: What densities are multiplied by below a name of boilerplate, and below an article or main element.
+LOW, HIGH = 0.02, 2.0
+
 TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)(?:>|\Z)|/?[a-zA-Z][^>]*(?:>|\Z)|/[^>]*(?:>|\Z))""", re.S)
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -49,14 +58,14 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "attrs", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds")
+    __slots__ = ("tag", "parent", "parts", "attrs", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds", "named", "comments", "low", "inside")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.parts: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.holds = False
+        self.holds = self.named = self.comments = self.low = self.inside = False
 
 
 def parse(html: str) -> Node:
@@ -135,50 +144,46 @@ def entities_safe(text: str) -> str:
     return text.replace("&", "&amp;")
 
 
-def unwanted(node: Node, inside_article: bool) -> bool:
-    tag = node.tag
-    if tag in DROPPED:
-        return True
-    if tag == "header" and not inside_article:
-        return True
-    if not node.attrs or tag in ("html", "body"):
-        return False
-    seen = node.attrs.lower()
-    if "class" not in seen and "id" not in seen and "role" not in seen and "hidden" not in seen:
-        return False
+def names_of(node: Node) -> tuple[set[str], bool]:
+    """The words of a node's class and id, and whether it is hidden or has the role of an element that is left out."""
     names: set[str] = set()
-    for k, a, b, c in ATTR.findall(node.attrs):
-        k = k.lower()
-        if k in ("class", "id"):
-            names.update(SPLIT.split((a or b or c).lower()))
-        elif k == "role" and (a or b or c).lower() in ROLES or k == "hidden":
-            return True
-    if tag in ("article", "main"):
-        return bool(names & COMMENTS)
-    if names & WORDS:
-        return bool(names & COMMENTS) or not node.holds
-    return "header" in names and not inside_article and not node.holds
+    out = False
+    seen = node.attrs.lower()
+    if "class" in seen or "id" in seen or "role" in seen or "hidden" in seen:
+        for k, a, b, c in ATTR.findall(node.attrs):
+            k = k.lower()
+            if k in ("class", "id"):
+                names.update(SPLIT.split((a or b or c).lower()))
+            elif k == "role" and (a or b or c).lower() in ROLES or k == "hidden":
+                out = True
+    return names, out
 
 
 def measured(root: Node) -> list[Node]:
-    """Drops what is unwanted and measures the rest; the nodes that stay, parents first."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(x for x in reversed(node.parts) if isinstance(x, Node))
-    for node in reversed(order):
-        if node.tag in ("article", "main") or node.holds:
-            if node.parent is not None:
-                node.parent.holds = True
+    """Leaves out the elements that are never text, and measures the others; the nodes that stay, parents first."""
     kept, stack = [], [(root, False)]
     while stack:
         node, inside = stack.pop()
         kept.append(node)
-        inside = inside or node.tag in ("article", "main")
-        node.parts = [x for x in node.parts if not isinstance(x, Node) or not unwanted(x, inside)]
-        stack.extend((x, inside) for x in reversed(node.parts) if isinstance(x, Node))
+        inside = inside or node.tag in ARTICLES
+        parts = []
+        for x in node.parts:
+            if isinstance(x, Node):
+                if x.tag in DROPPED or x.tag == "header" and not inside:
+                    continue
+                if x.attrs and x.tag not in ("html", "body"):
+                    names, out = names_of(x)
+                    if out:
+                        continue
+                    x.comments = bool(names & COMMENTS)
+                    x.named = bool(names & WORDS) or "header" in names and not inside
+            parts.append(x)
+        node.parts = parts
+        stack.extend((x, inside) for x in reversed(parts) if isinstance(x, Node))
     for node in reversed(kept):
+        node.holds = node.holds or node.tag in ARTICLES
+        if node.holds and node.parent is not None:
+            node.parent.holds = True
         for x in node.parts:
             if isinstance(x, Node):
                 node.chars += x.chars
@@ -193,20 +198,28 @@ def measured(root: Node) -> list[Node]:
 
 
 def densities(kept: list[Node], body: Node) -> None:
+    """Composite densities, adjusted by names, and their sums."""
     ratio = body.link_chars / max(body.chars, 1)
     for node in kept:
+        above = node.parent
+        # what holds an article, or blocks with most of a page, is a frame and not what its name says
+        frame = node.holds or 2 * node.chars > body.chars and any(isinstance(x, Node) and x.tag in BLOCK for x in node.parts)
+        node.low = above is not None and above.low or node.comments or node.named and not frame
+        node.inside = node.tag in ARTICLES or above is not None and above.inside
         if not node.chars:
             continue
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
         # the logarithm's base grows with the share of links, the argument shrinks with it
         base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + ratio * c + math.e)
         node.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, 1.01))
+        node.density *= (LOW if node.low else 1) * (HIGH if node.inside else 1)
     for node in kept:
         if node.parent is not None:
             node.parent.total += node.density
 
 
 def core(root: Node) -> Node:
+    """The node that holds the text; parts that do not belong to it are taken out of it."""
     kept = measured(root)
     body = next((x for x in kept if x.tag == "body"), root)
     densities(kept, body)
@@ -214,21 +227,30 @@ def core(root: Node) -> Node:
     for node in kept:
         if node.total > best.total and node is not root:
             best = node
-    path = []
-    node = best
+    while best is not body and best.parent is not None and best.tag not in HOLDERS:
+        best = best.parent
+    threshold, node = body.density, best
     while node is not None and node is not body:
-        path.append(node)
+        threshold = min(threshold, node.density)
         node = node.parent
-    for node in reversed(path):
-        if node.tag in ("article", "main"):
-            return node
-    threshold = min((x.density for x in [*path, body]), default=0.0)
+    stack = [best]
+    while stack:
+        node = stack.pop()
+        node.parts = [x for x in node.parts if isinstance(x, str) or not boilerplate(x, threshold)]
+        stack.extend(x for x in node.parts if isinstance(x, Node) and x.tag in BLOCK)
     while best is not body and best.parent is not None:
         best.parent.parts = grown(best, threshold)
         best = best.parent
     return best
 
 
+def boilerplate(node: Node, threshold: float) -> bool:
+    """Whether a part inside the core is left out: below the threshold, and named so or a block mostly of links."""
+    if not node.chars or node.density >= threshold:
+        return False
+    return node.low or node.tag in BLOCK and node.tag not in HEADINGS and node.tag != "p" and node.link_tags > 1 and 2 * node.link_chars > node.chars
+
+
 def grown(best: Node, threshold: float) -> list:
     """The parts of the parent of ``best`` that belong to the text with it."""
     runs: list[list] = []  # a block, or text and inline elements side by side

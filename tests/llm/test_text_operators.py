@@ -290,6 +290,49 @@ def test_extract_odd(spark):
     assert extract.extract(df.where("false")).count() == 0
 
 
+def articles(page):
+    """The text of the given pages' articles, by a regular expression."""
+    import html
+    import re
+
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = re.split(r"<(?:/?(?:p|h1)|br)>", inner)
+    texts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", x))).strip() for x in parts)
+    return "\n".join(t for t in texts if t)
+
+
+def pages_of(folder):
+    return [h for (h,) in duckdb.sql(f"SELECT html FROM '{folder}/pages.parquet' WHERE html LIKE '%<article>%</article>%' ORDER BY page_id").fetchall()]
+
+
+@pytest.mark.parametrize("words,least", [(extract.WORDS, 1.0), (frozenset(), 0.95)])
+def test_density_finds_the_articles_without_their_element(monkeypatch, words, least):
+    """Without article elements the text is the same, and nearly so without any names of boilerplate; without densities it is not."""
+    monkeypatch.setattr(extract, "WORDS", words)
+    pages = pages_of("/root/testdata/sf0.01")
+    want = [articles(p) for p in pages]
+    renamed = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    assert np.mean([extract.main_text(p) == w for p, w in zip(renamed, want)]) >= least
+    monkeypatch.setattr(extract, "densities", lambda kept, body: None)
+    assert np.mean([extract.main_text(p) == w for p, w in zip(renamed, want)]) < 0.1
+
+
+def test_extract_leaves_boilerplate_out():
+    story = "".join(f"<p>{'Some words of the story that go on. ' * 5}{i}</p>" for i in range(4)) + "<p>The end.</p>"
+    want = [f"{'Some words of the story that go on. ' * 5}{i}" for i in range(4)] + ["The end."]
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Topic {i}</a></li>" for i in range(6)) + "</ul>"
+    comments = "<div class='comments'>" + "<div class='comment'><p>I do not agree with this at all, as I said before.</p></div>" * 9 + "</div>"
+    around = [f"<div class='header'>The site {menu}</div>", "<div id='cookie-notice'><p>We use cookies for your best experience of this site.</p><button>Accept</button></div>", f"<div class='sidebar'><h3>More</h3>{menu}</div>", "<form><p>Sign up for news</p><input name=q></form>", f"<div class='footer'><p>All rights are reserved by the owners of the site.</p>{menu}</div>"]
+    for page in (
+        f"<body>{around[0]}{around[1]}<article>{story}</article>{around[2]}{around[3]}{around[4]}</body>",
+        f"<body>{around[0]}<div class='post'>{story}{comments}</div>{around[2]}{around[1]}{around[4]}</body>",
+        f"<body>{around[0]}<article>{story}<section class='ads'><p>Buy this now at a good price.</p></section>{comments}</article></body>",
+        f"<body><div class='page with-sidebar'>{around[0]}<main>{story}</main>{around[2]}</div>{comments}{around[4]}</body>",
+        f"<body><table><tr><td>{menu}</td><td>{story}</td></tr></table><div role='contentinfo'>Us</div><p hidden>Not seen</p></body>",
+    ):
+        assert extract.main_text(page).split("\n") == want, page
+
+
 def test_extract_equals_the_articles(spark, sf):
     import html
     import re
