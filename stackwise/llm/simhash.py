@@ -12,7 +12,10 @@ crowd around half the bits). A node has a vantage point and a bound; a fingerpri
 inside or outside it. One that is outside by no more than the radius also visits the inside
 (the reverse is not needed: each pair has to meet once). Leaves are shards; a task compares a
 shard's homes with each other and with its visitors, on all bits. Trees are built on the
-driver from a bounded sample; they decide only where pairs meet, not which pairs there are.
+driver from a bounded sample; they decide only where pairs meet, not which pairs there are. Leaves
+that are overfull, as the sample is too small for the table, are cut by trees of their own, each
+built in a task from a bounded sample of its leaf, level by level; so leaves do not grow with the
+table. What no tree can cut (equal pieces) is dealt to tasks in parts.
 
 The pipeline's near copies (``deduplicated``) are too far apart for such trees. There, every set of
 shingles has bands of MinHash values, and sets with an equal band meet. Whether two sets share a
@@ -25,11 +28,14 @@ near copies cost their size, not its square. Links leave a task as a spanning st
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and
 link like any other; a null id has a fingerprint, and takes no part in links (null component);
-repeated rows are of one class; an empty table gives no rows.
+repeated rows are of one class; an empty table gives no rows; of a long text all shingles are
+hashed at once (eight bytes each). ``detect`` ignores columns other than doc_id and text, whatever
+they are called; ``deduplicated`` keeps them.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 from itertools import accumulate, chain
 
@@ -217,10 +223,11 @@ class Tree:
                         best = cost, p, bound
         return None if best is None or best[0] > 0.9 * n * n / 2 else best[1:]
 
-    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, leaves and whether the row is at home there."""
+    def places(self, x: np.ndarray, at_home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, leaves and whether the row is at home there; rows that are not ``at_home`` in the tree are visitors everywhere."""
         rows, leaves, home = [], [], []
-        stack = [(self.root, np.arange(len(x)), np.zeros(0, dtype=np.int64))]
+        at_home = np.ones(len(x), bool) if at_home is None else at_home
+        stack = [(self.root, np.flatnonzero(at_home), np.flatnonzero(~at_home))]
         while stack:
             node, own, guests = stack.pop()
             if not len(own) and not len(guests):
@@ -234,6 +241,8 @@ class Tree:
             d, g = np.bitwise_count(x[own] ^ point).astype(int), np.bitwise_count(x[guests] ^ point).astype(int)
             stack.append((inner, own[d <= bound], np.concatenate([guests[g - self.radius <= bound], own[(d > bound) & (d - self.radius <= bound)]])))
             stack.append((outer, own[d > bound], guests[g + self.radius > bound]))
+        if not rows:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
         return np.concatenate(rows), np.concatenate(leaves), np.concatenate(home)
 
 
@@ -275,6 +284,55 @@ def linked(x: np.ndarray, homes: int, radius: int, cross: bool = False) -> tuple
     return union.edges()
 
 
+#: Leaves of so many times the rows they should have are cut again; rows of such a leaf that a task cuts at a time.
+OVERFULL = 4
+CUT_ROWS = 200_000
+PLACES = "shard long, piece int, home boolean, id long, fp binary"
+
+
+def placed(tree: Tree, above: int, piece: int, ids: pa.Array, fps: pa.Array, at_home: np.ndarray | None, scheme: Scheme) -> pa.RecordBatch:
+    """The rows in the leaves of a tree below the shard ``above``; leaves are named by a hash of the shard and their number."""
+    rows, leaves, home = tree.places(piece_of(words_of(fps.to_pylist()), scheme, piece), at_home)
+    name = (np.uint64(above & (1 << 64) - 1) ^ np.uint64(_MIX[2])) * np.uint64(_MIX[0]) + leaves.astype(np.uint64) * np.uint64(_MIX[1])
+    name = (name ^ (name >> np.uint64(29))) * np.uint64(_MIX[0])
+    at = pa.array(rows)
+    return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.full(len(rows), piece, np.int32)), pa.array(home), ids.take(at), fps.take(at)], names=["shard", "piece", "home", "id", "fp"])
+
+
+def finer(assigned: DataFrame, scheme: Scheme, sample: int) -> DataFrame:
+    """``assigned`` with every overfull shard cut by a tree of its own, again and again, as long as that helps."""
+    done, left = [], assigned
+
+    def build(t: pa.Table) -> pa.Table:
+        n, piece = t["h"][0].as_py(), t["piece"][0].as_py()
+        x = piece_of(words_of(sorted(t["fp"].to_pylist())), scheme, piece)
+        tree = Tree(x, scheme.piece_radius, scheme.bits // scheme.pieces, scheme.leaf * len(x) / n, piece)
+        return pa.table([t["shard"][:1], pa.array([tree.leaves], pa.int32()), pa.array([pickle.dumps(tree)], pa.binary())], names=["shard", "leaves", "tree"])
+
+    def cut(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        b = placed(pickle.loads(trees["tree"][0].as_py()), rows["shard"][0].as_py(), rows["piece"][0].as_py(), rows["id"].combine_chunks(), rows["fp"].combine_chunks(), rows["home"].to_numpy(zero_copy_only=False), scheme) if len(rows) else None
+        return pa.Table.from_batches([b]) if b is not None else rows.select(["shard", "piece", "home", "id", "fp"])
+
+    while True:
+        counts = saved(left.groupBy("shard").agg(F.count_if("home").alias("h"), F.count("*").alias("m")).where(F.col("h") > OVERFULL * scheme.leaf), "overfull")
+        if counts.isEmpty():
+            break
+        scale = 1 << 30
+        seen = left.where("home").join(counts, "shard").where(F.pmod(F.xxhash64("fp"), F.lit(scale)) < F.lit(float(scale) * sample) / F.col("h"))
+        trees = saved(seen.select("shard", "piece", "h", "fp").groupBy("shard").applyInArrow(build, "shard long, leaves int, tree binary").where("leaves > 1"), "trees")
+        if trees.isEmpty():
+            break
+        parts = trees.join(counts, "shard").select("shard", "tree", F.ceil(F.col("m") / CUT_ROWS).cast("int").alias("parts"))
+        done.append(left.join(trees.select("shard"), "shard", "left_anti"))
+        rows = left.join(parts.select("shard", "parts"), "shard").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        spread = parts.select("shard", "tree", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        left = saved(rows.groupBy("shard", "part").cogroup(spread.groupBy("shard", "part")).applyInArrow(cut, PLACES), "shards")
+    for d in done:
+        left = left.unionByName(d)
+    return left
+
+
 def links(classes: DataFrame, scheme: Scheme, sample: int = SAMPLE) -> DataFrame:
     """Spanning links (a, b) between the classes (id, fp) that are within the radius."""
     spark = ship(classes.sparkSession)
@@ -286,13 +344,8 @@ def links(classes: DataFrame, scheme: Scheme, sample: int = SAMPLE) -> DataFrame
 
     def assign(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = words_of(b.column(1).to_pylist())
-            for p, tree in enumerate(shared.value):
-                rows, leaves, home = tree.places(piece_of(x, scheme, p))
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.astype(np.int64) + (p << 32)), pa.array(home), b.column(0).take(at), b.column(1).take(at)], names=["shard", "home", "id", "fp"])
+            for p, tree in enumerate(shared.value if b.num_rows else ()):
+                yield placed(tree, p, p, b.column(0), b.column(1), None, scheme)
 
     def meet(t: pa.Table) -> pa.Table:
         home = t["home"].to_numpy()
@@ -302,8 +355,8 @@ def links(classes: DataFrame, scheme: Scheme, sample: int = SAMPLE) -> DataFrame
         a, b = linked(x, int(home.sum()), scheme.radius, t["cross"][0].as_py())
         return pa.table([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
-    assigned = saved(classes.select("id", "fp").mapInArrow(assign, "shard long, home boolean, id long, fp binary"), "shards")
-    return dealt(assigned, "fp").groupBy("shard", "part").applyInArrow(meet, "a long, b long")
+    assigned = finer(saved(classes.select("id", "fp").mapInArrow(assign, PLACES), "shards"), scheme, sample)
+    return dealt(assigned.drop("piece"), "fp").groupBy("shard", "part").applyInArrow(meet, "a long, b long")
 
 
 def groups(df: DataFrame, scheme: Scheme, id_col: str = "doc_id") -> DataFrame:

@@ -137,6 +137,34 @@ def test_links_equal_all_pairs(spark):
     assert [got.get(i, i) for i in range(len(x))] == u.name.tolist()
 
 
+def test_overfull_leaves_are_cut_again(spark):
+    """A sample far too small for the table: leaves stay small by trees of their own, and no link is lost."""
+    x = near_bits(4000, 4)
+    scheme = simhash.Scheme(words=3, bits=64, radius=3, pieces=2, piece_radius=1, leaf=10)
+    df = spark.createDataFrame([(i, bytearray(int(v).to_bytes(8, "big"))) for i, v in enumerate(x)], "id long, fp binary")
+    cuts, most = [], []
+    keep = simhash.finer
+
+    def watched(assigned, scheme, sample):
+        out = keep(assigned, scheme, sample)
+        size = lambda d: [r.h for r in d.groupBy("shard").agg(F.count_if("home").alias("h")).collect()]
+        cuts.append(max(size(assigned))), most.extend(size(out))
+        return out
+
+    simhash.finer = watched
+    try:
+        got = {r.node: r.component for r in components(simhash.links(df, scheme, sample=60)).collect()}
+    finally:
+        simhash.finer = keep
+    u = Unions(len(x))
+    for i in range(len(x)):
+        near = np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 3)
+        u.merge(np.full(len(near), i), near)
+    assert [got.get(i, i) for i in range(len(x))] == u.name.tolist()
+    # but for the large ball, whose pieces are equal
+    assert cuts[0] > 100 and sorted(most)[-5] <= simhash.OVERFULL * scheme.leaf and len(most) > 300
+
+
 def test_tree_meets_every_near_pair():
     x = near_bits(2000, 3)
     piece = simhash.piece_of(x[:, None], simhash.CONTRACT, 0)
