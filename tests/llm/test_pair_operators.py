@@ -392,6 +392,19 @@ def test_embeddings_recall_over_many_cells(spark, monkeypatch):
     assert found >= 0.97
 
 
+def test_traversal_is_in_order_of_distance():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        a, b = (np.sort(np.r_[0, rng.random(rng.integers(0, 12)).round(1)]) for _ in range(2))
+        got = list(vecdedup.nearest_cells(a.tolist(), b.tolist(), 0.9))
+        assert [d for *_, d in got] == sorted(d for *_, d in got)
+        assert sorted((i, j) for i, j, _ in got) == [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] + b[j] <= 0.9]
+
+
+def test_codes_grow_with_the_table():
+    assert [vecdedup.codes_for(n) for n in (0, 1000, 1024 * 100, 10**9, 10**10, 10**12)] == [1, 1, 10, 988, 3125, 4096]
+
+
 def test_embeddings_of_the_table(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     links, name, pairs = brute_near(rows)
