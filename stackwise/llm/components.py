@@ -4,6 +4,9 @@ Alternating large-star and small-star steps: every step replaces a link by one t
 neighbour, until every component is a star around its smallest node. Minima are aggregated
 before they are shuffled, and joins against a popular node are ones the engine can split; each
 step is written to the shared folder, which cuts the lineage.
+
+Defined results: links of a node with itself, and links with a null end, are left out; repeated links
+count once; no links give no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations

@@ -5,7 +5,11 @@ doubly linked list, and a heap hands out the lowest-ranked adjacent pair again a
 The count is the number of initial symbols less the merges made (plus the extra bytes of
 characters that have no piece); no identifier is ever produced.
 
-Null text counts as empty: zero bytes, zero tokens. Repeated rows are counted one by one.
+Defined results: null text counts as empty: zero bytes, zero tokens; a null id stays null; repeated
+rows are counted one by one; of equal ranks the pair further left is merged first, as the library
+does; a text of any length is counted whole, segment by segment (a segment without any white space
+takes some hundred bytes a character while it is merged); an empty table gives no rows; other
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
