@@ -55,7 +55,7 @@ def budget(text: str, size: int, overlap: int) -> tuple[int, int]:
 
 
 def blocks(text: str) -> list[tuple[str, str]]:
-    """(block, heading path): paragraphs; a fenced block is one whatever is in it; headings lead what follows."""
+    """(block, heading path): paragraphs; a fenced block is one of its own up to a line of its mark alone; headings lead what follows."""
     out: list[tuple[str, str]] = []
     path: dict[int, str] = {}
     lines: list[str] = []
@@ -71,10 +71,11 @@ def blocks(text: str) -> list[tuple[str, str]]:
         mark = _FENCE.match(line)
         if fence:
             lines.append(line)
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
+            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and mark[1] == line.strip():
                 fence = ""
             continue
         if mark:
+            flush()
             fence = mark[1]
             lines.append(line)
             continue
@@ -166,32 +167,40 @@ def semantic_segments(text: str, separator: str = "") -> list[tuple[str, str]]:
 
 
 def semantic_merge(segments: list[tuple[str, str]], vectors: list, size: int, least: float = 0.75) -> list[tuple[str, str, np.ndarray | None]]:
-    """Neighbours joined while they fit the budget and are similar (a missing vector is similar); vectors are averaged by length."""
+    """Neighbours joined while they fit the budget and are similar (a missing vector is similar to any).
+
+    A chunk has the mean of its segments' vectors, weighed by the lengths of those that have one; a chunk
+    whose first segment has none has none.
+    """
     if not segments:
         return []
     chars, _ = budget("\n".join(s for s, _ in segments), size, 0)
     out: list[list] = []
+    embedded = 0  # characters of the last chunk's segments that its vector is made of
     for (text, heading), v in zip(segments, vectors):
         v = None if v is None else np.asarray(v, dtype=float)
-        if out:
-            last = out[-1]
-            near = 1.0
+        last = out[-1] if out else None
+        if last is not None and len(last[0]) + 1 + len(text) <= chars and alike(last[2], v) >= least:
+            last[0] += "\n" + text
             if last[2] is not None and v is not None:
-                length = np.linalg.norm(last[2]) * np.linalg.norm(v)
-                near = float(np.clip(last[2] @ v / length, 0, 1)) if length else 0.0
-            if len(last[0]) + 1 + len(text) <= chars and near >= least:
-                if last[2] is not None and v is not None:
-                    mean = (last[2] * len(last[0]) + v * len(text)) / (len(last[0]) + len(text))
-                    length = np.linalg.norm(mean)
-                    last[2] = mean / length if length else mean
-                elif v is not None:
-                    last[2] = v
-                last[0] += "\n" + text
-                continue
-        out.append([text, heading, v])
+                mean = (last[2] * embedded + v * len(text)) / (embedded + len(text))
+                length = np.linalg.norm(mean)
+                last[2] = mean / length if length else mean
+                embedded += len(text)
+        else:
+            out.append([text, heading, v])
+            embedded = len(text)
     return [tuple(x) for x in out]
 
 
+def alike(a: np.ndarray | None, b: np.ndarray | None) -> float:
+    """The clamped cosine; 1 where a vector is missing, 0 where one has no length."""
+    if a is None or b is None:
+        return 1.0
+    length = np.linalg.norm(a) * np.linalg.norm(b) if len(a) == len(b) else 0.0
+    return float(np.clip(np.nan_to_num(a @ b / length), 0, 1)) if length else 0.0
+
+
 def with_chunks(docs: DataFrame, size: int = 1024, overlap: int = 200, smart: bool = True, separator: str = "", limit: int = 0, text_col: str = "raw_text") -> DataFrame:
     """One row per chunk: the columns of ``docs`` without the text, and idx, text, heading."""
     ship(docs.sparkSession)
