@@ -44,6 +44,31 @@ def effective_mode(requested: str, ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id").agg(mode.alias("mode")) if requested not in ("vector", "lexical") else ranked.select("query_id").distinct().withColumn("mode", mode)
 
 
+def lane_mode(requested: Column, embedded: Column) -> Column:
+    """What a query is searched by: the vector modes need a query vector and chunks with vectors of its width, else the search is lexical."""
+    return F.when((requested == "lexical") | ~F.coalesce(embedded, F.lit(False)), "lexical").when(requested == "auto", "hybrid").otherwise(requested)
+
+
+def mmr_applies(asked: Column, lam: Column, has_vector: Column) -> Column:
+    """Whether results are diversified: if the request says so, or the configuration where it says nothing, and always with a weight and a query vector."""
+    return F.coalesce(asked, lam > 0) & (lam > 0) & has_vector
+
+
+def memory_hybrid(vector: DataFrame, lexical: DataFrame, candidates: DataFrame, queries: DataFrame, k: int = RRF_K) -> DataFrame:
+    """Every candidate, without pools: both lanes rank all that they have (lexical: those without a match come last, by id), fused with equal weights.
+
+    ``vector`` and ``lexical`` are (query_id, chunk_id, score) of all pairs that have one; for a few
+    queries, as the result has a row for each query and candidate.
+    """
+    every = candidates.select("chunk_id").join(queries.select("query_id"), F.lit(True))
+    x = every.join(lexical.select("query_id", "chunk_id", F.col("score").alias("lexical_score")), ["query_id", "chunk_id"], "left").withColumn("lexical_score", F.coalesce("lexical_score", F.lit(0.0)))
+    both = x.join(vector.select("query_id", "chunk_id", F.col("score").alias("vector_score")), ["query_id", "chunk_id"], "left")
+    place = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(c).desc_nulls_last(), "chunk_id"))
+    both = both.withColumn("vector_rank", place("vector_score")).withColumn("lexical_rank", place("lexical_score"))
+    part = F.when(F.col("vector_score").isNotNull(), F.lit(1.0) / (F.lit(k) + F.col("vector_rank"))).otherwise(F.lit(0.0)) + F.lit(1.0) / (F.lit(k) + F.col("lexical_rank"))
+    return both.select("query_id", "chunk_id", (part / F.lit(2 / (k + 1))).alias("score"), "vector_score", "lexical_score")
+
+
 def mmr_order(scores: np.ndarray, vectors: list, lam: float, top_k: int) -> list[int]:
     """Rows in their new order: picked greedily by lam * score - (1 - lam) * nearest picked, then the others, then those without a vector."""
     have = [i for i, v in enumerate(vectors) if v is not None and len(v)]
@@ -82,8 +107,17 @@ def rerank(ranked: DataFrame, scorer: Callable[[Column, Column], Column], top_k:
 
     Only candidates that the scorer returns a score for stay; a query with none, or with one candidate only, keeps its order.
     """
+    return _reranked(ranked.withColumn("new", scorer(F.col("query"), F.col("text"))), top_k)
+
+
+def rerank_by(ranked: DataFrame, scores: DataFrame, top_k: int) -> DataFrame:
+    """The same by a reranker's answers: ``scores`` (query_id, chunk_id, new), joined by the ids."""
+    return _reranked(ranked.join(scores.select("query_id", "chunk_id", "new"), ["query_id", "chunk_id"], "left"), top_k)
+
+
+def _reranked(r: DataFrame, top_k: int) -> DataFrame:
     w = Window.partitionBy("query_id")
-    r = ranked.withColumn("new", scorer(F.col("query"), F.col("text"))).withColumn("some", F.max(F.col("new").isNotNull()).over(w) & (F.count("*").over(w) > 1))
+    r = r.withColumn("some", F.max(F.col("new").isNotNull()).over(w) & (F.count("*").over(w) > 1))
     r = r.where(~F.col("some") | F.col("new").isNotNull()).withColumn("score", F.when(F.col("some"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("new")))).otherwise(F.col("score")))
     place = F.row_number().over(w.orderBy(F.when(F.col("some"), -F.col("score")).otherwise(F.col("rank").cast("double")), "chunk_id"))
     return r.withColumn("rank", place).withColumn("reranked", F.col("some")).drop("new", "some").where(F.col("rank") <= top_k)

@@ -1,7 +1,8 @@
 """Lexical lanes over batches of queries.
 
 Corpora are (chunk_id, text); queries are (query_id, query). Only query terms, ids and counts
-are shuffled: a chunk's text is read once, in its own task, whatever the number of queries.
+are shuffled: a chunk's text is read in its own task, once or twice, whatever the number of queries.
+Tables of terms and postings are written, so their sizes are known and Spark broadcasts the small ones.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stackwise.functions import text as T
+from stackwise.session import saved
 
 
 def top(scored: DataFrame, k: int, key: str = "query_id", item: str = "chunk_id", digits: int = 6) -> DataFrame:
@@ -27,18 +29,33 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
     """query_id, chunk_id, score of every chunk that shares a bigram token with the query.
 
     N, df and the mean length are those of ``corpus`` (the scope after filters); a token that the
-    query repeats counts each time.
+    query repeats counts each time. The corpus is tokenised once, to postings of the queries' tokens
+    and a row without a token for every chunk, which are written; all else is made from these.
     """
-    wanted = queries.select("query_id", F.explode(T.tok_bigram(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    tokens = corpus.select("chunk_id", T.tok_bigram(F.col("text")).alias("tokens")).select("chunk_id", F.size("tokens").alias("dl"), "tokens")
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    posting = tokens.select("chunk_id", "dl", F.explode("tokens").alias("token")).join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi").groupBy("token", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    wanted = saved(queries.select("query_id", F.explode(T.tok_bigram(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf")), "wanted")
+    tokens = corpus.select("chunk_id", T.tok_bigram(F.col("text")).alias("tokens"))
+    tokens = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("token"))
+    known = wanted.select("token").distinct().withColumn("known", F.lit(True))
+    posting = tokens.join(known, "token", "left").where("known or token is null").groupBy("token", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    posting = saved(posting, "postings")
+    n, avgdl = posting.where("token is null").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).first()
+    posting = posting.where("token is not null")
     df = posting.groupBy("token").agg(F.count("*").alias("df"))
-    terms = wanted.join(df, "token").crossJoin(F.broadcast(stats))
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    terms = terms.select("query_id", "token", "avgdl", (F.col("qtf") * idf).alias("weight"))
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    return posting.join(F.broadcast(terms), "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    idf = F.ln((F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    terms = saved(wanted.join(df, "token").select("query_id", "token", (F.col("qtf") * idf).alias("weight")), "terms")
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl or 1))))
+    return posting.join(terms, "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+
+
+def ranked_all(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of every chunk there is: chunks without a match score 0 and come last, by id.
+
+    Of the first k ids at least as many are without a match as a query has places left.
+    """
+    hits = saved(bm25(corpus, queries), "scores")
+    first = corpus.select("chunk_id").orderBy("chunk_id").limit(k)
+    fill = queries.select("query_id").join(first, F.lit(True)).join(hits, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top(hits.unionByName(fill), k)
 
 
 def phrase_statistics(table: DataFrame) -> DataFrame:
@@ -46,41 +63,72 @@ def phrase_statistics(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("n"), F.avg(F.greatest(F.lit(0), F.length("text") - 2)).alias("avgdl"))
 
 
+#: What lower-cased terms are made of: letters, digits and the marks that lower-casing may add.
+RUN = r"[\p{L}\p{N}\p{M}_]+"
+
+
+def occurrences(table: DataFrame, folded: DataFrame) -> DataFrame:
+    """chunk_id, folded, dl, f: how often (overlaps count) each term of ``folded`` is in a chunk's lower-cased text.
+
+    A term is a run of word characters, so it lies inside a word of the text. The distinct words are
+    matched, by an equi-join on the term's first trigram, and not the texts; the words that hold a term
+    are then counted in the texts.
+    """
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(RUN), F.lit(0))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: c.substr(i, F.lit(3)))
+    terms = saved(folded.withColumn("gram", F.substring("folded", 1, 3)), "folded")
+    long = F.filter(F.array_distinct(runs), lambda w: F.length(w) >= 3)
+    words = table.select(F.explode(long).alias("word")).distinct()
+    held = words.withColumn("gram", F.explode(F.array_distinct(grams(F.col("word"))))).join(terms, "gram").where(F.contains("word", "folded"))
+    # an empty match ahead of each: overlapping ones count
+    times = F.regexp_count("word", F.concat(F.lit("(?="), F.col("folded"), F.lit(")")))
+    held = saved(held.select("word", "folded", times.alias("times")), "held")
+    tf = table.select("chunk_id", F.greatest(F.lit(0), F.length("text") - 2).alias("dl"), F.explode(runs).alias("word"))
+    tf = tf.join(held.select("word").distinct(), "word", "left_semi").groupBy("chunk_id", "dl", "word").agg(F.count("*").alias("tf"))
+    return tf.join(held, "word").groupBy("chunk_id", "folded", "dl").agg(F.sum(F.col("tf") * F.col("times")).alias("f"))
+
+
+def contained(table: DataFrame, parts: DataFrame) -> DataFrame:
+    """chunk_id, length, present: which of ``parts`` (part: a few short strings) a text contains, ASCII case ignored."""
+    every = parts.select(T.ascii_lower(F.col("part")).alias("part")).agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    low = table.select("chunk_id", F.length("text").alias("length"), T.ascii_lower(F.col("text")).alias("low"))
+    return low.join(every, F.size("parts") > 0).select("chunk_id", "length", F.filter("parts", lambda p: F.contains("low", p)).alias("present")).where(F.size("present") > 0)
+
+
 def phrases(table: DataFrame, queries: DataFrame, scope: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score (raw): BM25 of the match terms as trigram phrases, with whole-table statistics.
 
     Short terms must be contained as well, unless no chunk of a query would be left: then they are
     relaxed. That choice is a flag over the query's rows, not a second run.
     """
-    q = queries.select("query_id", T.tok_match_terms(F.col("query")).alias("terms"), T.tok_short_terms(F.col("query")).alias("short"))
+    q = queries.select("query_id", T.tok_match_terms(F.col("query")).alias("terms"), F.transform(T.tok_short_terms(F.col("query")), T.ascii_lower).alias("short"))
     wanted = q.select("query_id", F.explode("terms").alias("term")).withColumn("folded", F.lower("term"))
-    folded = wanted.select("folded").distinct()
-    rows = table.select("chunk_id", F.lower("text").alias("low"), F.greatest(F.lit(0), F.length("text") - 2).alias("dl"))
-    # occurrences may overlap: an empty match ahead of each
-    hits = rows.join(F.broadcast(folded), F.contains(F.col("low"), F.col("folded"))).select("chunk_id", "folded", "dl", F.regexp_count("low", F.concat(F.lit("(?="), F.col("folded"), F.lit(")"))).alias("f"))
+    hits = saved(occurrences(table, wanted.select("folded").distinct()), "hits")
+    n, avgdl = phrase_statistics(table).first()
     df = hits.groupBy("folded").agg(F.count("*").alias("df"))
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = wanted.join(df, "folded").crossJoin(F.broadcast(phrase_statistics(table)))
-    terms = terms.groupBy("query_id", "folded", "avgdl").agg(F.sum(F.when(idf > 0, idf).otherwise(F.lit(1e-6))).alias("weight"))
-    part = F.col("weight") * F.col("f") * (k1 + 1) / (F.col("f") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    raw = hits.join(F.broadcast(terms), "folded").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    idf = F.ln((F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = wanted.join(df, "folded").groupBy("query_id", "folded").agg(F.sum(F.when(idf > 0, idf).otherwise(F.lit(1e-6))).alias("weight"))
+    part = F.col("weight") * F.col("f") * (k1 + 1) / (F.col("f") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl or 1))))
+    raw = hits.join(saved(terms, "terms"), "folded").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     if scope is not None:
         raw = raw.join(scope.select("chunk_id"), "chunk_id", "left_semi")
-    with_short = raw.join(F.broadcast(q.where(F.size("short") > 0).select("query_id", "short")), "query_id", "left")
-    strict = with_short.where("short is null").select("query_id", "chunk_id", "score").withColumn("strict", F.lit(True))
-    checked = with_short.where("short is not null").join(table.select("chunk_id", F.col("text").alias("_text")), "chunk_id")
-    ok = F.forall("short", lambda t: T.like_contains(F.col("_text"), t))
-    both = strict.unionByName(checked.select("query_id", "chunk_id", "score", ok.alias("strict")))
+    short = saved(q.where(F.size("short") > 0).select("query_id", "short"), "short")
+    there = contained(table, short.select(F.explode("short").alias("part")).distinct()).select("chunk_id", "present")
+    checked = raw.join(short, "query_id", "left").join(there, "chunk_id", "left")
+    ok = F.col("short").isNull() | (F.size(F.array_except("short", F.coalesce("present", F.array().cast("array<string>")))) == 0)
+    both = checked.select("query_id", "chunk_id", "score", ok.alias("strict"))
     any_strict = F.max("strict").over(Window.partitionBy("query_id"))
     return both.withColumn("any", any_strict).where(F.col("strict") | ~F.col("any")).select("query_id", "chunk_id", "score")
 
 
 def like_fallback(table: DataFrame, queries: DataFrame) -> DataFrame:
     """For queries without a match term: chunks that contain every token, the shortest first; score = -length."""
-    q = queries.where(F.size(T.tok_match_terms(F.col("query"))) == 0).select("query_id", T.tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)
-    rows = table.select("chunk_id", F.col("text").alias("_text"))
-    hit = rows.join(F.broadcast(q), F.forall("tokens", lambda t: T.like_contains(F.col("_text"), t)))
-    return hit.select("query_id", "chunk_id", (-F.length("_text")).cast("double").alias("score"))
+    tokens = F.array_distinct(F.transform(T.tokens(F.col("query")), T.ascii_lower))
+    q = queries.where(F.size(T.tok_match_terms(F.col("query"))) == 0).select("query_id", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    q = saved(q.withColumn("part", F.get("tokens", F.lit(0))), "short")
+    there = contained(table, q.select(F.explode("tokens").alias("part")).distinct())
+    hit = there.withColumn("part", F.explode("present")).join(q, "part").where(F.size(F.array_except("tokens", "present")) == 0)
+    return hit.select("query_id", "chunk_id", (-F.col("length")).cast("double").alias("score"))
 
 
 def fts_lane(table: DataFrame, queries: DataFrame, pool: int, scope: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stackwise.functions import vectors as V
@@ -11,51 +12,70 @@ from stackwise.operators.lexical import top
 from stackwise.session import ship
 
 
+#: Queries that are scored in one pass over the corpus; of more, there is a pass for every so many.
+BATCH = 20_000
+DIGITS = 6
+
+
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank by the clamped cosine, in column expressions; queries are a bounded batch.
+    """query_id, chunk_id, score, rank by the clamped cosine, in column expressions; a few queries against all rows.
 
     Vectors of another width, and null ones, have no score.
     """
-    fits = (F.size("embedding") == F.size("query_embedding")) & (F.size("embedding") > 0)
-    pairs = corpus.select("chunk_id", "embedding").join(F.broadcast(queries.select("query_id", F.col("embedding").alias("query_embedding"))), fits)
-    return top(pairs.select("query_id", "chunk_id", V.cosine(F.col("embedding"), F.col("query_embedding")).alias("score")), k)
+    q = queries.select("query_id", F.col("embedding").alias("query_embedding"), F.size("embedding").alias("width")).where("width > 0")
+    pairs = corpus.select("chunk_id", "embedding", F.size("embedding").alias("width")).join(q, "width")
+    return top(pairs.select("query_id", "chunk_id", V.cosine(F.col("embedding"), F.col("query_embedding")).alias("score")), k, digits=DIGITS)
+
+
+def units_by_width(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """Ids, in order, and the vectors at length one, of each width; null and empty vectors are left out."""
+    width = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = {}
+    for w in np.unique(width[width > 0]):
+        at = np.flatnonzero(width == w)
+        own = ids.take(pa.array(at))
+        at = at[np.array(pc.sort_indices(own))]
+        x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), -1)
+        out[int(w)] = ids.take(pa.array(at)), x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+    return out
 
 
 def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """The same by matrix products: each task scores its rows in blocks and keeps k a query; a window merges the tasks' results.
 
-    ``queries`` is a batch that fits a task (checked: at most 20,000 rows).
+    Scores are rounded once, as in the final ranking, and ties go to the smaller id there and here, so
+    the result does not depend on batches. The queries go to the tasks in batches of ``BATCH``, each of
+    which is a pass over the corpus.
     """
     spark = ship(corpus.sparkSession)
-    rows = queries.where("embedding is not null").select("query_id", "embedding").orderBy("query_id").limit(20_001).toArrow()
-    if rows.num_rows > 20_000:
-        raise ValueError("more than 20,000 queries: split the batch")
-    by_width: dict[int, tuple[list, list]] = {}
-    for i, v in zip(rows["query_id"].to_pylist(), rows["embedding"].to_pylist()):
-        if v:
-            by_width.setdefault(len(v), ([], []))[0].append(i)
-            by_width[len(v)][1].append(v)
-    unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
-    shared = spark.sparkContext.broadcast({w: (ids, unit(np.array(v, dtype=float))) for w, (ids, v) in by_width.items()})
+    asked = queries.where("embedding is not null").select("query_id", "embedding")
+    passes = max(1, -(-asked.count() // BATCH))
     kinds = {f.name: f.dataType.simpleString() for f in [queries.schema["query_id"], corpus.schema["chunk_id"]]}
 
-    def run(batches):
-        for b in batches:
-            widths = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            for w, (ids, q) in shared.value.items():
-                at = np.flatnonzero(widths == w)
-                for i in range(0, len(at), block):
-                    part = at[i : i + block]
-                    x = np.array(b.column(1).take(pa.array(part)).to_pylist(), dtype=float)
-                    s = np.round(np.nan_to_num(np.clip(q @ unit(x).T, 0, 1)), 9)
-                    # in order of id, so that a stable sort keeps the smaller ids of equal scores
-                    order = np.argsort(np.array(b.column(0).take(pa.array(part)).to_pylist()), kind="stable")
-                    best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                    p, c = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in p]), b.column(0).take(pa.array(part[c])), pa.array(s[p, c])], names=["query_id", "chunk_id", "score"])
-
-    out = corpus.select("chunk_id", "embedding").mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
-    return top(out, k)
+    def scored(batch: DataFrame) -> DataFrame:
+        rows = batch.toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast(units_by_width(rows["query_id"].combine_chunks(), rows["embedding"].combine_chunks()) if len(rows) else {})
+
+        def run(batches):
+            for b in batches:
+                for w, (ids, x) in units_by_width(b.column(0), b.column(1)).items():
+                    if w not in shared.value:
+                        continue
+                    query_ids, q = shared.value[w]
+                    for i in range(0, len(ids), block):
+                        s = np.round(np.nan_to_num(np.clip(q @ x[i : i + block].T, 0, 1)), DIGITS)
+                        # rows are in order of id, so a stable sort keeps the smaller ids of equal scores
+                        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                        p, c = np.repeat(np.arange(len(query_ids)), best.shape[1]), best.ravel()
+                        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(p)), ids.take(pa.array(i + c)), pa.array(s[p, c])], names=["query_id", "chunk_id", "score"])
+
+        return corpus.select("chunk_id", "embedding").mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+
+    out = None
+    for i in range(passes):
+        part = scored(asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i))
+        out = part if out is None else out.unionByName(part)
+    return top(out, k, digits=DIGITS)
 
 
 def dimensions(corpus: DataFrame) -> DataFrame:

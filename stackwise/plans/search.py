@@ -23,18 +23,22 @@ def search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, config: Confi
     scope = corpus if scope_docs is None else corpus.join(scope_docs.select("doc_id"), "doc_id", "left_semi")
     mode = config.search_mode
     lex = lexical.fts_lane(corpus, live, pool, None if scope_docs is None else scope).select("query_id", "chunk_id", "score", "rank")
+    alone = lex.withColumn("vector_score", F.lit(None).cast("double")).withColumn("lexical_score", F.col("score"))
     if mode == "lexical":
-        ranked = lex.withColumn("vector_score", F.lit(None).cast("double")).withColumn("lexical_score", F.col("score"))
+        ranked = alone
     else:
+        # a query whose embedding failed is searched by the lexical lane alone, the others of the batch as asked
+        embedded = live.where("embedding is not null").select("query_id")
         vec = vector.batch_topk(scope.where("embedding is not null"), live, pool).select("query_id", "chunk_id", "score", "rank")
         if mode == "vector":
             ranked = vec.withColumn("vector_score", F.col("score")).withColumn("lexical_score", F.lit(None).cast("double"))
         else:
-            both = fusion.hybrid(vec, lex, config.rrf_vector_weight)
+            both = fusion.hybrid(vec, lex.join(embedded, "query_id", "left_semi"), config.rrf_vector_weight)
             ranked = lexical.top(both, pool).select("query_id", "chunk_id", "score", "rank", "vector_score", "lexical_score")
+        if config.mmr_lambda > 0:
+            ranked = fusion.mmr(ranked.join(corpus.select("chunk_id", "embedding"), "chunk_id"), config.mmr_lambda, k).drop("embedding")
+        ranked = ranked.unionByName(alone.join(embedded, "query_id", "left_anti"))
     modes = fusion.effective_mode(mode, ranked)
-    if config.mmr_lambda > 0 and mode != "lexical":
-        ranked = fusion.mmr(ranked.join(corpus.select("chunk_id", "embedding"), "chunk_id"), config.mmr_lambda, k).drop("embedding")
     if scorer is not None:
         ranked = ranked.join(live.select("query_id", "query"), "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
         ranked = fusion.rerank(ranked, scorer, k).drop("query", "text", "reranked")
