@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stackwise.functions import text as T
 from stackwise.session import saved
 
-MOST_DEPTH = 100
-
 
 # --- scope and filters
 
@@ -132,51 +132,90 @@ def recovered(docs: DataFrame, chunks: DataFrame, started_at: int) -> DataFrame:
 # --- tree
 
 
-def walked(docs: DataFrame, roots: DataFrame | None = None, order: Column | None = None) -> DataFrame:
-    """root_id, doc_id, depth and path (keys of the way down) for all below the roots, level by level; cycles are cut.
+def paths(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, path: keys and ids of the way down from the root) of the documents below a root, and the rows of ``docs`` on or below a cycle.
 
-    ``order`` is the key that siblings are sorted by (the title, by code points).
+    Every document knows the end of its way, and what it is below; a step joins that one's end on, so
+    the known part doubles, and the steps are few however deep the tree is. What is left when a step
+    comes to no more roots never will.
     """
-    key = F.coalesce("title", F.lit("")) if order is None else order
-    nodes = docs.select("doc_id", "parent_directory_id", key.alias("_key"))
-    if roots is None:
-        known = docs.select(F.col("doc_id").alias("_p"))
-        roots = docs.join(known, docs["parent_directory_id"] == known["_p"], "left_anti").select("doc_id")
-    level = nodes.join(roots.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("root_id"), "doc_id", F.lit(0).alias("depth"), F.array(F.struct("_key", F.col("doc_id").cast("string").alias("id"))).alias("path"))
+    key = F.array(F.struct(F.coalesce("title", F.lit("")).alias("_key"), F.col("doc_id").cast("string").alias("id")))
+    known = docs.select(F.col("doc_id").alias("top"))
+    now = saved(docs.join(known, docs["parent_directory_id"] == known["top"], "left").select("doc_id", "top", key.alias("path")), "paths")
+    left = now.where("top is not null").count()
+    while left:
+        above = now.select(F.col("doc_id").alias("_d"), F.col("top").alias("_top"), F.col("path").alias("_path"))
+        step = now.join(above, now["top"] == above["_d"], "left")
+        now = saved(step.select("doc_id", F.col("_top").alias("top"), F.when(F.col("_d").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")), "paths")
+        before, left = left, now.where("top is not null").count()
+        if left == before:
+            break
+    return now.where("top is null").select("doc_id", "path"), docs.join(now.where("top is not null").select("doc_id"), "doc_id", "left_semi")
+
+
+def walked(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """root_id, doc_id and depth of all below the roots, level by level; a way ends where it comes round to a document it has."""
+    nodes = docs.select("doc_id", "parent_directory_id")
+    level = nodes.join(roots.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("root_id"), "doc_id", F.lit(0).alias("depth"), F.array(F.col("doc_id").cast("string")).alias("path"))
     level = saved(level, "tree")
     out = level
-    for depth in range(1, MOST_DEPTH):
+    for depth in count(1):
         step = level.select("root_id", F.col("doc_id").alias("_parent"), "path").join(nodes, F.col("_parent") == F.col("parent_directory_id"))
-        step = step.where(~F.exists("path", lambda p: p.id == F.col("doc_id").cast("string")))
-        level = saved(step.select("root_id", "doc_id", F.lit(depth).alias("depth"), F.concat("path", F.array(F.struct("_key", F.col("doc_id").cast("string").alias("id")))).alias("path")), "tree")
+        step = step.where(~F.exists("path", lambda p: p == F.col("doc_id").cast("string")))
+        level = saved(step.select("root_id", "doc_id", F.lit(depth).alias("depth"), F.concat("path", F.array(F.col("doc_id").cast("string"))).alias("path")), "tree")
         if level.isEmpty():
             break
         out = out.unionByName(level)
     return out
 
 
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with a number, from 1, in order of ``by``: the place in a partition of a range sort and the rows before it."""
+    s = saved(df.orderBy(by).withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_range", F.shiftright("_at", 33))
+    # one row a range partition
+    before = s.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return s.join(before, "_range").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_range", "_before")
+
+
 def outline(docs: DataFrame) -> DataFrame:
-    """doc_id, depth, position (from 1): the whole forest in pre-order, siblings by title."""
-    w = walked(docs)
+    """doc_id, depth, position (from 1): the whole forest in pre-order, siblings by title (by code points)."""
+    below, _ = paths(docs)
     # whole paths sort parents before children and keep subtrees together
-    return w.select("doc_id", "depth", F.row_number().over(Window.orderBy("path")).alias("position"))
+    return numbered(below, "path", "position").select("doc_id", (F.size("path") - 1).alias("depth"), F.col("position").cast("int").alias("position"))
+
+
+def below_any(docs: DataFrame, selected: DataFrame) -> DataFrame:
+    """doc_id, depth (0 or more) of a document and each selected one that it is or that it is below."""
+    sel = selected.select(F.col("doc_id").cast("string").alias("id")).distinct()
+    rooted, cyclic = paths(docs)
+    ways = rooted.select("doc_id", F.size("path").alias("_n"), F.posexplode(F.transform("path", lambda p: p.id)).alias("_i", "id"))
+    out = ways.join(sel, "id", "left_semi").select("doc_id", (F.col("_n") - 1 - F.col("_i")).alias("depth"))
+    if cyclic.isEmpty():
+        return out
+    return out.unionByName(walked(cyclic, selected).select("doc_id", "depth"))
 
 
 def subtree(docs: DataFrame, selected: DataFrame) -> DataFrame:
     """The selected documents and all below them, once each."""
-    return walked(docs, selected).select("doc_id").distinct()
+    return below_any(docs, selected).select("doc_id").distinct()
 
 
 def outermost(docs: DataFrame, selected: DataFrame) -> DataFrame:
     """The selected documents that have no selected ancestor."""
-    below = walked(docs, selected).where("depth > 0").select("doc_id").distinct()
+    below = below_any(docs, selected).where("depth > 0").select("doc_id").distinct()
     return selected.select("doc_id").distinct().join(below, "doc_id", "left_anti")
 
 
 def importing_folders(docs: DataFrame, processing: DataFrame) -> DataFrame:
-    """All ancestors of documents that are being processed."""
-    up = walked(docs, docs.where(F.col("source_type") == "directory").select("doc_id")).where("depth > 0")
-    return up.join(processing.select("doc_id"), "doc_id", "left_semi").select(F.col("root_id").alias("doc_id")).distinct()
+    """All folders above documents that are being processed: the ways up from these."""
+    folders = docs.where(F.col("source_type") == "directory").select("doc_id")
+    rooted, cyclic = paths(docs)
+    up = rooted.join(processing.select("doc_id").distinct(), "doc_id", "left_semi").select(F.explode(F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda p: p.id)).alias("_id")).distinct()
+    out = folders.join(up, F.col("doc_id").cast("string") == F.col("_id"), "left_semi")
+    if cyclic.isEmpty():
+        return out
+    ring = walked(cyclic, folders).where("depth > 0").join(processing.select("doc_id"), "doc_id", "left_semi").select(F.col("root_id").alias("doc_id"))
+    return out.union(ring).distinct()
 
 
 def folders_of(paths: DataFrame) -> DataFrame:

@@ -32,3 +32,22 @@ def context_recall(golden: DataFrame, hits: DataFrame, least: int = 4) -> DataFr
     texts = hits.groupBy("question_id").agg(folded(F.array_join(F.transform(rows, lambda r: r.t), " ")).alias("all"))
     j = s.join(texts, "question_id", "left").select("question_id", ((F.length("s") >= least) & F.coalesce(F.contains("all", "s"), F.lit(False))).alias("ok"))
     return j.groupBy("question_id").agg(F.avg(F.col("ok").cast("double")).alias("recall"))
+
+
+def holders(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, item_id: documents (doc_id, text) that contain a passage (item_id, passage) whole.
+
+    White space on both sides of an inner word of a passage is there in the document too. So each
+    passage is looked for in the documents that have its longest inner word, by an equi-join; the few
+    passages without one are looked for in every document.
+    """
+    inner = F.slice(F.split("passage", r"\s+"), F.lit(2), F.greatest(F.lit(0), F.size(F.split("passage", r"\s+")) - 2))
+    word = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    p = passages.where("passage is not null").select("item_id", "passage", word.w.alias("word"))
+    keyed = p.where("word <> ''")
+    words = documents.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    near = words.join(keyed.select("item_id", "word"), "word").select("doc_id", "item_id")
+    found = documents.select("doc_id", "text").join(near, "doc_id").join(keyed.select("item_id", "passage"), "item_id").where(F.contains("text", "passage"))
+    short = p.where("word is null or word = ''").select("item_id", "passage")
+    rest = documents.select("doc_id", "text").join(short, F.contains("text", "passage"))
+    return found.select("doc_id", "item_id").unionByName(rest.select("doc_id", "item_id"))
