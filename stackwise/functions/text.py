@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 CJK = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af"
 #: Scripts written without spaces between words (Hangul is not among them), with the length mark they share.
 UNSEGMENTED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\u30fc\\u3005-\\u3007"
+# Extensions of the files that are read.
 EXTENSIONS = ("txt", "md", "markdown", "mdx", "csv", "html", "htm", "json", "log", "pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "epub")
 MAX_TERMS = 64
 
@@ -143,11 +144,12 @@ ENTITIES = {
 
 
 def named_entities(c: Column) -> Column:
-    """The named references decoded, & last so that nothing is decoded twice; names in any case."""
-    for name, value in ENTITIES.items():
-        if name != "amp":
-            c = F.regexp_replace(c, f"(?i)&{name};", value)
-    return F.regexp_replace(c, "(?i)&amp;", "&")
+    """The named references decoded in one scan, so that nothing is decoded twice; names in any case."""
+    known = "&(?:" + "|".join(ENTITIES) + ");"
+    value = F.create_map(*[F.lit(x) for name, v in ENTITIES.items() for x in (f"&{name};", v)])
+    parts = F.regexp_extract_all(c, F.lit(f"(?i){known}|&|[^&]+"), F.lit(0))
+    out = F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("&")), F.coalesce(F.try_element_at(value, F.lower(p)), p)).otherwise(p))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(out, "")).otherwise(c)
 
 
 def numeric_entities(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -36,3 +38,23 @@ def normalized(a: Column) -> Column:
 
 def weighted_mean(a: Column, wa: Column, b: Column, wb: Column) -> Column:
     return normalized(F.zip_with(a, b, lambda x, y: (x * wa + y * wb) / (wa + wb)))
+
+
+def encoded(a: Column) -> Column:
+    """Little-endian 32-bit floats, one after the other; null and empty vectors are null."""
+
+    @F.pandas_udf("binary")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: np.asarray(x, dtype="<f4").tobytes() if x is not None and len(x) else None)
+
+    return run(a)
+
+
+def decoded(c: Column) -> Column:
+    """The vector of such bytes; null and empty bytes are null."""
+
+    @F.pandas_udf("array<float>")
+    def run(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: np.frombuffer(x, dtype="<f4") if x is not None and len(x) else None)
+
+    return run(c)

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from stackwise.config import Config
+from stackwise.config import Config, resolve
 from stackwise.functions import text as T, vectors as V
 from stackwise.operators import catalog, chunking, docops, evaluate, fusion, ingest, lexical, vector
 from stackwise.plans.search import search
-from stackwise.session import scratch, table
+from stackwise.session import saved, scratch, ship, table
+from stackwise.sources import samples
+from stackwise.sources.files import parsed
 from stackwise.sources.html import with_markdown
 from stackwise.streaming import ingest as stream
 
@@ -41,13 +44,12 @@ def corpus(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
-def asked(spark, d, most: int | None = None) -> DataFrame:
-    """The first eight words of each benchmark passage as a query."""
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
-    return q if most is None else q.where(F.col("query_id") < most)
+def asked(spark, d) -> DataFrame:
+    """Each benchmark passage as a query."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-ASKED = "q AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS query FROM benchmark)"
+ASKED = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
 def literal_queries(spark, rows: list[tuple[int, str]]) -> DataFrame:
@@ -133,18 +135,17 @@ def tok_bigram(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("joined"))
 
 
-@query("tok_match_terms", r"""WITH t AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS tokens FROM benchmark),
-x AS (SELECT item_id, tok, pos FROM t, unnest(tokens) WITH ORDINALITY AS u(tok, pos)), f AS (SELECT item_id, tok, min(pos) AS pos FROM x WHERE length(tok) >= 3 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS k FROM f)
-SELECT item_id, string_agg(tok, ' ' ORDER BY pos) AS terms FROM r WHERE k <= 64 GROUP BY item_id""")
+@query("tok_match_terms", r"""WITH x AS (SELECT doc_id, tok, pos FROM documents, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) WITH ORDINALITY AS u(tok, pos)), f AS (SELECT doc_id, tok, min(pos) AS pos FROM x WHERE length(tok) >= 3 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM f)
+SELECT d.doc_id, coalesce(string_agg(tok, ' ' ORDER BY pos), '') AS terms FROM documents d LEFT JOIN (SELECT * FROM r WHERE k <= 64) USING (doc_id) GROUP BY d.doc_id""")
 def tok_match_terms(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(T.tok_match_terms(F.col("text")), " ").alias("terms"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.tok_match_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("tok_short_terms", r"""WITH x AS (SELECT item_id, tok, pos FROM benchmark, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) WITH ORDINALITY AS u(tok, pos)), f AS (SELECT item_id, tok, min(pos) AS pos FROM x WHERE length(tok) < 3 GROUP BY ALL)
-SELECT b.item_id, coalesce(string_agg(tok, ' ' ORDER BY pos), '') AS terms FROM benchmark b LEFT JOIN f USING (item_id) GROUP BY b.item_id""")
+@query("tok_short_terms", r"""WITH x AS (SELECT doc_id, tok, pos FROM documents, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) WITH ORDINALITY AS u(tok, pos)), f AS (SELECT doc_id, tok, min(pos) AS pos FROM x WHERE length(tok) < 3 GROUP BY ALL)
+SELECT d.doc_id, coalesce(string_agg(tok, ' ' ORDER BY pos), '') AS terms FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""")
 def tok_short_terms(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(T.tok_short_terms(F.col("text")), " ").alias("terms"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.tok_short_terms(F.col("text")), " ").alias("terms"))
 
 
 FTS = r"""t AS (SELECT query_id, tok, min(pos) AS pos FROM q, unnest(regexp_extract_all(query, '[\p{L}\p{N}_]+')) WITH ORDINALITY AS u(tok, pos) GROUP BY ALL),
@@ -152,7 +153,9 @@ w AS (SELECT query_id, lower(tok) AS folded FROM t WHERE length(tok) >= 3),
 sh AS (SELECT query_id, list(tok) AS short FROM t WHERE length(tok) < 3 GROUP BY query_id),
 d AS (SELECT doc_id AS chunk_id, text, lower(text) AS low, greatest(0, length(text) - 2) AS dl FROM documents),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
-h AS (SELECT chunk_id, folded, dl, len(list_filter(range(1, length(low) - length(folded) + 2), lambda i: substr(low, i, length(folded)) = folded)) AS f FROM d, (SELECT DISTINCT folded FROM w) WHERE contains(low, folded)),
+ws AS (SELECT chunk_id, dl, word, count(*) AS tf FROM (SELECT chunk_id, dl, unnest(regexp_extract_all(low, '[\p{L}\p{N}\p{M}_]+')) AS word FROM d) GROUP BY ALL),
+hw AS (SELECT word, folded, len(list_filter(range(1, length(word) - length(folded) + 2), lambda i: substr(word, i, length(folded)) = folded)) AS times FROM (SELECT DISTINCT word FROM ws), (SELECT DISTINCT folded FROM w) WHERE contains(word, folded)),
+h AS (SELECT chunk_id, folded, dl, sum(tf * times) AS f FROM ws JOIN hw USING (word) GROUP BY ALL),
 df AS (SELECT folded, count(*) AS df FROM h GROUP BY folded),
 tw AS (SELECT query_id, folded, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) AS weight FROM w JOIN df USING (folded), st GROUP BY ALL),
 raw AS (SELECT query_id, chunk_id, sum(weight * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tw JOIN h USING (folded), st GROUP BY ALL),
@@ -162,9 +165,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 SELECT query_id, chunk_id, score, rank FROM r"""
 
 
-@query("lex_fts_topk", f"WITH {ASKED.replace('FROM benchmark', 'FROM benchmark WHERE item_id < 5')}, {FTS} WHERE rank <= 20")
+@query("lex_fts_topk", f"WITH {ASKED}, {FTS} WHERE rank <= 20")
 def lex_fts_topk(spark, d):
-    return lexical.fts_lane(corpus(spark, d), asked(spark, d, 5), 20).select("query_id", "chunk_id", "score", "rank")
+    return lexical.fts_lane(corpus(spark, d), asked(spark, d), 20).select("query_id", "chunk_id", "score", "rank")
 
 
 RELAX = [(1, "tion zq"), (2, "ment of"), (3, "Andreor xx yy")]
@@ -209,10 +212,17 @@ def vec_batch_topk(spark, d):
     return vector.batch_topk(*embeddings(spark, d), 10).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("vec_dot", "SELECT b.vec_id AS chunk_id, round(greatest(0, least(1, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id = 0) a, embeddings b")
+@query("vec_dot", f"SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(greatest(0, least(1, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM (SELECT * FROM embeddings {VQ}) a, embeddings b")
 def vec_dot(spark, d):
     c, q = embeddings(spark, d)
-    return c.join(F.broadcast(q.where("query_id = 0").select(F.col("embedding").alias("q"))), F.lit(True)).select("chunk_id", F.round(V.unit_dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+    width = F.size("embedding").alias("width")
+    return c.select("chunk_id", "embedding", width).join(q.select("query_id", F.col("embedding").alias("q"), width), "width").select("query_id", "chunk_id", F.round(V.unit_dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+
+
+@query("vec_codec", "SELECT vec_id AS chunk_id, 4 * len(embedding)::INT AS bytes, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::INT AS width, true AS same FROM embeddings")
+def vec_codec(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding").withColumn("raw", V.encoded(F.col("embedding"))).withColumn("back", V.decoded(F.col("raw")))
+    return e.select(F.col("vec_id").alias("chunk_id"), F.octet_length("raw").alias("bytes"), F.round(F.element_at("back", 1).cast("double"), 6).alias("first"), F.size("back").alias("width"), (F.col("back") == F.col("embedding")).alias("same"))
 
 
 @query("vec_normalize", """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v)
@@ -241,16 +251,15 @@ def vec_dimension_check(spark, d):
 # doc i stands for vector i: a synthetic pairing, the two tables are unrelated
 LANES = f"""{BM25}, lx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s),
 l20 AS (SELECT query_id, chunk_id, round(score / (score + 1), 6) AS score, rank FROM lx WHERE rank <= 20),
-vs AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id < 40) a, embeddings b),
+vs AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) a, embeddings b),
 v20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs) WHERE rank <= 20)"""
 
 
-def lanes(spark, d, every: bool = False):
-    """The vector lane has the queries below 40, as in LANES, or ``every`` query."""
+def lanes(spark, d):
+    """Both lanes of every query; the vector lane of those that have a vector."""
     lex = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 20).withColumn("score", F.round(T.bm25_norm(F.col("score")), 6))
     c, _ = embeddings(spark, d)
-    q = c.withColumnRenamed("chunk_id", "query_id")
-    q = q.join(asked(spark, d).select("query_id"), "query_id", "left_semi") if every else q.where("query_id < 40")
+    q = c.withColumnRenamed("chunk_id", "query_id").join(asked(spark, d).select("query_id"), "query_id", "left_semi")
     vec = vector.batch_topk(c, q.select("query_id", "embedding"), 20)
     return vec, lex
 
@@ -280,16 +289,18 @@ def flt_threshold(spark, d):
     return fusion.threshold(vector.batch_topk(*embeddings(spark, d), 10), 0.5, "vector", False).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("srch_multi_query", """WITH q AS (SELECT conv_id AS query_id, turn AS variant, text AS query FROM conversations WHERE role = 'user' AND conv_id < 10),
+@query("srch_multi_query", """WITH q AS (SELECT conv_id AS query_id, turn AS variant, text AS query FROM conversations WHERE role = 'user'),
 w AS (SELECT query_id, variant, token, count(*) AS qtf FROM (SELECT query_id, variant, unnest(regexp_extract_all(lower(query), '[a-z0-9_]{2,}')) AS token FROM q) GROUP BY ALL),
-d AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS tokens FROM documents), st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+d AS (SELECT item_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS tokens FROM benchmark), st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
 p AS (SELECT chunk_id, dl, token, count(*) AS tf FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS token FROM d) WHERE token IN (SELECT token FROM w) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
 s AS (SELECT query_id, variant, chunk_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM w JOIN df USING (token) JOIN p USING (token), st GROUP BY query_id, variant, chunk_id),
 b AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, chunk_id) AS k FROM s) WHERE k <= 12 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM b) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 6""")
 def srch_multi_query(spark, d):
-    v = table(spark, d, "conversations").where("role = 'user' and conv_id < 10").select(F.struct(F.col("conv_id"), F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    hits = lexical.top(lexical.bm25(corpus(spark, d), v), 12)
+    """What users ask in a conversation as the variants of one query, over the passages of the benchmark."""
+    v = table(spark, d, "conversations").where("role = 'user'").select(F.struct(F.col("conv_id"), F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    passages = table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
+    hits = lexical.top(lexical.bm25(passages, v), 12)
     return fusion.best_of_variants(hits.select(F.col("query_id.conv_id").alias("query_id"), F.col("query_id.turn").alias("variant"), "chunk_id", "score"), 6).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -440,9 +451,9 @@ def ui_snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), F.array(F.lit("this"), F.lit("que "))).alias("snippet"))
 
 
-@query("ui_highlight", "SELECT item_id, regexp_replace(text, '(this|the)', '<mark>\\1</mark>', 'gi') AS marked FROM benchmark")
+@query("ui_highlight", "SELECT doc_id, regexp_replace(text, '(this|the)', '<mark>\\1</mark>', 'gi') AS marked FROM documents")
 def ui_highlight(spark, d):
-    return table(spark, d, "benchmark").select("item_id", T.highlight(F.col("text"), ["the", "this"]).alias("marked"))
+    return table(spark, d, "documents").select("doc_id", T.highlight(F.col("text"), ["the", "this"]).alias("marked"))
 
 
 # --- statistics and tree
@@ -569,9 +580,9 @@ def src_avg_line_len(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(T.avg_line_length(F.col("text")), 6).alias("mean"))
 
 
-@query("ocr_postprocess", "SELECT doc_id, '中文 ' || substr(text, 1, 20) || ' 测试' || chr(10) || '字' AS clean FROM documents")
+@query("ocr_postprocess", "SELECT doc_id, '中文 ' || text || ' 测试' || chr(10) || '字' AS clean FROM documents")
 def ocr_postprocess(spark, d):
-    raw = F.concat(F.lit("中 文 "), F.substring("text", 1, 20), F.lit(" 测 \t试\n字"))
+    raw = F.concat(F.lit("中 文 "), "text", F.lit(" 测 \t试\n字"))
     return table(spark, d, "documents").select("doc_id", T.ocr_despaced(raw).alias("clean"))
 
 
@@ -733,10 +744,10 @@ def snk_put_batch(spark, d):
     return ingest.put_batch(*stored_new(spark, d)).select("chunk_id", "doc_id", "base_id", "idx")
 
 
-@query("snk_delete", f"WITH {VCHUNKS} SELECT chunk_id, doc_id FROM vc WHERE chunk_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM vc WHERE chunk_id % 4 = 0)")
+@query("snk_delete", f"WITH {VCHUNKS} SELECT chunk_id, doc_id FROM vc WHERE chunk_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def snk_delete(spark, d):
-    s, n = stored_new(spark, d)
-    return ingest.delete_chunks(s, n.select("doc_id")).select("chunk_id", "doc_id")
+    s, _ = stored_new(spark, d)
+    return ingest.delete_chunks(s, catalog.scope(docs(spark, d), ["en"]).select("doc_id")).select("chunk_id", "doc_id")
 
 
 @query("src_legacy_json", "WITH x AS (SELECT vec_id // 3 AS chunk_id, label AS idx, vec_id AS seq FROM embeddings) SELECT chunk_id, idx, seq FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC) AS r FROM x) WHERE r = 1")
@@ -787,9 +798,14 @@ def ing_embed(spark, d):
 # --- evaluation
 
 
+def held(spark, d) -> DataFrame:
+    """doc_id, item_id: which documents contain which passage of the benchmark."""
+    return evaluate.holders(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
+
+
 def benchmark_eval(spark, d, k: int = 5) -> DataFrame:
     hits = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), k).select(F.col("query_id").alias("question_id"), "rank", F.concat(F.lit("doc-"), F.col("chunk_id").cast("string"), F.lit(".")).alias("title"))
-    found = table(spark, d, "documents").join(F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage")))
+    found = held(spark, d)
     expect = found.groupBy("item_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")))).alias("expect"))
     e = table(spark, d, "benchmark").select("item_id").join(expect, "item_id", "left").select(F.col("item_id").alias("question_id"), F.coalesce("expect", F.array().cast("array<string>")).alias("expect"))
     return evaluate.judged(hits, e)
@@ -846,9 +862,9 @@ def stream_window_counts(spark, d):
 # --- further operators of the inventory, one by one
 
 
-@query("agg_tf", "WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM documents WHERE doc_id < 50) SELECT doc_id, token, count(*) AS tf FROM d GROUP BY ALL")
+@query("agg_tf", "WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS token FROM documents) SELECT doc_id, token, count(*) AS tf FROM d GROUP BY ALL")
 def agg_tf(spark, d):
-    t = table(spark, d, "documents").where("doc_id < 50").select("doc_id", F.explode(T.tok_bigram(F.col("text"))).alias("token"))
+    t = table(spark, d, "documents").select("doc_id", F.explode(T.tok_bigram(F.col("text"))).alias("token"))
     return t.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
@@ -857,16 +873,20 @@ def agg_distinct(spark, d):
     return table(spark, d, "documents").select("lang", "source").distinct()
 
 
-@query("agg_best_score", "WITH h AS (SELECT item_id AS query_id, doc_id % 10 AS chunk_id, round((doc_id % 97) / 97.0::DOUBLE, 6) AS score FROM benchmark, documents WHERE item_id < 5 AND doc_id < 200), b AS (SELECT query_id, chunk_id, max(score) AS score FROM h GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM b) SELECT * FROM r WHERE rank <= 3")
+@query("agg_best_score", "WITH h AS (SELECT l_orderkey AS query_id, l_suppkey % 4 AS chunk_id, round(l_extendedprice, 2) AS score FROM lineitem), b AS (SELECT query_id, chunk_id, max(score) AS score FROM h GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM b) SELECT * FROM r WHERE rank <= 3")
 def agg_best_score(spark, d):
-    h = table(spark, d, "documents").where("doc_id < 200").crossJoin(F.broadcast(table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"))))
-    return fusion.best_of_variants(h.select("query_id", (F.col("doc_id") % 10).alias("chunk_id"), F.round((F.col("doc_id") % 97) / 97, 6).alias("score")), 3)
+    """The lines of an order as hits of the variants of one query."""
+    h = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("variant"), (F.col("l_suppkey") % 4).alias("chunk_id"), F.round("l_extendedprice", 2).alias("score"))
+    return fusion.best_of_variants(h, 3)
 
 
-@query("agg_rrf", "SELECT doc_id AS chunk_id, 1::BIGINT AS query_id, round(2.0::DOUBLE / (60 + doc_id) + 1.0::DOUBLE / (60 + n_chars), 6) AS score FROM documents WHERE doc_id > 0")
+@query("agg_rrf", """WITH h AS (SELECT o_custkey AS query_id, o_orderkey AS chunk_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey) AS b FROM orders)
+SELECT query_id, chunk_id, round(2.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 6) AS score FROM h""")
 def agg_rrf(spark, d):
-    t = table(spark, d, "documents").where("doc_id > 0").select(F.col("doc_id").alias("chunk_id"), F.lit(1).cast("long").alias("query_id"), "doc_id", "n_chars")
-    return fusion.rrf([(t.withColumn("rank", F.col("doc_id")), 2), (t.withColumn("rank", F.col("n_chars")), 1)]).withColumn("score", F.round("score", 6))
+    """The orders of a customer, ranked by price and by date."""
+    t = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("price"), F.unix_date(F.to_date("o_orderdate")).alias("day"))
+    lane = lambda c: lexical.top(t.select("query_id", "chunk_id", F.col(c).cast("double").alias("score")), 1 << 30)
+    return fusion.rrf([(lane("price"), 2), (lane("day"), 1)]).withColumn("score", F.round("score", 6))
 
 
 @query("join_hit_doc_title", f"WITH {VCHUNKS}, {DOCS} SELECT chunk_id, coalesce(title, doc_id::VARCHAR) AS document_title FROM vc LEFT JOIN (SELECT * FROM docs WHERE docs.doc_id % 2 = 0) USING (doc_id)")
@@ -887,25 +907,28 @@ def set_union_lanes(spark, d):
 
 @query("set_intersect_enabled", "SELECT DISTINCT lang AS base_id FROM documents WHERE lang IN ('en', 'es', 'xx')")
 def set_intersect_enabled(spark, d):
-    return spark.createDataFrame([("en",), ("es",), ("xx",)], "base_id string").intersect(table(spark, d, "documents").select(F.col("lang").alias("base_id")))
+    return catalog.enabled(docs(spark, d).select("base_id").distinct(), ["en", "es", "xx"])
 
 
-@query("join_rerank", "SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id)")
+@query("join_rerank", f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s), c AS (SELECT r.query_id, r.chunk_id, rank, quality::DOUBLE AS score FROM r JOIN (SELECT doc_id AS chunk_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (chunk_id) WHERE rank <= 20),
+k AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM c) SELECT query_id, chunk_id, score, rank FROM k WHERE rank <= 6""")
 def join_rerank(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    """The labels as a reranker's answers: only the candidates that have one stay."""
+    ranked = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 20)
+    labels = table(spark, d, "labels").where("quality is not null").groupBy(F.col("doc_id").alias("chunk_id")).agg(F.max("quality").cast("double").alias("new"))
+    scores = ranked.select("query_id", "chunk_id").join(labels, "chunk_id")
+    return fusion.rerank_by(ranked, scores, 6).where("reranked").select("query_id", "chunk_id", "score", "rank")
 
 
-@query("join_query_corpus", f"SELECT a.vec_id AS query_id, count(*) AS scored FROM (SELECT * FROM embeddings {VQ}) a, embeddings b WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0 GROUP BY a.vec_id")
+@query("join_query_corpus", f"WITH {COS} SELECT query_id, count(*) AS scored FROM r WHERE score > 0 GROUP BY query_id")
 def join_query_corpus(spark, d):
-    c, q = embeddings(spark, d)
-    pairs = c.join(F.broadcast(q.select("query_id", F.col("embedding").alias("q"))), V.dot(F.col("q"), F.col("embedding")) > 0)
-    return pairs.groupBy("query_id").agg(F.count("*").alias("scored"))
+    """Every query against every vector of its width, none cut."""
+    return vector.cosine_topk(*embeddings(spark, d), 1 << 30).where("score > 0").groupBy("query_id").agg(F.count("*").alias("scored"))
 
 
 @query("join_eval_expect", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def join_eval_expect(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return table(spark, d, "documents").join(F.broadcast(b), F.contains("text", "passage")).select("item_id", "doc_id")
+    return held(spark, d).select("item_id", "doc_id")
 
 
 @query("join_tree_children", f"WITH {TREE} SELECT p.doc_id AS parent, c.doc_id AS child FROM tree p JOIN tree c ON c.parent_directory_id = p.doc_id")
@@ -916,8 +939,8 @@ def join_tree_children(spark, d):
 
 @query("join_dedup_hash", "SELECT d.doc_id FROM documents d WHERE doc_id >= 200 AND (lang, sha256(text)) NOT IN (SELECT (lang, sha256(text)) FROM documents WHERE doc_id < 200)")
 def join_dedup_hash(spark, d):
-    t = docs(spark, d).select("doc_id", "base_id", "content_hash")
-    return t.where("doc_id >= 200").join(t.where("doc_id < 200").select("base_id", "content_hash"), ["base_id", "content_hash"], "left_anti").select("doc_id")
+    t = docs(spark, d).select("doc_id", "base_id", "raw_text", "content_hash")
+    return ingest.deduplicated(t.where("doc_id >= 200").drop("content_hash"), t.where("doc_id < 200")).where("duplicate_of is null or duplicate_of >= 200").select("doc_id")
 
 
 @query("lex_total", f"WITH {ASKED} SELECT query_id, (SELECT count(*) FROM documents WHERE lang = 'en') AS total FROM q")
@@ -926,25 +949,59 @@ def lex_total(spark, d):
     return asked(spark, d).select("query_id").crossJoin(F.broadcast(inside))
 
 
-@query("lex_norm", f"WITH {BM25} SELECT query_id, chunk_id, round(score / (score + 1), 6) AS norm FROM s WHERE query_id < 3")
+@query("lex_norm", f"WITH {BM25} SELECT query_id, chunk_id, round(score / (score + 1), 6) AS norm FROM s")
 def lex_norm(spark, d):
-    s = lexical.bm25(corpus(spark, d), asked(spark, d)).where("query_id < 3").withColumn("score", F.round("score", 6))
+    s = lexical.bm25(corpus(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6))
     return s.select("query_id", "chunk_id", F.round(T.bm25_norm(F.col("score")), 6).alias("norm"))
 
 
-@query("lex_memory_all", f"WITH {BM25} SELECT q.query_id, count(*) AS ranked, count(s.score) AS matched FROM q CROSS JOIN documents d LEFT JOIN s ON s.query_id = q.query_id AND s.chunk_id = d.doc_id WHERE q.query_id < 3 GROUP BY q.query_id")
+@query("lex_memory_all", f"WITH {BM25}, e AS (SELECT q.query_id, d.chunk_id, coalesce(s.score, 0) AS score FROM q CROSS JOIN d LEFT JOIN s ON s.query_id = q.query_id AND s.chunk_id = d.chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM e) SELECT * FROM r WHERE rank <= 20")
 def lex_memory_all(spark, d):
-    """Every candidate with its score, 0 without a match: the mode that also ranks what does not match."""
-    q = asked(spark, d).where("query_id < 3")
-    every = corpus(spark, d).select("chunk_id").crossJoin(F.broadcast(q.select("query_id")))
-    s = every.join(lexical.bm25(corpus(spark, d), q), ["query_id", "chunk_id"], "left")
-    return s.groupBy("query_id").agg(F.count(F.coalesce("score", F.lit(0.0))).alias("ranked"), F.count("score").alias("matched"))
+    """Every candidate ranked, 0 without a match: the mode that also ranks what does not match."""
+    return lexical.ranked_all(corpus(spark, d), asked(spark, d), 20).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("fus_pool", "SELECT k::INT AS top_k, least(greatest(4 * k, 20), 200)::INT AS pool FROM range(1, 51) r(k)")
 def fus_pool(spark, d):
-    k = spark.range(1, 51).select(F.col("id").cast("int").alias("top_k"))
-    return k.select("top_k", F.least(F.greatest(4 * F.col("top_k"), F.lit(20)), F.lit(200)).alias("pool"))
+    return spark.createDataFrame([(k, fusion.pool_size(k)) for k in range(1, 51)], "top_k int, pool int")
+
+
+@query("lim_clamp", "SELECT k::INT AS asked, greatest(1, least(50, k))::INT AS top_k FROM range(-5, 80) r(k)")
+def lim_clamp(spark, d):
+    return spark.createDataFrame([(k, resolve({"top_k": k}).top_k) for k in range(-5, 80)], "asked int, top_k int")
+
+
+@query("fus_mode", f"""WITH {VCHUNKS}, m AS (SELECT unnest(['auto', 'hybrid', 'vector', 'lexical']) AS requested), b AS (SELECT base_id, bool_or(embedding IS NOT NULL AND base_id % 2 = 0) AS embedded FROM vc GROUP BY base_id)
+SELECT base_id, requested, CASE WHEN requested = 'lexical' OR NOT embedded THEN 'lexical' WHEN requested = 'auto' THEN 'hybrid' ELSE requested END AS mode FROM b, m""")
+def fus_mode(spark, d):
+    """Bases of even number have vectors: in others every mode is lexical."""
+    b = vector_chunks(spark, d).groupBy("base_id").agg(F.max(F.col("embedding").isNotNull() & (F.col("base_id") % 2 == 0)).alias("embedded"))
+    m = b.withColumn("requested", F.explode(F.array(*map(F.lit, ("auto", "hybrid", "vector", "lexical")))))
+    return m.select("base_id", "requested", fusion.lane_mode(F.col("requested"), F.col("embedded")).alias("mode"))
+
+
+@query("div_mmr_gate", """SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN lam > 0 WHEN 1 THEN lam > 0 ELSE false END AND vec_id % 7 <> 0 AS applies FROM (SELECT vec_id, (vec_id % 5) / 4.0 AS lam FROM embeddings)""")
+def div_mmr_gate(spark, d):
+    k = F.col("vec_id")
+    asked_for = F.when(k % 3 == 1, True).when(k % 3 == 2, False)
+    return table(spark, d, "embeddings").select("vec_id", fusion.mmr_applies(asked_for, (k % 5) / 4.0, k % 7 != 0).alias("applies"))
+
+
+MEMORY = f"""{BM25}, c AS (SELECT doc_id AS chunk_id FROM documents),
+vs AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(greatest(0, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) a, embeddings b),
+e AS (SELECT q.query_id, c.chunk_id, coalesce(s.score, 0) AS lexical_score, vs.score AS vector_score FROM q CROSS JOIN c LEFT JOIN s ON s.query_id = q.query_id AND s.chunk_id = c.chunk_id LEFT JOIN vs ON vs.query_id = q.query_id AND vs.chunk_id = c.chunk_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC NULLS LAST, chunk_id) AS vr, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, chunk_id) AS lr FROM e),
+f AS (SELECT query_id, chunk_id, round((CASE WHEN vector_score IS NOT NULL THEN 1.0::DOUBLE / (60 + vr) ELSE 0 END + 1.0::DOUBLE / (60 + lr)) / (2::DOUBLE / 61), 6) AS score FROM k)"""
+
+
+@query("fus_hybrid_mem", f"WITH {MEMORY}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM f) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10")
+def fus_hybrid_mem(spark, d):
+    """Both lanes without pools, over all documents."""
+    x = lexical.bm25(corpus(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6))
+    c, _ = embeddings(spark, d)
+    q = c.withColumnRenamed("chunk_id", "query_id").join(asked(spark, d).select("query_id"), "query_id", "left_semi")
+    v = vector.cosine_topk(c, q, 1 << 30)
+    return lexical.top(fusion.memory_hybrid(v, x, corpus(spark, d), asked(spark, d)), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("win_rank", f"WITH {COS} SELECT query_id, chunk_id, rank FROM r WHERE rank <= 3")
@@ -973,24 +1030,85 @@ def doc_rename_suffix(spark, d):
     return ingest.resolved(*named(spark, d), "rename").where("action = 'rename'").select("seq", "new_name")
 
 
-@query("src_text_decode", "SELECT doc_id, md5(text) AS h FROM documents")
-def src_text_decode(spark, d):
-    from stackwise.sources.files import parsed
+GB = "知识库管理系统功能测试"
 
-    raw = table(spark, d, "documents").select("doc_id", F.lit("x.txt").alias("path"), F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")).alias("content"))
-    return parsed(raw).select("doc_id", F.md5("text").alias("h"))
+
+@query("src_text_decode", f"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE '{GB}' || text END) AS h FROM documents")
+def src_text_decode(spark, d):
+    """Even documents in UTF-8 with a mark, odd ones in GB18030."""
+    gb18030 = F.pandas_udf(lambda t: t.map(lambda x: x.encode("gb18030")), "binary")
+    raw = table(spark, d, "documents").select("doc_id", "text", F.lit("x.txt").alias("path"))
+    raw = raw.withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(gb18030(F.concat(F.lit(GB), "text"))))
+    return parsed(raw.drop("text")).select("doc_id", F.md5("text").alias("h"))
 
 
-@query("src_raw_store", "SELECT doc_id, strlen(text)::BIGINT AS bytes FROM documents WHERE doc_id < 20")
+@query("src_raw_store", "SELECT doc_id, strlen(text)::BIGINT AS bytes FROM documents")
 def src_raw_store(spark, d):
     """Raw sources written as files by their relative path, and read back with the binary reader."""
     folder = scratch(spark, "raw")
-    table(spark, d, "documents").where("doc_id < 20").select(F.regexp_replace("text", "\n", " ").alias("value"), F.col("doc_id")).repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\n").text(folder)
+    table(spark, d, "documents").select(F.regexp_replace("text", "\n", " ").alias("value"), F.col("doc_id")).repartition("doc_id").write.partitionBy("doc_id").option("lineSep", "\n").text(folder)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
     # the text writer ends the file with one line end
     return raw.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), (F.col("length") - 1).alias("bytes"))
 
 
+# texts as office files: the supplied tables have none
+
+
+def office(spark, d, name: str, make) -> DataFrame:
+    """Each turn of a conversation as a file by ``make(lines)``, parsed."""
+    @F.pandas_udf("binary")
+    def build(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: make(t.split("\n")))
+
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.lit(name).alias("path"), build("text").alias("content"))
+    return parsed(ship_first(t)).select("conv_id", "turn", F.md5("text").alias("h"), "error")
+
+
+def ship_first(df: DataFrame) -> DataFrame:
+    ship(df.sparkSession)
+    return df
+
+
+LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+
+
+@query("src_docx", "SELECT conv_id, turn, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS h, NULL::VARCHAR AS error FROM conversations")
+def src_docx(spark, d):
+    return office(spark, d, "a.docx", samples.docx)
+
+
+@query("src_pptx", f"SELECT conv_id, turn, md5(array_to_string({LINES}, chr(10) || chr(10))) AS h, NULL::VARCHAR AS error FROM conversations")
+def src_pptx(spark, d):
+    return office(spark, d, "a.PPTX", samples.pptx)
+
+
+@query("src_xlsx", f"SELECT conv_id, turn, md5(array_to_string(list_transform({LINES}, lambda x: replace(x, ' ', chr(9))), chr(10))) AS h, NULL::VARCHAR AS error FROM conversations")
+def src_xlsx(spark, d):
+    return office(spark, d, "a.xlsx", samples.xlsx)
+
+
+@query("src_epub", f"SELECT conv_id, turn, md5(array_to_string(list_transform({LINES}, lambda x: trim(x)), chr(10) || chr(10))) AS h, NULL::VARCHAR AS error FROM conversations")
+def src_epub(spark, d):
+    return office(spark, d, "a.epub", samples.epub)
+
+
+@query("src_pdf", f"SELECT conv_id, turn, md5(array_to_string({LINES}, chr(10))) AS h, NULL::VARCHAR AS error FROM conversations")
+def src_pdf(spark, d):
+    return office(spark, d, "a.pdf", samples.pdf)
+
+
+@query("src_zip_guard", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'parse_failed: the archive unpacks to more than 256 MiB' END AS error FROM conversations")
+def src_zip_guard(spark, d):
+    """Files whose archive says that it unpacks to too much have an error, the others a text."""
+    @F.pandas_udf("binary")
+    def build(texts: pd.Series, big: pd.Series) -> pd.Series:
+        return pd.Series([samples.docx(t.split("\n"), 300 << 20 if b else 0) for t, b in zip(texts, big)])
+
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.lit("a.docx").alias("path"), build("text", F.col("turn") % 2 == 0).alias("content"))
+    return parsed(ship_first(t)).select("conv_id", "turn", "error")
+
+
 @query("chk_blocks")
 def chk_blocks(spark, d):
     t = turns(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "heading", "text"))), lambda x: F.concat(F.lit("# "), x.heading, F.lit("\n"), x.text)), "\n\n").alias("raw_text"))
@@ -999,8 +1117,6 @@ def chk_blocks(spark, d):
 
 @query("chk_semantic")
 def chk_semantic(spark, d):
-    import pandas as pd
-
     embed = ingest.hashing_embedder(16)
     t = turns(spark, d).withColumn("embedding", embed(F.col("text")))
 
@@ -1012,12 +1128,17 @@ def chk_semantic(spark, d):
     return t.groupBy("doc_id").applyInPandas(merge, "doc_id long, idx int, n int")
 
 
-@query("eval_compare_modes")
+@query("eval_compare_modes", f"""WITH {HYBRID.replace('2::DOUBLE / (60 + v.rank)', '1::DOUBLE / (60 + v.rank)').replace('3::DOUBLE / 61', '2::DOUBLE / 61')}, hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hy),
+hits AS (SELECT 'lexical' AS mode, query_id, chunk_id, rank FROM l20 UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM v20 UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM hr),
+x AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+f AS (SELECT mode, query_id, min(rank) AS first FROM hits JOIN x USING (query_id, chunk_id) WHERE rank <= 5 GROUP BY ALL)
+SELECT m.mode, round(avg((first IS NOT NULL)::INT), 6) AS hit_at_k, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM q CROSS JOIN (SELECT unnest(['lexical', 'vector', 'hybrid']) AS mode) m LEFT JOIN f ON f.mode = m.mode AND f.query_id = q.query_id GROUP BY m.mode""")
 def eval_compare_modes(spark, d):
-    v, x = lanes(spark, d, every=True)
+    v, x = lanes(spark, d)
+    v, x = saved(v, "lane"), saved(x, "lane")
     modes = {"lexical": x, "vector": v, "hybrid": lexical.top(fusion.hybrid(v, x), 20)}
     out = None
-    found = table(spark, d, "documents").join(F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.lit(1).alias("hit"))
+    found = saved(held(spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id")), "held")
     for mode, hits in modes.items():
         best = hits.where("rank <= 5").join(found, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
         s = asked(spark, d).select("query_id").join(best, "query_id", "left").agg(F.avg(F.col("first").isNotNull().cast("double")).alias("hit_at_k"), F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))).alias("mrr")).select(F.lit(mode).alias("mode"), F.round("hit_at_k", 6).alias("hit_at_k"), F.round("mrr", 6).alias("mrr"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -104,11 +105,74 @@ def parse_epub(raw: bytes) -> str:
     return "\n\n".join(p for p in parts if p)
 
 
+_STREAM = re.compile(rb"<<((?:[^<>]|<[^<]|>[^>]|<<(?:[^<>]|<[^<]|>[^>])*>>)*)>>\s*stream\r?\n")
+_SHOWN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|-?[0-9.]+|[A-Za-z'\"*]+|/[^\s/<>\[\]()]+", re.S)
+_ESCAPED = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
+# The escapes of a string, and the operators that begin a new line.
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+_LINE_OPERATORS = frozenset({b"Td", b"TD", b"T*", b"Tm", b"'", b'"', b"BT"})
+
+
+def _pdf_string(raw: bytes) -> str:
+    if raw.startswith(b"("):
+        raw = _ESCAPED.sub(lambda m: _ESCAPES.get(m[1], m[1] if m[1] in b"()\\" else b"" if m[1].endswith(b"\n") else bytes([int(m[1], 8) & 255]) if m[1].isdigit() else m[1]), raw[1:-1])
+    else:
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("cp1252", "replace")
+
+
+def pdf_lines(content: bytes) -> list[str]:
+    """The lines of text that a page's content shows."""
+    lines, line, args, inside = [], [], [], False
+    for m in _SHOWN.finditer(content):
+        x = m[0]
+        if x[:1] in b"(<":
+            args.append(_pdf_string(x))
+        elif x[:1] in b"-.0123456789":
+            # a wide gap inside an array of strings is a space
+            if inside and args and float(x) < -200 and not args[-1].endswith(" "):
+                args.append(" ")
+        elif x in (b"[", b"]"):
+            inside = x == b"["
+        elif not x.startswith(b"/"):
+            if x in _LINE_OPERATORS and line:
+                lines.append("".join(line))
+                line = []
+            if x in (b"Tj", b"TJ", b"'", b'"'):
+                line += args
+            args = []
+    return lines + (["".join(line)] if line else [])
+
+
+def parse_pdf(raw: bytes) -> str:
+    """The text layer of plain and Flate content streams in Latin or UTF-16 codes; fonts with codes of their own, pictures and encrypted files have none, and are for a text recogniser."""
+    if not raw.startswith(b"%PDF") or b"/Encrypt" in raw:
+        raise ValueError("no readable text layer")
+    lines: list[str] = []
+    for m in _STREAM.finditer(raw):
+        end = raw.find(b"endstream", m.end())
+        body = raw[m.end() : end if end >= 0 else len(raw)]
+        if b"FlateDecode" in m[1]:
+            try:
+                body = zlib.decompressobj().decompress(body, MOST_UNPACKED)
+            except zlib.error:
+                continue
+        elif b"/Filter" in m[1]:
+            continue
+        if b"BT" in body and b"/Subtype" not in m[1]:
+            lines += pdf_lines(body)
+    text = "\n".join(x for x in lines if x.strip())
+    if not text:
+        raise ValueError("no text layer: the pages are for a text recogniser")
+    return text
+
+
 def parse(kind: str, raw: bytes) -> tuple[str, str]:
     """(title, text)."""
     if kind == "html":
         return html_document(decode_text(raw))
-    readers = {"docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx, "epub": parse_epub}
+    readers = {"docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx, "epub": parse_epub, "pdf": parse_pdf}
     if kind in readers:
         return "", readers[kind](raw)
     if kind == "text":
