@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stackwise.session import saved
+from stackwise.session import discard, saved
 
 MOST_STEPS = 60
 
@@ -42,7 +42,8 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     for _ in range(MOST_STEPS):
         if not now[0]:
             break
-        e = saved(_stars(_stars(e, True), False), tag)
+        last, e = e, saved(_stars(_stars(e, True), False), tag)
+        discard(last)
         before, now = now, mark(e)
         if now == before:
             break
