@@ -37,8 +37,9 @@ from stackwise.session import saved, ship
 END_ID = 1
 #: Tokens of a lane: what one task holds at a time (2 bytes a token).
 LANE_TOKENS = 1_000_000
-#: Parts that each source's queue is cut in.
+#: Parts that each source's queue is cut in, and how many of all sources are at most broadcast (some 10 MB); more are joined by a shuffle.
 PARTS = 4096
+MOST_BROADCAST = 131_072
 #: Lanes of a group in the two-level running sums.
 LANE_GROUP = 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -171,10 +172,11 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 2048, shares: Column
     tok = tok.withColumn("h", F.xxhash64("doc_id", "source", F.crc32("ids")))
     part = F.floor(fraction(F.col("h")) * PARTS).cast("int")
     parts = saved(tok.groupBy("source", part.alias("part")).agg(F.sum("n").alias("tokens")), "parts")
-    total = parts.agg(F.sum("tokens")).first()[0] or 0
+    total, n_parts = parts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     lanes = max(1, -(-total // lane_tokens))
     queue = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     place = parts.select("source", "part", "tokens", F.coalesce(F.sum("tokens").over(queue), F.lit(0)).alias("above"), F.sum("tokens").over(Window.partitionBy("source")).alias("of"))
+    place = F.broadcast(place) if n_parts <= MOST_BROADCAST else place
     t, p = tok.withColumn("part", part).withColumn("within", fraction(F.xxhash64("row"))).alias("t"), place.alias("p")
     at = (F.col("p.above") + F.col("t.within") * F.col("p.tokens")) / F.col("p.of")
     tok = t.join(p, F.col("t.source").eqNullSafe(F.col("p.source")) & (F.col("t.part") == F.col("p.part"))).select("t.doc_id", "t.source", "t.n", "t.wide", "t.ids", "t.h", F.least(F.lit(lanes - 1), F.floor(at * lanes)).cast("long").alias("lane"))
