@@ -1,11 +1,12 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stackwise.operators import catalog, chunking as C, docops, evaluate, ingest
-from stackwise.sources import files
+from stackwise.sources import files, samples
 from stackwise.sources.html import html_markdown
 from stackwise.streaming import ingest as stream
 
@@ -28,6 +29,24 @@ def test_chunk_cases():
     assert texts(C.chunk("aaa##END##bbb##END##ccc", 800, 100, smart=False, separator="##END##")) == ["aaa", "bbb", "ccc"]
 
 
+def test_fences():
+    # what comes before a fence is a block of its own, and only its bare mark closes it
+    assert texts(C.chunk("para\n```\ncode\n```\nafter", 800, 100)) == ["para", "```\ncode\n```\nafter"]
+    assert texts(C.chunk("```\na\n```python\n\nb\n```", 800, 100)) == ["```\na\n```python\n\nb\n```"]
+    text = "# Intro\nparagraph one\n\n```python\n# not a heading\n\ndef f():\n    pass\n\n```\nparagraph two"
+    assert sum("```" in t for t in texts(C.chunk(text, 800, 100))) == 1
+    assert len(C.semantic_segments("before\n\n```\nline1\n\nline2\n```\n\nafter")) == 3
+
+
+def test_merged_vectors_are_weighed_by_what_is_embedded():
+    x, y = [1.0, 0.0], [0.6, 0.8]
+    out = C.semantic_merge([("a" * 10, "h"), ("b" * 30, ""), ("c" * 20, "")], [x, None, y], 1000, 0.5)
+    mean = (10 * np.array(x) + 20 * np.array(y)) / 30
+    assert len(out) == 1 and out[0][1] == "h" and np.allclose(out[0][2], mean / np.linalg.norm(mean))
+    # a chunk whose first segment has no vector has none, and joins by size alone
+    assert [v for *_, v in C.semantic_merge([("a", ""), ("b", ""), ("c", "")], [None, x, [0.0, 1.0]], 1000, 0.9)] == [None]
+
+
 def test_windows():
     text = ("word " * 1000).strip()
     out = texts(C.chunk(text, 500, 50))
@@ -82,6 +101,29 @@ def test_tree(spark):
     assert catalog.subtree(ring, spark.createDataFrame([("a",)], "doc_id string")).count() == 2
 
 
+def test_deep_trees(spark):
+    rows = [(f"d{i}", f"d{i - 1}" if i else None, f"t{i}", "directory") for i in range(300)] + [("ring1", "ring2", "x", "directory"), ("ring2", "ring1", "y", "directory"), ("under", "ring1", "z", "file"), ("self", "self", "s", "directory")]
+    t = spark.createDataFrame(rows, "doc_id string, parent_directory_id string, title string, source_type string")
+    got = catalog.outline(t).orderBy("position").collect()
+    assert [(r.doc_id, r.depth, r.position) for r in got] == [(f"d{i}", i, i + 1) for i in range(300)]
+    pick = lambda *ids: spark.createDataFrame([(x,) for x in ids], "doc_id string")
+    assert catalog.subtree(t, pick("d200")).count() == 100
+    assert {r.doc_id for r in catalog.subtree(t, pick("ring2", "d299")).collect()} == {"ring1", "ring2", "under", "d299"}
+    assert {r.doc_id for r in catalog.outermost(t, pick("d7", "d250", "under")).collect()} == {"d7", "under"}
+    assert catalog.importing_folders(t, pick("d250")).count() == 250
+    assert {r.doc_id for r in catalog.importing_folders(t, pick("under")).collect()} == {"ring1", "ring2"}
+
+
+def test_holders_equal_all_pairs(spark):
+    words = "ab cd ef longword another x".split()
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(60)] + [(99, None), (98, "ab\tcd\nef")]
+    passages = [(i, " ".join(rng.choice(words, n))) for i, n in enumerate([1, 2, 3, 3, 4, 5, 3, 4])] + [(50, ""), (51, None), (52, "b cd e"), (53, " ab ")]
+    got = evaluate.holders(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, passage string"))
+    want = [(d, p) for d, t in docs for p, x in passages if t is not None and x is not None and x in t]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_scope_and_recovery(spark):
     bases = spark.createDataFrame([("a",), ("b",)], "base_id string")
     assert {r.base_id for r in catalog.enabled(bases, ["ghost"]).collect()} == {"a", "b"}
@@ -187,6 +229,17 @@ def test_parsers(spark):
     assert got["g.docx"].error.startswith("parse_failed") and got["h.pdf"].error.startswith("parse_failed")
 
 
+def test_pdf():
+    assert files.parse_pdf(samples.pdf(["Hello (there)", "déjà 知识", ""])) == "Hello (there)\ndéjà 知识"
+    plain = b"%PDF-1.3\n1 0 obj\n<< /Length 60 >>\nstream\nBT (a \\(b\\) \\351) Tj T* [(one) -300 (two) 20 (three)] TJ ET\nendstream\nendobj"
+    assert files.parse_pdf(plain) == "a (b) é\none twothree"
+    for raw in (b"%PDF-1.4 /Encrypt", b"junk", samples.pdf([])):
+        with pytest.raises(ValueError):
+            files.parse_pdf(raw)
+    with pytest.raises(ValueError):
+        files.parse_docx(samples.docx(["x"], 300 << 20))
+
+
 def test_decode():
     assert files.decode_text("知识库管理系统功能".encode("gb18030")) == "知识库管理系统功能"
     assert files.decode_text(b"caf\xe9") == "caf�"

@@ -63,6 +63,41 @@ def test_vector_order_and_ties(spark):
     assert a == b == [(1, 1), (3, 2), (2, 3), (4, 4), (7, 5)]
 
 
+def test_batches_do_not_change_ties(spark, monkeypatch):
+    # cosines that are equal at six digits and not at nine
+    c = frame(spark, [(i, [1.0, 1e-5 * (60 - i)]) for i in range(60)] + [(100 + i, [1.0, 1.0]) for i in range(20)], "chunk_id long, embedding array<double>")
+    q = frame(spark, [(i, [1.0, 0.01 * i]) for i in range(7)], "query_id long, embedding array<double>")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+    want = rows(vector.cosine_topk(c, q, 5))
+    assert rows(vector.batch_topk(c, q, 5, block=1)) == rows(vector.batch_topk(c, q, 5, block=1000)) == want
+    assert [r[2] for r in want if r[0] == 0] == [0, 1, 2, 3, 4]
+    monkeypatch.setattr(vector, "BATCH", 2)  # queries in several passes
+    assert rows(vector.batch_topk(c, q, 5)) == want
+
+
+def test_queries_whose_embedding_failed_are_searched_by_words(spark):
+    chunks, docs = world(spark)
+    q = frame(spark, [(1, "alpha document", [1.0, 0.0]), (2, "alpha document", None)], "query_id long, query string, embedding array<float>")
+    words = {(h.chunk_id, h["rank"], h.score) for h in search(chunks, docs, q, Config(search_mode="lexical")).where("query_id = 2").collect()}
+    for mode in ("auto", "hybrid", "vector"):
+        hits = search(chunks, docs, q, Config(search_mode=mode, mmr_lambda=0.3)).collect()
+        assert {(h.chunk_id, h["rank"], h.score) for h in hits if h.query_id == 2} == words
+        assert any(h.vector_score is not None for h in hits if h.query_id == 1)
+    assert search(chunks, docs, q.withColumn("query", F.lit(" ")), Config()).count() == 0
+
+
+def test_every_candidate_is_ranked(spark):
+    table = frame(spark, ABC + [(0, "nothing of it"), (4, "")], "chunk_id long, text string")
+    got = lexical.ranked_all(table, frame(spark, [(1, "quick fox"), (2, "zz")], "query_id long, query string"), 4).collect()
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got) == [(1, 1, 1), (1, 2, 2), (1, 3, 0), (1, 4, 3), (2, 1, 0), (2, 2, 1), (2, 3, 2), (2, 4, 3)]
+
+
+def test_gates():
+    from stackwise.config import resolve
+
+    assert [resolve({"top_k": k}).top_k for k in (-3, 0, 7, 900, "x")] == [1, 1, 7, 50, 6]
+
+
 def test_hybrid_golden(spark):
     v = frame(spark, [(1, "a", 0.9, 1), (1, "b", 0.8, 2)], "query_id long, chunk_id string, score double, rank int")
     x = frame(spark, [(1, "c", 0.9, 1), (1, "a", 0.5, 2)], "query_id long, chunk_id string, score double, rank int")
