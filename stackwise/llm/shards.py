@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, functions as F
 MOST = 8192
 
 
+def tasks_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def dealt(assigned: DataFrame, key: str, most: int = MOST) -> DataFrame:
     """``assigned`` (shard, home, and the column ``key``) with part and cross, so that every pair of a shard with a home row in it meets in one (shard, part).
 
     A large shard's home rows and visitors are cut in parts by a hash of the key. There is a task
     for each home part alone, for two home parts (the second as visitors), and for a home part with
     a part of the visitors; in the last two, ``cross``, only home rows and visitors are to be
-    compared. Only the large shards' names and sizes are joined.
+    compared. Only the large shards' names and sizes are joined. The result is dealt by shard and part, as
+    the join may leave all parts of a shard in one task, to a stated number of tasks: rows are few bytes
+    for the comparisons that they take, and are not to be coalesced by bytes.
     """
     counts = assigned.groupBy("shard").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v")).where(f"h > {most} or v > {most}")
     large = counts.select("shard", F.greatest(F.lit(1), F.ceil(F.col("h") / most)).cast("long").alias("hp"), F.ceil(F.col("v") / most).cast("long").alias("vp"))
@@ -27,7 +33,7 @@ def dealt(assigned: DataFrame, key: str, most: int = MOST) -> DataFrame:
     of_visitor = upto(hp, lambda j: task(hp * hp + j * vp + v, F.lit(False), F.lit(True)))
     tasks = F.when(hp.isNull(), F.array(task(F.lit(0), F.col("home"), F.lit(False)))).when(F.col("home"), of_home).otherwise(of_visitor)
     out = assigned.join(large, "shard", "left").withColumn("task", F.explode(tasks))
-    return out.withColumn("home", F.col("task.home")).withColumn("part", F.col("task.part")).withColumn("cross", F.col("task.cross")).drop("hp", "vp", "task")
+    return out.withColumn("home", F.col("task.home")).withColumn("part", F.col("task.part")).withColumn("cross", F.col("task.cross")).drop("hp", "vp", "task").repartition(tasks_of(assigned), "shard", "part")
 
 
 class Unions:

@@ -452,7 +452,7 @@ def met(dealt_out: DataFrame, links_of) -> DataFrame:
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i + x]), pa.array(ids[i + y])], names=["a", "b"])
 
-    rows = dealt_out.repartition("shard", "part").sortWithinPartitions("shard", "part", F.desc("home"))
+    rows = dealt_out.sortWithinPartitions("shard", "part", F.desc("home"))
     return rows.mapInArrow(run, "a long, b long")
 
 

@@ -440,6 +440,14 @@ def test_large_shards_are_dealt(spark):
     want = [frozenset((a, b)) for a in range(50) for b in [*range(a), *range(100, 125)]] + [frozenset((200, 201))]
     assert sorted(map(sorted, met)) == sorted(map(sorted, want))
     assert max(map(len, by.values())) < 50
+    # the parts of one shard are in many tasks
+    rows = spark.createDataFrame([("s", True, i) for i in range(2000)], "shard string, home boolean, id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks = shards.dealt(rows, "id", most=100).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 0.6 * sum(r["count"] for r in tasks)
 
 
 def test_counts_of_a_large_cell(spark, monkeypatch):
