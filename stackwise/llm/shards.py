@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from stackwise.session import saved
+
 #: Home rows, and visitors, of a shard in one task; of larger shards every task gets two parts of so many rows.
 MOST = 8192
 
@@ -32,7 +34,8 @@ def dealt(assigned: DataFrame, key: str, most: int = MOST) -> DataFrame:
     of_home = F.concat(upto(hp, lambda j: task(F.least(i, j) * hp + F.greatest(i, j), j >= i, i != j)), upto(vp, lambda j: task(hp * hp + i * vp + j, F.lit(True), F.lit(True))))
     of_visitor = upto(hp, lambda j: task(hp * hp + j * vp + v, F.lit(False), F.lit(True)))
     tasks = F.when(hp.isNull(), F.array(task(F.lit(0), F.col("home"), F.lit(False)))).when(F.col("home"), of_home).otherwise(of_visitor)
-    out = assigned.join(large, "shard", "left").withColumn("task", F.explode(tasks))
+    # written, so that its size is known and a small one is broadcast: few shards are large
+    out = assigned.join(saved(large, "large"), "shard", "left").withColumn("task", F.explode(tasks))
     return out.withColumn("home", F.col("task.home")).withColumn("part", F.col("task.part")).withColumn("cross", F.col("task.cross")).drop("hp", "vp", "task").repartition(tasks_of(assigned), "shard", "part")
 
 
