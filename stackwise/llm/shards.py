@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stackwise.session import saved
 
@@ -15,18 +15,21 @@ def tasks_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dealt(assigned: DataFrame, key: str, most: int = MOST) -> DataFrame:
+def dealt(assigned: DataFrame, key: str, most: int = MOST, weight: Column | None = None, most_weight: int = 1) -> DataFrame:
     """``assigned`` (shard, home, and the column ``key``) with part and cross, so that every pair of a shard with a home row in it meets in one (shard, part).
 
-    A large shard's home rows and visitors are cut in parts by a hash of the key. There is a task
+    A large shard's home rows and visitors are cut in parts by a hash of the key, of about ``most`` rows
+    and a sum of ``weight`` of about ``most_weight`` at most. There is a task
     for each home part alone, for two home parts (the second as visitors), and for a home part with
     a part of the visitors; in the last two, ``cross``, only home rows and visitors are to be
     compared. Only the large shards' names and sizes are joined. The result is dealt by shard and part, as
     the join may leave all parts of a shard in one task, to a stated number of tasks: rows are few bytes
     for the comparisons that they take, and are not to be coalesced by bytes.
     """
-    counts = assigned.groupBy("shard").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v")).where(f"h > {most} or v > {most}")
-    large = counts.select("shard", F.greatest(F.lit(1), F.ceil(F.col("h") / most)).cast("long").alias("hp"), F.ceil(F.col("v") / most).cast("long").alias("vp"))
+    rows = lambda mine: F.ceil(F.count_if(mine) / most)
+    parts = rows if weight is None else lambda mine: F.greatest(rows(mine), F.ceil(F.coalesce(F.sum(F.when(mine, weight)), F.lit(0)) / most_weight))
+    counts = assigned.groupBy("shard").agg(parts(F.col("home")).alias("hp"), parts(~F.col("home")).alias("vp")).where("hp > 1 or vp > 1")
+    large = counts.select("shard", F.greatest(F.lit(1), "hp").cast("long").alias("hp"), F.col("vp").cast("long").alias("vp"))
     task = lambda part, home, cross: F.struct(part.cast("long").alias("part"), home.alias("home"), cross.alias("cross"))
     upto = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), f)).otherwise(F.array().cast("array<struct<part:bigint,home:boolean,cross:boolean>>"))
     hp, vp = F.col("hp"), F.col("vp")

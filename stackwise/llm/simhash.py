@@ -86,9 +86,10 @@ class Copies:
 #: are common, with 96 bits on average). At that similarity two sets share none of 24 bands of 4 with a
 #: probability of (1 - 0.8 ** 4) ** 24, 3 in a million.
 PIPELINE = Copies(words=5, similarity=0.8, bits=512, radius=128, bands=24, rows=4)
-#: Rows, of a band that many sets share, that a task compares at a time; and of a group whose sets are compared.
+#: Rows, of a band that many sets share, that a task compares at a time; and of a group whose sets are compared, and shingles in them.
 MOST_ROWS = 4096
 MOST_SETS = 1024
+MOST_SHINGLES = 4_000_000
 
 
 def shingle_hashes(text: str, words: int) -> bytes:
@@ -293,7 +294,8 @@ PLACES = "shard long, piece int, home boolean, id long, fp binary"
 def placed(tree: Tree, above: int, piece: int, ids: pa.Array, fps: pa.Array, at_home: np.ndarray | None, scheme: Scheme) -> pa.RecordBatch:
     """The rows in the leaves of a tree below the shard ``above``; leaves are named by a hash of the shard and their number."""
     rows, leaves, home = tree.places(piece_of(words_of(fps.to_pylist()), scheme, piece), at_home)
-    name = (np.uint64(above & (1 << 64) - 1) ^ np.uint64(_MIX[2])) * np.uint64(_MIX[0]) + leaves.astype(np.uint64) * np.uint64(_MIX[1])
+    base = np.uint64(((above & (1 << 64) - 1) ^ _MIX[2]) * _MIX[0] & (1 << 64) - 1)
+    name = base + leaves.astype(np.uint64) * np.uint64(_MIX[1])
     name = (name ^ (name >> np.uint64(29))) * np.uint64(_MIX[0])
     at = pa.array(rows)
     return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.full(len(rows), piece, np.int32)), pa.array(home), ids.take(at), fps.take(at)], names=["shard", "piece", "home", "id", "fp"])
@@ -470,11 +472,11 @@ def candidates(classes: DataFrame, scheme: Copies) -> DataFrame:
 def alike(sets: list[np.ndarray], homes: int, similarity: float, cross: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges of the pairs of sets with a Jaccard similarity of so much or more; ``cross``: only of those between one of the first ``homes`` and one of the others."""
     n, sizes = len(sets), np.array([len(x) for x in sets])
-    flat, doc = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    flat, doc = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), sizes)
     order = np.argsort(flat, kind="stable")
     who, new = doc[order], np.r_[True, np.diff(flat[order]) != 0][: len(flat)]
-    number = np.empty(len(flat), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
+    number = np.empty(len(flat), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(flat)])
     ends = np.cumsum(sizes)
@@ -518,7 +520,7 @@ def verified(df: DataFrame, rows: DataFrame, found: DataFrame, scheme: Copies) -
     of = rows.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("one")).join(found, "node").select("one.id", "one.text_hash", "node", "component")
     texts = df.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text").join(of, ["id", "text_hash"]).select(F.col("component").alias("shard"), "node", "text")
     sets = saved(texts.mapInArrow(run, "shard long, id long, shingles binary").withColumn("home", F.lit(True)), "sets")
-    return met(dealt(sets, "id", MOST_SETS), links_of)
+    return met(dealt(sets, "id", MOST_SETS, F.octet_length("shingles") / 8, MOST_SHINGLES), links_of)
 
 
 def deduplicated(df: DataFrame, scheme: Copies = PIPELINE) -> DataFrame:

@@ -285,11 +285,25 @@ def test_alike_equals_all_pairs(spark, monkeypatch):
         a, b = simhash.alike(sets, homes, 0.8, cross)
         want = [p for p in near if not cross or (p[0] < 70) != (p[1] < 70)]
         assert joined(list(zip(a.tolist(), b.tolist())), range(150)) == joined(want, range(150))
-    # a group of many texts is dealt to parts
-    monkeypatch.setattr(simhash, "MOST_SETS", 10)
+    # a group of many texts is dealt to parts, and one of long texts too
     text = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join([*text, f"x{i}"])) for i in range(60)]
-    assert [r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    for name, most in (("MOST_SETS", 10), ("MOST_SHINGLES", 1000)):
+        with monkeypatch.context() as m:
+            m.setattr(simhash, name, most)
+            assert [r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_shards_of_heavy_rows_are_dealt(spark):
+    from stackwise.llm import shards
+
+    rows = spark.createDataFrame([("s", True, i, 100) for i in range(80)] + [("t", True, i, 1) for i in range(80)], "shard string, home boolean, id long, size int")
+    out = shards.dealt(rows, "id", 1000, F.col("size"), 1000).collect()
+    by = {}
+    for r in out:
+        by.setdefault((r.shard, r.part, r.cross), []).append(r.size)
+    assert len([k for k in by if k[0] == "t"]) == 1 and len([k for k in by if k[0] == "s"]) > 30
+    assert max(sum(x) for k, x in by.items() if k[0] == "s") < 4500
 
 
 def test_one_row_of_each_group_stays_with_repeated_ids(spark):
