@@ -129,6 +129,28 @@ def latest_version(spark: SparkSession, root: str) -> str | None:
     return max(whole, key=lambda p: int(p.getName()[2:])).toString() if whole else None
 
 
+def reclaimed(spark: SparkSession, root: str, least_share: float = 0.2, least_bytes: int = 8 << 20) -> list[str]:
+    """Deletes the versions before the newest whole one, if they take such a share of all bytes and so many bytes; returns what is left.
+
+    For a time when nothing reads the older versions.
+    """
+    newest = latest_version(spark, root)
+    if newest is None:
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    number = lambda p: int(p.rpartition("v=")[2])
+    versions = [p for s in fs.listStatus(path(root)) for p in [s.getPath().toString()] if p.rpartition("v=")[2].isdigit()]
+    size = {p: fs.getContentSummary(path(p)).getLength() for p in versions}
+    old = [p for p in versions if number(p) < number(newest)]
+    free = sum(size[p] for p in old)
+    if old and free >= least_bytes and free >= least_share * sum(size.values()):
+        for p in old:
+            fs.delete(path(p), True)
+        versions = [p for p in versions if p not in old]
+    return sorted(versions, key=number)
+
+
 def legacy_chunks(rows: DataFrame) -> DataFrame:
     """Imported rows (chunk_id, doc_id, idx, seq): the last of each id stays, ordered by idx."""
     last = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("seq").desc()))
@@ -142,6 +164,13 @@ def disk_sync(disk: DataFrame, stored: DataFrame) -> DataFrame:
     return d.join(s, "path", "full").select("path", action.alias("action"))
 
 
+def rescanned(disk: DataFrame, stored: DataFrame) -> DataFrame:
+    """path, action, error of ``disk`` (path, error) against ``stored`` (path): as ``disk_sync`` says; an entry that could not be read has failed, and the others go on."""
+    errors = disk.groupBy("path").agg(F.min("error").alias("error"))
+    synced = disk_sync(disk, stored).join(errors, "path", "left")
+    return synced.withColumn("action", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("action")))
+
+
 def refresh_due(docs: DataFrame, hours: int, now_ms: int) -> DataFrame:
     """URL documents last touched over so many hours ago."""
     return docs.where((F.col("source_type") == "url") & (F.coalesce("updated_at", "created_at") < now_ms - hours * 3_600_000)) if hours > 0 else docs.where(F.lit(False))

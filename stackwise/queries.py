@@ -13,7 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from stackwise.config import Config, resolve
+from stackwise.config import Config, merge_base, pooling, resolve
 from stackwise.functions import text as T, vectors as V
 from stackwise.operators import catalog, chunking, docops, evaluate, fusion, ingest, lexical, vector
 from stackwise.plans.search import search
@@ -1144,3 +1144,129 @@ def eval_compare_modes(spark, d):
         s = asked(spark, d).select("query_id").join(best, "query_id", "left").agg(F.avg(F.col("first").isNotNull().cast("double")).alias("hit_at_k"), F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))).alias("mrr")).select(F.lit(mode).alias("mode"), F.round("hit_at_k", 6).alias("hit_at_k"), F.round("mrr", 6).alias("mrr"))
         out = s if out is None else out.unionByName(s)
     return out
+
+
+# --- rules of configuration, ingest and search, over rows
+
+
+def mapped(df: DataFrame, f, schema: str) -> DataFrame:
+    """``f`` (a row as a dictionary -> a dictionary) over every row, in Arrow batches."""
+    ship(df.sparkSession)
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame([f(r) for r in pdf.to_dict("records")], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.mapInPandas(run, schema)
+
+
+MODES_SQL = "(['auto', 'vector', 'nonsense', ' '])[vec_id % 4 + 1]"
+
+
+@query("cfg_resolve", f"""WITH s AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN vec_id + 512 ELSE greatest(64, least(100000, trunc(vec_id * 97.5 - 900)))::BIGINT END AS chunk_size, {MODES_SQL} AS asked FROM embeddings)
+SELECT vec_id, chunk_size, greatest(0, least(chunk_size - 1, trunc(vec_id * 1.5)))::BIGINT AS chunk_overlap, greatest(1, least(50, vec_id % 80 - 10))::BIGINT AS top_k,
+  greatest(0, least(1, vec_id % 7 / 4.0 - 0.25))::DOUBLE AS mmr_lambda, CASE WHEN asked IN ('auto', 'vector') THEN asked WHEN asked = ' ' THEN 'lexical' ELSE 'auto' END AS search_mode FROM s""")
+def cfg_resolve(spark, d):
+    """Settings of a base over those of all; what is out of range is clamped, what is blank or unknown gives way."""
+
+    def one(r):
+        i = int(r["vec_id"])
+        over = {"chunk_size": i * 97.5 - 900, "chunk_overlap": i * 1.5, "search_mode": "lexical"}
+        base = {"chunk_size": i + 512 if i % 3 == 0 else None, "top_k": i % 80 - 10, "mmr_lambda": i % 7 / 4 - 0.25, "search_mode": ("auto", "vector", "nonsense", " ")[i % 4], "other": 1}
+        c = resolve(over, base)
+        return {"vec_id": i, "chunk_size": c.chunk_size, "chunk_overlap": c.chunk_overlap, "top_k": c.top_k, "mmr_lambda": c.mmr_lambda, "search_mode": c.search_mode}
+
+    return mapped(table(spark, d, "embeddings").select("vec_id"), one, "vec_id long, chunk_size long, chunk_overlap long, top_k long, mmr_lambda double, search_mode string")
+
+
+@query("cfg_merge", """SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN NULL ELSE 'old' END AS model, 'm' || vec_id AS mode FROM embeddings""")
+def cfg_merge(spark, d):
+    def one(r):
+        i = int(r["vec_id"])
+        m = merge_base({"model": "old"}, {"model": ("new", " ", None)[i % 3], "mode": f"m{i}"})
+        return {"vec_id": i, "model": m.get("model"), "mode": m["mode"]}
+
+    return mapped(table(spark, d, "embeddings").select("vec_id"), one, "vec_id long, model string, mode string")
+
+
+@query("ing_model_route", """SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 1 THEN 'save' WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 AND doc_id % 7 <> 0 THEN 'backfill' ELSE 'refuse' END AS route FROM documents""")
+def ing_model_route(spark, d):
+    def one(r):
+        i = int(r["doc_id"])
+        return {"doc_id": i, "route": ingest.model_route(i % 5, i % 2 == 1, int(i % 7 == 0), (None, "b", "a")[i % 3], "b")}
+
+    return mapped(table(spark, d, "documents").select("doc_id"), one, "doc_id long, route string")
+
+
+@query("ing_pooling", """SELECT doc_id, (['last_token', 'cls', 'cls', 'mean'])[doc_id % 4 + 1] AS pooling FROM documents""")
+def ing_pooling(spark, d):
+    names = ("Qwen3-Embedding-", "BGE-m", "x/bce-base-", "e")
+    return mapped(table(spark, d, "documents").select("doc_id"), lambda r: {"doc_id": int(r["doc_id"]), "pooling": pooling(f"{names[r['doc_id'] % 4]}{r['doc_id']}")}, "doc_id long, pooling string")
+
+
+@query("ing_retry", """SELECT vec_id, least(3, vec_id % 5 + 1)::BIGINT AS attempts, ([0, 1, 3, 3, 3])[vec_id % 5 + 1]::DOUBLE AS waited, vec_id % 5 < 3 AS done FROM embeddings""")
+def ing_retry(spark, d):
+    """Calls that fail so many times, with the waits counted and not slept."""
+
+    def one(r):
+        i, calls, waits, done = int(r["vec_id"]), [], [], True
+
+        def call():
+            calls.append(1)
+            if len(calls) <= i % 5:
+                raise OSError("not now")
+
+        try:
+            ingest.with_retry(call, sleep=waits.append)
+        except OSError:
+            done = False
+        return {"vec_id": i, "attempts": len(calls), "waited": float(sum(waits)), "done": done}
+
+    return mapped(table(spark, d, "embeddings").select("vec_id"), one, "vec_id long, attempts long, waited double, done boolean")
+
+
+@query("hash_embed", """SELECT conv_id AS doc_id, turn::INT AS idx, sha256('c' || conv_id || CASE WHEN length(role) > 0 THEN ' > ' || role ELSE '' END || chr(10) || text) AS embedding_text_hash FROM conversations""")
+def hash_embed(spark, d):
+    t = turns(spark, d).withColumn("title", F.concat(F.lit("c"), F.col("doc_id").cast("string"))).withColumn("base_id", F.lit("b"))
+    return chunking.finished(t).select("doc_id", "idx", "embedding_text_hash")
+
+
+@query("ing_rescan", """SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 4 THEN 'failed' WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'reindex' WHEN doc_id % 2 = 0 THEN 'add' ELSE 'delete' END AS action, CASE WHEN doc_id % 10 = 4 THEN 'unreadable' END AS error FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
+def ing_rescan(spark, d):
+    p = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"))
+    disk = p.where("doc_id % 2 = 0").select("path", F.when(F.col("doc_id") % 10 == 4, "unreadable").alias("error"))
+    return ingest.rescanned(disk, p.where("doc_id % 3 = 0").select("path"))
+
+
+@query("snk_reclaim", "SELECT label AS base_id, count(*) AS n, 2::BIGINT AS versions_below_the_least, 1::BIGINT AS versions FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label")
+def snk_reclaim(spark, d):
+    """Two versions of the chunks; the older goes once it takes enough."""
+    v, root = vector_chunks(spark, d).select("chunk_id", "base_id"), scratch(spark, "versions")
+    ingest.write_version(v, root)
+    ingest.write_version(v.where("chunk_id % 3 <> 0"), root)
+    before, after = ingest.reclaimed(spark, root, least_bytes=1 << 40), ingest.reclaimed(spark, root, least_bytes=0)
+    now = spark.read.parquet(ingest.latest_version(spark, root))
+    return now.groupBy("base_id").agg(F.count("*").alias("n")).select("base_id", "n", F.lit(len(before)).cast("long").alias("versions_below_the_least"), F.lit(len(after)).cast("long").alias("versions"))
+
+
+def passages(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Passages of the benchmark as chunks, with the vectors of the same numbers, and their documents."""
+    b = table(spark, d, "benchmark").join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "item_id"), "item_id", "left")
+    c = b.select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("doc_id"), F.lit(0).alias("idx"), F.lit(None).cast("string").alias("heading"), "text", F.col("text").alias("search_text"), "embedding")
+    return c, c.select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("title"))
+
+
+@query("srch_empty", "SELECT item_id AS query_id, 'p' || item_id AS best FROM benchmark WHERE item_id % 2 = 1 AND trim(text) <> ''")
+def srch_empty(spark, d):
+    """Blank queries have no hits, those beside them have theirs."""
+    c, t = passages(spark, d)
+    q = c.select(F.col("chunk_id").alias("query_id"), F.when(F.col("chunk_id") % 2 == 1, F.col("text")).when(F.col("chunk_id") % 4 == 0, " \n").alias("query"), "embedding")
+    return search(c, t, q, Config(search_mode="lexical")).where("rank = 1").select("query_id", F.col("document_title").alias("best"))
+
+
+@query("srch_embed_degrade", "SELECT item_id AS query_id, item_id % 3 <> 0 AND item_id IN (SELECT vec_id FROM embeddings) AS by_vector, true AS by_words FROM benchmark WHERE trim(text) <> ''")
+def srch_embed_degrade(spark, d):
+    """Queries whose embedding failed are searched by words alone."""
+    c, t = passages(spark, d)
+    q = c.select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"), F.when(F.col("chunk_id") % 3 != 0, F.col("embedding")).alias("embedding"))
+    return search(c, t, q, Config(search_mode="hybrid")).groupBy("query_id").agg(F.max(F.col("vector_score").isNotNull()).alias("by_vector"), F.max(F.col("lexical_score").isNotNull()).alias("by_words"))
