@@ -304,7 +304,13 @@ def srch_multi_query(spark, d):
     return fusion.best_of_variants(hits.select(F.col("query_id.conv_id").alias("query_id"), F.col("query_id.turn").alias("variant"), "chunk_id", "score"), 6).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("div_mmr")
+@query("div_mmr", f"""WITH RECURSIVE {COS}, c AS MATERIALIZED (SELECT query_id, chunk_id, score, rank, embedding::DOUBLE[] AS e FROM r JOIN embeddings ON vec_id = chunk_id WHERE rank <= 20),
+near AS MATERIALIZED (SELECT a.query_id, a.chunk_id, b.chunk_id AS other, greatest(0, least(1, list_dot_product(a.e, b.e))) AS near FROM c a JOIN c b USING (query_id)),
+m AS (SELECT query_id, [chunk_id] AS picked, 1 AS step FROM c WHERE rank = 1 UNION ALL
+  SELECT query_id, list_append(any_value(picked), arg_max(chunk_id, value)), any_value(step) + 1
+  FROM (SELECT m.query_id, m.picked, m.step, c.chunk_id, 0.3 * c.score - 0.7 * max(n.near) AS value FROM m JOIN c ON c.query_id = m.query_id AND NOT list_contains(m.picked, c.chunk_id)
+        JOIN near n ON n.query_id = m.query_id AND n.chunk_id = c.chunk_id AND list_contains(m.picked, n.other) WHERE m.step < 6 GROUP BY m.query_id, m.picked, m.step, c.chunk_id, c.score) GROUP BY query_id)
+SELECT m.query_id, c.chunk_id, c.score, list_position(m.picked, c.chunk_id)::INT AS rank FROM m JOIN c ON c.query_id = m.query_id AND list_contains(m.picked, c.chunk_id) WHERE m.step = 6""")
 def div_mmr(spark, d):
     ranked = vector.batch_topk(*embeddings(spark, d), 20).join(embeddings(spark, d)[0], "chunk_id").select("query_id", "chunk_id", "score", "rank", "embedding")
     return fusion.mmr(ranked, 0.3, 6).where("rank <= 6").drop("embedding")
@@ -836,7 +842,11 @@ def eval_recall_at_k(spark, d):
     return evaluate.scores(benchmark_eval(spark, d)).select(F.round("recall_at_k", 6).alias("recall"))
 
 
-@query("eval_context_recall")
+@query("eval_context_recall", f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s),
+t AS (SELECT query_id, lower(regexp_replace(string_agg(text, ' ' ORDER BY rank), '[\\s\\p{{P}}\\p{{S}}]', '', 'g')) AS found FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 5 GROUP BY query_id),
+g AS (SELECT item_id, unnest(list_filter(string_split_regex(text, '[。！？!?\n]'), lambda x: trim(x) <> '')) AS part FROM benchmark),
+f AS (SELECT item_id, lower(regexp_replace(part, '[\\s\\p{{P}}\\p{{S}}]', '', 'g')) AS part FROM g)
+SELECT item_id AS question_id, round(avg((length(part) >= 4 AND coalesce(contains(found, part), false))::INT), 6) AS recall FROM f LEFT JOIN t ON query_id = item_id GROUP BY item_id""")
 def eval_context_recall(spark, d):
     hits = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 5).join(corpus(spark, d), "chunk_id").select(F.col("query_id").alias("question_id"), "rank", "text", F.lit(None).cast("string").alias("sibling_context"))
     return evaluate.context_recall(table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("golden")), hits).withColumn("recall", F.round("recall", 6))
