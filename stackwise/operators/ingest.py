@@ -15,9 +15,12 @@ def deduplicated(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """incoming (base_id, doc_id, raw_text) with content_hash, duplicate_of: a stored document of the same text and base, or the batch's first."""
     i = incoming.withColumn("content_hash", T.content_hash(F.col("raw_text")))
     s = stored.groupBy("base_id", "content_hash").agg(F.min("doc_id").alias("_stored"))
-    first = F.min("doc_id").over(Window.partitionBy("base_id", "content_hash"))
-    i = i.withColumn("_first", first).join(s, ["base_id", "content_hash"], "left")
-    return i.withColumn("duplicate_of", F.coalesce("_stored", F.when(F.col("_first") != F.col("doc_id"), F.col("_first")))).drop("_stored", "_first")
+    # an aggregate and a join, and no window: a text that a third of a batch has is not one task's
+    first = i.groupBy("base_id", "content_hash").agg(F.min("doc_id").alias("_first")).join(s, ["base_id", "content_hash"], "left")
+    a, b = i.alias("a"), first.alias("b")
+    on = F.col("a.base_id").eqNullSafe(F.col("b.base_id")) & F.col("a.content_hash").eqNullSafe(F.col("b.content_hash"))
+    out = a.join(b, on, "left").select("a.*", "b._stored", "b._first")
+    return out.withColumn("duplicate_of", F.coalesce("_stored", F.when(F.col("_first") != F.col("doc_id"), F.col("_first")))).drop("_stored", "_first")
 
 
 def name_conflicts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
