@@ -1,8 +1,9 @@
 """Lexical lanes over batches of queries.
 
-Corpora are (chunk_id, text); queries are (query_id, query). Only query terms, ids and counts
-are shuffled: a chunk's text is read in its own task, once or twice, whatever the number of queries.
-Tables of terms and postings are written, so their sizes are known and Spark broadcasts the small ones.
+Corpora are snapshots of a store, whose index is read and no text, or chunks (chunk_id, text), whose texts are
+read in their own tasks, once or twice, whatever the number of queries; queries are (query_id, query). Only query
+terms, ids and counts are shuffled. Tables of terms and postings are written while a lane is planned, so their
+sizes are known and Spark broadcasts the small ones.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stackwise.functions import text as T
+from stackwise.operators.store import RUN, Snapshot, grams_of, statistics
 from stackwise.session import saved
 
 
@@ -25,114 +27,191 @@ def bm25_statistics(corpus: DataFrame) -> DataFrame:
     return corpus.agg(F.count("*").alias("n"), F.avg(F.size(T.tok_bigram(F.col("text")))).alias("avgdl"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def phrase_statistics(table: DataFrame) -> DataFrame:
+    """One row: n and avgdl in trigrams, of the whole table whatever the scope."""
+    return table.agg(F.count("*").alias("n"), F.avg(F.greatest(F.lit(0), F.length("text") - 2)).alias("avgdl"))
+
+
+def holding(grams: DataFrame, folded: DataFrame) -> DataFrame:
+    """word, folded, times: how often (overlaps count) each term of ``folded`` is in a word, lower-cased.
+
+    By an equi-join on the term's first trigram; ``grams`` (gram, word) are those of the words.
+    """
+    terms = saved(folded.withColumn("gram", F.substring("folded", 1, 3)), "folded")
+    held = grams.join(terms, "gram").where(F.contains(F.lower("word"), "folded"))
+    # an empty match ahead of each: overlapping ones count
+    times = F.regexp_count(F.lower("word"), F.concat(F.lit("(?="), F.col("folded"), F.lit(")")))
+    return saved(held.select("word", "folded", times.alias("times")), "held")
+
+
+def holding_parts(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """word, part: which words (A-Z lower-cased) hold which of ``parts`` of one or two characters, by an equi-join on the words' own."""
+    low = F.col("word")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 1)), lambda i: low.substr(i, F.lit(2)))
+    own = words.select("word", F.explode(F.array_distinct(F.concat(F.filter(F.split("word", ""), lambda c: c != ""), pairs))).alias("part"))
+    wanted = saved(parts.select(T.ascii_lower(F.col("part")).alias("part")).distinct(), "parts")
+    return saved(own.join(wanted, "part").distinct(), "held")
+
+
+class Texts:
+    """A lexical source that reads texts: chunks (chunk_id, text)."""
+
+    def __init__(self, corpus: DataFrame):
+        self.corpus = corpus
+
+    def ids(self) -> DataFrame:
+        return self.corpus.select("chunk_id")
+
+    def postings(self, known: DataFrame) -> tuple[DataFrame, int, float]:
+        """token, chunk_id, dl, tf of the tokens in ``known``, written; n and avgdl. The corpus is tokenised once, with a row without a token for every chunk."""
+        tokens = self.corpus.select("chunk_id", T.tok_bigram(F.col("text")).alias("tokens"))
+        tokens = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("token"))
+        posting = tokens.join(known.withColumn("known", F.lit(True)), "token", "left").where("known or token is null").groupBy("token", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+        posting = saved(posting, "postings")
+        n, avgdl = posting.where("token is null").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).first()
+        return posting.where("token is not null"), n or 0, float(avgdl or 1)
+
+    def phrase_statistics(self) -> tuple[int, float]:
+        n, avgdl = phrase_statistics(self.corpus).first()
+        return n or 0, float(avgdl or 1)
+
+    def _runs(self) -> DataFrame:
+        return self.corpus.select("chunk_id", F.length("text").alias("length"), F.regexp_extract_all(T.ascii_lower(F.col("text")), F.lit(RUN), F.lit(0)).alias("words"))
+
+    def words(self) -> DataFrame:
+        return self._runs().select(F.explode(F.array_distinct("words")).alias("word")).distinct()
+
+    def occurrences(self, folded: DataFrame) -> DataFrame:
+        """chunk_id, folded, dl, f: how often (overlaps count) each term of ``folded`` is in a chunk's lower-cased text.
+
+        A term is a run of word characters, so it lies inside a word of the text: the distinct words
+        are matched, and those that hold a term are then counted in the texts.
+        """
+        words = self.words()
+        held = holding(grams_of(words.withColumnRenamed("word", "term")), folded)
+        tf = self._runs().select("chunk_id", F.greatest(F.lit(0), F.col("length") - 2).alias("dl"), F.explode("words").alias("word"))
+        tf = tf.join(held.select("word").distinct(), "word", "left_semi").groupBy("chunk_id", "dl", "word").agg(F.count("*").alias("tf"))
+        return tf.join(held, "word").groupBy("chunk_id", "folded", "dl").agg(F.sum(F.col("tf") * F.col("times")).alias("f"))
+
+    def contained(self, parts: DataFrame) -> DataFrame:
+        """chunk_id, length, present: which of ``parts`` (part: one or two word characters) a text contains, ASCII case ignored."""
+        held = holding_parts(self.words(), parts)
+        own = self._runs().select("chunk_id", "length", F.explode(F.array_distinct("words")).alias("word"))
+        return own.join(held, "word").groupBy("chunk_id", "length").agg(F.collect_set("part").alias("present"))
+
+
+class Indexed:
+    """A lexical source that reads a stored index, and no texts: a snapshot of a ``ChunkStore``, or of it what is in ``scope`` (chunk_id)."""
+
+    def __init__(self, snapshot: Snapshot, scope: DataFrame | None = None):
+        self.snapshot, self.scope = snapshot, scope
+
+    def _inside(self, df: DataFrame) -> DataFrame:
+        return df if self.scope is None else df.join(self.scope.select("chunk_id"), "chunk_id", "left_semi")
+
+    def ids(self) -> DataFrame:
+        return self._inside(self.snapshot.keys()).select("chunk_id")
+
+    def _statistics(self) -> tuple[int, int, int]:
+        if self.scope is None:
+            return self.snapshot.statistics()
+        return tuple(statistics(self._inside(self.snapshot.keys())))
+
+    def postings(self, known: DataFrame) -> tuple[DataFrame, int, float]:
+        n, tokens, _ = self._statistics()
+        p = self._inside(self.snapshot.postings("token").join(known.select(F.col("token").alias("term")), "term"))
+        return saved(p.select(F.col("term").alias("token"), "chunk_id", "dl", "tf"), "postings"), n, tokens / n if tokens else 1.0
+
+    def phrase_statistics(self) -> tuple[int, float]:
+        n, _, trigrams = self._statistics()
+        return n, trigrams / n if trigrams else 1.0
+
+    def _words(self) -> DataFrame:
+        return self._inside(self.snapshot.postings("word")).withColumnRenamed("term", "word")
+
+    def occurrences(self, folded: DataFrame) -> DataFrame:
+        """As of texts, by the words' postings and the trigrams of the dictionary."""
+        held = holding(self.snapshot.grams(), folded)
+        tf = self._words().select("chunk_id", F.greatest(F.lit(0), F.col("length") - 2).alias("dl"), "word", "tf")
+        return tf.join(held, "word").groupBy("chunk_id", "folded", "dl").agg(F.sum(F.col("tf") * F.col("times")).alias("f"))
+
+    def contained(self, parts: DataFrame) -> DataFrame:
+        held = holding_parts(self.snapshot.postings("word").select(F.col("term").alias("word")).distinct(), parts)
+        return self._words().join(held, "word").groupBy("chunk_id", "length").agg(F.collect_set("part").alias("present"))
+
+
+def source(corpus) -> Texts | Indexed:
+    """A corpus as it is given: chunks, a snapshot of a store, or a source."""
+    return Texts(corpus) if isinstance(corpus, DataFrame) else Indexed(corpus) if isinstance(corpus, Snapshot) else corpus
+
+
+def bm25(corpus, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score of every chunk that shares a bigram token with the query.
 
     N, df and the mean length are those of ``corpus`` (the scope after filters); a token that the
-    query repeats counts each time. The corpus is tokenised once, to postings of the queries' tokens
-    and a row without a token for every chunk, which are written; all else is made from these.
+    query repeats counts each time.
     """
     wanted = saved(queries.select("query_id", F.explode(T.tok_bigram(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf")), "wanted")
-    tokens = corpus.select("chunk_id", T.tok_bigram(F.col("text")).alias("tokens"))
-    tokens = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("token"))
-    known = wanted.select("token").distinct().withColumn("known", F.lit(True))
-    posting = tokens.join(known, "token", "left").where("known or token is null").groupBy("token", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    posting = saved(posting, "postings")
-    n, avgdl = posting.where("token is null").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).first()
-    posting = posting.where("token is not null")
+    posting, n, avgdl = source(corpus).postings(wanted.select("token").distinct())
     df = posting.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.ln((F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    idf = F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     terms = saved(wanted.join(df, "token").select("query_id", "token", (F.col("qtf") * idf).alias("weight")), "terms")
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl or 1))))
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
     return posting.join(terms, "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def ranked_all(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def ranked_all(corpus, queries: DataFrame, k: int) -> DataFrame:
     """The k best of every chunk there is: chunks without a match score 0 and come last, by id.
 
     Of the first k ids at least as many are without a match as a query has places left.
     """
     hits = saved(bm25(corpus, queries), "scores")
-    first = corpus.select("chunk_id").orderBy("chunk_id").limit(k)
+    first = source(corpus).ids().orderBy("chunk_id").limit(k)
     fill = queries.select("query_id").join(first, F.lit(True)).join(hits, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top(hits.unionByName(fill), k)
 
 
-def phrase_statistics(table: DataFrame) -> DataFrame:
-    """One row: n and avgdl in trigrams, of the whole table whatever the scope."""
-    return table.agg(F.count("*").alias("n"), F.avg(F.greatest(F.lit(0), F.length("text") - 2)).alias("avgdl"))
-
-
-#: What lower-cased terms are made of: letters, digits and the marks that lower-casing may add.
-RUN = r"[\p{L}\p{N}\p{M}_]+"
-
-
-def occurrences(table: DataFrame, folded: DataFrame) -> DataFrame:
-    """chunk_id, folded, dl, f: how often (overlaps count) each term of ``folded`` is in a chunk's lower-cased text.
-
-    A term is a run of word characters, so it lies inside a word of the text. The distinct words are
-    matched, by an equi-join on the term's first trigram, and not the texts; the words that hold a term
-    are then counted in the texts.
-    """
-    runs = F.regexp_extract_all(F.lower("text"), F.lit(RUN), F.lit(0))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: c.substr(i, F.lit(3)))
-    terms = saved(folded.withColumn("gram", F.substring("folded", 1, 3)), "folded")
-    long = F.filter(F.array_distinct(runs), lambda w: F.length(w) >= 3)
-    words = table.select(F.explode(long).alias("word")).distinct()
-    held = words.withColumn("gram", F.explode(F.array_distinct(grams(F.col("word"))))).join(terms, "gram").where(F.contains("word", "folded"))
-    # an empty match ahead of each: overlapping ones count
-    times = F.regexp_count("word", F.concat(F.lit("(?="), F.col("folded"), F.lit(")")))
-    held = saved(held.select("word", "folded", times.alias("times")), "held")
-    tf = table.select("chunk_id", F.greatest(F.lit(0), F.length("text") - 2).alias("dl"), F.explode(runs).alias("word"))
-    tf = tf.join(held.select("word").distinct(), "word", "left_semi").groupBy("chunk_id", "dl", "word").agg(F.count("*").alias("tf"))
-    return tf.join(held, "word").groupBy("chunk_id", "folded", "dl").agg(F.sum(F.col("tf") * F.col("times")).alias("f"))
-
-
-def contained(table: DataFrame, parts: DataFrame) -> DataFrame:
-    """chunk_id, length, present: which of ``parts`` (part: a few short strings) a text contains, ASCII case ignored."""
-    every = parts.select(T.ascii_lower(F.col("part")).alias("part")).agg(F.array_sort(F.collect_set("part")).alias("parts"))
-    low = table.select("chunk_id", F.length("text").alias("length"), T.ascii_lower(F.col("text")).alias("low"))
-    return low.join(every, F.size("parts") > 0).select("chunk_id", "length", F.filter("parts", lambda p: F.contains("low", p)).alias("present")).where(F.size("present") > 0)
-
-
-def phrases(table: DataFrame, queries: DataFrame, scope: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def phrases(corpus, queries: DataFrame, scope: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score (raw): BM25 of the match terms as trigram phrases, with whole-table statistics.
 
     Short terms must be contained as well, unless no chunk of a query would be left: then they are
     relaxed. That choice is a flag over the query's rows, not a second run.
     """
+    corpus = source(corpus)
     q = queries.select("query_id", T.tok_match_terms(F.col("query")).alias("terms"), F.transform(T.tok_short_terms(F.col("query")), T.ascii_lower).alias("short"))
     wanted = q.select("query_id", F.explode("terms").alias("term")).withColumn("folded", F.lower("term"))
-    hits = saved(occurrences(table, wanted.select("folded").distinct()), "hits")
-    n, avgdl = phrase_statistics(table).first()
+    hits = saved(corpus.occurrences(wanted.select("folded").distinct()), "hits")
+    n, avgdl = corpus.phrase_statistics()
     df = hits.groupBy("folded").agg(F.count("*").alias("df"))
-    idf = F.ln((F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = wanted.join(df, "folded").groupBy("query_id", "folded").agg(F.sum(F.when(idf > 0, idf).otherwise(F.lit(1e-6))).alias("weight"))
-    part = F.col("weight") * F.col("f") * (k1 + 1) / (F.col("f") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl or 1))))
+    part = F.col("weight") * F.col("f") * (k1 + 1) / (F.col("f") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
     raw = hits.join(saved(terms, "terms"), "folded").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     if scope is not None:
         raw = raw.join(scope.select("chunk_id"), "chunk_id", "left_semi")
     short = saved(q.where(F.size("short") > 0).select("query_id", "short"), "short")
-    there = contained(table, short.select(F.explode("short").alias("part")).distinct()).select("chunk_id", "present")
+    there = corpus.contained(short.select(F.explode("short").alias("part")).distinct()).select("chunk_id", "present")
     checked = raw.join(short, "query_id", "left").join(there, "chunk_id", "left")
     ok = F.col("short").isNull() | (F.size(F.array_except("short", F.coalesce("present", F.array().cast("array<string>")))) == 0)
-    both = checked.select("query_id", "chunk_id", "score", ok.alias("strict"))
-    any_strict = F.max("strict").over(Window.partitionBy("query_id"))
-    return both.withColumn("any", any_strict).where(F.col("strict") | ~F.col("any")).select("query_id", "chunk_id", "score")
+    both = saved(checked.select("query_id", "chunk_id", "score", ok.alias("strict")), "checked")
+    # a flag a query, joined: no window over all rows of a query
+    some = both.groupBy("query_id").agg(F.max("strict").alias("any"))
+    return both.join(some, "query_id").where(F.col("strict") | ~F.col("any")).select("query_id", "chunk_id", "score")
 
 
-def like_fallback(table: DataFrame, queries: DataFrame) -> DataFrame:
+def like_fallback(corpus, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """For queries without a match term: chunks that contain every token, the shortest first; score = -length."""
     tokens = F.array_distinct(F.transform(T.tokens(F.col("query")), T.ascii_lower))
     q = queries.where(F.size(T.tok_match_terms(F.col("query"))) == 0).select("query_id", tokens.alias("tokens")).where(F.size("tokens") > 0)
     q = saved(q.withColumn("part", F.get("tokens", F.lit(0))), "short")
-    there = contained(table, q.select(F.explode("tokens").alias("part")).distinct())
+    there = source(corpus).contained(q.select(F.explode("tokens").alias("part")).distinct())
+    if scope is not None:
+        there = there.join(scope.select("chunk_id"), "chunk_id", "left_semi")
     hit = there.withColumn("part", F.explode("present")).join(q, "part").where(F.size(F.array_except("tokens", "present")) == 0)
     return hit.select("query_id", "chunk_id", (-F.col("length")).cast("double").alias("score"))
 
 
-def fts_lane(table: DataFrame, queries: DataFrame, pool: int, scope: DataFrame | None = None) -> DataFrame:
+def fts_lane(corpus, queries: DataFrame, pool: int, scope: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the phrase lane with normalised scores, or the fallback."""
-    ranked = phrases(table, queries, scope).withColumn("score", T.bm25_norm(F.col("score")))
-    inside = table if scope is None else table.join(scope.select("chunk_id"), "chunk_id", "left_semi")
-    return top(ranked.unionByName(like_fallback(inside, queries)), pool)
+    ranked = phrases(corpus, queries, scope).withColumn("score", T.bm25_norm(F.col("score")))
+    return top(ranked.unionByName(like_fallback(corpus, queries, scope)), pool)
