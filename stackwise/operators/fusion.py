@@ -18,6 +18,16 @@ def pool_size(top_k: int) -> int:
     return min(max(4 * top_k, 20), 200)
 
 
+def pool_sizes(top_k: Column) -> Column:
+    """The same of a column, for queries that ask for numbers of their own."""
+    return F.least(F.greatest(4 * top_k, F.lit(20)), F.lit(200)).cast("int")
+
+
+def hits_asked(top_k: Column) -> Column:
+    """How many hits a query gets that asks for so many."""
+    return F.greatest(F.lit(1), F.least(F.lit(50), top_k))
+
+
 def rrf(lanes: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     """query_id, chunk_id, score: sum of weight / (k + rank) over lanes of (query_id, chunk_id, rank)."""
     parts = [lane.select("query_id", "chunk_id", (F.lit(float(w)) / (F.lit(k) + F.col("rank"))).alias("part")) for lane, w in lanes]
@@ -37,11 +47,11 @@ def hybrid(vector: DataFrame, lexical: DataFrame, weight: float = 1.0, k: int =
     return both.withColumn("score", (part("vector_rank", weight) + part("lexical_rank", 1)) / F.lit(best))
 
 
-def effective_mode(requested: str, ranked: DataFrame) -> DataFrame:
-    """query_id, mode: vector and lexical as asked, else hybrid only where some row has both lanes' scores."""
+def effective_mode(ranked: DataFrame) -> DataFrame:
+    """query_id, mode, of ranked (query_id, lane, both lanes' scores): vector and lexical as searched, else hybrid only where some row has both scores."""
     both = F.max(F.col("vector_score").isNotNull() & F.col("lexical_score").isNotNull())
-    mode = F.lit(requested) if requested in ("vector", "lexical") else F.when(both, "hybrid").otherwise("lexical")
-    return ranked.groupBy("query_id").agg(mode.alias("mode")) if requested not in ("vector", "lexical") else ranked.select("query_id").distinct().withColumn("mode", mode)
+    lane = F.first("lane")
+    return ranked.groupBy("query_id").agg(F.when(lane.isin("vector", "lexical"), lane).when(both, "hybrid").otherwise("lexical").alias("mode"))
 
 
 def lane_mode(requested: Column, embedded: Column) -> Column:
@@ -130,6 +140,7 @@ def best_of_variants(hits: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def threshold(hits: DataFrame, least: float, mode: str, reranked: bool) -> DataFrame:
-    """Applies to reranked results and to those of the vector mode only."""
-    return hits.where(F.col("score") >= least) if reranked or mode == "vector" else hits
+def threshold(hits: DataFrame, least: float, lane, reranked: bool) -> DataFrame:
+    """Applies to reranked results and to those of the vector lane only; ``lane`` is a name or a column."""
+    lane = F.lit(lane) if isinstance(lane, str) else lane
+    return hits.where(F.col("score") >= least) if reranked else hits.where((lane != "vector") | (F.col("score") >= least))

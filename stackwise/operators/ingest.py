@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stackwise.functions import text as T
+from stackwise.operators.store import ChunkStore
 
 
 def deduplicated(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -93,65 +94,21 @@ def embedded(chunks: DataFrame, stored: DataFrame, embed, model_tag: str) -> Dat
     return have.unionByName(need.withColumn("embedding", embed(F.col("search_text"))))
 
 
-def put_chunks(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace: all stored chunks of the new chunks' documents go."""
-    return stored.join(new.select("base_id", "doc_id").distinct(), ["base_id", "doc_id"], "left_anti").unionByName(new)
+def put_chunks(store: ChunkStore, new: DataFrame, stream: tuple[str, int] | None = None) -> int | None:
+    """Replace, in one commit: all stored chunks of the new chunks' documents go."""
+    return store.put(new, ["base_id", "doc_id"], stream)
 
 
-def put_batch(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert by chunk id; of repeated new ids the last by idx stays."""
-    last = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("idx").desc()))
-    fresh = new.withColumn("_r", last).where("_r = 1").drop("_r")
-    return stored.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh)
+def put_batch(store: ChunkStore, new: DataFrame, stream: tuple[str, int] | None = None) -> int | None:
+    """Upsert by chunk id, in one commit; of repeated new ids the last by idx stays."""
+    # an aggregate: an id that a third of a batch has is not one task's
+    last = new.groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "chunk_id"]), "idx").alias("_row")).select("chunk_id", "_row.*")
+    return store.put(last.select(*new.columns), ["chunk_id"], stream)
 
 
-def delete_chunks(stored: DataFrame, gone: DataFrame) -> DataFrame:
-    """Without the rows whose keys (all columns of ``gone``: doc_id, base_id or both) are in ``gone``."""
-    return stored.join(gone.distinct(), gone.columns, "left_anti")
-
-
-def write_version(df: DataFrame, root: str, partition_by: str = "base_id") -> str:
-    """A new version beside the old ones: what is being read is never overwritten. Returns its path."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    known = [int(s.getPath().getName()[2:]) for s in fs.listStatus(top) if s.getPath().getName()[:2] == "v=" and s.getPath().getName()[2:].isdigit()] if fs.exists(top) else []
-    path = f"{root}/v={max(known, default=0) + 1}"
-    df.write.partitionBy(partition_by).parquet(path)
-    return path
-
-
-def latest_version(spark: SparkSession, root: str) -> str | None:
-    """The newest whole version (one with a success mark)."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return None
-    whole = [p for s in fs.listStatus(top) for p in [s.getPath()] if p.getName()[2:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max(whole, key=lambda p: int(p.getName()[2:])).toString() if whole else None
-
-
-def reclaimed(spark: SparkSession, root: str, least_share: float = 0.2, least_bytes: int = 8 << 20) -> list[str]:
-    """Deletes the versions before the newest whole one, if they take such a share of all bytes and so many bytes; returns what is left.
-
-    For a time when nothing reads the older versions.
-    """
-    newest = latest_version(spark, root)
-    if newest is None:
-        return []
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    number = lambda p: int(p.rpartition("v=")[2])
-    versions = [p for s in fs.listStatus(path(root)) for p in [s.getPath().toString()] if p.rpartition("v=")[2].isdigit()]
-    size = {p: fs.getContentSummary(path(p)).getLength() for p in versions}
-    old = [p for p in versions if number(p) < number(newest)]
-    free = sum(size[p] for p in old)
-    if old and free >= least_bytes and free >= least_share * sum(size.values()):
-        for p in old:
-            fs.delete(path(p), True)
-        versions = [p for p in versions if p not in old]
-    return sorted(versions, key=number)
+def delete_chunks(store: ChunkStore, gone: DataFrame) -> int | None:
+    """Chunks whose keys (all columns of ``gone``: doc_id, base_id or both) are in ``gone``."""
+    return store.delete(gone)
 
 
 def legacy_chunks(rows: DataFrame) -> DataFrame:

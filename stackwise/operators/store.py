@@ -49,9 +49,11 @@ def keys_of(rows: DataFrame, text_col: str) -> DataFrame:
 def postings_of(rows: DataFrame, text_col: str) -> DataFrame:
     """lane (token or word), term, chunk_id, dl, length, tf: bigram tokens, and runs of word characters with A-Z lower-cased."""
     tokens, words = T.tok_bigram(F.col(text_col)), F.regexp_extract_all(T.ascii_lower(F.col(text_col)), F.lit(RUN), F.lit(0))
-    tagged = lambda lane, terms: F.transform(terms, lambda t: F.struct(F.lit(lane).alias("lane"), t.alias("term")))
-    t = rows.where(F.col(text_col).isNotNull()).select("chunk_id", F.size(tokens).alias("dl"), F.length(text_col).alias("length"), F.explode(F.concat(tagged("token", tokens), tagged("word", words))).alias("t"))
-    return t.groupBy("t.lane", "t.term", "chunk_id", "dl", "length").agg(F.count("*").alias("tf"))
+    tagged = lambda lane, terms: F.transform(terms, lambda t: F.concat(F.lit(lane), t))
+    # sizes first: beside the generator they would be taken again for each of its rows
+    t = rows.where(F.col(text_col).isNotNull()).select("chunk_id", F.size(tokens).alias("dl"), F.length(text_col).alias("length"), F.concat(tagged("t", tokens), tagged("w", words)).alias("terms"))
+    t = t.select("chunk_id", "dl", "length", F.explode("terms").alias("t")).groupBy("t", "chunk_id", "dl", "length").agg(F.count("*").alias("tf"))
+    return t.select(F.when(F.substring("t", 1, 1) == "t", "token").otherwise("word").alias("lane"), F.expr("substring(t, 2)").alias("term"), "chunk_id", "dl", "length", "tf")
 
 
 def grams_of(words: DataFrame) -> DataFrame:

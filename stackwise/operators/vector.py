@@ -17,14 +17,26 @@ BATCH = 20_000
 DIGITS = 6
 
 
+def pairs(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, query_embedding, embedding of all pairs of one width, for results that are the product by definition.
+
+    The corpus is dealt to as many blocks as there are shuffle partitions, and each block gets the queries, so
+    that no key, not even the only width there is, meets in one task.
+    """
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = corpus.select("chunk_id", "embedding", F.size("embedding").alias("width"), F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int").alias("block"))
+    q = queries.select("query_id", F.col("embedding").alias("query_embedding"), F.size("embedding").alias("width"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).where("width > 0")
+    return c.join(q.hint("shuffle_hash"), ["block", "width"]).select("query_id", "chunk_id", "query_embedding", "embedding")
+
+
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, score, rank by the clamped cosine, in column expressions; a few queries against all rows.
 
-    Vectors of another width, and null ones, have no score.
+    Vectors of another width, and null ones, have no score. Lengths are taken once a vector, not once a pair.
     """
-    q = queries.select("query_id", F.col("embedding").alias("query_embedding"), F.size("embedding").alias("width")).where("width > 0")
-    pairs = corpus.select("chunk_id", "embedding", F.size("embedding").alias("width")).join(q, "width")
-    return top(pairs.select("query_id", "chunk_id", V.cosine(F.col("embedding"), F.col("query_embedding")).alias("score")), k, digits=DIGITS)
+    length = lambda df: df.where(F.size("embedding") > 0).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double"))).withColumn("embedding", V.normalized(F.col("embedding")))
+    p = pairs(length(corpus.select("chunk_id", "embedding")), length(queries.select("query_id", "embedding")))
+    return top(p.select("query_id", "chunk_id", V.unit_dot(F.col("embedding"), F.col("query_embedding")).alias("score")), k, digits=DIGITS)
 
 
 def units_by_width(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[pa.Array, np.ndarray]]:
@@ -84,17 +96,15 @@ def dimensions(corpus: DataFrame) -> DataFrame:
 
 
 def with_neighbours(hits: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
-    """hits (doc_id, idx) with sibling_context: the texts of the chunks up to ``radius`` away in the document, in order, with their headings."""
+    """hits (doc_id, idx) with sibling_context: the texts of the chunks up to ``radius`` away in the document, in order, with their headings.
+
+    Each hit asks for its places, by an equi-join on (doc_id, idx): other chunks of its document, however many, are not sorted.
+    """
     if radius <= 0:
         return hits.withColumn("sibling_context", F.lit(None).cast("string"))
-    w = Window.partitionBy("doc_id").orderBy("idx")
     shown = F.concat(F.when(F.length("heading") > 0, F.concat(F.lit("["), F.col("heading"), F.lit("] "))).otherwise(F.lit("")), F.col("text"))
-    c = chunks.select("doc_id", "idx", shown.alias("shown"))
-    near = [("lag", i) for i in range(radius, 0, -1)] + [("lead", i) for i in range(1, radius + 1)]
-    parts = []
-    for i, (kind, d) in enumerate(near):
-        f = F.lag if kind == "lag" else F.lead
-        c = c.withColumn(f"_t{i}", F.when(F.abs(f("idx", d).over(w) - F.col("idx")) <= radius, f("shown", d).over(w)))
-        parts.append(F.col(f"_t{i}"))
-    c = c.select("doc_id", "idx", F.concat_ws("\n\n", *parts).alias("sibling_context"))
-    return hits.join(c, ["doc_id", "idx"], "left")
+    near = hits.select("doc_id", "idx").distinct().withColumn("near", F.explode(F.sequence(F.col("idx") - radius, F.col("idx") + radius))).where("near <> idx")
+    own = near.join(chunks.select("doc_id", F.col("idx").alias("near"), shown.alias("shown")), ["doc_id", "near"])
+    rows = F.array_sort(F.collect_list(F.struct("near", "shown")))
+    own = own.groupBy("doc_id", "idx").agg(F.array_join(F.transform(rows, lambda x: x.shown), "\n\n").alias("sibling_context"))
+    return hits.join(own, ["doc_id", "idx"], "left").withColumn("sibling_context", F.coalesce("sibling_context", F.lit("")))

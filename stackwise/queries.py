@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from stackwise.config import Config, merge_base, pooling, resolve
 from stackwise.functions import text as T, vectors as V
 from stackwise.operators import catalog, chunking, docops, evaluate, fusion, ingest, lexical, vector
+from stackwise.operators.store import ChunkStore, Snapshot
 from stackwise.plans.search import search
-from stackwise.session import saved, scratch, ship, table
+from stackwise.session import _path, saved, scratch, ship, table
 from stackwise.sources import samples
 from stackwise.sources.files import parsed
 from stackwise.sources.html import with_markdown
@@ -44,6 +45,25 @@ def corpus(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
+_stores: dict[tuple, ChunkStore] = {}
+
+
+def store_of(spark, d, name: str, chunks: Callable[[], DataFrame], text_col: str = "text") -> Snapshot:
+    """The store of a table's chunks, filled and indexed once an application, as sinks would keep it; anew if the documents' files change."""
+    path, fs = _path(spark, f"{d}/documents.parquet")
+    key = (spark.sparkContext.applicationId, d, name, int(fs.getFileStatus(path).getModificationTime()), int(fs.getContentSummary(path).getLength()))
+    if key not in _stores:
+        s = ChunkStore(spark, scratch(spark, f"index-{name}"), text_col)
+        s.put(chunks())
+        _stores[key] = s
+    return _stores[key].snapshot()
+
+
+def stored(spark, d) -> Snapshot:
+    """Documents as chunks in a store."""
+    return store_of(spark, d, "documents", lambda: table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("lang").alias("base_id"), "text"))
+
+
 def asked(spark, d) -> DataFrame:
     """Each benchmark passage as a query."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -121,7 +141,7 @@ s AS (SELECT query_id, chunk_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5)
 @query("lex_bm25_topk", f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s)
 SELECT query_id, chunk_id, score, round(score / (score + 1), 6) AS norm, rank FROM r WHERE rank <= 10""")
 def lex_bm25_topk(spark, d):
-    return lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 10).select("query_id", "chunk_id", "score", F.round(T.bm25_norm(F.col("score")), 6).alias("norm"), "rank")
+    return lexical.top(lexical.bm25(stored(spark, d), asked(spark, d)), 10).select("query_id", "chunk_id", "score", F.round(T.bm25_norm(F.col("score")), 6).alias("norm"), "rank")
 
 
 @query("agg_df_avgdl", """WITH d AS (SELECT regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS tokens FROM documents) SELECT count(*) AS n, round(avg(len(tokens)), 6) AS avgdl FROM d""")
@@ -167,7 +187,7 @@ SELECT query_id, chunk_id, score, rank FROM r"""
 
 @query("lex_fts_topk", f"WITH {ASKED}, {FTS} WHERE rank <= 20")
 def lex_fts_topk(spark, d):
-    return lexical.fts_lane(corpus(spark, d), asked(spark, d), 20).select("query_id", "chunk_id", "score", "rank")
+    return lexical.fts_lane(stored(spark, d), asked(spark, d), 20).select("query_id", "chunk_id", "score", "rank")
 
 
 RELAX = [(1, "tion zq"), (2, "ment of"), (3, "Andreor xx yy")]
@@ -175,7 +195,7 @@ RELAX = [(1, "tion zq"), (2, "ment of"), (3, "Andreor xx yy")]
 
 @query("lex_short_relax", f"WITH q AS (SELECT * FROM (VALUES {', '.join(f'({i}::BIGINT, {chr(39)}{t}{chr(39)})' for i, t in RELAX)}) v(query_id, query)), {FTS} WHERE rank <= 20")
 def lex_short_relax(spark, d):
-    return lexical.fts_lane(corpus(spark, d), literal_queries(spark, RELAX), 20).select("query_id", "chunk_id", "score", "rank")
+    return lexical.fts_lane(stored(spark, d), literal_queries(spark, RELAX), 20).select("query_id", "chunk_id", "score", "rank")
 
 
 LIKE = [(1, "qu"), (2, "ñ z"), (3, "ß"), (4, "!!!"), (5, "ZU ö")]
@@ -186,7 +206,7 @@ t AS (SELECT query_id, regexp_extract_all(translate(query, 'ABCDEFGHIJKLMNOPQRST
 s AS (SELECT query_id, doc_id AS chunk_id, -length(text)::DOUBLE AS score FROM documents, t WHERE len(tokens) > 0 AND len(list_filter(tokens, lambda x: NOT contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), x))) = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10""")
 def lex_like_fallback(spark, d):
-    return lexical.top(lexical.like_fallback(corpus(spark, d), literal_queries(spark, LIKE)), 10).select("query_id", "chunk_id", "score", "rank")
+    return lexical.top(lexical.like_fallback(stored(spark, d), literal_queries(spark, LIKE)), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 # --- vectors
@@ -214,9 +234,7 @@ def vec_batch_topk(spark, d):
 
 @query("vec_dot", f"SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(greatest(0, least(1, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM (SELECT * FROM embeddings {VQ}) a, embeddings b")
 def vec_dot(spark, d):
-    c, q = embeddings(spark, d)
-    width = F.size("embedding").alias("width")
-    return c.select("chunk_id", "embedding", width).join(q.select("query_id", F.col("embedding").alias("q"), width), "width").select("query_id", "chunk_id", F.round(V.unit_dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return vector.pairs(*embeddings(spark, d)).select("query_id", "chunk_id", F.round(V.unit_dot(F.col("query_embedding"), F.col("embedding")), 6).alias("score"))
 
 
 @query("vec_codec", "SELECT vec_id AS chunk_id, 4 * len(embedding)::INT AS bytes, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::INT AS width, true AS same FROM embeddings")
@@ -257,7 +275,7 @@ v20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 def lanes(spark, d):
     """Both lanes of every query; the vector lane of those that have a vector."""
-    lex = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 20).withColumn("score", F.round(T.bm25_norm(F.col("score")), 6))
+    lex = lexical.top(lexical.bm25(stored(spark, d), asked(spark, d)), 20).withColumn("score", F.round(T.bm25_norm(F.col("score")), 6))
     c, _ = embeddings(spark, d)
     q = c.withColumnRenamed("chunk_id", "query_id").join(asked(spark, d).select("query_id"), "query_id", "left_semi")
     vec = vector.batch_topk(c, q.select("query_id", "embedding"), 20)
@@ -281,7 +299,7 @@ def fus_hybrid_weighted(spark, d):
 
 @query("fus_effective_mode", f"WITH {HYBRID} SELECT query_id, CASE WHEN bool_or(vector_score IS NOT NULL AND lexical_score IS NOT NULL) THEN 'hybrid' ELSE 'lexical' END AS mode FROM hy GROUP BY query_id")
 def fus_effective_mode(spark, d):
-    return fusion.effective_mode("auto", fusion.hybrid(*lanes(spark, d), 2.0))
+    return fusion.effective_mode(fusion.hybrid(*lanes(spark, d), 2.0).withColumn("lane", F.lit("hybrid")))
 
 
 @query("flt_threshold", f"WITH {COS} SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10 AND score >= 0.5")
@@ -291,16 +309,15 @@ def flt_threshold(spark, d):
 
 @query("srch_multi_query", """WITH q AS (SELECT conv_id AS query_id, turn AS variant, text AS query FROM conversations WHERE role = 'user'),
 w AS (SELECT query_id, variant, token, count(*) AS qtf FROM (SELECT query_id, variant, unnest(regexp_extract_all(lower(query), '[a-z0-9_]{2,}')) AS token FROM q) GROUP BY ALL),
-d AS (SELECT item_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS tokens FROM benchmark), st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+d AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS tokens FROM documents), st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
 p AS (SELECT chunk_id, dl, token, count(*) AS tf FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS token FROM d) WHERE token IN (SELECT token FROM w) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
 s AS (SELECT query_id, variant, chunk_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM w JOIN df USING (token) JOIN p USING (token), st GROUP BY query_id, variant, chunk_id),
 b AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, chunk_id) AS k FROM s) WHERE k <= 12 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM b) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 6""")
 def srch_multi_query(spark, d):
-    """What users ask in a conversation as the variants of one query, over the passages of the benchmark."""
+    """What users ask in a conversation as the variants of one query, over all documents."""
     v = table(spark, d, "conversations").where("role = 'user'").select(F.struct(F.col("conv_id"), F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    passages = table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
-    hits = lexical.top(lexical.bm25(passages, v), 12)
+    hits = lexical.top(lexical.bm25(stored(spark, d), v), 12)
     return fusion.best_of_variants(hits.select(F.col("query_id.conv_id").alias("query_id"), F.col("query_id.turn").alias("variant"), "chunk_id", "score"), 6).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -320,17 +337,24 @@ def div_mmr(spark, d):
 m AS (SELECT query_id FROM r WHERE rank <= 20 GROUP BY query_id HAVING count(*) > 1),
 k AS (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM c JOIN m USING (query_id)) SELECT * FROM k WHERE rank <= 6""")
 def rrk_apply(spark, d):
-    ranked = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 20).join(asked(spark, d), "query_id").join(corpus(spark, d), "chunk_id")
+    ranked = lexical.top(lexical.bm25(stored(spark, d), asked(spark, d)), 20).join(asked(spark, d), "query_id").join(corpus(spark, d), "chunk_id")
     scorer = lambda q, t: F.when(F.length(t) % 2 == 0, 1 - F.least(F.lit(1.0), F.length(t) / F.lit(10000.0)))
     return fusion.rerank(ranked, scorer, 6).where("reranked").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("srch_search")
-def srch_search(spark, d):
+def searched(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, Snapshot]:
+    """Chunks, documents, queries and the index of the documents, with the vectors of the same numbers."""
     t = docs(spark, d)
-    chunks = t.join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("idx"), F.lit(None).cast("string").alias("heading"), F.col("raw_text").alias("text"), T.search_text(F.col("title"), F.col("raw_text")).alias("search_text"), "embedding")
+    text = T.search_text(F.col("title"), F.col("raw_text"))
+    chunks = t.join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("idx"), F.lit(None).cast("string").alias("heading"), F.col("raw_text").alias("text"), text.alias("search_text"), "embedding")
     q = asked(spark, d).join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
-    out = search(chunks, t, q, Config(mmr_lambda=0.7))
+    return chunks, t, q, store_of(spark, d, "titled", lambda: t.select(F.col("doc_id").alias("chunk_id"), "doc_id", "base_id", text.alias("text")))
+
+
+@query("srch_search")
+def srch_search(spark, d):
+    chunks, t, q, index = searched(spark, d)
+    out = search(chunks, t, q, Config(mmr_lambda=0.7), index=index)
     return out.select("query_id", "rank", "chunk_id", "doc_id", "document_title", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("lexical_score", 6).alias("lexical_score"), "mode")
 
 
@@ -736,24 +760,31 @@ def join_hash_reuse(spark, d):
 
 
 def stored_new(spark, d):
-    v = vector_chunks(spark, d).select("chunk_id", "doc_id", "base_id", "idx")
-    return v.where("chunk_id % 3 <> 0"), v.where("chunk_id % 4 = 0").withColumn("idx", F.col("idx") + 100)
+    v = vector_chunks(spark, d).select("chunk_id", "doc_id", "base_id", "idx", F.concat_ws(" ", F.lit("vector"), F.col("chunk_id").cast("string")).alias("text"))
+    s = ChunkStore(spark, scratch(spark, "sink"))
+    s.put(v.where("chunk_id % 3 <> 0"))
+    return s, v.where("chunk_id % 4 = 0").withColumn("idx", F.col("idx") + 100)
 
 
 @query("snk_put_chunks", f"WITH {VCHUNKS}, s AS (SELECT chunk_id, doc_id, base_id, idx FROM vc WHERE chunk_id % 3 <> 0), n AS (SELECT chunk_id, doc_id, base_id, idx + 100 AS idx FROM vc WHERE chunk_id % 4 = 0) SELECT * FROM s WHERE (base_id, doc_id) NOT IN (SELECT (base_id, doc_id) FROM n) UNION ALL SELECT * FROM n")
 def snk_put_chunks(spark, d):
-    return ingest.put_chunks(*stored_new(spark, d)).select("chunk_id", "doc_id", "base_id", "idx")
+    s, new = stored_new(spark, d)
+    ingest.put_chunks(s, new)
+    return s.snapshot().rows().select("chunk_id", "doc_id", "base_id", "idx")
 
 
 @query("snk_put_batch", f"WITH {VCHUNKS}, s AS (SELECT chunk_id, doc_id, base_id, idx FROM vc WHERE chunk_id % 3 <> 0), n AS (SELECT chunk_id, doc_id, base_id, idx + 100 AS idx FROM vc WHERE chunk_id % 4 = 0) SELECT * FROM s WHERE chunk_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT * FROM n")
 def snk_put_batch(spark, d):
-    return ingest.put_batch(*stored_new(spark, d)).select("chunk_id", "doc_id", "base_id", "idx")
+    s, new = stored_new(spark, d)
+    ingest.put_batch(s, new)
+    return s.snapshot().rows().select("chunk_id", "doc_id", "base_id", "idx")
 
 
 @query("snk_delete", f"WITH {VCHUNKS} SELECT chunk_id, doc_id FROM vc WHERE chunk_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def snk_delete(spark, d):
     s, _ = stored_new(spark, d)
-    return ingest.delete_chunks(s, catalog.scope(docs(spark, d), ["en"]).select("doc_id")).select("chunk_id", "doc_id")
+    ingest.delete_chunks(s, catalog.scope(docs(spark, d), ["en"]).select("doc_id"))
+    return s.snapshot().rows().select("chunk_id", "doc_id")
 
 
 @query("src_legacy_json", "WITH x AS (SELECT vec_id // 3 AS chunk_id, label AS idx, vec_id AS seq FROM embeddings) SELECT chunk_id, idx, seq FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC) AS r FROM x) WHERE r = 1")
@@ -810,7 +841,7 @@ def held(spark, d) -> DataFrame:
 
 
 def benchmark_eval(spark, d, k: int = 5) -> DataFrame:
-    hits = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), k).select(F.col("query_id").alias("question_id"), "rank", F.concat(F.lit("doc-"), F.col("chunk_id").cast("string"), F.lit(".")).alias("title"))
+    hits = lexical.top(lexical.bm25(stored(spark, d), asked(spark, d)), k).select(F.col("query_id").alias("question_id"), "rank", F.concat(F.lit("doc-"), F.col("chunk_id").cast("string"), F.lit(".")).alias("title"))
     found = held(spark, d)
     expect = found.groupBy("item_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")))).alias("expect"))
     e = table(spark, d, "benchmark").select("item_id").join(expect, "item_id", "left").select(F.col("item_id").alias("question_id"), F.coalesce("expect", F.array().cast("array<string>")).alias("expect"))
@@ -848,7 +879,7 @@ g AS (SELECT item_id, unnest(list_filter(string_split_regex(text, '[。！？!?\
 f AS (SELECT item_id, lower(regexp_replace(part, '[\\s\\p{{P}}\\p{{S}}]', '', 'g')) AS part FROM g)
 SELECT item_id AS question_id, round(avg((length(part) >= 4 AND coalesce(contains(found, part), false))::INT), 6) AS recall FROM f LEFT JOIN t ON query_id = item_id GROUP BY item_id""")
 def eval_context_recall(spark, d):
-    hits = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 5).join(corpus(spark, d), "chunk_id").select(F.col("query_id").alias("question_id"), "rank", "text", F.lit(None).cast("string").alias("sibling_context"))
+    hits = lexical.top(lexical.bm25(stored(spark, d), asked(spark, d)), 5).join(corpus(spark, d), "chunk_id").select(F.col("query_id").alias("question_id"), "rank", "text", F.lit(None).cast("string").alias("sibling_context"))
     return evaluate.context_recall(table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("golden")), hits).withColumn("recall", F.round("recall", 6))
 
 
@@ -924,7 +955,7 @@ def set_intersect_enabled(spark, d):
 k AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM c) SELECT query_id, chunk_id, score, rank FROM k WHERE rank <= 6""")
 def join_rerank(spark, d):
     """The labels as a reranker's answers: only the candidates that have one stay."""
-    ranked = lexical.top(lexical.bm25(corpus(spark, d), asked(spark, d)), 20)
+    ranked = lexical.top(lexical.bm25(stored(spark, d), asked(spark, d)), 20)
     labels = table(spark, d, "labels").where("quality is not null").groupBy(F.col("doc_id").alias("chunk_id")).agg(F.max("quality").cast("double").alias("new"))
     scores = ranked.select("query_id", "chunk_id").join(labels, "chunk_id")
     return fusion.rerank_by(ranked, scores, 6).where("reranked").select("query_id", "chunk_id", "score", "rank")
@@ -961,24 +992,28 @@ def lex_total(spark, d):
 
 @query("lex_norm", f"WITH {BM25} SELECT query_id, chunk_id, round(score / (score + 1), 6) AS norm FROM s")
 def lex_norm(spark, d):
-    s = lexical.bm25(corpus(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6))
+    s = lexical.bm25(stored(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6))
     return s.select("query_id", "chunk_id", F.round(T.bm25_norm(F.col("score")), 6).alias("norm"))
 
 
 @query("lex_memory_all", f"WITH {BM25}, e AS (SELECT q.query_id, d.chunk_id, coalesce(s.score, 0) AS score FROM q CROSS JOIN d LEFT JOIN s ON s.query_id = q.query_id AND s.chunk_id = d.chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM e) SELECT * FROM r WHERE rank <= 20")
 def lex_memory_all(spark, d):
     """Every candidate ranked, 0 without a match: the mode that also ranks what does not match."""
-    return lexical.ranked_all(corpus(spark, d), asked(spark, d), 20).select("query_id", "chunk_id", "score", "rank")
+    return lexical.ranked_all(stored(spark, d), asked(spark, d), 20).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("fus_pool", "SELECT k::INT AS top_k, least(greatest(4 * k, 20), 200)::INT AS pool FROM range(1, 51) r(k)")
+@query("fus_pool", "SELECT conv_id, count(*)::INT AS top_k, least(greatest(4 * count(*), 20), 200)::INT AS pool FROM conversations GROUP BY conv_id")
 def fus_pool(spark, d):
-    return spark.createDataFrame([(k, fusion.pool_size(k)) for k in range(1, 51)], "top_k int, pool int")
+    """Candidates a lane, of a query that asks for as many hits as its conversation has turns."""
+    q = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("top_k"))
+    return q.withColumn("pool", fusion.pool_sizes(F.col("top_k")))
 
 
-@query("lim_clamp", "SELECT k::INT AS asked, greatest(1, least(50, k))::INT AS top_k FROM range(-5, 80) r(k)")
+@query("lim_clamp", "SELECT l_orderkey, l_linenumber, (l_quantity * 2 - 10)::INT AS asked, greatest(1, least(50, l_quantity * 2 - 10))::INT AS top_k FROM lineitem")
 def lim_clamp(spark, d):
-    return spark.createDataFrame([(k, resolve({"top_k": k}).top_k) for k in range(-5, 80)], "asked int, top_k int")
+    """A line's quantity as the number of hits asked for."""
+    asked_for = (F.col("l_quantity") * 2 - 10).cast("int")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", asked_for.alias("asked"), fusion.hits_asked(asked_for).alias("top_k"))
 
 
 @query("fus_mode", f"""WITH {VCHUNKS}, m AS (SELECT unnest(['auto', 'hybrid', 'vector', 'lexical']) AS requested), b AS (SELECT base_id, bool_or(embedding IS NOT NULL AND base_id % 2 = 0) AS embedded FROM vc GROUP BY base_id)
@@ -1007,7 +1042,7 @@ f AS (SELECT query_id, chunk_id, round((CASE WHEN vector_score IS NOT NULL THEN
 @query("fus_hybrid_mem", f"WITH {MEMORY}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM f) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10")
 def fus_hybrid_mem(spark, d):
     """Both lanes without pools, over all documents."""
-    x = lexical.bm25(corpus(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6))
+    x = lexical.bm25(stored(spark, d), asked(spark, d)).withColumn("score", F.round("score", 6))
     c, _ = embeddings(spark, d)
     q = c.withColumnRenamed("chunk_id", "query_id").join(asked(spark, d).select("query_id"), "query_id", "left_semi")
     v = vector.cosine_topk(c, q, 1 << 30)
@@ -1250,33 +1285,102 @@ def ing_rescan(spark, d):
 
 @query("snk_reclaim", "SELECT label AS base_id, count(*) AS n, 2::BIGINT AS versions_below_the_least, 1::BIGINT AS versions FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label")
 def snk_reclaim(spark, d):
-    """Two versions of the chunks; the older goes once it takes enough."""
-    v, root = vector_chunks(spark, d).select("chunk_id", "base_id"), scratch(spark, "versions")
-    ingest.write_version(v, root)
-    ingest.write_version(v.where("chunk_id % 3 <> 0"), root)
-    before, after = ingest.reclaimed(spark, root, least_bytes=1 << 40), ingest.reclaimed(spark, root, least_bytes=0)
-    now = spark.read.parquet(ingest.latest_version(spark, root))
-    return now.groupBy("base_id").agg(F.count("*").alias("n")).select("base_id", "n", F.lit(len(before)).cast("long").alias("versions_below_the_least"), F.lit(len(after)).cast("long").alias("versions"))
+    """Two versions of the chunks; the older goes once its segments are merged and old enough."""
+    v = vector_chunks(spark, d).select("chunk_id", "doc_id", "base_id", F.lit("text").alias("text"))
+    s = ChunkStore(spark, scratch(spark, "versions"))
+    s.put(v)
+    s.delete(v.where("chunk_id % 3 = 0").select("chunk_id"))
+    s.compact()
+    before = len([x for x in {s.snapshot(1).state["segments"][0]["path"], s.snapshot().state["segments"][0]["path"]}])
+    s.reclaim(least_age_s=1e9)
+    s.reclaim(least_age_s=0)
+    now = s.snapshot().rows()
+    return now.groupBy("base_id").agg(F.count("*").alias("n")).select("base_id", "n", F.lit(before).cast("long").alias("versions_below_the_least"), F.lit(len(s.snapshot().state["segments"])).cast("long").alias("versions"))
 
 
-def passages(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Passages of the benchmark as chunks, with the vectors of the same numbers, and their documents."""
-    b = table(spark, d, "benchmark").join(embeddings(spark, d)[0].withColumnRenamed("chunk_id", "item_id"), "item_id", "left")
-    c = b.select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("doc_id"), F.lit(0).alias("idx"), F.lit(None).cast("string").alias("heading"), "text", F.col("text").alias("search_text"), "embedding")
-    return c, c.select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("title"))
+FTS_TITLED = FTS.replace("FROM documents)", "FROM (SELECT doc_id, 'doc-' || doc_id || chr(10) || text AS text FROM documents))", 1)
 
 
-@query("srch_empty", "SELECT item_id AS query_id, 'p' || item_id AS best FROM benchmark WHERE item_id % 2 = 1 AND trim(text) <> ''")
+@query("srch_empty", f"WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 2 = 1 AND trim(text) <> ''), {FTS_TITLED.replace('SELECT query_id, chunk_id, score, rank FROM r', '')} SELECT query_id, 'doc-' || chunk_id AS best FROM r WHERE rank = 1")
 def srch_empty(spark, d):
     """Blank queries have no hits, those beside them have theirs."""
-    c, t = passages(spark, d)
-    q = c.select(F.col("chunk_id").alias("query_id"), F.when(F.col("chunk_id") % 2 == 1, F.col("text")).when(F.col("chunk_id") % 4 == 0, " \n").alias("query"), "embedding")
-    return search(c, t, q, Config(search_mode="lexical")).where("rank = 1").select("query_id", F.col("document_title").alias("best"))
+    chunks, t, q, index = searched(spark, d)
+    q = q.select("query_id", F.when(F.col("query_id") % 2 == 1, F.col("query")).when(F.col("query_id") % 4 == 0, " \n").alias("query"), "embedding")
+    return search(chunks, t, q, Config(search_mode="lexical"), index=index).where("rank = 1").select("query_id", F.col("document_title").alias("best"))
 
 
 @query("srch_embed_degrade", "SELECT item_id AS query_id, item_id % 3 <> 0 AND item_id IN (SELECT vec_id FROM embeddings) AS by_vector, true AS by_words FROM benchmark WHERE trim(text) <> ''")
 def srch_embed_degrade(spark, d):
     """Queries whose embedding failed are searched by words alone."""
-    c, t = passages(spark, d)
-    q = c.select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"), F.when(F.col("chunk_id") % 3 != 0, F.col("embedding")).alias("embedding"))
-    return search(c, t, q, Config(search_mode="hybrid")).groupBy("query_id").agg(F.max(F.col("vector_score").isNotNull()).alias("by_vector"), F.max(F.col("lexical_score").isNotNull()).alias("by_words"))
+    chunks, t, q, index = searched(spark, d)
+    q = q.withColumn("embedding", F.when(F.col("query_id") % 3 != 0, F.col("embedding")))
+    return search(chunks, t, q, Config(search_mode="hybrid"), index=index).groupBy("query_id").agg(F.max(F.col("vector_score").isNotNull()).alias("by_vector"), F.max(F.col("lexical_score").isNotNull()).alias("by_words"))
+
+
+#: Vectors against those of documents; words, over titles and texts, of the queries named.
+TITLED_LANES = """v AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id WHERE {0} AND trim(text) <> ''),
+vs AS (SELECT v.query_id, d.doc_id AS chunk_id, round(greatest(0, least(1, list_cosine_similarity(v.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS score FROM v, embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM vs)"""
+
+
+@query("srch_degrade_vector", f"""WITH {TITLED_LANES.format('item_id % 3 <> 0')}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE trim(text) <> '' AND item_id NOT IN (SELECT query_id FROM v)),
+{FTS_TITLED.replace('SELECT query_id, chunk_id, score, rank FROM r', '')} SELECT query_id, rank, chunk_id, score, 'lexical' AS mode FROM r WHERE rank <= 6 UNION ALL SELECT query_id, rank, chunk_id, score, 'vector' FROM vr WHERE rank <= 6 AND score >= 0.3""")
+def srch_degrade_vector(spark, d):
+    """In mode vector: queries whose embedding failed are searched by words, are reported so, and know no threshold."""
+    chunks, t, q, index = searched(spark, d)
+    q = q.withColumn("embedding", F.when(F.col("query_id") % 3 != 0, F.col("embedding")))
+    out = search(chunks, t, q, Config(search_mode="vector", similarity_threshold=0.3, sibling_chunks=0), index=index)
+    return out.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "mode")
+
+
+@query("srch_hybrid", f"""WITH {TITLED_LANES.format('true')}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE trim(text) <> ''),
+{FTS_TITLED.replace('SELECT query_id, chunk_id, score, rank FROM r', '')}, l24 AS (SELECT * FROM r WHERE rank <= 24), v24 AS (SELECT * FROM vr WHERE rank <= 24),
+hy AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.chunk_id, l.chunk_id) AS chunk_id, v.score AS vector_score, l.score AS lexical_score,
+  round((coalesce(1::DOUBLE / (60 + v.rank), 0) + coalesce(1::DOUBLE / (60 + l.rank), 0)) / (2::DOUBLE / 61), 6) AS fused FROM v24 v FULL JOIN l24 l ON v.query_id = l.query_id AND v.chunk_id = l.chunk_id),
+m AS (SELECT *, CASE WHEN query_id IN (SELECT query_id FROM v) THEN fused ELSE lexical_score END AS score, bool_or(vector_score IS NOT NULL AND lexical_score IS NOT NULL) OVER (PARTITION BY query_id) AS lanes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS place FROM hy) WHERE place <= 24),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM m)
+SELECT query_id, rank, chunk_id, 'doc-' || chunk_id AS document_title, round(score, 6) AS score, vector_score, lexical_score, CASE WHEN lanes THEN 'hybrid' ELSE 'lexical' END AS mode, '' AS sibling_context FROM k WHERE rank <= 6""")
+def srch_hybrid(spark, d):
+    """The search as it is by default: both lanes, fused, with titles and neighbours."""
+    chunks, t, q, index = searched(spark, d)
+    out = search(chunks, t, q, Config(mmr_lambda=0.0), index=index)
+    return out.select("query_id", "rank", "chunk_id", "document_title", *[F.round(c, 6).alias(c) for c in ("score", "vector_score", "lexical_score")], "mode", "sibling_context")
+
+
+# --- the chunk store
+
+
+def upserted(spark, d) -> ChunkStore:
+    """Documents, some of them put again with another text, some deleted, some new; merged in between."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("lang").alias("base_id"), "text")
+    s = ChunkStore(spark, scratch(spark, "upserts"))
+    s.put(t.where("doc_id % 5 <> 4"))
+    s.put(t.where("doc_id % 10 = 3").withColumn("text", F.concat(F.lit("renewed "), F.reverse("text"))), ["base_id", "doc_id"])
+    s.delete(t.where("doc_id % 7 = 1").select("chunk_id"))
+    s.compact()
+    s.put(t.where("doc_id % 5 = 4"), ["chunk_id"])
+    s.delete(t.where("doc_id % 35 = 9").select("doc_id", "base_id"))
+    return s
+
+
+UPSERTED = """up AS (SELECT doc_id, lang AS base_id, CASE WHEN doc_id % 10 = 3 THEN 'renewed ' || reverse(text) ELSE text END AS text FROM documents WHERE (doc_id % 7 <> 1 OR doc_id % 5 = 4) AND doc_id % 35 <> 9)"""
+
+
+@query("lex_index_update", f"WITH {UPSERTED}, {BM25.replace('FROM documents)', 'FROM up)', 1)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10")
+def lex_index_update(spark, d):
+    """BM25 from the stored index after puts, deletions and a merge."""
+    return lexical.top(lexical.bm25(upserted(spark, d).snapshot(), asked(spark, d)), 10).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("lex_fts_update", f"WITH {UPSERTED}, {ASKED}, {FTS.replace('FROM documents)', 'FROM up)', 1)} WHERE rank <= 10")
+def lex_fts_update(spark, d):
+    """The phrase lane from the stored index after puts, deletions and a merge."""
+    return lexical.fts_lane(upserted(spark, d).snapshot(), asked(spark, d), 10).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("snk_snapshot", f"WITH {UPSERTED} SELECT 'first' AS state, lang AS base_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE doc_id % 5 <> 4 GROUP BY lang UNION ALL SELECT 'last', base_id, count(*), sum(length(text))::BIGINT FROM up GROUP BY base_id")
+def snk_snapshot(spark, d):
+    """What the first commit and the last one hold."""
+    s = upserted(spark, d)
+    by_base = lambda rows, name: rows.groupBy("base_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).select(F.lit(name).alias("state"), "base_id", "n", "chars")
+    return by_base(s.snapshot(1).rows(), "first").unionByName(by_base(s.snapshot().rows(), "last"))

@@ -178,13 +178,6 @@ def test_reuse_and_embedding(spark):
     assert out["h1"] == [1.0] and len(out["h2"]) == len(out["h3"]) == 8
 
 
-def test_versions(spark, tmp_path):
-    root = "file://" + str(tmp_path)
-    assert ingest.latest_version(spark, root + "/none") is None
-    df = spark.createDataFrame([("b", 1)], "base_id string, x long")
-    assert ingest.write_version(df, root).endswith("v=1") and ingest.write_version(df, root).endswith("v=2")
-    assert ingest.latest_version(spark, root).endswith("v=2")
-
 
 def test_small_rules():
     assert ingest.model_route(0, True, 0, None, "m") == "save"

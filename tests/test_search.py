@@ -86,6 +86,27 @@ def test_queries_whose_embedding_failed_are_searched_by_words(spark):
     assert search(chunks, docs, q.withColumn("query", F.lit(" ")), Config()).count() == 0
 
 
+def test_thresholds_and_modes_are_those_of_what_was_done(spark):
+    """In mode vector, a query without a vector of the chunks' width is searched by words, said to be, and not cut."""
+    chunks, docs = world(spark)
+    q = frame(spark, [(1, "alpha document", [1.0, 0.0]), (2, "alpha document", None), (3, "alpha document", [1.0, 0.0, 0.0])], "query_id long, query string, embedding array<float>")
+    hits = search(chunks, docs, q, Config(search_mode="vector", similarity_threshold=0.99)).collect()
+    modes = {h.query_id: h["mode"] for h in hits}
+    assert modes == {1: "vector", 2: "lexical", 3: "lexical"}
+    assert [h.chunk_id for h in hits if h.query_id == 1] == [0] and sum(h.query_id == 2 for h in hits) == sum(h.query_id == 3 for h in hits) == 4
+
+
+def test_pairs_are_dealt_to_many_tasks(spark):
+    c = spark.range(400).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), F.col("id") / 400).alias("embedding"))
+    q = c.where("chunk_id < 5").withColumnRenamed("chunk_id", "query_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = vector.pairs(c, q).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 2000
+
+
 def test_every_candidate_is_ranked(spark):
     table = frame(spark, ABC + [(0, "nothing of it"), (4, "")], "chunk_id long, text string")
     got = lexical.ranked_all(table, frame(spark, [(1, "quick fox"), (2, "zz")], "query_id long, query string"), 4).collect()
@@ -103,8 +124,9 @@ def test_hybrid_golden(spark):
     x = frame(spark, [(1, "c", 0.9, 1), (1, "a", 0.5, 2)], "query_id long, chunk_id string, score double, rank int")
     got = {r.chunk_id: round(r.score, 6) for r in fusion.hybrid(v, x, 2).collect()}
     assert got == {"a": 0.994624, "b": 0.655914, "c": 0.333333}
-    assert fusion.effective_mode("auto", fusion.hybrid(v, x, 2)).first()["mode"] == "hybrid"
-    assert fusion.effective_mode("vector", fusion.hybrid(v, x, 2)).first()["mode"] == "vector"
+    both = fusion.hybrid(v, x, 2)
+    assert fusion.effective_mode(both.withColumn("lane", F.lit("hybrid"))).first()["mode"] == "hybrid"
+    assert fusion.effective_mode(both.withColumn("lane", F.lit("vector"))).first()["mode"] == "vector"
 
 
 def test_rrf_does_not_depend_on_lane_order(spark):
