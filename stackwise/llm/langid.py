@@ -2,9 +2,9 @@
 
 A language is a table of log probabilities of hashed character 2- and 3-grams, counted on a
 bounded sample of labelled documents (about ``sample`` in all and at most four times as many,
-of at most ``MOST_CHARS`` characters each, shared evenly by the ``MOST_LANGUAGES`` languages with
-the most documents; the rows come in order of a hash of the id, the id and a hash of the text). A
-word's log likelihood in a language sums those of its n-grams; a document is a mixture of
+of at most ``MOST_CHARS`` characters each, shared evenly by all languages that there are; the rows come
+in order of a hash of the id, the id and a hash of the text; with over 256 languages the table has
+fewer buckets, and with more languages than ``sample`` one document of each is taken). A word's log likelihood in a language sums those of its n-grams; a document is a mixture of
 languages over its words, and expectation maximisation estimates the proportions. The set of
 languages is selected by penalised likelihood: the nested sets of the largest proportions are
 fitted again, and the set with the highest log likelihood - penalty * size * log(words) stays.
@@ -27,14 +27,17 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stackwise.llm.common import PIECE_CHARS, batches_of_text, pieces_of
 from stackwise.llm.ngrams import Grams
-from stackwise.session import ship
+from stackwise.session import saved, ship
 
 BUCKETS_LOG2 = 17
 #: The bound of the training sample, documents in all.
 SAMPLE = 4000
-#: The bounds of a text in it, and of the languages that are learned.
+#: The bound of a text in it.
 MOST_CHARS = 200_000
-MOST_LANGUAGES = 256
+#: Cells of the table of buckets and languages: with over 256 languages there are fewer buckets, so that all languages are learned.
+CELLS_LOG2 = 25
+#: Languages whose rates are broadcast; of more, they are joined by a shuffle.
+MOST_BROADCAST = 100_000
 ORDERS = (2, 3)
 _PLAIN = re.compile("[A-Za-z]")
 UNKNOWN = "und"
@@ -58,7 +61,7 @@ class Languages:
             return logs, np.zeros(len(logs), dtype=np.int64)
         g = Grams([t.lower() for t in texts])
         total = np.zeros((len(g.starts), len(self.names)), dtype=np.float32)
-        shift = np.uint32(32 - BUCKETS_LOG2)
+        shift = np.uint32(33 - len(self.table).bit_length())
         for n in ORDERS:
             h, word = g.gram(n)
             if len(word):
@@ -111,13 +114,14 @@ class Languages:
 
 def learn(rows: dict[str, list[str]], **options) -> Languages:
     names = sorted(rows)
-    counts = np.zeros((1 << BUCKETS_LOG2, len(names)))
-    shift = np.uint32(32 - BUCKETS_LOG2)
+    bits = min(BUCKETS_LOG2, max(10, CELLS_LOG2 - max(0, len(names) - 1).bit_length()))
+    counts = np.zeros((1 << bits, len(names)))
+    shift = np.uint32(32 - bits)
     for j, name in enumerate(names):
         for _, part in batches_of_text(rows[name]):
             g = Grams([t.lower() for t in part])
             for n in ORDERS:
-                counts[:, j] += np.bincount(g.gram(n)[0] >> shift, minlength=1 << BUCKETS_LOG2)
+                counts[:, j] += np.bincount(g.gram(n)[0] >> shift, minlength=1 << bits)
     smooth = 0.05
     table = np.log((counts + smooth) / (counts.sum(0) + smooth * len(counts)))
     return Languages(names, table.astype(np.float32), **options)
@@ -130,15 +134,15 @@ def in_fold(doc_id: Column, of: int, fold: int) -> Column:
 def fit(documents: DataFrame, sample: int = SAMPLE, **options) -> Languages:
     """From text and non-null lang of ``documents``; a hash of the id takes about the same number of each language."""
     known = documents.where("lang is not null and text is not null").where(F.length("text") <= MOST_CHARS)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    counts = saved(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
         return learn({}, **options)
-    each = max(1, sample // len(counts))
-    scale = 1 << 20
-    rate = F.lit(0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(scale, -(-scale * each // r["count"])))).otherwise(rate)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < rate).select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "lang").limit(4 * sample).toArrow()
+    each, scale = max(1, sample // languages), 1 << 20
+    # one row a language
+    rates = counts.select("lang", F.least(F.lit(scale), F.ceil(F.lit(scale * each) / F.col("n"))).alias("rate"))
+    known = known.select("doc_id", "lang", "text").join(F.broadcast(rates) if languages <= MOST_BROADCAST else rates, "lang")
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.col("rate")).select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "lang").limit(4 * max(sample, languages)).toArrow()
     picked = picked.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     rows: dict[str, list[str]] = {}
     for lang, text in zip(picked["lang"].to_pylist(), picked["text"].to_pylist()):
@@ -157,7 +161,7 @@ def predict(df: DataFrame, model: Languages, extra: list[str] | None = None) ->
         m = Languages(*shared.value)
         for b in batches:
             lang, score, sets = [], [], []
-            for _, part in batches_of_text([t or "" for t in b.column(1).to_pylist()], 500_000):
+            for _, part in batches_of_text([t or "" for t in b.column(1).to_pylist()], 500_000 * 256 // max(256, len(m.names))):
                 for row in m.mixtures(part):
                     if not row.any():
                         lang.append(UNKNOWN), score.append(0.0), sets.append([])

@@ -33,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: Copies of one entry that a task numbers at a time.
 COPIES = 100_000
+#: Tasks that make the copies of such entries; a stated number, or adaptive execution would make it one, as a run is a few bytes before it is spread.
+COPY_TASKS = 512
 
 
 def words(text: Column) -> Column:
@@ -137,7 +139,7 @@ def copied(entries: DataFrame) -> DataFrame:
     """A row for each of the ``n`` copies of an entry, with its own begin; of very many copies every task makes a part."""
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     few = entries.where(F.col("n") <= COPIES).withColumn("k", F.explode(upto(F.col("n"))))
-    many = entries.where(F.col("n") > COPIES).withColumn("run", F.explode(upto(F.ceil(F.col("n") / COPIES)))).repartition("id", "source", "size", "run")
+    many = entries.where(F.col("n") > COPIES).withColumn("run", F.explode(upto(F.ceil(F.col("n") / COPIES)))).repartition(COPY_TASKS, "id", "source", "size", "run")
     many = many.withColumn("k", F.explode(F.transform(upto(F.least(F.lit(COPIES), F.col("n") - F.col("run") * COPIES)), lambda i: F.col("run") * COPIES + i))).drop("run")
     return few.unionByName(many).withColumn("begin", F.col("begin") + F.col("k") * F.col("size")).drop("k", "n")
 

@@ -2,8 +2,10 @@
 
 A source's queue is in order of a hash of the row, cut in parts of equal hash ranges whose tokens
 are summed up; inside a part it is in order of another hash, and a document's place in the queue is
-the tokens before its part and its share of the part's. Lanes take equal shares of all queues by
-place, so that every lane has the whole mixture and no source, however large, meets in one task.
+the tokens before its part and its share of the part's. The round that serves a place is the place over the
+source's quantum, and lanes are ranges of rounds of about equal tokens: with the proportions that there are,
+equal shares of all queues. So no source, however large, meets in one task; with other proportions a queue
+that its share serves fast lies in the first lanes only, as in one long round-robin.
 A lane may be many parts or a small piece of one: there is one rule for all sizes. The hash of a row
 is one of its id, source and token ids. Rows that are equal in all of these (a third of all may be)
 lie in one part, which is spread over as many lanes as its tokens fill, by their number in the
@@ -11,7 +13,8 @@ written table of tokens.
 A round serves one window: every source earns quantum = window * share tokens of credit and
 sends documents while its credit lasts. What a source has earned but not sent (its deficit) is
 carried from window to window, and from lane to lane: a lane starts with
-share * (tokens in earlier lanes) - (the source's tokens in earlier lanes).
+share * (credit of all rounds before it) - (the source's tokens in earlier lanes). While all queues last
+that credit is the tokens in earlier lanes; later rounds serve fewer queues, so more of them fill a window.
 The lanes' streams follow each other without a gap, windows are cut from the whole stream, so
 at most the last window of all needs padding.
 
@@ -118,13 +121,13 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataF
 
 
 def deal(docs: pa.Table, state: pa.Table, window: int) -> pa.Table:
-    """Pieces of one lane. docs: doc_id, source, n, wide, ids in queue order; state: source, before, lane_before, share."""
+    """Pieces of one lane. docs: doc_id, source, n, wide, ids in queue order; state: source, before, lane_before, credit, share."""
     codes = {s: i for i, s in enumerate(state["source"].to_pylist())}
     src = np.array([codes[s] for s in docs["source"].to_pylist()], dtype=np.int64)
     n = docs["n"].to_numpy().astype(np.int64)
     share = state["share"].to_numpy().astype(float)
     lane_before = state["lane_before"][0].as_py()
-    carried = share * lane_before - state["before"].to_numpy().astype(float)
+    carried = share * state["credit"][0].as_py() - state["before"].to_numpy().astype(float)
     order = np.argsort(src, kind="stable")
     s, m = src[order], n[order]
     total = np.cumsum(m)
@@ -159,11 +162,39 @@ def _running(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     return within.withColumn(name, F.col("above") + F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("above", "g")
 
 
+#: Rounds at which the tokens served so far are counted exactly; between them they are interpolated.
+KNOTS = 64
+
+
+def served(sources: DataFrame) -> tuple[list[float], list[float]]:
+    """Knots of the tokens that a round-robin over sources (share, tokens) has served, by the credit of all rounds so far.
+
+    A queue is served by share * credit until it is empty. The knots are quantiles of the credits at which queues end.
+    """
+    ends = sources.select("tokens", "share", (F.col("tokens") / F.col("share")).alias("end"))
+    found = ends.agg(F.percentile_approx("end", [i / KNOTS for i in range(1, KNOTS + 1)], 10_000).alias("q"), F.max("end").alias("last")).first()
+    if not found["q"]:
+        return [0.0, 1.0], [0.0, 0.0]
+    at = sorted({*found["q"], found["last"]})
+    sums = ends.agg(*[F.sum(F.least(F.col("tokens").cast("double"), F.col("share") * F.lit(float(c)))).alias(f"k{i}") for i, c in enumerate(at)]).first()
+    return [0.0, *at], [0.0, *sums]
+
+
+def interpolated(x: Column, xs: list[float], ys: list[float]) -> Column:
+    """The line through the knots; beyond the last one its value."""
+    out = F.lit(ys[-1])
+    for i in range(len(xs) - 1, 0, -1):
+        slope = (ys[i] - ys[i - 1]) / (xs[i] - xs[i - 1]) if xs[i] > xs[i - 1] else 0.0
+        out = F.when(x < F.lit(xs[i]), F.lit(ys[i - 1]) + (x - F.lit(xs[i - 1])) * F.lit(slope)).otherwise(out)
+    return out
+
+
 def pack(df: DataFrame, tokenizer_path: str, window: int = 2048, shares: Column | None = None, lane_tokens: int = LANE_TOKENS) -> DataFrame:
     """Every document of ``df`` (doc_id, source, text), cut into pieces of windows of ``window`` tokens.
 
-    ``shares`` (of the columns source and tokens, by source) gives target proportions; by default the
-    proportions of the tokens there are, so that every queue lasts to the end.
+    ``shares`` (of the columns source and tokens, by source; over 0) gives target proportions; by default the
+    proportions of the tokens there are, so that every queue lasts to the end. Where a queue ends before, the
+    others go on in their proportions.
     """
     ship(df.sparkSession)
     tok = saved(tokenized(df, tokenizer_path), "tokens")
@@ -178,15 +209,25 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 2048, shares: Column
     place = parts.select("source", "part", "tokens", F.coalesce(F.sum("tokens").over(queue), F.lit(0)).alias("above"), F.sum("tokens").over(Window.partitionBy("source")).alias("of"))
     place = F.broadcast(place) if n_parts <= MOST_BROADCAST else place
     t, p = tok.withColumn("part", part).withColumn("within", fraction(F.xxhash64("row"))).alias("t"), place.alias("p")
-    at = (F.col("p.above") + F.col("t.within") * F.col("p.tokens")) / F.col("p.of")
+    if shares is None:
+        xs = ys = None
+        at = (F.col("p.above") + F.col("t.within") * F.col("p.tokens")) / F.col("p.of")
+    else:
+        given = saved(parts.groupBy("source").agg(F.sum("tokens").alias("tokens")).select("source", "tokens", F.greatest(F.lit(1e-9), shares.cast("double")).alias("share")), "shares")
+        xs, ys = served(given)
+        by = given.select("source", "share").alias("g")
+        p = p.join(by, F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "g.share").alias("p")
+        credit = (F.col("p.above") + F.col("t.within") * F.col("p.tokens")) / F.col("p.share")
+        at = interpolated(credit, xs, ys) / F.lit(float(max(total, 1)))
     tok = t.join(p, F.col("t.source").eqNullSafe(F.col("p.source")) & (F.col("t.part") == F.col("p.part"))).select("t.doc_id", "t.source", "t.n", "t.wide", "t.ids", "t.h", F.least(F.lit(lanes - 1), F.floor(at * lanes)).cast("long").alias("lane"))
     per = saved(tok.groupBy("lane", "source").agg(F.sum("n").alias("tokens")), "lanes")
     by_source = per.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    weight = F.col("tokens") if shares is None else shares
-    by_source = by_source.select("source", (weight / F.lit(float(max(total, 1))) if shares is None else weight).cast("double").alias("share"))
+    by_source = by_source.select("source", (F.col("tokens") / F.lit(float(max(total, 1)))).cast("double").alias("share")) if shares is None else given.select("source", "share")
     before = _running(per, ["source"], "tokens", "before")
     lane_before = _running(per.groupBy("lane").agg(F.sum("tokens").alias("t")), [], "t", "lane_before").drop("t")
-    state = before.alias("p").join(by_source.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select("p.*", "s.share").join(lane_before, "lane").select("lane", "source", "before", "lane_before", "share")
+    state = before.alias("p").join(by_source.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source"))).select("p.*", "s.share").join(lane_before, "lane")
+    credit = F.col("lane_before").cast("double") if shares is None else interpolated(F.col("lane_before").cast("double"), ys, xs)
+    state = state.select("lane", "source", "before", "lane_before", credit.alias("credit"), "share")
 
     def run(docs: pa.Table, lane_state: pa.Table) -> pa.Table:
         docs = docs.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("n", "ascending"), ("source", "ascending"), ("ids", "ascending")])

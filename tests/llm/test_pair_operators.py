@@ -501,3 +501,5 @@ def test_pipeline_odd(spark, tmp_path):
             out = stage(spark, frame, str(tmp_path))
             assert out.columns == docs.columns, name
             out.collect()
+        pieces = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).collect()
+        assert {p.doc_id for p in pieces} == {r.doc_id for r in frame.collect()}

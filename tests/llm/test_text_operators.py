@@ -145,6 +145,60 @@ def filled(sizes, weights=(5, 2, 1), most=3):
         capped |= {s: most * sizes[s] for s in over}
 
 
+def plain_round_robin(queues, shares, window):
+    """Tokens of each source in each window: every round each source earns its share of a window and sends documents while its credit lasts."""
+    queues, credit, sent = {k: list(v) for k, v in queues.items()}, dict.fromkeys(shares, 0.0), []
+    while any(queues.values()):
+        for s in sorted(shares):
+            credit[s] += shares[s] * window
+            while queues[s] and queues[s][0] <= credit[s]:
+                credit[s] -= queues[s][0]
+                sent += [s] * queues[s].pop(0)
+    return [{s: sent[i : i + window].count(s) for s in shares} for i in range(0, len(sent), window)]
+
+
+@pytest.mark.parametrize("lane", [40_000, 10_000_000])
+def test_packing_to_given_shares(spark, lane):
+    """A source of a tenth of all tokens that is to be half of the mix is half of every window until it ends, and in none after it."""
+    rng = random.Random(4)
+    rows = [(i, "small" if i % 10 == 0 else "large", "word " * rng.randint(10, 40)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=2048, shares=F.lit(0.5), lane_tokens=lane).collect()
+    source = {r[0]: r[1] for r in rows}
+    got: dict[int, dict] = {}
+    for p in pieces:
+        w = got.setdefault(p.sequence_id, {"small": 0, "large": 0})
+        w[source[p.doc_id]] += p.length
+    assert sum(sum(w.values()) for w in got.values()) == sum(len(r[2].split()) + 1 for r in rows)
+    want = plain_round_robin({s: [len(r[2].split()) + 1 for r in rows if r[1] == s] for s in ("small", "large")}, {"small": 0.5, "large": 0.5}, 2048)
+    ends = max(i for i, w in enumerate(want) if w["small"])
+    # a document, and at a lane's edge the spread of a part
+    for i in range(len(want) - 1):
+        if i < ends - 2:
+            assert abs(got[i]["small"] - want[i]["small"]) <= 2048 * 0.1, i
+        if i > ends + 2:
+            assert got[i]["small"] == 0, i
+
+
+def test_packing_to_shares_of_many_sources(spark):
+    rows = [(i, f"s{i % 7}", "word " * 30) for i in range(1400)] + [(9999, None, "word " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weight = F.when(F.col("source") == "s0", 6).when(F.col("source").isNull(), 0).otherwise(1) / 12
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=512, shares=weight, lane_tokens=20_000).collect()
+    assert sum(p.length for p in pieces) == 1400 * 31 + 501
+    first = [p for p in pieces if p.sequence_id == 2]
+    assert 0.35 <= sum(p.length for p in first if p.doc_id % 7 == 0) / sum(p.length for p in first) <= 0.65
+
+
+def test_copies_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 10)
+    entries = spark.createDataFrame([(1, "a", 3, 5000, 0), (2, "a", 4, 2, 15_000)], "id long, source string, size long, n long, begin long")
+    out = mixing.copied(entries)
+    tasks = out.where("id = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 100 and sum(r["count"] for r in tasks) == 5000 and max(r["count"] for r in tasks) <= 500
+    assert out.where("id = 1").select("begin").distinct().count() == 5000
+
+
 def test_mixing_equals_sql(spark, sf):
     check(queries.QUERIES["op3_mix"](spark, sf), queries.ORACLES["op3_mix"], sf)
 
@@ -413,6 +467,57 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) >= 0.97
 
 
+def test_three_hundred_languages(spark):
+    """Every language of the table is learned, however rare."""
+    rng = random.Random(6)
+    syllables = [a + b + c for a in "bcdfghklmnprstvz" for b in "aeiou" for c in "lnrst"]
+    own = [rng.sample(syllables, 6) for _ in range(300)]
+    text = lambda k: " ".join(rng.choice(own[k]) + rng.choice(own[k]) for _ in range(60))
+    rows = [(i, text(i % 300), f"l{i % 300:03d}") for i in range(900)] + [(10_000 + i, text(0), "l000") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.names) == 300
+    found = langid.predict(docs, model, ["doc_id", "lang"])
+    assert found.where("lang = lang_pred").count() >= 0.95 * len(rows)
+
+
+def plain_mixture(text, model):
+    """The proportions of one text by loops over its words: expectation and maximisation, then nested sets by penalised likelihood."""
+    logs, _ = model.likelihoods([text])
+    like = np.exp(logs - logs.max(1, keepdims=True)).astype(float)
+    n, size = like.shape
+
+    def run(shares, rounds):
+        for _ in range(rounds):
+            total = np.zeros(size)
+            for w in range(n):
+                r = like[w] * shares
+                total += r / r.sum()
+            shares = total / n
+        return shares, sum(np.log((like[w] * shares).sum()) for w in range(n))
+
+    shares, _ = run(np.full(size, 1 / size), model.rounds)
+    order = sorted(range(size), key=lambda j: (-shares[j], j))
+    best = None
+    for m in range(1, max(1, int((shares >= 0.005).sum())) + 1):
+        first = np.array([shares[j] if j in order[:m] else 0.0 for j in range(size)])
+        s, ll = run(first / first.sum(), 0 if m == 1 else model.rounds // 2)
+        value = ll - model.penalty * m * np.log(n + 1)
+        if best is None or value > best[0]:
+            best = value, s
+    return best[1]
+
+
+def test_mixtures_equal_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(25).collect()]
+    texts = [t[:1500] for t in texts if t and langid.has_letter(t)]
+    texts += [texts[i][:400] + " " + texts[-i - 1][:400] for i in range(5)]
+    for t, row in zip(texts, model.mixtures(texts)):
+        assert np.allclose(row, plain_mixture(t, model), atol=2e-3)
+
+
 def test_mixtures():
     rows = sampled("lang, text", 1500)
     by = defaultdict(list)
