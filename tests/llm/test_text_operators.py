@@ -186,8 +186,9 @@ def test_packing_to_shares_of_many_sources(spark):
     weight = F.when(F.col("source") == "s0", 6).when(F.col("source").isNull(), 0).otherwise(1) / 12
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=512, shares=weight, lane_tokens=20_000).collect()
     assert sum(p.length for p in pieces) == 1400 * 31 + 501
-    first = [p for p in pieces if p.sequence_id == 2]
-    assert 0.35 <= sum(p.length for p in first if p.doc_id % 7 == 0) / sum(p.length for p in first) <= 0.65
+    # documents of 31 tokens against quanta of 43: the proportions hold over some windows
+    first = [p for p in pieces if p.sequence_id < 9]
+    assert 0.45 <= sum(p.length for p in first if p.doc_id % 7 == 0) / sum(p.length for p in first) <= 0.55
 
 
 def test_copies_are_made_by_many_tasks(spark, monkeypatch):
