@@ -169,14 +169,23 @@ def walked(docs: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, by: str | list[str], name: str) -> DataFrame:
     """``df`` with a number, from 1, in order of ``by``: the place in a partition of a range sort and the rows before it."""
-    s = saved(df.orderBy(by).withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_range", F.shiftright("_at", 33))
+    s = saved(df.orderBy(*([by] if isinstance(by, str) else by)).withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_range", F.shiftright("_at", 33))
     # one row a range partition
     before = s.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return s.join(before, "_range").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_range", "_before")
 
 
+def numbered_in(df: DataFrame, group: list[str], by: list[str], name: str) -> DataFrame:
+    """A number, from 1, inside each group: the place in the sort of all, less that of the group's first. A group may be of any size."""
+    n = numbered(df, [*group, *by], "_place")
+    first = n.groupBy(*group).agg(F.min("_place").alias("_first"))
+    a, b = n.alias("a"), first.alias("b")
+    on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    return a.join(b, on).select("a.*", (F.col("a._place") - F.col("b._first") + 1).alias(name)).drop("_place")
+
+
 def outline(docs: DataFrame) -> DataFrame:
     """doc_id, depth, position (from 1): the whole forest in pre-order, siblings by title (by code points)."""
     below, _ = paths(docs)

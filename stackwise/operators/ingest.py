@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from stackwise.functions import text as T
+from stackwise.operators.catalog import numbered_in
 from stackwise.operators.store import ChunkStore
+from stackwise.session import saved, ship
 
 
 def deduplicated(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -27,32 +32,45 @@ def deduplicated(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 def name_conflicts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """incoming (base_id, file_name, seq) with conflict: the name is stored in the base, or comes earlier in the batch."""
     s = stored.where("file_name is not null").select("base_id", "file_name").distinct().withColumn("_taken", F.lit(True))
-    turn = F.row_number().over(Window.partitionBy("base_id", "file_name").orderBy("seq"))
-    return incoming.withColumn("_turn", turn).join(s, ["base_id", "file_name"], "left").withColumn("conflict", F.col("_taken").isNotNull() | (F.col("_turn") > 1)).drop("_taken")
+    # aggregates and a join, and no window: a name that a third of a batch has is not one task's
+    first = incoming.groupBy("base_id", "file_name").agg(F.min("seq").alias("_first")).join(s, ["base_id", "file_name"], "left")
+    a, b = incoming.alias("a"), first.alias("b")
+    on = F.col("a.base_id").eqNullSafe(F.col("b.base_id")) & F.col("a.file_name").eqNullSafe(F.col("b.file_name"))
+    return a.join(b, on).select("a.*", (F.col("b._taken").isNotNull() | (F.col("a.seq") > F.col("b._first"))).alias("conflict"))
+
+
+def _split_name() -> tuple[Column, Column]:
+    stem = F.when(F.col("file_name").rlike(r"^.+\.[^.]*$"), F.regexp_extract("file_name", r"^(.+)\.[^.]*$", 1)).otherwise(F.col("file_name"))
+    return stem, F.regexp_extract("file_name", r"^.+(\.[^.]*)$", 1)
 
 
 def resolved(incoming: DataFrame, stored: DataFrame, policy: str) -> DataFrame:
     """incoming with action (add, skip, replace, rename, conflict) and new_name.
 
-    rename takes the first free name_N.ext: names in use are counted by base, stem and extension, and the
-    batch's rows of one name take the free numbers in order.
+    rename takes the first free name_N.ext: the batch's rows of one name take the free numbers in order of seq.
+    The used number u, i-th of its name, has u - i free numbers below it; so in the order of these values, with the k-th
+    row of the batch at k and ahead of a used number of the same value, a row's place is its number. All places
+    are those of range sorts, so a name may have any number of rows.
     """
     c = name_conflicts(incoming, stored)
     action = F.when(~F.col("conflict"), "add").otherwise({"keep": "skip", "replace": "replace", "rename": "rename", "detect": "conflict"}[policy])
-    c = c.withColumn("action", action)
+    c = c.withColumn("action", action).drop("conflict")
     if policy != "rename":
-        return c.withColumn("new_name", F.col("file_name")).drop("_turn", "conflict")
-    stem = F.when(F.col("file_name").rlike(r"^.+\.[^.]*$"), F.regexp_extract("file_name", r"^(.+)\.[^.]*$", 1)).otherwise(F.col("file_name"))
-    ext = F.regexp_extract("file_name", r"^.+(\.[^.]*)$", 1)
-    c = c.withColumn("_stem", stem).withColumn("_ext", ext)
-    used = stored.select("base_id", "file_name").unionByName(incoming.select("base_id", "file_name")).distinct()
-    used = used.withColumn("_stem", F.regexp_extract("file_name", r"^(.*)_[1-9][0-9]*(\.[^.]*)?$", 1)).withColumn("_n", F.regexp_extract("file_name", r"_([1-9][0-9]*)(\.[^.]*)?$", 1)).withColumn("_ext", F.regexp_extract("file_name", r"_[1-9][0-9]*(\.[^.]*)$", 1))
-    used = used.where("_n <> ''").groupBy("base_id", "_stem", "_ext").agg(F.array_distinct(F.collect_list(F.col("_n").cast("int"))).alias("_used"))
-    turn = F.row_number().over(Window.partitionBy("base_id", "_stem", "_ext", "action").orderBy("seq"))
-    c = c.withColumn("_k", turn).join(used, ["base_id", "_stem", "_ext"], "left")
-    free = F.filter(F.sequence(F.lit(1), F.col("_k") + F.size(F.coalesce("_used", F.array().cast("array<int>")))), lambda n: ~F.coalesce(F.array_contains(F.coalesce("_used", F.array().cast("array<int>")), n), F.lit(False)))
-    name = F.concat("_stem", F.lit("_"), F.element_at(free, F.col("_k")).cast("string"), "_ext")
-    return c.withColumn("new_name", F.when(F.col("action") == "rename", name).otherwise(F.col("file_name"))).drop("_turn", "conflict", "_stem", "_ext", "_used", "_k")
+        return c.withColumn("new_name", F.col("file_name"))
+    group = ["base_id", "_stem", "_ext"]
+    stem, ext = _split_name()
+    c = saved(c, "conflicts")
+    rows = c.where("action = 'rename'").select("base_id", stem.alias("_stem"), ext.alias("_ext"), "seq", F.struct(*[F.col(x) for x in c.columns]).alias("_row"))
+    rows = numbered_in(rows, group, ["seq"], "_value").withColumn("_used", F.lit(0))
+    used = stored.select("base_id", "file_name").unionByName(incoming.select("base_id", "file_name"))
+    number = F.regexp_extract("file_name", r"_([1-9][0-9]{0,17})(\.[^.]*)?$", 1)
+    used = used.select("base_id", F.regexp_extract("file_name", r"^(.*)_[1-9][0-9]*(\.[^.]*)?$", 1).alias("_stem"), F.regexp_extract("file_name", r"_[1-9][0-9]*(\.[^.]*)$", 1).alias("_ext"), F.when(number != "", number).alias("_n"))
+    used = used.where("_n is not null").withColumn("_n", F.col("_n").cast("long")).distinct()
+    used = numbered_in(used, group, ["_n"], "_i").select(*group, (F.col("_n") - F.col("_i")).alias("_value"), F.lit(1).alias("_used"))
+    both = numbered_in(rows.select(*group, "_value", "_used", "_row").unionByName(used, allowMissingColumns=True), group, ["_value", "_used"], "_number")
+    name = F.concat("_stem", F.lit("_"), F.col("_number").cast("string"), "_ext")
+    renamed = both.where("_used = 0").select("_row.*", name.alias("new_name"))
+    return c.where("action <> 'rename'").withColumn("new_name", F.col("file_name")).unionByName(renamed)
 
 
 def batch_conflicts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -87,11 +105,78 @@ def hashing_embedder(width: int = 64):
     return embed
 
 
+class EmbeddingError(RuntimeError):
+    """An embedding service gave another number of vectors than it was given texts."""
+
+
+def pooled(vectors: np.ndarray, pooling: str) -> np.ndarray:
+    """The vector of a text from those of its tokens [token, width]: their mean, the first (cls) or the last."""
+    return vectors.mean(0) if pooling == "mean" else vectors[0] if pooling == "cls" else vectors[-1]
+
+
+def embed_batches(rows: DataFrame, text_col: str, service: Callable[[], Callable[[list[str]], list]], batch: int = 32, attempts: int = 3, base: float = 1.0, most: float = 30.0, pooling: str | None = None, out: str = "embedding") -> DataFrame:
+    """``rows`` with vectors by a service, ``batch`` texts a call, gathered over Arrow batches.
+
+    ``service()`` is made once a task and takes a list of texts to as many vectors (or, with ``pooling``, to arrays of token
+    vectors). A call that raises is made again after base * 2^n seconds; one that gives another number of vectors
+    raises EmbeddingError, and is not tried again. Null texts get no vector and are not sent.
+    """
+    ship(rows.sparkSession)
+    schema = StructType([f for f in rows.schema if f.name != out]).add(out, ArrayType(FloatType()))
+    names, at = [f.name for f in schema], [c for c in rows.columns if c != out].index(text_col)
+
+    def run(batches):
+        call = service()
+
+        def vectors(texts: list[str]) -> list:
+            found = with_retry(lambda: call(texts), attempts, base, most)
+            if len(found) != len(texts):
+                raise EmbeddingError(f"{len(found)} vectors for {len(texts)} texts")
+            return [pooled(np.asarray(v, float), pooling) if pooling else v for v in found]
+
+        held: list[pa.RecordBatch] = []
+        waiting = 0
+
+        def finish(upto: int):
+            table = pa.Table.from_batches(held).combine_chunks()
+            texts, result = table.column(at).slice(0, upto).to_pylist(), [None] * upto
+            some = [i for i, t in enumerate(texts) if t is not None]
+            for k in range(0, len(some), batch):
+                part = some[k : k + batch]
+                for i, v in zip(part, vectors([texts[i] for i in part])):
+                    result[i] = [float(x) for x in v]
+            done = table.slice(0, upto).append_column(out, pa.array(result, pa.list_(pa.float32())))
+            return done.select(names).to_batches(), table.slice(upto).to_batches()
+
+        for b in batches:
+            held.append(b)
+            waiting += b.num_rows
+            if waiting >= batch:
+                ready, held = finish(waiting - waiting % batch)
+                waiting %= batch
+                yield from ready
+        if waiting:
+            yield from finish(waiting)[0]
+
+    return rows.select(*[c for c in rows.columns if c != out]).mapInArrow(run, schema)
+
+
 def embedded(chunks: DataFrame, stored: DataFrame, embed, model_tag: str) -> DataFrame:
-    """Chunks with vectors: reused where there is one, else by ``embed(search_text)``; only those rows pass the function."""
+    """Chunks with vectors: reused where there is one, else by ``embed``, a function of a column or of a table of rows with search_text; only rows without a vector pass it."""
     r = reused_vectors(chunks.withColumn("embedding_model", F.lit(model_tag)), stored)
     have, need = r.where("embedding is not null"), r.where("embedding is null")
-    return have.unionByName(need.withColumn("embedding", embed(F.col("search_text"))))
+    done = embed(need) if getattr(embed, "takes_rows", False) else need.withColumn("embedding", embed(F.col("search_text")))
+    return have.unionByName(done)
+
+
+def by_service(service, **options):
+    """An ``embed`` for ``embedded`` and ``ingested`` that calls a service in batches."""
+
+    def embed(rows: DataFrame) -> DataFrame:
+        return embed_batches(rows, "search_text", service, **options)
+
+    embed.takes_rows = True
+    return embed
 
 
 def put_chunks(store: ChunkStore, new: DataFrame, stream: tuple[str, int] | None = None) -> int | None:

@@ -895,6 +895,21 @@ def stream_ingest(spark, d):
     return spark.read.parquet(folder + "/out").groupBy("base_id", F.col("embedding_text_hash").alias("h")).agg(F.count("*").alias("n")).groupBy("base_id").agg(F.sum("n").alias("chunks"))
 
 
+@query("stream_upsert", """WITH v AS (SELECT doc_id, lang AS base_id, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'Renewed ' || doc_id || '.' ELSE text END AS text FROM documents)
+SELECT base_id, count(*) AS documents, count(*) FILTER (text LIKE 'Renewed %') AS renewed FROM v WHERE length(trim(text)) > 0 GROUP BY base_id""")
+def stream_upsert(spark, d):
+    """Documents as a stream into a store: first all, then some with another text and some removed."""
+    folder = scratch(spark, "upserts")
+    t = docs(spark, d).select("base_id", F.col("doc_id").cast("string").alias("doc_id"), "title", "raw_text", F.timestamp_millis("created_at").alias("created_at"))
+    s = ChunkStore(spark, folder + "/store", "search_text")
+    again = t.where("doc_id % 4 = 0 or doc_id % 9 = 0").withColumn("raw_text", F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("Renewed "), "doc_id", F.lit("."))))
+    for part in (t, again):
+        part.write.mode("append").parquet(folder + "/in")
+        stream.upserts(stream.source(spark, folder + "/in"), s, "documents", folder + "/state", size=800, overlap=100).awaitTermination()
+    rows = s.snapshot().rows().groupBy("base_id", "doc_id").agg(F.max(F.startswith("text", F.lit("Renewed "))).alias("renewed"))
+    return rows.groupBy("base_id").agg(F.count("*").alias("documents"), F.count_if("renewed").alias("renewed"))
+
+
 @query("stream_window_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, d):
     return stream.windowed_counts(table(spark, d, "events"))
@@ -1249,25 +1264,25 @@ def ing_pooling(spark, d):
     return mapped(table(spark, d, "documents").select("doc_id"), lambda r: {"doc_id": int(r["doc_id"]), "pooling": pooling(f"{names[r['doc_id'] % 4]}{r['doc_id']}")}, "doc_id long, pooling string")
 
 
-@query("ing_retry", """SELECT vec_id, least(3, vec_id % 5 + 1)::BIGINT AS attempts, ([0, 1, 3, 3, 3])[vec_id % 5 + 1]::DOUBLE AS waited, vec_id % 5 < 3 AS done FROM embeddings""")
-def ing_retry(spark, d):
-    """Calls that fail so many times, with the waits counted and not slept."""
+class Flaky:
+    """A stand-in for an embedding service: vectors of a text's length and first character, two calls of three fail."""
 
-    def one(r):
-        i, calls, waits, done = int(r["vec_id"]), [], [], True
+    def __init__(self):
+        self.calls = 0
 
-        def call():
-            calls.append(1)
-            if len(calls) <= i % 5:
-                raise OSError("not now")
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        self.calls += 1
+        if self.calls % 3:
+            raise OSError("not now")
+        return [[float(len(t)), float(ord(t[0]) if t else 0)] for t in texts]
 
-        try:
-            ingest.with_retry(call, sleep=waits.append)
-        except OSError:
-            done = False
-        return {"vec_id": i, "attempts": len(calls), "waited": float(sum(waits)), "done": done}
 
-    return mapped(table(spark, d, "embeddings").select("vec_id"), one, "vec_id long, attempts long, waited double, done boolean")
+@query("ing_retry", """SELECT doc_id, length(text)::DOUBLE AS first, CASE WHEN length(text) > 0 THEN ascii(text) ELSE 0 END::DOUBLE AS second FROM documents""")
+def ing_retry(spark, d):
+    """Documents embedded in batches by a service of which two calls of three fail."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("search_text"))
+    out = ingest.embed_batches(rows, "search_text", Flaky, batch=32, attempts=3, base=0.001)
+    return out.select("doc_id", F.element_at("embedding", 1).cast("double").alias("first"), F.element_at("embedding", 2).cast("double").alias("second"))
 
 
 @query("hash_embed", """SELECT conv_id AS doc_id, turn::INT AS idx, sha256('c' || conv_id || CASE WHEN length(role) > 0 THEN ' > ' || role ELSE '' END || chr(10) || text) AS embedding_text_hash FROM conversations""")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from stackwise.functions import text as T
 from stackwise.operators.chunking import finished, with_chunks
+from stackwise.operators.store import ChunkStore
 
 DOCUMENTS = StructType().add("base_id", "string").add("doc_id", "string").add("title", "string").add("raw_text", "string").add("created_at", "timestamp")
 
@@ -35,3 +38,29 @@ def start(chunks: DataFrame, out: str, checkpoint: str, available_now: bool = Tr
 def windowed_counts(events: DataFrame, time_col: str = "ts", delay: str = "10 minutes", width: str = "1 hour", by: str = "event_type") -> DataFrame:
     """Rows by event-time window and ``by``; late rows beyond the watermark are left out."""
     return events.withWatermark(time_col, delay).groupBy(F.window(time_col, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), by, "n")
+
+
+def latest(batch: DataFrame) -> DataFrame:
+    """One row a document: the last by created_at (of equal times, the greatest text)."""
+    return batch.groupBy("base_id", "doc_id").agg(F.max(F.struct("created_at", "raw_text", "title")).alias("_r")).select("base_id", "doc_id", F.col("_r.title").alias("title"), F.col("_r.raw_text").alias("raw_text"))
+
+
+def upserts(docs: DataFrame, store: ChunkStore, name: str, checkpoint: str, available_now: bool = True, before_commit: Callable[[int], None] | None = None, **chunking) -> StreamingQuery:
+    """A stream of documents (base_id, doc_id, title, raw_text, created_at) into a store: of each batch one commit, which replaces the documents' chunks.
+
+    The commit holds the batch's number under ``name``: a batch that is run again, as after a stop between
+    its commit and the stream's own record of it, changes nothing. A null or empty text removes the document's chunks.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = latest(batch).persist()
+        try:
+            chunks = finished(with_chunks(rows.where(F.length("raw_text") > 0), **chunking))
+            if before_commit:
+                before_commit(number)
+            store.put(chunks, stream=(name, number), deletes=rows.select("base_id", "doc_id"))
+        finally:
+            rows.unpersist()
+
+    w = docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import numpy as np
@@ -171,6 +172,63 @@ def test_conflict_policies(spark):
     assert {r.file_name for r in ingest.batch_conflicts(new, stored).collect()} == {"n.md", "plain"}
 
 
+def test_renames_take_the_free_numbers(spark):
+    rng = random.Random(2)
+    names = ["a.md", "a_1.md", "a_3.md", "a_4.md", "a_10.md", "a_007.md", "a_99999999999999999999.md", "b", "b_2", ".md", "a_1_2.md"]
+    stored = [(rng.choice("xy"), n) for n in names for _ in range(1)] + [("x", "a.md"), ("y", "a.md")]
+    new = [(rng.choice("xy"), rng.choice(names), i) for i in range(120)]
+    got = {r.seq: r.new_name for r in ingest.resolved(spark.createDataFrame(new, "base_id string, file_name string, seq long"), spark.createDataFrame(stored, "base_id string, file_name string"), "rename").collect()}
+    used = {(b, n) for b, n in stored} | {(b, n) for b, n, _ in new}
+    seen, taken = set(stored), set()
+    for b, n, i in new:
+        if (b, n) not in seen:
+            seen.add((b, n))
+            assert got[i] == n
+            continue
+        dot = n.rfind(".") if n.rfind(".") > 0 else len(n)
+        k = 1
+        while (b, f"{n[:dot]}_{k}{n[dot:]}") in used | taken:
+            k += 1
+        taken.add((b, f"{n[:dot]}_{k}{n[dot:]}"))
+        assert got[i] == f"{n[:dot]}_{k}{n[dot:]}", (n, got[i])
+
+
+def test_a_name_of_many_files(spark):
+    new = spark.range(100_000).select(F.lit("b").alias("base_id"), F.lit("n.md").alias("file_name"), F.col("id").alias("seq"))
+    out = ingest.resolved(new, new.where("false"), "rename")
+    r = out.agg(F.count_distinct("new_name").alias("names"), F.max(F.when(F.col("seq") == 99_999, F.col("new_name"))).alias("last")).first()
+    assert (r.names, r["last"]) == (100_000, "n_99999.md")
+
+
+def test_embedding_in_batches(spark):
+    texts = [(i, None if i == 7 else "t" * i) for i in range(75)]
+    rows = spark.createDataFrame(texts, "id long, search_text string").coalesce(1)
+
+    def service(fails=0, wrong=False):
+        def make():
+            seen = []
+
+            def call(batch):
+                seen.append(len(batch))
+                if len(seen) <= fails:
+                    raise OSError("down")
+                return [[float(len(t)), float(len(batch))] for t in batch][: -1 if wrong else None]
+
+            return call
+
+        return make
+
+    got = {r.id: r.embedding for r in ingest.embed_batches(rows, "search_text", service(2), batch=32, base=0.001).collect()}
+    assert got[7] is None and all(got[i][0] == i for i in range(75) if i != 7)
+    assert max(v[1] for v in got.values() if v) == 32
+    with pytest.raises(Exception, match="down"):
+        ingest.embed_batches(rows, "search_text", service(3), attempts=3, base=0.001).collect()
+    with pytest.raises(Exception, match="vectors for"):
+        ingest.embed_batches(rows, "search_text", service(wrong=True), base=0.001).collect()
+    tokens = ingest.embed_batches(rows.where("id < 3"), "search_text", lambda: lambda b: [[[1.0, 0.0], [3.0, 2.0]] for _ in b], pooling="mean").first()
+    assert tokens.embedding == [2.0, 1.0]
+
+
 def test_reuse_and_embedding(spark):
     stored = spark.createDataFrame([(1, "h1", "m", [1.0]), (2, "h1", "m", [2.0]), (3, "h2", "other", [3.0]), (4, "h3", "m", None)], "chunk_id long, embedding_text_hash string, embedding_model string, embedding array<float>")
     new = spark.createDataFrame([("h1", "a b"), ("h2", "c"), ("h3", "d")], "embedding_text_hash string, search_text string")
@@ -257,3 +315,44 @@ def test_stream_equals_batch(spark, tmp_path):
     _, batch = ingest.ingested(df.select("base_id", "doc_id", "title", "raw_text"), none, none)
     assert sorted(r.text for r in out.collect()) == sorted(r.text for r in batch.collect())
     assert out.count() == 14
+
+
+def test_stream_of_upserts_survives_a_stop(spark, tmp_path):
+    """A stop before a commit, and one between a commit and the stream's record of it: run again, the result is that of a batch."""
+    from stackwise.operators.chunking import finished, with_chunks
+    from stackwise.operators.store import ChunkStore
+
+    root = f"file://{tmp_path}"
+    store = ChunkStore(spark, root + "/store", "search_text")
+    schema = "base_id string, doc_id string, title string, raw_text string, created_at timestamp"
+    first = spark.createDataFrame([("b", f"d{i}", f"t{i}", f"Text {i}. " * 30) for i in range(6)], schema.rpartition(",")[0]).withColumn("created_at", F.current_timestamp())
+    second = spark.createDataFrame([("b", "d1", "t1", "Another text."), ("b", "d2", "t2", ""), ("b", "new", "n", "New.")], schema.rpartition(",")[0]).withColumn("created_at", F.current_timestamp())
+    start = lambda **o: stream.upserts(stream.source(spark, root + "/in"), store, "s", root + "/state", size=64, overlap=8, **o)
+
+    def stop(number):
+        raise OSError("stopped")
+
+    first.write.mode("append").parquet(root + "/in")
+    with pytest.raises(Exception, match="stopped"):
+        start(before_commit=stop).awaitTermination()
+    assert store.snapshot().version == 0
+    start().awaitTermination()
+    assert store.snapshot().version == 1
+    second.write.mode("append").parquet(root + "/in")
+    put = store.put
+
+    def put_and_stop(*a, **k):
+        put(*a, **k)
+        raise OSError("stopped after the commit")
+
+    store.put = put_and_stop
+    with pytest.raises(Exception, match="after the commit"):
+        start().awaitTermination()
+    del store.put
+    assert store.snapshot().version == 2
+    start().awaitTermination()
+    assert store.snapshot().version == 2 and store.snapshot().state["applied"] == {"s": 1}
+    want = first.where("doc_id not in ('d1', 'd2')").unionByName(second.where("raw_text <> ''"))
+    want = finished(with_chunks(want.select("base_id", "doc_id", "title", "raw_text"), size=64, overlap=8))
+    ids = lambda df: sorted((r.chunk_id, r.text) for r in df.select("chunk_id", "text").collect())
+    assert ids(store.snapshot().rows()) == ids(want)
