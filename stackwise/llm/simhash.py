@@ -465,7 +465,10 @@ def candidates(classes: DataFrame, scheme: Copies) -> DataFrame:
     def links_of(t: pa.Table):
         return linked(words_of(t["fp"].to_pylist()), int(t["home"].to_numpy().sum()), scheme.radius, t["cross"][0].as_py())
 
-    assigned = classes.select(F.explode("bands").alias("shard"), F.lit(True).alias("home"), F.col("node").alias("id"), "fp")
+    # most bands have one set only: bands and nodes are told first, and fingerprints go along with what is left
+    bands = classes.select(F.explode("bands").alias("shard"), F.col("node").alias("id"))
+    several = saved(bands.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard"), "bands")
+    assigned = bands.join(several, "shard").join(classes.select(F.col("node").alias("id"), "fp"), "id").withColumn("home", F.lit(True))
     return met(dealt(assigned, "id", MOST_ROWS), links_of)
 
 
