@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
+
 
 class WordCache(dict):
     """Results by word, in two generations: when the young one is full it becomes the old one, so frequent words stay."""
@@ -51,3 +54,11 @@ def pieces_of(text: str, chars: int = PIECE_CHARS):
         yield text[at:cut]
         at = cut
     yield text[at:]
+
+
+def release_unused() -> None:
+    """Gives memory back to the system that a fit on the driver has freed; allocators would keep it, beside the JVM, while the application runs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stackwise.llm.common import PIECE_CHARS, batches_of_text, pieces_of
+from stackwise.llm.common import PIECE_CHARS, batches_of_text, pieces_of, release_unused
 from stackwise.llm.ngrams import Grams
 from stackwise.session import saved, ship
 
@@ -147,7 +147,10 @@ def fit(documents: DataFrame, sample: int = SAMPLE, **options) -> Languages:
     rows: dict[str, list[str]] = {}
     for lang, text in zip(picked["lang"].to_pylist(), picked["text"].to_pylist()):
         rows.setdefault(lang, []).append(text)
-    return learn(rows, **options)
+    model = learn(rows, **options)
+    del rows, picked
+    release_unused()
+    return model
 
 
 def predict(df: DataFrame, model: Languages, extra: list[str] | None = None) -> DataFrame:

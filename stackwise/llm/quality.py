@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stackwise.llm.common import batches_of_text, pieces_of
+from stackwise.llm.common import batches_of_text, pieces_of, release_unused
 from stackwise.llm.ngrams import Grams
 from stackwise.session import ship
 
@@ -109,7 +109,10 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lab
     # partial aggregation first: an id that many rows repeat is one row of a task
     rows = texts.groupBy("doc_id", "h", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).toArrow()
     rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-    return train(rows["text"].to_pylist(), rows["y"].to_pylist(), **MODEL)
+    model = train(rows["text"].to_pylist(), rows["y"].to_pylist(), **MODEL)
+    del rows
+    release_unused()
+    return model
 
 
 def score(df: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
