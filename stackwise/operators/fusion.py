@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stackwise.session import ship
+from stackwise.operators import lexical, vector
+from stackwise.session import saved, ship
 
 RRF_K = 60
 
@@ -64,19 +65,46 @@ def mmr_applies(asked: Column, lam: Column, has_vector: Column) -> Column:
     return F.coalesce(asked, lam > 0) & (lam > 0) & has_vector
 
 
-def memory_hybrid(vector: DataFrame, lexical: DataFrame, candidates: DataFrame, queries: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Every candidate, without pools: both lanes rank all that they have (lexical: those without a match come last, by id), fused with equal weights.
+def depth_of(top_k: int, k: int = RRF_K) -> int:
+    """How deep both lanes have to be read for the exact top of their fusion.
 
-    ``vector`` and ``lexical`` are (query_id, chunk_id, score) of all pairs that have one; for a few
-    queries, as the result has a row for each query and candidate.
+    Each of the lexical lane's first ``top_k`` has 1 / (k + top_k) at least. A candidate that is beyond the depth n in
+    both lanes has 2 / (k + n + 1) at most, which is less from n = k + 2 * top_k on: the threshold is known beforehand.
     """
-    every = candidates.select("chunk_id").join(queries.select("query_id"), F.lit(True))
-    x = every.join(lexical.select("query_id", "chunk_id", F.col("score").alias("lexical_score")), ["query_id", "chunk_id"], "left").withColumn("lexical_score", F.coalesce("lexical_score", F.lit(0.0)))
-    both = x.join(vector.select("query_id", "chunk_id", F.col("score").alias("vector_score")), ["query_id", "chunk_id"], "left")
-    place = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(c).desc_nulls_last(), "chunk_id"))
-    both = both.withColumn("vector_rank", place("vector_score")).withColumn("lexical_rank", place("lexical_score"))
-    part = F.when(F.col("vector_score").isNotNull(), F.lit(1.0) / (F.lit(k) + F.col("vector_rank"))).otherwise(F.lit(0.0)) + F.lit(1.0) / (F.lit(k) + F.col("lexical_rank"))
-    return both.select("query_id", "chunk_id", (part / F.lit(2 / (k + 1))).alias("score"), "vector_score", "lexical_score")
+    return k + 2 * top_k
+
+
+def memory_hybrid(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, lexical_scores: DataFrame, candidates: DataFrame, top_k: int, k: int = RRF_K) -> DataFrame:
+    """query_id, chunk_id, score, both lanes' places, rank: the exact top of both lanes fused with equal weights, without pools.
+
+    Both lanes rank all ``candidates`` (chunk_id) that they have, the lexical one those without a match last, by id.
+    ``corpus`` are vectors (chunk_id, embedding), ``queries`` (query_id), ``vectors`` the vectors of some of them and
+    ``lexical_scores`` (query_id, chunk_id, score >= 0) the matches among the candidates. A threshold algorithm: only what is in
+    one of the lanes' first ``depth_of(top_k)`` can win, and of that the place in the other lane is counted.
+    """
+    depth = depth_of(top_k, k)
+    every = saved(candidates.select("chunk_id").distinct(), "candidates")
+    q = saved(queries.select("query_id").distinct(), "queries")
+    c = saved(corpus.select("chunk_id", "embedding").join(every, "chunk_id", "left_semi"), "vectors")
+    v = vectors.select("query_id", "embedding").join(q, "query_id", "left_semi")
+    x = saved(lexical_scores.select("query_id", "chunk_id", F.round("score", vector.DIGITS).alias("score")).where("score > 0").join(q, "query_id", "left_semi"), "matches")
+
+    first_v = vector.batch_topk(c, v, depth).select("query_id", "chunk_id", F.col("rank").cast("long").alias("vector_place"))
+    first_x = lexical.top(x, depth).select("query_id", "chunk_id", F.col("rank").cast("long").alias("lexical_place"))
+    # queries with fewer matches go on with the smallest ids that do not match: they are among the first ``depth`` ids
+    few = q.join(x.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < depth)
+    ids = [r.chunk_id for r in every.orderBy("chunk_id").limit(depth).collect()]
+    rest = few.withColumn("chunk_id", F.explode(F.array(*map(F.lit, ids)).cast(f"array<{every.schema['chunk_id'].dataType.simpleString()}>"))).join(x, ["query_id", "chunk_id"], "left_anti")
+    rest = rest.withColumn("lexical_place", F.col("n") + F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where(F.col("lexical_place") <= depth)
+    first_x = first_x.unionByName(rest.select("query_id", "chunk_id", "lexical_place"))
+
+    either = saved(first_v.join(first_x, ["query_id", "chunk_id"], "full"), "either")
+    more_x = lexical.places(x, either.where("lexical_place is null"), every).withColumnRenamed("place", "_x")
+    more_v = vector.places(c, v, either.where("vector_place is null")).select("query_id", "chunk_id", F.col("place").alias("_v"))
+    both = either.join(more_x, ["query_id", "chunk_id"], "left").join(more_v, ["query_id", "chunk_id"], "left")
+    both = both.select("query_id", "chunk_id", F.coalesce("vector_place", "_v").alias("vector_place"), F.coalesce("lexical_place", "_x").alias("lexical_place"))
+    part = F.coalesce(F.lit(1.0) / (F.lit(k) + F.col("vector_place")), F.lit(0.0)) + F.lit(1.0) / (F.lit(k) + F.col("lexical_place"))
+    return lexical.top(both.withColumn("score", part / F.lit(2 / (k + 1))), top_k)
 
 
 def mmr_order(scores: np.ndarray, vectors: list, lam: float, top_k: int) -> list[int]:

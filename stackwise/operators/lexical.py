@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stackwise.functions import text as T
+from stackwise.operators.catalog import numbered
 from stackwise.operators.store import RUN, Snapshot, grams_of, statistics
 from stackwise.session import saved
 
@@ -22,6 +23,37 @@ def top(scored: DataFrame, k: int, key: str = "query_id", item: str = "chunk_id"
     return s.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def places(scored: DataFrame, wanted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``wanted`` (query_id, chunk_id), a bounded number a query, with place: from 1, among all ``candidates`` (chunk_id) by score and then id.
+
+    ``scored`` (query_id, chunk_id, score) has the candidates that match, once each and with scores above 0; the others come
+    last, by id. Every scored row finds its gap among its query's wanted ones where it is, and rows are counted by
+    gap before they are shuffled, so no query's matches meet in one task, however many it has.
+    """
+    key = lambda score, chunk: F.struct((-score).alias("score"), chunk.alias("chunk"))
+    w = saved(wanted.select("query_id", "chunk_id").join(scored.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left"), "wanted")
+    w = w.withColumn("met", F.col("score").isNotNull())
+    lists = w.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("met"), key(F.col("score"), F.col("chunk_id"))))).alias("_met"),
+        F.array_sort(F.collect_list(F.when(~F.col("met"), F.col("chunk_id")))).alias("_unmet"),
+    )
+    gap = lambda listed, own: F.size(F.filter(listed, lambda x: x <= own))
+    own = scored.select("query_id", "chunk_id", "score").join(saved(lists, "lists"), "query_id")
+    both = F.array(
+        F.struct(F.lit(True).alias("met"), gap("_met", key(F.col("score"), F.col("chunk_id"))).alias("gap")),
+        F.struct(F.lit(False).alias("met"), gap("_unmet", F.col("chunk_id")).alias("gap")),
+    )
+    gaps = own.select("query_id", F.explode(both).alias("g")).select("query_id", "g.met", "g.gap").groupBy("query_id", "met", "gap").agg(F.count("*").alias("n"))
+    # of a query there are as many gaps as wanted rows, and one: both go in one order
+    group = Window.partitionBy("query_id", "met")
+    at = F.row_number().over(group.orderBy(F.col("score").desc(), "chunk_id")) - 1
+    line = w.select("query_id", "met", at.alias("gap"), F.lit(0).cast("long").alias("n"), "chunk_id").unionByName(gaps, allowMissingColumns=True)
+    line = line.withColumn("before", F.sum("n").over(group.orderBy("gap"))).withColumn("all", F.sum("n").over(group)).where("chunk_id is not null")
+    order = numbered(candidates.select("chunk_id"), "chunk_id", "position")
+    unmet = line.where("not met").join(order, "chunk_id").withColumn("place", F.col("all") + F.col("position") - F.col("before"))
+    return line.where("met").withColumn("place", F.col("before") + 1).select("query_id", "chunk_id", "place").unionByName(unmet.select("query_id", "chunk_id", "place"))
+
+
 def bm25_statistics(corpus: DataFrame) -> DataFrame:
     """One row: n and avgdl of the bigram tokens; chunks without tokens count."""
     return corpus.agg(F.count("*").alias("n"), F.avg(F.size(T.tok_bigram(F.col("text")))).alias("avgdl"))

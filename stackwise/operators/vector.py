@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stackwise.functions import vectors as V
 from stackwise.operators.lexical import top
-from stackwise.session import ship
+from stackwise.session import saved, ship
 
 
 #: Queries that are scored in one pass over the corpus; of more, there is a pass for every so many.
@@ -90,6 +90,69 @@ def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = 4096)
     return top(out, k, digits=DIGITS)
 
 
+#: Queries whose wanted pairs go to the tasks in one pass of ``places``.
+PLACED = 5_000
+
+
+def places(corpus: DataFrame, queries: DataFrame, wanted: DataFrame, block: int = 4096) -> DataFrame:
+    """``wanted`` (query_id, chunk_id), a bounded number a query, with score and place: from 1, in the whole lane by rounded score and then id.
+
+    Pairs without a score (null vectors, other widths) are left out. Tasks count, for each wanted pair, their rows that
+    come before it, and only these counts are shuffled: neither pairs nor ranks of the whole lane are made.
+    """
+    spark = ship(corpus.sparkSession)
+    scale = 10**DIGITS  # rounded as numpy does in the tasks, half to even
+    unit = lambda df, name: df.where(F.size("embedding") > 0).withColumn(name, V.normalized(F.col("embedding")))
+    w = wanted.select("query_id", "chunk_id").join(unit(corpus, "_c").select("chunk_id", "_c"), "chunk_id").join(unit(queries, "_q").select("query_id", "_q"), "query_id")
+    w = saved(w.where(F.size("_c") == F.size("_q")).select("query_id", "chunk_id", F.round(V.unit_dot(F.col("_q"), F.col("_c")), DIGITS).alias("score")), "wanted")
+    asked = queries.join(w.select("query_id").distinct(), "query_id", "left_semi").where("embedding is not null").select("query_id", "embedding")
+    passes = max(1, -(-asked.count() // PLACED))
+    kinds = {f.name: f.dataType.simpleString() for f in w.schema}
+
+    def counted(part: DataFrame, pairs: DataFrame) -> DataFrame:
+        rows, want = part.toArrow().combine_chunks(), pairs.orderBy("query_id", "chunk_id").toArrow().combine_chunks()
+        mine: dict = {}
+        for i, q in enumerate(want["query_id"].to_pylist()):
+            mine.setdefault(q, []).append(i)
+        units = units_by_width(rows["query_id"].combine_chunks(), rows["embedding"].combine_chunks()) if len(rows) else {}
+        chunks = want["chunk_id"].to_numpy()
+        below = scale - np.rint(want["score"].to_numpy() * scale).astype(np.int64)
+        shared = spark.sparkContext.broadcast((units, {q: np.array(at) for q, at in mine.items()}, want.select(["query_id", "chunk_id"]), chunks, below))
+
+        def run(batches):
+            units, mine, want, chunks, below = shared.value
+            n = np.zeros(len(chunks), np.int64)
+            for b in batches:
+                for width, (ids, x) in units_by_width(b.column(0), b.column(1)).items():
+                    if width not in units:
+                        continue
+                    query_ids, q = units[width]
+                    for i in range(0, len(ids), block):
+                        own = ids.slice(i, block)
+                        s = np.round(np.nan_to_num(np.clip(q @ x[i : i + block].T, 0, 1)), DIGITS)
+                        # one number for score and id: rows are in order of id
+                        rank = (scale - np.rint(s * scale).astype(np.int64)) * (block + 1) + np.arange(len(own))
+                        rank.sort(axis=1)
+                        at_id = np.searchsorted(own.to_numpy(zero_copy_only=False), chunks)
+                        for p, query in enumerate(query_ids.to_pylist()):
+                            at = mine[query]
+                            n[at] += np.searchsorted(rank[p], below[at] * (block + 1) + at_id[at])
+            some = np.flatnonzero(n)
+            if len(some):
+                out = want.take(pa.array(some)).append_column("n", pa.array(n[some]))
+                yield from out.combine_chunks().to_batches()
+
+        return corpus.select("chunk_id", "embedding").mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, n long")
+
+    out = None
+    for i in range(passes):
+        of = lambda df: df if passes == 1 else df.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)  # noqa: B023, E731
+        part = counted(of(asked), of(w))
+        out = part if out is None else out.unionByName(part)
+    before = out.groupBy("query_id", "chunk_id").agg(F.sum("n").alias("n"))
+    return w.join(before, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "score", (F.coalesce("n", F.lit(0)) + 1).alias("place"))
+
+
 def dimensions(corpus: DataFrame) -> DataFrame:
     """By model: vectors, widths and whether there is one width only."""
     return corpus.where("embedding is not null").groupBy("embedding_model").agg(F.count("*").alias("vectors"), F.count_distinct(F.size("embedding")).alias("widths"), F.min(F.size("embedding")).alias("width")).withColumn("consistent", F.col("widths") == 1)

@@ -1,6 +1,7 @@
 import math
 import random
 import sqlite3
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -174,3 +175,47 @@ def test_variants(spark):
     v = frame(spark, [(1, 0, "alpha document 1", [1.0, 1.0]), (1, 1, "beta fox 2", [0.0, 1.0])], "query_id long, variant int, query string, embedding array<float>")
     got = {r.chunk_id for r in search_variants(chunks, docs, v, Config(top_k=6, search_mode="lexical")).collect()}
     assert {10, 21} <= got
+
+
+def fused_by_hand(vectors, asked, scores, candidates, k):
+    """Every candidate of every query, ranked in both lanes and fused."""
+    out = []
+    for q, v in asked.items():
+        cosine = {c: round(min(1.0, max(0.0, float(np.dot(v, vectors[c]) / (np.linalg.norm(v) * np.linalg.norm(vectors[c]))))), 6) for c in candidates if v is not None and vectors.get(c) is not None}
+        place_v = {c: i + 1 for i, c in enumerate(sorted(cosine, key=lambda c: (-cosine[c], c)))}
+        place_x = {c: i + 1 for i, c in enumerate(sorted(candidates, key=lambda c: (-round(scores.get((q, c), 0), 6), c)))}
+        fused = {c: float(Decimal(repr(((1 / (60 + place_v[c]) if c in place_v else 0) + 1 / (60 + place_x[c])) / (2 / 61))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for c in candidates}
+        out += [(q, c, fused[c], i + 1) for i, c in enumerate(sorted(candidates, key=lambda c: (-fused[c], c))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n,k,kind", [(700, 3, "long"), (300, 10, "string"), (5, 10, "long"), (0, 3, "long")])
+def test_memory_hybrid_equals_all_pairs(spark, n, k, kind):
+    r = random.Random(n + k)
+    name = (lambda i: i) if kind == "long" else (lambda i: f"c{i}")
+    candidates = [name(i) for i in range(n)]
+    # few values: many equal scores; vectors without a candidate, candidates without a vector
+    vectors = {name(i): None if i % 11 == 0 else [1.0, float(r.randrange(9)), float(r.randrange(3))] for i in range(n + 20) if i % 7}
+    asked = {1: [1.0, 2.0, 0.0], 2: None, 3: [0.5, 0.0, 1.0], 4: [1.0, 1.0, 1.0]}
+    # query 1 matches nearly all, 2 a third, 3 a few, 4 none
+    scores = {(q, c): r.choice([0.0, 0.25, 0.5, 3.0]) for q, share in ((1, 0.95), (2, 0.3), (3, 0.02)) for c in candidates if r.random() < share}
+    got = fusion.memory_hybrid(
+        frame(spark, list(vectors.items()), f"chunk_id {kind}, embedding array<double>"),
+        frame(spark, [(q,) for q in asked], "query_id long"),
+        frame(spark, list(asked.items()) + [(99, [1.0, 0.0, 0.0])], "query_id long, embedding array<double>"),
+        frame(spark, [(q, c, s) for (q, c), s in scores.items()], f"query_id long, chunk_id {kind}, score double"),
+        frame(spark, [(c,) for c in candidates], f"chunk_id {kind}"),
+        k,
+    )
+    have = sorted((x.query_id, x.chunk_id, x.score, x["rank"]) for x in got.collect())
+    assert have == fused_by_hand(vectors, asked, scores, candidates, k)
+
+
+def test_vector_places_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(vector, "PLACED", 2)
+    c = frame(spark, [(i, [1.0, float(i % 13)]) for i in range(90)] + [(90, None), (91, [1.0])], "chunk_id long, embedding array<double>")
+    q = frame(spark, [(i, [1.0, float(i)]) for i in range(5)] + [(5, None)], "query_id long, embedding array<double>")
+    lane = {(x.query_id, x.chunk_id): x["rank"] for x in vector.batch_topk(c, q, 1000).collect()}
+    wanted = frame(spark, [(a, b) for a in range(6) for b in (0, 12, 13, 47, 89, 90, 91)], "query_id long, chunk_id long")
+    got = {(x.query_id, x.chunk_id): x.place for x in vector.places(c, q, wanted, block=7).collect()}
+    assert got == {p: lane[p] for p in got} and len(got) == 25
