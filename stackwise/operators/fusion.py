@@ -145,19 +145,20 @@ def rerank(ranked: DataFrame, scorer: Callable[[Column, Column], Column], top_k:
 
     Only candidates that the scorer returns a score for stay; a query with none, or with one candidate only, keeps its order.
     """
-    return _reranked(ranked.withColumn("new", scorer(F.col("query"), F.col("text"))), top_k)
+    return reranked(ranked.withColumn("new", scorer(F.col("query"), F.col("text"))), top_k)
 
 
 def rerank_by(ranked: DataFrame, scores: DataFrame, top_k: int) -> DataFrame:
     """The same by a reranker's answers: ``scores`` (query_id, chunk_id, new), joined by the ids."""
-    return _reranked(ranked.join(scores.select("query_id", "chunk_id", "new"), ["query_id", "chunk_id"], "left"), top_k)
+    return reranked(ranked.join(scores.select("query_id", "chunk_id", "new"), ["query_id", "chunk_id"], "left"), top_k)
 
 
-def _reranked(r: DataFrame, top_k: int) -> DataFrame:
+def reranked(r: DataFrame, top_k: int, ties: str = "chunk_id") -> DataFrame:
+    """``r`` by ``new``, where its query has any and more than one candidate; equal scores go by ``ties``."""
     w = Window.partitionBy("query_id")
     r = r.withColumn("some", F.max(F.col("new").isNotNull()).over(w) & (F.count("*").over(w) > 1))
     r = r.where(~F.col("some") | F.col("new").isNotNull()).withColumn("score", F.when(F.col("some"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("new")))).otherwise(F.col("score")))
-    place = F.row_number().over(w.orderBy(F.when(F.col("some"), -F.col("score")).otherwise(F.col("rank").cast("double")), "chunk_id"))
+    place = F.row_number().over(w.orderBy(F.when(F.col("some"), -F.col("score")).otherwise(F.col("rank").cast("double")), ties))
     return r.withColumn("rank", place).withColumn("reranked", F.col("some")).drop("new", "some").where(F.col("rank") <= top_k)
 
 
@@ -168,7 +169,7 @@ def best_of_variants(hits: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def threshold(hits: DataFrame, least: float, lane, reranked: bool) -> DataFrame:
-    """Applies to reranked results and to those of the vector lane only; ``lane`` is a name or a column."""
-    lane = F.lit(lane) if isinstance(lane, str) else lane
-    return hits.where(F.col("score") >= least) if reranked else hits.where((lane != "vector") | (F.col("score") >= least))
+def threshold(hits: DataFrame, least: float, lane, by_reranker) -> DataFrame:
+    """Applies to reranked results and to those of the vector lane only; ``lane`` and ``by_reranker`` are values or columns."""
+    lane, by_reranker = F.lit(lane) if isinstance(lane, str) else lane, F.lit(by_reranker) if isinstance(by_reranker, bool) else by_reranker
+    return hits.where(((lane != "vector") & ~by_reranker) | (F.col("score") >= least))

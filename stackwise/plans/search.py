@@ -20,7 +20,7 @@ def search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, config: Confi
     Every query has a mode of its own: one whose embedding failed, or has no chunk's width, is searched by words,
     and thresholds and the mode that is reported follow what was done. ``scope_docs`` (doc_id) is the allow-list of a
     metadata filter: an empty one gives no hits. ``index`` is a snapshot of a store of the chunks' search texts; without
-    one the texts are read.
+    one the texts are read. ``scorer`` reranks: (ranked, top_k) -> ranked, of ``operators/rerank.py``.
     """
     config = config or Config()
     k = max(1, min(50, config.top_k))
@@ -60,8 +60,11 @@ def search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, config: Confi
     modes = fusion.effective_mode(ranked)
     if scorer is not None:
         pairs = ranked.join(live.select("query_id", "query"), "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
-        ranked = saved(fusion.rerank(pairs, scorer, k).drop("query", "text", "reranked"), "reranked")
-    ranked = fusion.threshold(ranked, config.similarity_threshold, F.col("lane"), scorer is not None).drop("lane").where(F.col("rank") <= k)
+        ranked = saved(scorer(pairs, k).drop("query", "text", "rerank_error"), "reranked")
+    else:
+        ranked = ranked.withColumn("reranked", F.lit(False))
+    # a query that was not reranked has the scores of its lanes, which no threshold of a reranker is meant for
+    ranked = fusion.threshold(ranked, config.similarity_threshold, F.col("lane"), F.col("reranked")).drop("lane", "reranked").where(F.col("rank") <= k)
     found = ranked.join(chunks.select("chunk_id", "doc_id", "idx", "heading", "text"), "chunk_id")
     if config.sibling_chunks > 0:
         found = saved(found, "found")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stackwise.config import Config, merge_base, pooling, resolve
 from stackwise.functions import text as T, vectors as V
-from stackwise.operators import catalog, chunking, docops, evaluate, fusion, ingest, lexical, vector
+from stackwise.operators import catalog, chunking, docops, evaluate, fusion, ingest, lexical, rerank, vector
 from stackwise.operators.store import ChunkStore, Snapshot
 from stackwise.plans.search import search
 from stackwise.session import _path, saved, scratch, ship, table
@@ -342,6 +342,58 @@ def rrk_apply(spark, d):
     return fusion.rerank(ranked, scorer, 6).where("reranked").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+class Encoder:
+    """A stand-in for a cross-encoder: logits by the length of the text; it fails where a query is seven characters long, or a multiple of that."""
+
+    def __call__(self, pairs: list[tuple[str, str]]) -> list[float]:
+        if any(len(q) % 7 == 0 for q, _ in pairs):
+            raise ValueError("the query has no tokens")
+        return [(len(t) % 101 - 50) / 25 for _, t in pairs]
+
+
+class Reranker:
+    """A stand-in for a service: scores by the length of the text, of even ones only; it refuses some queries, and has no answer for others."""
+
+    def __call__(self, query: str, texts: list[str], top_n: int) -> list[tuple[int, float | None]]:
+        if len(query) % 5 == 0:
+            raise rerank.RerankError("HTTP 401", 401)
+        if len(query) % 5 == 1:
+            return []
+        found = [(i, None if len(t) % 10 == 0 else len(t) % 101 / 50 - 0.5) for i, t in enumerate(texts) if len(t) % 2 == 0]
+        order = sorted(found, key=lambda x: (-max(0.0, min(1.0, x[1] or 0.0)), x[0]))
+        return [*order[:top_n], (len(texts) + 3, 1.0)]
+
+
+def pools(spark, d) -> DataFrame:
+    """The twenty best documents of each passage by words, with both texts."""
+    return saved(lexical.top(lexical.bm25(stored(spark, d), asked(spark, d)), 20).join(asked(spark, d), "query_id").join(corpus(spark, d), "chunk_id"), "pools")
+
+
+POOLS = f"""{BM25}, r AS (SELECT s.query_id, s.chunk_id, s.score, q.query, length(doc.text) AS n, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.chunk_id) AS rank, count(*) OVER (PARTITION BY s.query_id) AS candidates
+  FROM s JOIN q ON q.query_id = s.query_id JOIN documents doc ON doc.doc_id = s.chunk_id QUALIFY rank <= 20)"""
+
+
+@query("rrk_local", f"""WITH {POOLS}, k AS (SELECT *, candidates > 1 AND length(query) % 7 <> 0 AS asked, 1 / (1 + exp(-((n % 101 - 50) / 25.0::DOUBLE))) AS new FROM r),
+o AS (SELECT query_id, chunk_id, CASE WHEN asked THEN round(new, 6) ELSE score END AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN asked THEN (101 - n % 101) ELSE 0 END, rank)::INT AS rank, asked AS reranked,
+  CASE WHEN candidates > 1 AND length(query) % 7 = 0 THEN 'the query has no tokens' END AS rerank_error FROM k) SELECT * FROM o WHERE rank <= 6""")
+def rrk_local(spark, d):
+    """All passages' candidates by a model, in batches of 16 pairs over all queries; some queries fail and keep their order."""
+    p = pools(spark, d)
+    out = rerank.applied(p, rerank.by_model(p, Encoder, 6), 6)
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "reranked", "rerank_error")
+
+
+@query("rrk_remote", f"""WITH {POOLS}, k AS (SELECT *, candidates > 1 AND length(query) % 5 > 1 AS asked, CASE WHEN n % 10 = 0 THEN 0 ELSE greatest(0, least(1, n % 101 / 50.0::DOUBLE - 0.5)) END AS new FROM r),
+t AS (SELECT *, asked AND bool_or(n % 2 = 0) OVER (PARTITION BY query_id) AS done FROM k),
+o AS (SELECT query_id, chunk_id, CASE WHEN done THEN round(new, 6) ELSE score END AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN done THEN -new ELSE 0 END, rank)::INT AS rank, done AS reranked,
+  CASE WHEN candidates > 1 AND length(query) % 5 = 0 THEN 'HTTP 401' END AS rerank_error FROM t WHERE NOT done OR n % 2 = 0) SELECT * FROM o WHERE rank <= 6""")
+def rrk_remote(spark, d):
+    """A call a passage to a service, which keeps some candidates, refuses some queries and answers others with nothing."""
+    p = pools(spark, d)
+    out = rerank.applied(p, rerank.by_service(p, Reranker, 6), 6)
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "reranked", "rerank_error")
+
+
 def searched(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, Snapshot]:
     """Chunks, documents, queries and the index of the documents, with the vectors of the same numbers."""
     t = docs(spark, d)

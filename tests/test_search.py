@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackwise.config import Config
-from stackwise.operators import fusion, lexical, vector
+from stackwise.operators import fusion, lexical, rerank, vector
 from stackwise.plans.search import search, search_variants
 
 ABC = [(1, "the quick brown fox jumps over the lazy dog"), (2, "a fox is a wild animal"), (3, "totally different topic")]
@@ -219,3 +219,71 @@ def test_vector_places_in_batches(spark, monkeypatch):
     wanted = frame(spark, [(a, b) for a in range(6) for b in (0, 12, 13, 47, 89, 90, 91)], "query_id long, chunk_id long")
     got = {(x.query_id, x.chunk_id): x.place for x in vector.places(c, q, wanted, block=7).collect()}
     assert got == {p: lane[p] for p in got} and len(got) == 25
+
+
+def pool_rows(spark, queries, n):
+    rows = [(q, c, f"q{q}", "x" * c, 1.0 - c / 100, c) for q in queries for c in range(1, n + 1)]
+    return frame(spark, rows, "query_id long, chunk_id long, query string, text string, score double, rank int")
+
+
+def test_model_scores_in_batches_and_a_failure_stays_with_its_query(spark, tmp_path):
+    class Model:
+        def __call__(self, pairs):
+            (tmp_path / f"{len(pairs)}-{random.random()}").touch()
+            if any(q == "q2" for q, _ in pairs):
+                raise ValueError("no")
+            return [float("nan") if len(t) == 3 else float(len(t) - 5) for _, t in pairs]
+
+    r = pool_rows(spark, [1, 2, 3], 10).unionByName(pool_rows(spark, [4], 1)).repartition(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = rerank.applied(r, rerank.by_model(r, Model, 4, batch=8), 4).orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = {q: [(x.chunk_id, x.reranked, x.rerank_error) for x in out if x.query_id == q] for q in (1, 2, 3, 4)}
+    assert got[1] == got[3] == [(c, True, None) for c in (10, 9, 8, 7)]
+    assert got[2] == [(c, False, "no") for c in (1, 2, 3, 4)] and got[4] == [(1, False, None)]
+    assert max(int(p.name.split("-")[0]) for p in tmp_path.iterdir()) == 8
+    assert [round(x.score, 6) for x in out if x.query_id == 1][0] == round(1 / (1 + math.exp(-5)), 6)
+
+
+def test_service_answers(spark, tmp_path):
+    class Service:
+        def __call__(self, query, texts, top_n):
+            (tmp_path / f"{query}-{random.random()}").touch()
+            if query == "q1":
+                raise rerank.RerankError("HTTP 403", 403)
+            if query == "q2":
+                raise OSError("late")
+            if query == "q3":
+                return []
+            return [(4, 2.0), (1, -1.0), (0, None), (99, 1.0), (4, 0.1), (-1, 0.5)]
+
+    r = pool_rows(spark, [1, 2, 3, 4], 6).unionByName(frame(spark, [(5, 1, None, None, 0.5, 1)], "query_id long, chunk_id long, query string, text string, score double, rank int"))
+    out = rerank.applied(r, rerank.by_service(r, Service, 3, attempts=2, base=0.001), 3).orderBy("query_id", "rank").collect()
+    got = {q: [(x.chunk_id, x.score, x.reranked, x.rerank_error) for x in out if x.query_id == q] for q in range(1, 6)}
+    # scores of 0 keep the order of before
+    assert got[4] == [(5, 1.0, True, None), (1, 0.0, True, None), (2, 0.0, True, None)]
+    assert [x[0] for x in got[1]] == [x[0] for x in got[2]] == [x[0] for x in got[3]] == [1, 2, 3]
+    assert got[1][0][2:] == (False, "HTTP 403") and got[2][0][2:] == (False, "late") and got[3][0][2:] == (False, None)
+    assert got[5] == [(1, 0.5, False, None)]
+    calls = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    # what lasts is not tried again, what may pass is
+    assert {q: calls.count(q) for q in set(calls)} == {"q1": 1, "q2": 2, "q3": 1, "q4": 1}
+    assert rerank.by_service(r.limit(0), Service, 3).count() == rerank.by_model(r.limit(0), Service, 3).count() == 0
+
+
+def test_search_with_a_failing_reranker_keeps_hits(spark):
+    class Service:
+        def __call__(self, query, texts, top_n):
+            if query.startswith("alpha"):
+                raise OSError("down")
+            return [(i, 0.9 - i / 10) for i in reversed(range(len(texts)))]
+
+    chunks, docs = world(spark)
+    q = frame(spark, [(1, "alpha document", [1.0, 0.0]), (2, "beta fox", [0.0, 1.0])], "query_id long, query string, embedding array<float>")
+    plain = search(chunks, docs, q.where("query_id = 1"), Config(top_k=3)).orderBy("rank").collect()
+    hits = search(chunks, docs, q, Config(top_k=3, similarity_threshold=0.85), scorer=rerank.service_scorer(Service)).orderBy("query_id", "rank").collect()
+    # the failed query has its hits as before, with no threshold; of the other's the threshold leaves one
+    assert [h.chunk_id for h in hits if h.query_id == 1] == [h.chunk_id for h in plain]
+    assert [h.score for h in hits if h.query_id == 2] == [0.9]
