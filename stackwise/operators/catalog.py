@@ -169,7 +169,7 @@ def walked(docs: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def numbered(df: DataFrame, by: str | list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, by: str | list[str | Column], name: str) -> DataFrame:
     """``df`` with a number, from 1, in order of ``by``: the place in a partition of a range sort and the rows before it."""
     s = saved(df.orderBy(*([by] if isinstance(by, str) else by)).withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_range", F.shiftright("_at", 33))
     # one row a range partition
@@ -186,11 +186,19 @@ def numbered_in(df: DataFrame, group: list[str], by: list[str], name: str) -> Da
     return a.join(b, on).select("a.*", (F.col("a._place") - F.col("b._first") + 1).alias(name)).drop("_place")
 
 
-def outline(docs: DataFrame) -> DataFrame:
-    """doc_id, depth, position (from 1): the whole forest in pre-order, siblings by title (by code points)."""
+def outline(docs: DataFrame, collation: str | None = None) -> DataFrame:
+    """doc_id, depth, position (from 1): the whole forest in pre-order, siblings by title, then id.
+
+    Titles go by code points, or as the ``collation`` of a language has it (``UNICODE`` for any language), in which accents and
+    case only decide between titles of the same letters.
+    """
     below, _ = paths(docs)
+    order = F.col("path")
+    if collation:
+        # titles that the collation holds equal are told apart by their code points
+        order = F.transform("path", lambda p: F.struct(F.collate(p["_key"], collation).alias("as"), p["_key"].alias("key"), p["id"].alias("id")))
     # whole paths sort parents before children and keep subtrees together
-    return numbered(below, "path", "position").select("doc_id", (F.size("path") - 1).alias("depth"), F.col("position").cast("int").alias("position"))
+    return numbered(below, [order], "position").select("doc_id", (F.size("path") - 1).alias("depth"), F.col("position").cast("int").alias("position"))
 
 
 def below_any(docs: DataFrame, selected: DataFrame) -> DataFrame:

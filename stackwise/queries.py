@@ -595,6 +595,16 @@ def win_tree_order(spark, d):
     return catalog.outline(tree(spark, d))
 
 
+@query("srt_locale", f"""WITH RECURSIVE {TREE}, named AS (SELECT doc_id, parent_directory_id, CASE length(doc_id) + ascii(right(doc_id, 1)) & 3 WHEN 0 THEN lower(title) WHEN 1 THEN replace(title, 'C', 'Ç') WHEN 2 THEN replace(title, 'A', 'ä') ELSE title END AS title FROM tree),
+w AS (SELECT doc_id, 0 AS depth, [icu_sort_key(title, 'en') || ' ' || doc_id] AS path FROM named WHERE parent_directory_id IS NULL
+UNION ALL SELECT t.doc_id, w.depth + 1, list_append(w.path, icu_sort_key(t.title, 'en') || ' ' || t.doc_id) FROM w JOIN named t ON t.parent_directory_id = w.doc_id) SELECT doc_id, depth::INT AS depth, row_number() OVER (ORDER BY path)::INT AS position FROM w""")
+def srt_locale(spark, d):
+    """The outline with titles of both cases and with accents, in the order of a language."""
+    t, n = F.col("title"), (F.length("doc_id") + F.ascii(F.right("doc_id", F.lit(1)))).bitwiseAND(F.lit(3))
+    title = F.when(n == 0, F.lower(t)).when(n == 1, F.replace(t, F.lit("C"), F.lit("Ç"))).when(n == 2, F.replace(t, F.lit("A"), F.lit("ä"))).otherwise(t)
+    return catalog.outline(tree(spark, d).withColumn("title", title), "UNICODE")
+
+
 SUB = f"""WITH RECURSIVE {TREE}, w AS (SELECT doc_id AS root_id, doc_id, 0 AS depth FROM tree WHERE doc_id IN ({', '.join(chr(39) + x + chr(39) for x in SELECTED)}) UNION ALL SELECT w.root_id, t.doc_id, w.depth + 1 FROM w JOIN tree t ON t.parent_directory_id = w.doc_id)"""
 
 

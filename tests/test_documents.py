@@ -356,3 +356,12 @@ def test_stream_of_upserts_survives_a_stop(spark, tmp_path):
     want = finished(with_chunks(want.select("base_id", "doc_id", "title", "raw_text"), size=64, overlap=8))
     ids = lambda df: sorted((r.chunk_id, r.text) for r in df.select("chunk_id", "text").collect())
     assert ids(store.snapshot().rows()) == ids(want)
+
+
+def test_outline_in_the_order_of_a_language(spark):
+    rows = [("a", None, "zebra"), ("b", None, "Éclair"), ("c", None, "eclair"), ("d", None, "Zebra"), ("e", None, "edge"), ("f", "b", "b"), ("g", "b", "B"), ("h", "b", "a"), ("i", "c", "z"), ("j", None, None), ("k", None, "eclair")]
+    docs = spark.createDataFrame(rows, "doc_id string, parent_directory_id string, title string")
+    order = lambda **o: "".join(r.doc_id for r in catalog.outline(docs, **o).orderBy("position").collect())
+    # no title, eclair twice (each with what is below it), Éclair with a, b, B, then edge, zebra, Zebra
+    assert order(collation="UNICODE") == "jcikbhfgead"
+    assert order() == "jdcikeabghf"
