@@ -8,12 +8,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stackwise.functions import vectors as V
-from stackwise.operators.lexical import top
+from stackwise.operators.lexical import Best, top
 from stackwise.session import saved, ship
 
 
 #: Queries that are scored in one pass over the corpus; of more, there is a pass for every so many.
 BATCH = 20_000
+#: Scores that a task holds at once, and rows of a batch of pairs.
+SLAB, MOST_ROWS = 4_000_000, 100_000
 DIGITS = 6
 
 
@@ -30,17 +32,12 @@ def pairs(corpus: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank by the clamped cosine, in column expressions; a few queries against all rows.
-
-    Vectors of another width, and null ones, have no score. Lengths are taken once a vector, not once a pair.
-    """
-    length = lambda df: df.where(F.size("embedding") > 0).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double"))).withColumn("embedding", V.normalized(F.col("embedding")))
-    p = pairs(length(corpus.select("chunk_id", "embedding")), length(queries.select("query_id", "embedding")))
-    return top(p.select("query_id", "chunk_id", V.unit_dot(F.col("embedding"), F.col("query_embedding")).alias("score")), k, digits=DIGITS)
+    """query_id, chunk_id, score, rank by the clamped cosine. Vectors of another width, and null ones, have no score."""
+    return batch_topk(corpus, queries, k)
 
 
-def units_by_width(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[pa.Array, np.ndarray]]:
-    """Ids, in order, and the vectors at length one, of each width; null and empty vectors are left out."""
+def units_by_width(ids: pa.Array, vectors: pa.Array, unit: bool = True) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """Ids, in order, and the vectors at length one (or as they are), of each width; null and empty vectors are left out."""
     width = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     out = {}
     for w in np.unique(width[width > 0]):
@@ -48,46 +45,102 @@ def units_by_width(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[pa.Array
         own = ids.take(pa.array(at))
         at = at[np.array(pc.sort_indices(own))]
         x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), -1)
-        out[int(w)] = ids.take(pa.array(at)), x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+        out[int(w)] = ids.take(pa.array(at)), x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None] if unit else x
     return out
 
 
-def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """The same by matrix products: each task scores its rows in blocks and keeps k a query; a window merges the tasks' results.
+def _blocks(corpus: DataFrame, queries: DataFrame, task, schema: str, block: int, unit: bool = True) -> DataFrame:
+    """What ``task(scores, query_ids)`` makes of the corpus in each task, in passes of ``BATCH`` queries, which go to all tasks.
 
-    Scores are rounded once, as in the final ranking, and ties go to the smaller id there and here, so
-    the result does not depend on batches. The queries go to the tasks in batches of ``BATCH``, each of
-    which is a pass over the corpus.
+    ``scores`` are (width, first query, rounded scores of a slab of queries by a block of rows, the rows' ids in order); neither
+    pairs nor a task's scores are held whole.
     """
     spark = ship(corpus.sparkSession)
     asked = queries.where("embedding is not null").select("query_id", "embedding")
     passes = max(1, -(-asked.count() // BATCH))
-    kinds = {f.name: f.dataType.simpleString() for f in [queries.schema["query_id"], corpus.schema["chunk_id"]]}
 
-    def scored(batch: DataFrame) -> DataFrame:
+    def lane(batch: DataFrame) -> DataFrame:
         rows = batch.toArrow().combine_chunks()
-        shared = spark.sparkContext.broadcast(units_by_width(rows["query_id"].combine_chunks(), rows["embedding"].combine_chunks()) if len(rows) else {})
+        shared = spark.sparkContext.broadcast(units_by_width(rows["query_id"].combine_chunks(), rows["embedding"].combine_chunks(), unit) if len(rows) else {})
 
         def run(batches):
-            for b in batches:
-                for w, (ids, x) in units_by_width(b.column(0), b.column(1)).items():
-                    if w not in shared.value:
-                        continue
-                    query_ids, q = shared.value[w]
-                    for i in range(0, len(ids), block):
-                        s = np.round(np.nan_to_num(np.clip(q @ x[i : i + block].T, 0, 1)), DIGITS)
-                        # rows are in order of id, so a stable sort keeps the smaller ids of equal scores
-                        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                        p, c = np.repeat(np.arange(len(query_ids)), best.shape[1]), best.ravel()
-                        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(p)), ids.take(pa.array(i + c)), pa.array(s[p, c])], names=["query_id", "chunk_id", "score"])
-
-        return corpus.select("chunk_id", "embedding").mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+            def scores():
+                for b in batches:
+                    for w, (ids, x) in units_by_width(b.column(0), b.column(1), unit).items():
+                        if w not in shared.value:
+                            continue
+                        q = shared.value[w][1]
+                        for i in range(0, len(ids), block):
+                            own = x[i : i + block].T
+                            slab = max(1, SLAB // own.shape[1])
+                            for j in range(0, len(q), slab):
+                                yield w, j, np.round(np.nan_to_num(np.clip(q[j : j + slab] @ own, 0, 1)), DIGITS), ids.slice(i, block)
+
+            yield from task(scores(), {w: ids for w, (ids, _) in shared.value.items()})
+
+        return corpus.select("chunk_id", "embedding").mapInArrow(run, schema)
 
     out = None
     for i in range(passes):
-        part = scored(asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i))
+        part = lane(asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i))
         out = part if out is None else out.unionByName(part)
-    return top(out, k, digits=DIGITS)
+    return out
+
+
+def _kinds(corpus: DataFrame, queries: DataFrame) -> tuple[str, str]:
+    return queries.schema["query_id"].dataType.simpleString(), corpus.schema["chunk_id"].dataType.simpleString()
+
+
+def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The same by matrix products: each task keeps k a query of all its rows; a window merges the tasks' results.
+
+    Scores are rounded once, as in the final ranking, and ties go to the smaller id there and here, so
+    the result does not depend on batches.
+    """
+
+    def task(scores, query_ids):
+        best = {w: Best(len(ids), k) for w, ids in query_ids.items()}
+        for w, first, s, ids in scores:
+            best[w].add(first, s, ids)
+        for w, kept in best.items():
+            if (found := kept.trim()) is not None:
+                q, s, ids = found
+                yield pa.RecordBatch.from_arrays([query_ids[w].take(pa.array(q)), ids, pa.array(s)], names=["query_id", "chunk_id", "score"])
+
+    a, b = _kinds(corpus, queries)
+    return top(_blocks(corpus, queries, task, f"query_id {a}, chunk_id {b}, score double", block), k, digits=DIGITS)
+
+
+def matched(corpus: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
+    """query_id, scored: how many rows have a cosine above 0 by rounded score; queries without any are left out.
+
+    Every query is compared with every vector of its width, and tasks' counts are all that is shuffled.
+    """
+
+    def task(scores, query_ids):
+        n = {w: np.zeros(len(ids), np.int64) for w, ids in query_ids.items()}
+        for w, first, s, _ in scores:
+            n[w][first : first + len(s)] += (s > 0).sum(1)
+        for w, count in n.items():
+            at = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([query_ids[w].take(pa.array(at)), pa.array(count[at])], names=["query_id", "n"])
+
+    counts = _blocks(corpus, queries, task, f"query_id {_kinds(corpus, queries)[0]}, n long", block)
+    return counts.groupBy("query_id").agg(F.sum("n").alias("scored"))
+
+
+def dots(corpus: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
+    """query_id, chunk_id, score: the product of every query and every row of its width, clamped and rounded; all pairs, none shuffled."""
+
+    def task(scores, query_ids):
+        for w, first, s, ids in scores:
+            for i in range(0, len(s), rows := max(1, MOST_ROWS // s.shape[1])):
+                part = s[i : i + rows]
+                q = query_ids[w].take(pa.array(np.repeat(np.arange(first + i, first + i + len(part)), s.shape[1])))
+                yield pa.RecordBatch.from_arrays([q, ids.take(pa.array(np.tile(np.arange(len(ids)), len(part)))), pa.array(part.ravel())], names=["query_id", "chunk_id", "score"])
+
+    a, b = _kinds(corpus, queries)
+    return _blocks(corpus, queries, task, f"query_id {a}, chunk_id {b}, score double", block, unit=False)
 
 
 #: Queries whose wanted pairs go to the tasks in one pass of ``places``.
