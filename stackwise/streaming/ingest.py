@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from stackwise.functions import text as T
 from stackwise.operators.chunking import finished, with_chunks
 from stackwise.operators.store import ChunkStore
+from stackwise.session import discard, saved
 
 DOCUMENTS = StructType().add("base_id", "string").add("doc_id", "string").add("title", "string").add("raw_text", "string").add("created_at", "timestamp")
 
@@ -40,9 +41,22 @@ def windowed_counts(events: DataFrame, time_col: str = "ts", delay: str = "10 mi
     return events.withWatermark(time_col, delay).groupBy(F.window(time_col, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), by, "n")
 
 
-def latest(batch: DataFrame) -> DataFrame:
-    """One row a document: the last by created_at (of equal times, the greatest text)."""
-    return batch.groupBy("base_id", "doc_id").agg(F.max(F.struct("created_at", "raw_text", "title")).alias("_r")).select("base_id", "doc_id", F.col("_r.title").alias("title"), F.col("_r.raw_text").alias("raw_text"))
+DOCUMENT = ["base_id", "doc_id"]
+
+
+def latest(batch: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row a document: the last by created_at (of equal times, the greatest text).
+
+    ``known`` (base_id, doc_id, n) has how often ``batch`` holds each document. Only the texts of those that it holds more than once are shuffled.
+    """
+    columns = [*DOCUMENT, "title", "raw_text"]
+    known = batch.groupBy(*DOCUMENT).agg(F.count("*").alias("n")) if known is None else known
+    again = known.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in DOCUMENT])
+    if again.isEmpty():
+        return batch.select(*columns)
+    same = F.equal_null(F.col("base_id"), F.col("_base_id")) & F.equal_null(F.col("doc_id"), F.col("_doc_id"))
+    last = batch.join(again, same, "left_semi").groupBy(*DOCUMENT).agg(F.max(F.struct("created_at", "raw_text", "title")).alias("_r"))
+    return batch.join(again, same, "left_anti").select(*columns).unionByName(last.select(*DOCUMENT, F.col("_r.title").alias("title"), F.col("_r.raw_text").alias("raw_text")))
 
 
 def upserts(docs: DataFrame, store: ChunkStore, name: str, checkpoint: str, available_now: bool = True, before_commit: Callable[[int], None] | None = None, **chunking) -> StreamingQuery:
@@ -50,17 +64,16 @@ def upserts(docs: DataFrame, store: ChunkStore, name: str, checkpoint: str, avai
 
     The commit holds the batch's number under ``name``: a batch that is run again, as after a stop between
     its commit and the stream's own record of it, changes nothing. A null or empty text removes the document's chunks.
+    A batch's files are read twice, for its keys and for its texts, and no copy of the texts is kept beside the store.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = latest(batch).persist()
-        try:
-            chunks = finished(with_chunks(rows.where(F.length("raw_text") > 0), **chunking))
-            if before_commit:
-                before_commit(number)
-            store.put(chunks, stream=(name, number), deletes=rows.select("base_id", "doc_id"))
-        finally:
-            rows.unpersist()
+        known = saved(batch.groupBy(*DOCUMENT).agg(F.count("*").alias("n")), "known")
+        chunks = finished(with_chunks(latest(batch, known).where(F.length("raw_text") > 0), **chunking))
+        if before_commit:
+            before_commit(number)
+        store.put(chunks, stream=(name, number), deletes=known.select(*DOCUMENT))
+        discard(known)
 
     w = docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
