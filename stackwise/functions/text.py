@@ -50,6 +50,13 @@ def tok_bigram(c: Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]{2,}"), F.lit(0)), F.flatten(F.transform(runs, bigrams)))
 
 
+def count_bigram(c: Column) -> Column:
+    """How many ``tok_bigram`` has, without making them: of ideographs, those with another behind them and those that stand alone."""
+    low = F.lower(c)
+    pairs = F.regexp_count(low, F.lit(f"[{CJK}](?=[{CJK}])")) + F.regexp_count(low, F.lit(f"(?<![{CJK}])[{CJK}](?![{CJK}])"))
+    return F.regexp_count(low, F.lit("[a-z0-9_]{2,}")) + F.when(F.octet_length(low) > F.length(low), pairs).otherwise(F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
