@@ -17,10 +17,11 @@ that are overfull, as the sample is too small for the table, are cut by trees of
 built in a task from a bounded sample of its leaf, level by level; so leaves do not grow with the
 table. What no tree can cut (equal pieces) is dealt to tasks in parts.
 
-The pipeline's near copies (``deduplicated``) are too far apart for such trees. There, every set of
-shingles has bands of MinHash values, and sets with an equal band meet. Whether two sets share a
-band depends on their similarity alone, and not on how many documents there are. Fingerprints
-keep the groups of candidates small; links are verified by the sets themselves.
+The pipeline's near copies (``deduplicated``) meet in such trees over the first 64 bits of their fingerprints,
+which find all pairs within the radius. Copies of a similarity of 0.8 may lie further apart than any tree
+on 64 bits can prune, so every set of shingles has bands of MinHash values too, and sets with an equal band meet as well. Whether
+two sets share a band depends on their similarity alone, and not on how many documents there are. All of these
+are candidates; links are verified by the sets themselves.
 
 Inside a shard, a fingerprint with many neighbours is a vantage point again: its neighbours
 are joined to it at once, and are compared only with those within twice the radius. So groups of
@@ -71,7 +72,7 @@ CONTRACT = Scheme(words=3, bits=64, radius=3, pieces=2, piece_radius=1, leaf=409
 
 @dataclass(frozen=True)
 class Copies:
-    """words of a shingle; the least Jaccard ``similarity`` of copies; bits of a set's fingerprint; candidates at most ``radius`` bits apart; ``bands`` of ``rows`` MinHash values each."""
+    """words of a shingle; the least Jaccard ``similarity`` of copies; bits of a set's fingerprint; candidates at most ``radius`` bits apart; ``bands`` of ``rows`` MinHash values each; ``trees`` over the first bits."""
 
     words: int
     similarity: float
@@ -79,6 +80,7 @@ class Copies:
     radius: int
     bands: int
     rows: int
+    trees: Scheme = Scheme(words=5, bits=64, radius=3, pieces=2, piece_radius=1, leaf=4096)
 
 
 #: Jaccard similarity of 0.8 of five-word shingles is a cosine of 0.89, at which 77.5 of 512 bits differ on
@@ -469,6 +471,14 @@ def candidates(classes: DataFrame, scheme: Copies) -> DataFrame:
     return met(dealt(assigned, "id", MOST_ROWS), links_of)
 
 
+def treed(classes: DataFrame, scheme: Copies) -> DataFrame:
+    """Spanning links (a, b) between the sets (node, fp) that vantage-point trees find: all within the trees' radius on the first bits."""
+    short = classes.select("node", F.substring("fp", 1, scheme.trees.bits // 8).alias("fp"))
+    equal = saved(short.groupBy("fp").agg(F.min("node").alias("id")), "tree-classes")
+    own = short.join(equal, "fp").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    return saved(own.unionByName(links(equal, scheme.trees)), "tree-links")
+
+
 def alike(sets: list[np.ndarray], homes: int, similarity: float, cross: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges of the pairs of sets with a Jaccard similarity of so much or more; ``cross``: only of those between one of the first ``homes`` and one of the others."""
     n, sizes = len(sets), np.array([len(x) for x in sets])
@@ -527,7 +537,8 @@ def deduplicated(df: DataFrame, scheme: Copies = PIPELINE) -> DataFrame:
     """``df`` with one row of each group: of the smallest id (of texts with that id, the one with the smallest hash; of repeated rows, one). Rows without an id stay."""
     rows = saved(with_sketches(df, scheme).where("id is not null"), "sketches")
     classes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    near = components(candidates(saved(classes, "classes"), scheme))
+    classes = saved(classes, "classes")
+    near = components(treed(classes, scheme).unionByName(candidates(classes, scheme)))
     found = components(verified(df, rows.select("id", "text_hash", "node"), near, scheme))
     texts = rows.groupBy("id", "text_hash", "node").agg(F.count("*").alias("n"))
     named = texts.join(found, "node", "left").select("id", "text_hash", "n", F.coalesce("component", "node").alias("component"))

@@ -276,6 +276,29 @@ def test_only_near_copies_go(spark):
     assert {*range(60), *range(1000, 1060)} <= kept and not {*range(5000, 5060)} & kept
 
 
+def test_copies_meet_in_vantage_point_trees(spark, monkeypatch):
+    """Without any band the trees find every pair within their radius, and what they find is verified."""
+    rng = random.Random(17)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(40):
+        t = [rng.choice(vocab) for _ in range(600)]
+        rows += [(i, " ".join(t)), (1000 + i, " ".join(t[:-1] + ["end"])), (2000 + i, " ".join(rng.choice(vocab) for _ in range(50)))]
+    rows += [(3000, "a b c d e"), (3001, None), (3002, " ")]
+    # half of the shingles again and again: equal majorities, and a similarity below 0.8
+    base = "p q r s t u v w x y z".split()
+    rows += [(4000, " ".join(base * 40)), (4001, " ".join(base * 40 + [f"n{i}" for i in range(12)]))]
+    fps = dict(zip([i for i, _ in rows], simhash.words_of([f[:8] for f in simhash.fingerprints([t or "" for _, t in rows], 5, 512)])[:, 0]))
+    sets = {i: five_words(t) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and int(fps[a] ^ fps[b]).bit_count() <= 3]
+    good = [(a, b) for a, b in near if len(sets[a] & sets[b]) * 1.8 >= 0.8 * (len(sets[a]) + len(sets[b])) - 1e-9]
+    assert len(good) >= 20
+    monkeypatch.setattr(simhash, "candidates", lambda classes, scheme: spark.createDataFrame([], "a long, b long"))
+    name = joined(good, sets)
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i in sets if name[i] == i}
+
+
 def test_alike_equals_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
