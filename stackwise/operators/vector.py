@@ -211,6 +211,11 @@ def dimensions(corpus: DataFrame) -> DataFrame:
     return corpus.where("embedding is not null").groupBy("embedding_model").agg(F.count("*").alias("vectors"), F.count_distinct(F.size("embedding")).alias("widths"), F.min(F.size("embedding")).alias("width")).withColumn("consistent", F.col("widths") == 1)
 
 
+def only(chunks: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """``chunks`` of the hits' ``key`` alone. The hits, which are few, go to where chunks are read, before their texts are shuffled for what else joins to them."""
+    return chunks.join(hits.select(key), key, "left_semi")
+
+
 def with_neighbours(hits: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
     """hits (doc_id, idx) with sibling_context: the texts of the chunks up to ``radius`` away in the document, in order, with their headings.
 
@@ -220,7 +225,7 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, radius: int) -> DataFram
         return hits.withColumn("sibling_context", F.lit(None).cast("string"))
     shown = F.concat(F.when(F.length("heading") > 0, F.concat(F.lit("["), F.col("heading"), F.lit("] "))).otherwise(F.lit("")), F.col("text"))
     near = hits.select("doc_id", "idx").distinct().withColumn("near", F.explode(F.sequence(F.col("idx") - radius, F.col("idx") + radius))).where("near <> idx")
-    own = near.join(chunks.select("doc_id", F.col("idx").alias("near"), shown.alias("shown")), ["doc_id", "near"])
+    own = near.join(only(chunks, hits, "doc_id").select("doc_id", F.col("idx").alias("near"), shown.alias("shown")), ["doc_id", "near"])
     rows = F.array_sort(F.collect_list(F.struct("near", "shown")))
     own = own.groupBy("doc_id", "idx").agg(F.array_join(F.transform(rows, lambda x: x.shown), "\n\n").alias("sibling_context"))
     return hits.join(own, ["doc_id", "idx"], "left").withColumn("sibling_context", F.coalesce("sibling_context", F.lit("")))

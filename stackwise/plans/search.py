@@ -65,7 +65,7 @@ def search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, config: Confi
         ranked = ranked.withColumn("reranked", F.lit(False))
     # a query that was not reranked has the scores of its lanes, which no threshold of a reranker is meant for
     ranked = fusion.threshold(ranked, config.similarity_threshold, F.col("lane"), F.col("reranked")).drop("lane", "reranked").where(F.col("rank") <= k)
-    found = ranked.join(chunks.select("chunk_id", "doc_id", "idx", "heading", "text"), "chunk_id")
+    found = ranked.join(vector.only(chunks, ranked, "chunk_id").select("chunk_id", "doc_id", "idx", "heading", "text"), "chunk_id")
     if config.sibling_chunks > 0:
         found = saved(found, "found")
     found = vector.with_neighbours(found, chunks, config.sibling_chunks)
