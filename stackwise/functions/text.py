@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 CJK = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af"
 #: Scripts written without spaces between words (Hangul is not among them), with the length mark they share.
 UNSEGMENTED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\u30fc\\u3005-\\u3007"
+#: Ideographs that OCR sets apart, without kana and Hangul (whose spaces part words), and what it sets between them.
+HAN, HORIZONTAL = "\\u3400-\\u4dbf\\u4e00-\\u9fff", " \\t\\u3000\\u00a0"
 # Extensions of the files that are read.
 EXTENSIONS = ("txt", "md", "markdown", "mdx", "csv", "html", "htm", "json", "log", "pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "epub")
 MAX_TERMS = 64
@@ -132,8 +134,8 @@ def url_allowed(url: Column) -> Column:
 
 
 def ocr_despaced(c: Column) -> Column:
-    """No spaces or tabs between two ideographs; line ends stay."""
-    return F.regexp_replace(c, f"(?<=[{CJK}])[ \\t]+(?=[{CJK}])", "")
+    """No horizontal spaces between two ideographs; line ends stay."""
+    return F.regexp_replace(c, f"(?<=[{HAN}])[{HORIZONTAL}]+(?=[{HAN}])", "")
 
 
 def avg_line_length(c: Column) -> Column:
