@@ -74,12 +74,12 @@ def depth_of(top_k: int, k: int = RRF_K) -> int:
     return k + 2 * top_k
 
 
-def memory_hybrid(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, lexical_scores: DataFrame, candidates: DataFrame, top_k: int, k: int = RRF_K) -> DataFrame:
+def memory_hybrid(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, lexical_scores: DataFrame | lexical.Scores, candidates: DataFrame, top_k: int, k: int = RRF_K) -> DataFrame:
     """query_id, chunk_id, score, both lanes' places, rank: the exact top of both lanes fused with equal weights, without pools.
 
     Both lanes rank all ``candidates`` (chunk_id) that they have, the lexical one those without a match last, by id.
     ``corpus`` are vectors (chunk_id, embedding), ``queries`` (query_id), ``vectors`` the vectors of some of them and
-    ``lexical_scores`` (query_id, chunk_id, score >= 0) the matches among the candidates. A threshold algorithm: only what is in
+    ``lexical_scores`` (query_id, chunk_id, score >= 0) the matches among the candidates, or what makes their scores without pairs. A threshold algorithm: only what is in
     one of the lanes' first ``depth_of(top_k)`` can win, and of that the place in the other lane is counted.
     """
     depth = depth_of(top_k, k)
@@ -87,19 +87,20 @@ def memory_hybrid(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, lex
     q = saved(queries.select("query_id").distinct(), "queries")
     c = saved(corpus.select("chunk_id", "embedding").join(every, "chunk_id", "left_semi"), "vectors")
     v = vectors.select("query_id", "embedding").join(q, "query_id", "left_semi")
-    x = saved(lexical_scores.select("query_id", "chunk_id", F.round("score", vector.DIGITS).alias("score")).where("score > 0").join(q, "query_id", "left_semi"), "matches")
+    x = (lexical.Pairs(lexical_scores) if isinstance(lexical_scores, DataFrame) else lexical_scores).within(q)
 
     first_v = vector.batch_topk(c, v, depth).select("query_id", "chunk_id", F.col("rank").cast("long").alias("vector_place"))
-    first_x = lexical.top(x, depth).select("query_id", "chunk_id", F.col("rank").cast("long").alias("lexical_place"))
+    first_x = x.best(depth).select("query_id", "chunk_id", F.col("rank").cast("long").alias("lexical_place"))
     # queries with fewer matches go on with the smallest ids that do not match: they are among the first ``depth`` ids
-    few = q.join(x.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < depth)
+    few = q.join(x.counts(), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < depth)
     ids = [r.chunk_id for r in every.orderBy("chunk_id").limit(depth).collect()]
-    rest = few.withColumn("chunk_id", F.explode(F.array(*map(F.lit, ids)).cast(f"array<{every.schema['chunk_id'].dataType.simpleString()}>"))).join(x, ["query_id", "chunk_id"], "left_anti")
+    rest = saved(few.withColumn("chunk_id", F.explode(F.array(*map(F.lit, ids)).cast(f"array<{every.schema['chunk_id'].dataType.simpleString()}>"))), "few")
+    rest = rest.join(x.of(rest), ["query_id", "chunk_id"], "left_anti")
     rest = rest.withColumn("lexical_place", F.col("n") + F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where(F.col("lexical_place") <= depth)
     first_x = first_x.unionByName(rest.select("query_id", "chunk_id", "lexical_place"))
 
     either = saved(first_v.join(first_x, ["query_id", "chunk_id"], "full"), "either")
-    more_x = lexical.places(x, either.where("lexical_place is null"), every).withColumnRenamed("place", "_x")
+    more_x = x.places(either.where("lexical_place is null"), every).withColumnRenamed("place", "_x")
     more_v = vector.places(c, v, either.where("vector_place is null")).select("query_id", "chunk_id", F.col("place").alias("_v"))
     both = either.join(more_x, ["query_id", "chunk_id"], "left").join(more_v, ["query_id", "chunk_id"], "left")
     both = both.select("query_id", "chunk_id", F.coalesce("vector_place", "_v").alias("vector_place"), F.coalesce("lexical_place", "_x").alias("lexical_place"))
